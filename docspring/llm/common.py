@@ -20,8 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2_000_000
 
 _MASK = (1 << 64) - 1
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACES)] = True
 _BYTE_KEYS = np.random.default_rng(20240917).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -53,13 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts: byte spans in data, 64-bit hashes, and the first word of each text (one more at the end)."""
+    """The words of some texts: byte spans in data, 64-bit hashes, and the first word of each text and the byte where it
+    begins (both with one more at the end)."""
 
     data: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    begins: np.ndarray
 
     def text_of(self) -> np.ndarray:
         """The text that each word belongs to."""
@@ -70,7 +72,7 @@ def words_of(texts: list[bytes]) -> Words:
     """Every maximal run of bytes outside SPACES, for all texts at once."""
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
-    space = _IS_SPACE[raw]
+    space = IS_SPACE[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
@@ -79,7 +81,7 @@ def words_of(texts: list[bytes]) -> Words:
     hashes = mix((sums[ends] - sums[starts]) * powers(_BYTE_BASE, len(raw), True)[starts] + (ends - starts).astype(np.uint64))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, begins))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, begins), begins)
 
 
 def windows_of(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspring.llm import byte_bpe, common, exact_dedup, packing, url_filters
+from docspring.llm import byte_bpe, chat, common, exact_dedup, language_id, line_dedup, packing, quality, substring_dedup, url_filters
 
 #: The rules of the contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -23,6 +23,24 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept_words", 256).alias("kept_sha256"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    v, p = vocabulary("byte_bpe_50k.tiktoken"), split_pattern()
+    return chat.read_back(chat.format_turns(rows.unionByName(more), v, p), v, p)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_limited_words")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir), keep="max")
 
@@ -32,18 +50,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(common.documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(docs.doc_id.cast("string"), F.lit(""))) % 4 == 2
+    model = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filters.judge_urls(pages, URL_RULES).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_packing, op8_byte_bpe, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_exact_dedup, op6_packing, op7_line_dedup, op8_byte_bpe, op9_language_id, op10_url_filters)}
 
+SPACES = r"\x20\x09-\x0D"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -51,6 +83,41 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS normal FROM documents),
         k AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY normal) AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size, sha256(normal) AS text_sha256 FROM t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k""",
+    "op1_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
+        windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY sha256(array_to_string(words[i:i+34], ' '))) AS n FROM starts),
+        edges AS (SELECT doc_id, i, 1 AS step FROM windows WHERE n > 1 UNION ALL SELECT doc_id, i + 35, -1 FROM windows WHERE n > 1),
+        steps AS (SELECT doc_id, i, sum(step) AS step FROM edges GROUP BY doc_id, i),
+        depth AS (SELECT w.doc_id, w.i, word, sum(coalesce(step, 0)) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS deep FROM w LEFT JOIN steps ON w.doc_id = steps.doc_id AND w.i = steps.i),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) FILTER (deep = 0) AS kept, count(*) FILTER (deep > 0) AS n_removed FROM depth GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+') AS words FROM documents),
+        lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+        full_lines AS (SELECT *, translate({LOWER.format("trim(regexp_replace(line, '[" + SPACES + "]+', ' ', 'g'))")}, '123456789', '000000000') AS normal, len(regexp_extract_all(line, '[^{SPACES}]+')) AS line_words FROM lines WHERE regexp_matches(line, '[^{SPACES}]')),
+        dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY doc_id),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8),
+        windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i+7], ' ')) AS n FROM starts),
+        reps AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, range(8) AS r(k) WHERE n > 1 GROUP BY doc_id),
+        hosts AS (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY host),
+        above AS (SELECT host, normal FROM full_lines JOIN hosts USING (host) GROUP BY host, normal HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.1 * any_value(host_texts)),
+        limited AS (SELECT doc_id, sum(line_words)::BIGINT AS n_limited_words FROM full_lines JOIN above USING (host, normal) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[{SPACES}]+', '', 'g')) AS word_chars,
+                     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_limited_words, 0) AS n_limited_words
+              FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id) LEFT JOIN limited USING (doc_id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_limited_words,
+               NOT base_failed AND n_words - n_limited_words >= 20 AND n_words - n_limited_words >= 0.5 * n_words AS kept FROM b""",
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+        f AS (SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM l WHERE trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+        r AS (SELECT doc_id, line, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3, body || chr(10) || lead(body) OVER w || chr(10) || lead(body, 2) OVER w AS run FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+        p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS place FROM r WHERE run IS NOT NULL),
+        gone AS (SELECT doc_id, line FROM p WHERE place > 1 UNION SELECT doc_id, line2 FROM p WHERE place > 1 UNION SELECT doc_id, line3 FROM p WHERE place > 1)
+        SELECT l.doc_id, count(*) AS n_lines, count(gone.line) AS n_removed, sha256(coalesce(string_agg(l.raw, chr(10) ORDER BY l.line) FILTER (gone.line IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id""",
     "op10_url_filters": f"""
         WITH s AS (SELECT page_id, strpos(url, '://') AS pos, url FROM pages),
         r AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM s),
