@@ -1,8 +1,64 @@
-"""Documents to packed sequences (stages follow)."""
+"""Documents to packed sequences: quality rules, line dedup, n-gram Jaccard join, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs. Texts that a stage shortens get a new
+n_chars, and documents that had words and are left without one go. Null texts are kept until the packing, which gives them
+the end id alone; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspring.llm import common, jaccard_join, line_dedup, packing, quality, substring_dedup
+from docspring.llm.queries import vocabulary
+
+
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """With these columns alone, n_chars (if it is one of them) counting the text as it is now."""
+    return docs.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns))
+
+
+def has_word() -> Column:
+    return F.col("text").rlike(common.WORD)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(quality.without_limited(docs), docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(docs)
+    return counted(found.where((F.col("__gone") == 0) | has_word()), docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(docs)
+    return counted(found.where((F.col("__removed") == 0) | (F.col("__removed") < F.col("__words"))), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("n-gram jaccard join", join_near_copies),
+    ("substring dedup", dedup_substrings),
+    ("packing", pack),
+]
+
+#: Tokenising and packing have no SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

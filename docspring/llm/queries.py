@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspring.llm import byte_bpe, chat, common, exact_dedup, language_id, line_dedup, packing, quality, substring_dedup, url_filters
+from docspring.llm import byte_bpe, chat, common, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, url_filters
 
 #: The rules of the contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -45,6 +45,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir), keep="max")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(common.documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,7 +77,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, URL_RULES).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_exact_dedup, op6_packing, op7_line_dedup, op8_byte_bpe, op9_language_id, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_packing, op7_line_dedup, op8_byte_bpe, op9_language_id, op10_url_filters)}
 
 SPACES = r"\x20\x09-\x0D"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
