@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspring.llm.common import Words, as_bytes, covered, mix, partitions, powers, slices, stored, words_of
+from docspring.llm.common import SLICE_BYTES, Words, as_bytes, covered, mix, partitions, powers, slices, stored, words_of
 
 WINDOW = 35
+#: Parts that hashes and documents are dealt out to, at least; more if the session has more shuffle partitions.
+PARTS = 256
+#: Hashes that a worker holds before it sends them.
+OUTBOX = 1_000_000
 #: Kinds of the rows that travel: hashes to be compared, places found repeated, and documents.
 HASHES, PLACES, TEXTS = 0, 1, 2
 ROWS = "part int, kind int, keys binary, docs binary, at binary"
@@ -154,12 +158,44 @@ def compare(rows: DataFrame, parts: int) -> DataFrame:
             for lo in range(0, len(out), 64):
                 yield batch_of(out[lo : lo + 64])
 
-    return rows.repartition(parts, "part").mapInArrow(run, ROWS)
+    return rows.repartition(partitions(rows.sparkSession), "part").mapInArrow(run, ROWS)
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about SLICE_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+class Outbox:
+    """Hashes and places of several slices, sent together: fewer rows, and more repeats merged before they travel."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, [], 0
+
+    def add(self, keys: np.ndarray, docs: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, docs, at))
+        self.size += len(keys)
+        if self.size >= OUTBOX:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            rows = list(sent(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.parts))
+            self.held, self.size = [], 0
+            yield batch_of(rows)
 
 
 def by_document(texts: DataFrame, places: DataFrame, parts: int, work, schema) -> DataFrame:
-    """work(documents as a record batch, their words, flags of the words that a place points at) for slices of documents that
-    meet their places."""
+    """work(documents as a record batch, their words, flags of the words that a place points at, outbox) for slices of
+    documents that meet their places; at a task's end work(None, None, None, outbox)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, docs, at = [], [], []
@@ -177,20 +213,20 @@ def by_document(texts: DataFrame, places: DataFrame, parts: int, work, schema) -
         a = np.concatenate(at) if at else np.zeros(0, np.int32)
         order = np.argsort(d, kind="stable")
         d, a = d[order], a[order]
-        docs, at = [], []
-        for blob in blobs:
-            for held in pa.ipc.open_stream(blob):
-                texts = [x or b"" for x in as_bytes(held["__text"])]
-                for lo, hi in slices(texts):
-                    words = words_of(texts[lo:hi])
-                    names = held["__row"][lo:hi].to_numpy(zero_copy_only=False)
-                    left, right = np.searchsorted(d, names), np.searchsorted(d, names, "right")
-                    flags = np.zeros(len(words.hashes), bool)
-                    for k in np.flatnonzero(right > left).tolist():
-                        flags[words.first[k] + a[left[k] : right[k]]] = True
-                    yield from work(held.slice(lo, hi - lo), words, flags)
-
-    return texts.unionByName(places).repartition(parts, "part").mapInArrow(run, schema)
+        docs, at, out = [], [], Outbox(parts)
+        for held in merged(batch for blob in blobs for batch in pa.ipc.open_stream(blob)):
+            texts = [x or b"" for x in as_bytes(held["__text"])]
+            for lo, hi in slices(texts):
+                words = words_of(texts[lo:hi])
+                names = held["__row"][lo:hi].to_numpy(zero_copy_only=False)
+                left, right = np.searchsorted(d, names), np.searchsorted(d, names, "right")
+                flags = np.zeros(len(words.hashes), bool)
+                for k in np.flatnonzero(right > left).tolist():
+                    flags[words.first[k] + a[left[k] : right[k]]] = True
+                yield from work(held.slice(lo, hi - lo), words, flags, out)
+        yield from work(None, None, None, out)
+
+    return texts.unionByName(places).repartition(partitions(texts.sparkSession), "part").mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -205,12 +241,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     """
     spark = docs.sparkSession
     base = min(base or math.ceil(window / 2), window)
-    parts, names = partitions(spark), docs.columns
+    parts = max(PARTS, partitions(spark))
 
     def named(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
         return batch["__row"][lo:hi].to_numpy(zero_copy_only=False)
 
     def send_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(parts)
         for batch in batches:
             texts = [x or b"" for x in as_bytes(batch["__text"])]
             for lo, hi in slices(texts):
@@ -218,9 +255,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
                 _, least, hashes = base_positions(words, window, base)
                 at = np.unique(least)
                 text = np.searchsorted(words.first, at, "right") - 1
-                out = list(sent(hashes[at], row[text], at - words.first[text], parts))
-                if out:
-                    yield batch_of(out)
+                yield from out.add(hashes[at], row[text], at - words.first[text])
+        yield from out.flush()
 
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -236,7 +272,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
             yield batch_of(out)
 
     def extend(size: int, last: int):
-        def work(batch: pa.RecordBatch, words: Words, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(batch: pa.RecordBatch | None, words: Words | None, flags: np.ndarray | None, out: Outbox) -> Iterator[pa.RecordBatch]:
+            if batch is None:
+                yield from out.flush()
+                return
             if last == base:
                 starts, least, _ = base_positions(words, window, base)
                 # windows of this size within the asked windows whose representative is repeated
@@ -246,9 +285,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
                 at = window_starts(words, size)
                 at = at[flags[at] & flags[at + size - last]]
             text = np.searchsorted(words.first, at, "right") - 1
-            out = list(sent(hashes_at(words, size)[at], named(batch, 0, batch.num_rows)[text], at - words.first[text], parts))
-            if out:
-                yield batch_of(out)
+            yield from out.add(hashes_at(words, size)[at], named(batch, 0, batch.num_rows)[text], at - words.first[text])
 
         return work
 
@@ -256,7 +293,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     n = [f.name for f in fields].index(text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType() if k == n else f.dataType) for k, f in enumerate(fields)] + [T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__kept_words", T.StringType())])
 
-    def cut(batch: pa.RecordBatch, words: Words, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def cut(batch: pa.RecordBatch | None, words: Words | None, flags: np.ndarray | None, _: Outbox) -> Iterator[pa.RecordBatch]:
+        if batch is None:
+            return
         gone = covered(len(flags), np.flatnonzero(flags), window) if len(flags) else flags
         texts, kept_words, removed = [], [], []
         previous = np.concatenate([np.zeros(1, words.ends.dtype), words.ends[:-1]])
