@@ -66,9 +66,15 @@ def hashed_counts(rows: DataFrame, key: str, text: str, size: int = 64) -> DataF
     return words.groupBy(key, (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % size).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def hashed_cosine(rows: DataFrame, key: str, text: str, queries: DataFrame, size: int = 64) -> DataFrame:
-    """query_id, key, score of the hashing stand-in: sparse counts joined by bucket, so vectors are never built."""
-    docs, asked = hashed_counts(rows, key, text, size), hashed_counts(queries, "query_id", "query", size)
+def hashed_terms(terms: DataFrame, size: int = 64) -> DataFrame:
+    """The same from a term table."""
+    bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % size).cast("int")
+    return terms.groupBy("chunk_pos", bucket.alias("bucket")).agg(F.sum("tf").alias("tf"))
+
+
+def hashed_cosine(docs: DataFrame, key: str, queries: DataFrame, size: int = 64) -> DataFrame:
+    """query_id, key, score of the hashing stand-in from counts by key and bucket: joined by bucket, so vectors are never built."""
+    asked = hashed_counts(queries, "query_id", "query", size)
     length = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     dots = docs.join(F.broadcast(asked.select("query_id", "bucket", F.col("tf").alias("qtf"))), "bucket").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
     norms, qnorms = length(docs, key), length(asked, "query_id").withColumnRenamed("norm", "qnorm")

@@ -22,6 +22,11 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.trim("chunk_id") != "").select("chunk_pos", F.size(tokens("text")).cast("long").alias("dl"))
 
 
+def tables(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Term table and lengths, kept by the executors: five aggregates read them, and the corpus is tokenised once."""
+    return term_table(chunks).persist(), lengths(chunks).persist()
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: n and avgdl."""
     return lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))

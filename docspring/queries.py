@@ -257,14 +257,14 @@ SPARSE = f"""{TERMS}, qterms AS (SELECT query_id, unnest(regexp_extract_all(lowe
 @query(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def term_stats(spark, sf_dir):
     chunks = chunk_rows(documents(spark, sf_dir))
-    stats = sparse.corpus_stats(sparse.lengths(chunks))
-    return sparse.term_stats(sparse.term_table(chunks), stats).select("term", "df", F.round("idf", 6).alias("idf"))
+    terms, lengths = sparse.tables(chunks)
+    return sparse.term_stats(terms, sparse.corpus_stats(lengths)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {ASKED.format(n=8)}, {SPARSE} SELECT query_id, rank, chunk_pos, round(score, 6) AS score FROM sparse")
 def bm25_topk(spark, sf_dir):
     chunks = chunk_rows(documents(spark, sf_dir))
-    got = sparse.sparse_topk(asked(spark, sf_dir, 8), chunks, sparse.term_table(chunks), sparse.lengths(chunks), 24)
+    got = sparse.sparse_topk(asked(spark, sf_dir, 8), chunks, *sparse.tables(chunks), 24)
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_pos", F.round("score", 6).alias("score"))
 
 
@@ -323,9 +323,9 @@ def visual_retrieval(spark, sf_dir):
 # --- fusion and the whole retrieval ---
 
 
-def dense_leg(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def dense_leg(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_pos, rank by the hashing embedder."""
-    scored = dense.hashed_cosine(chunks.select("chunk_pos", "text"), "chunk_pos", "text", queries)
+    scored = dense.hashed_cosine(dense.hashed_terms(terms), "chunk_pos", queries)
     return retrieval.ranked(scored, [F.desc("score"), F.col("chunk_pos")], k).select("query_id", "chunk_pos", "score", "rank")
 
 
@@ -337,15 +337,16 @@ FUSED = f"""{SPARSE}, {DENSE}, legs AS (SELECT query_id, chunk_pos, 1.0 / (60 +
     summed AS (SELECT query_id, chunk_pos, round(sum(share::DOUBLE), 12) AS rrf, min(seen) AS first_seen FROM legs GROUP BY query_id, chunk_pos), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first_seen) AS rank FROM summed)"""
 
 
-def legs_of(spark, sf_dir, n: int, term_cache: bool = True):
+def legs_of(spark, sf_dir, n: int):
     chunks, queries = chunk_rows(documents(spark, sf_dir)), asked(spark, sf_dir, n)
-    return chunks, queries, dense_leg(queries, chunks, 24)
+    tables = sparse.tables(chunks)
+    return chunks, queries, tables, dense_leg(queries, tables[0], 24)
 
 
 @query(f"WITH {ASKED.format(n=6)}, {FUSED} SELECT query_id, chunk_pos, round(rrf, 9) AS rrf, rank FROM fused")
 def rrf_hybrid(spark, sf_dir):
-    chunks, queries, left = legs_of(spark, sf_dir, 6)
-    right = sparse.sparse_topk(queries, chunks, sparse.term_table(chunks), sparse.lengths(chunks), 24)
+    chunks, queries, tables, left = legs_of(spark, sf_dir, 6)
+    right = sparse.sparse_topk(queries, chunks, *tables, 24)
     got = fusion.fuse([left, right], key="chunk_pos")
     return got.select("query_id", "chunk_pos", F.round("rrf", 9).alias("rrf"), F.col("fused_rank").cast("long").alias("rank"))
 
@@ -356,7 +357,7 @@ FILTER = """flagged AS (SELECT d.query_id, d.chunk_pos, d.rank, c.page_end >= 5
 
 @query(f"WITH {ASKED.format(n=8)}, {TERMS}, {DENSE}, {FILTER.format(wide=0)}")
 def page_filter_fallback(spark, sf_dir):
-    chunks, queries, found = legs_of(spark, sf_dir, 8)
+    chunks, queries, _, found = legs_of(spark, sf_dir, 8)
     lo = 5 * F.col("query_id").cast("int")
     kept = fusion.filter_or_all(found.join(chunks, "chunk_pos"), fusion.overlaps(lo, lo), 5)
     return kept.select("query_id", "chunk_pos", F.col("rank").cast("long").alias("rank"), "filtered", F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("long").alias("n"))
@@ -382,7 +383,7 @@ def with_cue(queries: DataFrame) -> DataFrame:
 
 @query(f"WITH {ASKED.format(n=6)}, {TERMS}, {DENSE}, {Q2}, {BONUS} SELECT d.query_id, d.chunk_pos, round(bonus, 6)::DOUBLE AS bonus, row_number() OVER (PARTITION BY d.query_id ORDER BY bonus DESC, d.rank) AS rank FROM dense d JOIN bonus b ON b.query_id = d.query_id AND b.chunk_pos = d.chunk_pos")
 def metadata_boost(spark, sf_dir):
-    chunks, queries, found = legs_of(spark, sf_dir, 6)
+    chunks, queries, _, found = legs_of(spark, sf_dir, 6)
     hits = found.join(chunks, "chunk_pos").join(with_cue(queries), "query_id")
     return rerank.metadata_rerank(hits).select("query_id", "chunk_pos", F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
 
@@ -397,7 +398,8 @@ def hybrid_full(spark, sf_dir):
     settings = Settings()
     clause = F.when(F.col("query_id").cast("int") % 2 == 0, F.lit(" on pages 4-13")).otherwise(F.lit(""))
     plain = retrieval.questions(queries.withColumn("query", F.concat("query", clause)), settings)
-    hits = retrieval.hybrid(plain, chunks, dense_leg(plain, chunks, settings.dense_pool), sparse.term_table(chunks), sparse.lengths(chunks), settings)
+    tables = sparse.tables(chunks)
+    hits = retrieval.hybrid(plain, chunks, dense_leg(plain, tables[0], settings.dense_pool), *tables, settings)
     return hits.select("query_id", "chunk_pos", F.round("score", 9).alias("score"), F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
 
 

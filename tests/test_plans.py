@@ -75,7 +75,7 @@ def test_evaluate(spark, sf_dir):
 
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
     gold = queries.asked(spark, sf_dir, 3).select("query_id", F.col("query").alias("question"), F.col("query").alias("ground_truth_context"), F.lit("a").alias("ground_truth_answer"), F.lit("1").alias("page_number"), F.lit("table").alias("context_content_type"))
-    legs = queries.dense_leg(gold.select("query_id", F.col("question").alias("query")), chunks, 24)
+    legs = queries.dense_leg(gold.select("query_id", F.col("question").alias("query")), sparse.term_table(chunks), 24)
     report = corpus.evaluate(gold, chunks, legs, sparse.term_table(chunks), sparse.lengths(chunks), Settings(), judge=lambda x: "no scores here")
     assert len(report["per_row_ragas"]) == 3 and 0 < report["ragas_summary_mean"]["lexical_context_recall"] <= 1 and len(report["llm_judge"]) == 3 and all("error" in r["scores"] for r in report["llm_judge"])
     with pytest.raises(SystemExit):
@@ -87,7 +87,7 @@ def test_dense_fallback(spark, sf_dir):
 
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
     asked = retrieval.questions(queries.asked(spark, sf_dir, 2), Settings())
-    legs = queries.dense_leg(asked, chunks, 24)
+    legs = queries.dense_leg(asked, sparse.term_table(chunks), 24)
     local, remote = retrieval.dual(asked, chunks, legs, legs, None, None, Settings())
     assert local.count() == remote.count() == 10
 
