@@ -158,17 +158,18 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
     runs = plain.mapInArrow(flush_runs, "part int, digests binary, ids binary, counts binary")
     groups = stored(runs.repartition(partitions(spark), "part").mapInArrow(merge_runs, "address binary, keep_id long, group_size long"), "groups")
     rows = plain.mapInArrow(addressed, "doc_id long, text string, address binary, text_sha256 string")
-    copies = stored(rows.join(groups, "address"), "copies")
+    # the same join at every size: copies are found by a shuffle, not by sending the groups to every executor
+    copies = stored(rows.join(groups.hint("merge"), "address"), "copies")
 
     # each copy meets the text that stays in one of size / COPIES_A_TASK places, so that no group lands in one task
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / COPIES_A_TASK)).cast("int")
     stays = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("address").agg(F.min("text").alias("keep_text"), F.max("group_size").alias("group_size"))
     stays = stays.select("address", "keep_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     salted = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    checked = stored(salted.join(stays, ["address", "salt"]).mapInArrow(compared, "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
+    checked = stored(salted.join(stays.hint("merge"), ["address", "salt"]).mapInArrow(compared, "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
 
     columns = ("doc_id", "keep_id", "group_size", "text_sha256")
-    single = rows.join(groups, "address", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    single = rows.join(groups.hint("merge"), "address", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     shared = checked.where(~F.col("same")).select("address").distinct()
     if shared.isEmpty():
         out = single.unionByName(checked.select(*columns))
