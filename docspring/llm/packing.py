@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ GROUP_TOKENS = 4_000_000
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 400_000
 
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -113,43 +117,53 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     return placed
 
 
+def byte_of_symbol() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or one after U+0100."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merge_table(tokenizer) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level vocabulary whose ids are in the order of its merges."""
+    table = byte_of_symbol()
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    return {bytes(map(table.__getitem__, token)): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
+
+
 class WordIds(dict):
     """Chunk -> its ids as little-endian bytes. A chunk is what stands between two single spaces, with "\\n" in front where
     a line begins; the split pattern always cuts there. Chunks with other white space hold None: their text is encoded whole."""
 
-    def __init__(self, tokenizer, dtype: str = "<u4", first: bool = False):
+    def __init__(self, encode, first: bool = False):
         super().__init__()
-        self.tokenizer, self.dtype, self.first = tokenizer, dtype, first
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.encode, self.first = encode, first
 
     def __missing__(self, chunk: str) -> bytes | None:
         if len(self) >= KEPT_WORDS:
             self.clear()
         word = chunk[1:] if chunk.startswith("\n") and not self.first else chunk
-        if not word or len(word.split()) != 1 or len(word.split()[0]) != len(word):
+        if not word or word.split() != [word]:
             got = None
-        elif self.first:
-            got = self.ids(word)
-        elif word is not chunk:
-            got = self.ids("\n") + self.ids(word)
         else:
-            got = self.ids(" " + word)
+            got = array("I", self.encode(word if self.first else chunk if word is not chunk else " " + word)).tobytes()
         self[chunk] = got
         return got
 
 
 class Encoder:
-    """Ids of whole texts, the same as the tokenizer's for the whole text."""
+    """Ids of whole texts, the same as the tokenizer's for the whole text. New words go through its merge table in a leaner
+    engine; texts whose white space may join words go through the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.head, self.rest = WordIds(self.tokenizer, first=True), WordIds(self.tokenizer)
+        words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=merge_table(self.tokenizer), special_tokens={}).encode_ordinary
+        self.head, self.rest = WordIds(words, first=True), WordIds(words)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -158,7 +172,7 @@ class Encoder:
         try:
             return self.head[head] + b"".join(map(self.rest.__getitem__, rest))
         except TypeError:
-            return self.rest.ids(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
