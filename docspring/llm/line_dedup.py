@@ -44,13 +44,13 @@ def later_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
 
     of = lambda i: F.struct(least(i)["h"].alias("print"), F.xxhash64(F.transform(F.slice("lines", i + 1, run), lambda x: x["h"])).alias("key"), i.alias("start"))
     runs = base.select("__id", "__hash", F.explode(F.transform(starts, of)).alias("r")).select("__id", "__hash", "r.print", "r.key", "r.start")
-    runs = runs.join(prints, "print", "left_semi").select("key", F.struct("__id", "__hash", "start").alias("place"))
+    runs = runs.join(prints.hint("merge"), "print", "left_semi").select("key", F.struct("__id", "__hash", "start").alias("place"))
     first = runs.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = runs.join(first, "key").where(F.col("place") > F.col("first")).select("place.*")
+    later = runs.join(first.hint("merge"), "key").where(F.col("place") > F.col("first")).select("place.*")
     grown = later.groupBy("__id", "__hash").agg(F.collect_set("start").alias("starts"))
     # the numbers among lines with a word, then among all lines
     which = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
-    found = grown.join(base, ["__id", "__hash"]).select("__id", "__hash", which.alias("which"), "lines")
+    found = grown.join(base.hint("merge"), ["__id", "__hash"]).select("__id", "__hash", which.alias("which"), "lines")
     return found.select("__id", "__hash", F.transform("which", lambda i: F.col("lines")[i]["line"]).alias("gone"))
 
 
@@ -64,7 +64,8 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     names = docs.columns
     gone = stored(later_lines(docs, run, id_col, text_col), "gone")
     rows = keyed(docs, id_col, text_col).withColumn("__split", F.split(F.col(text_col), "\n", -1)).drop(text_col)
-    joined = rows.join(gone, ["__id", "__hash"], "left")
+    # the same join at every size, and one that Spark splits where many copies meet
+    joined = rows.join(gone.hint("merge"), ["__id", "__hash"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.array_join("__split", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("__split")[i]), "\n"))
     counts = [F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone")]
