@@ -29,6 +29,11 @@ BUCKET = 512
 #: Parts beyond those needed, as a share: thinly filled parts need no signature then.
 SPARE = 0.1
 HISTOGRAM = 64
+#: Signatures of at most so many sets give their pairs at once.
+SMALL = 6
+FILTER_BITS = 23
+#: Parts that signatures are dealt out to, at least, and how many a worker holds before it sends them.
+PARTS, OUTBOX = 256, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -104,72 +109,145 @@ def feasible(sizes: np.ndarray, histograms: np.ndarray, i: int, others: np.ndarr
     return ((100 + percent) * apart <= (100 - percent) * total) & (100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others]))
 
 
-def similar(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= percent * (len(x) + len(y) - common)
-
-
 def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, set_key (16 bytes; null for an empty set) and elements of each row."""
+    """doc_id, n, set_id (64 bits of the set's digest; null for an empty set) and hist of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or b"" for x in as_bytes(batch.column(1))]
             for lo, hi in slices(texts):
-                raw = [x.tobytes() for x in shingle_sets(texts[lo:hi], size)]
-                keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in raw]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "n", "set_key", "elements"])
+                sets = shingle_sets(texts[lo:hi], size)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([histogram(x) for x in sets], pa.binary())], names=["doc_id", "n", "set_id", "hist"])
+
+    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, set_id long, hist binary")
+
+
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+
+
+def set_id(elements: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True) if len(elements) else None
+
+
+def few(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2**FILTER_BITS bits over the column id: of one size whatever the table's, so it can be sent to all tasks.
+    Over a table that is too long for it, it lets more pass, and rows are only moved in vain."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            for at in filter_places(batch.column(0).to_numpy(zero_copy_only=False)):
+                bits[at] = True
+        yield pa.RecordBatch.from_pydict({"part": pa.array([int(bits.sum()) % 8], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                bits |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    parts = ids.mapInArrow(fill, "part int, bits binary").repartition(8, "part").mapInArrow(merge, "bits binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in parts])
+
+
+def lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in filter_places(ids):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return out
+
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_key binary, elements binary")
+def filter_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [((h + np.uint64(k) * (h >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for k in range(3)]
 
 
-def bucket_rows(sets: DataFrame, scheme: tuple[int, int], percent: int, parts: int) -> DataFrame:
-    """key, set_id of the signatures that two sets or more have."""
+def bucket_rows(docs: DataFrame, scheme: tuple[int, int], percent: int, size: int, parts: int, only: np.ndarray | None) -> DataFrame:
+    """From doc_id, text: pairs (null, a, b) of sets that share a signature with few others, and rows (key, set, null) of
+    the signatures that more than SMALL sets have. only: a filter over the sets that matter."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, keys, owners = Bands(percent), [], []
         for batch in batches:
-            ids, raws = batch["set_id"].to_numpy(), batch["elements"].to_pylist()
-            for lo in range(0, len(raws), 500):
-                keys, owners = [], []
-                for k, raw in enumerate(raws[lo : lo + 500]):
-                    elements = np.frombuffer(raw, np.uint64)
+            texts = [x or b"" for x in as_bytes(batch.column(0))]
+            for lo, hi in slices(texts):
+                sets = {set_id(x): x for x in shingle_sets(texts[lo:hi], size) if len(x)}
+                if only is not None and sets:
+                    ids = np.fromiter(sets, np.int64, len(sets))
+                    sets = {i: sets[i] for i in ids[lets_through(only, ids)].tolist()}
+                if not sets:
+                    continue
+                for i, elements in sets.items():
                     own = bands.of(len(elements))
                     for band in (own, own + 1):
                         got = signatures(elements, band, bands.differ(band), scheme)
                         keys.append(got)
-                        owners.append(np.full(len(got), ids[lo + k], np.int64))
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                part = (key % np.uint64(parts)).astype(np.int32)
-                order = np.lexsort((owner, part))
-                key, owner, part = key[order], owner[order], part[order]
-                edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
-                cuts = list(zip(edges[:-1], edges[1:], strict=True))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "ids": pa.array([owner[a:b].tobytes() for a, b in cuts], pa.binary())})
+                        owners.append(np.full(len(got), i, np.int64))
+                if sum(map(len, keys)) >= OUTBOX:
+                    yield outgoing(keys, owners, parts)
+                    keys, owners = [], []
+        if keys:
+            yield outgoing(keys, owners, parts)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
         for batch in batches:
             keys += [np.frombuffer(x, np.uint64) for x in batch["keys"].to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch["ids"].to_pylist()]
+            ids += [from_runs(x) for x in batch["ids"].to_pylist()]
         if not keys:
             return
         key, owner = np.concatenate(keys), np.concatenate(ids)
         keys, ids = [], []
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
-        same = key[1:] == key[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, owner = key[twice], owner[twice]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # equal sets are one
+        key, owner = key[new], owner[new]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.concatenate([begins, [len(key)]]))
+        a, b = [owner[:0]], [owner[:0]]
+        for n in range(2, SMALL + 1):
+            at = begins[counts == n]
+            for i, j in combinations(range(n), 2):
+                a.append(owner[at + i])
+                b.append(owner[at + j])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        for lo in range(0, len(pairs), 50_000):
+            some = pairs[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["key", "a", "b"])
+        large = np.repeat(counts > SMALL, counts)
+        key, owner = key[large], owner[large]
         for lo in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[lo : lo + 50_000].view(np.int64)), "set_id": pa.array(owner[lo : lo + 50_000])})
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 50_000].view(np.int64)), pa.array(owner[lo : lo + 50_000]), pa.nulls(len(key[lo : lo + 50_000]), pa.int64())], names=["key", "a", "b"])
+
+    made = docs.select("text").mapInArrow(make, "part int, keys binary, ids binary")
+    return made.repartition(partitions(docs.sparkSession), "part").mapInArrow(repeated, "key long, a long, b long")
+
+
+def outgoing(keys: list[np.ndarray], owners: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Signatures and their sets, a row for each part."""
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    part = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    key, owner, part = key[order], owner[order], part[order]
+    edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
+    cuts = list(zip(edges[:-1], edges[1:], strict=True))
+    return pa.RecordBatch.from_pydict({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "ids": pa.array([runs_of(owner[a:b]) for a, b in cuts], pa.binary())})
+
+
+def runs_of(owner: np.ndarray) -> bytes:
+    """Ids that come in runs, as ids and lengths."""
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return np.stack([owner[begins], np.diff(np.concatenate([begins, [len(owner)]]))]).tobytes()
 
-    made = sets.select("set_id", "elements").mapInArrow(make, "part int, keys binary, ids binary")
-    return made.repartition(parts, "part").mapInArrow(repeated, "key long, set_id long")
 
+def from_runs(raw: bytes) -> np.ndarray:
+    ids, lengths = np.frombuffer(raw, np.int64).reshape(2, -1)
+    return np.repeat(ids, lengths)
 
-def proposals(members: DataFrame, percent: int, every: bool, largest: int | None, parts: int) -> DataFrame:
+
+def proposals(members: DataFrame, percent: int, every: bool, largest: int | None) -> DataFrame:
     """Pairs (a < b) of sets of different components that share a bucket and may be similar: for each set the first such
     partner, or every one. Buckets of more than `largest` sets give one row (null, set) for each of their sets instead."""
 
@@ -208,23 +286,70 @@ def proposals(members: DataFrame, percent: int, every: bool, largest: int | None
         if held:
             yield from flush(held)
 
-    ordered = members.repartition(parts, "key").sortWithinPartitions("key", "set_id")
+    ordered = members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key", "set_id")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether they are similar."""
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and histograms leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch[k].to_numpy() for k in ("n1", "n2")]
+            h = [np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for k in ("h1", "h2")]
+            apart = np.abs(h[0] - h[1]).sum(axis=1)
+            good = ((100 + percent) * apart <= (100 - percent) * (n[0] + n[1])) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good))
+
+    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n1"), F.col("hist").alias("h1"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("hist").alias("h2"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n1", "n2", "h1", "h2").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """a, b and whether they are similar, by the sets of one document of each. Texts are smaller than sets, so they are what
+    moves, and only those that a filter of fixed size lets through."""
+    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = stored(sets.select("set_id", "doc_id").join(ids.hint("merge"), "set_id", "left_semi"), "wanted")
+    only = few(wanted.select("doc_id"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(lets_through(only, batch.column(0).to_numpy(zero_copy_only=False))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [similar(x, y, percent) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            left, right = as_bytes(batch["x"]), as_bytes(batch["y"])
+            same = []
+            for lo, hi in slices(left, 1_000_000):
+                sets = [shingle_sets(side[lo:hi], size) for side in (left, right)]
+                for x, y in zip(*sets, strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    same.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_())], names=["a", "b", "linked"])
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
+    # rows of one id may have several texts: the one of the set asked for
+    found = docs.mapInArrow(pick, "doc_id long, text string").join(wanted.hint("merge"), "doc_id").groupBy("set_id", "doc_id", "text").agg(F.lit(1).alias("one"))
+    texts = stored(right_text(found, size).select("set_id", "text"), "texts")
+    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def right_text(found: DataFrame, size: int) -> DataFrame:
+    """One text for each set_id: one whose set it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or b"" for x in as_bytes(batch["text"])]
+            good = []
+            for lo, hi in slices(texts):
+                good += [set_id(x) for x in shingle_sets(texts[lo:hi], size)]
+            yield pa.RecordBatch.from_arrays([batch["set_id"], batch["text"]], names=["set_id", "text"]).filter(pa.array([a == b for a, b in zip(good, batch["set_id"].to_pylist(), strict=True)]))
+
+    return found.select("set_id", "text").mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """set_id and comp (the least id of its component) of the sets in links (a, b): least neighbour, then the label's label,
     until nothing changes."""
@@ -240,38 +365,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_sets(sets: DataFrame, percent: int) -> DataFrame | None:
-    """a, b: links between distinct sets (set_id, n, elements, hist) that join the same components as all links do. Within a
+def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """a, b: links between distinct sets (set_id, doc_id, n, hist) that join the same components as all links do. Within a
     component not every link is looked for: sets that are already joined need no further comparison."""
-    parts = partitions(sets.sparkSession)
-    links, going = None, sets
+    parts, links, only = max(PARTS, partitions(docs.sparkSession)), None, None
+
+    def check(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        checked = stored(verified(pairs, docs, sets, percent, size), "checked")
+        new = checked.where("linked").select("a", "b")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+        return checked.select("a", "b")
+
     for level, scheme in enumerate(SCHEMES):
         largest = BUCKET if level + 1 < len(SCHEMES) else None
-        buckets = stored(bucket_rows(going, scheme, percent, parts), "buckets")
-        if buckets.isEmpty():
+        buckets = stored(bucket_rows(docs, scheme, percent, size, parts, only), "buckets")
+        tested = stored(possible(buckets.where("key is null").select("a", "b").distinct(), sets, percent), "pairs")
+        if not tested.isEmpty():
+            check(tested)
+        rest = buckets.where("key is not null").select("key", F.col("a").alias("set_id"))
+        if rest.isEmpty():
             break
-        members = stored(buckets.join(sets.select("set_id", "n", "hist").hint("merge"), "set_id"), "members")
-        tested = None
-        for turn in range(3):
-            if links is None:
-                labelled = members.withColumn("comp", F.col("set_id"))
-            else:
+        members = stored(rest.join(sets.select("set_id", "n", "hist").hint("merge"), "set_id"), "members")
+        # first each set with the first other that may be linked to it, then all pairs between the components that this leaves
+        for every in (False, True):
+            labelled = members.withColumn("comp", F.col("set_id"))
+            if every and links is not None:
                 labelled = members.join(components(links).hint("merge"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-            found = stored(proposals(labelled, percent, turn == 2, largest, parts), "pairs")
-            pairs = found.where("a is not null")
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            checked = stored(verified(pairs, sets, percent), "checked")
-            tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-            new = checked.where("linked").select("a", "b")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-            elif turn < 2 and checked.isEmpty():
-                break  # no pair of different components is feasible any more
-        crowded = stored(found.where("a is null").select(F.col("b").alias("set_id")).distinct(), "crowded")
+            found = stored(proposals(labelled, percent, every, largest), "pairs")
+            pairs = stored(found.where("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.isEmpty():
+                tested = tested.unionByName(check(pairs))
+        crowded = found.where("a is null").select(F.col("b").alias("id")).distinct()
         if crowded.isEmpty():
             break
-        going = sets.join(crowded, "set_id", "left_semi")
+        only = few(crowded)
     return links
 
 
@@ -281,39 +410,27 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     Two documents are linked if 100 * common shingles >= percent * shingles of either. A text without words, or null, has
     an empty set and no links. Texts of equal sets are linked, and go on as one set. Repeated rows and rows of one doc_id
     join each other's components only by their sets; a null doc_id counts as the largest, and its component is null if no
-    other id is in it. An empty table gives no rows; other columns are ignored.
+    other id is in it. An empty table gives no rows; other columns are ignored. Shingles and sets go by 64-bit hashes.
     """
-    rows = stored(shingled(docs, shingle, id_col, text_col).drop("elements"), "rows")
-    last = F.lit((1 << 63) - 1)
-    # a set goes by a 64-bit hash of its key; the elements of one of its documents stand for all
-    number = F.xxhash64
-    sets = shingled(docs, shingle, id_col, text_col).where("set_key is not null")
-    sets = sets.groupBy(number("set_key").alias("set_id")).agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
-    sets = stored(with_histogram(sets), "sets")
-    links = linked_sets(sets, percent)
-    named = rows.withColumn("set_id", F.when(F.col("set_key").isNotNull(), number("set_key")))
-    least = named.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    rows = stored(shingled(docs, shingle, id_col, text_col), "rows")
+    full = rows.where("set_id is not null")
+    sets = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("hist").alias("hist")), "sets")
+    named = plain(docs, id_col, text_col)
+    # texts of a null doc_id are found by 0 in the filter, and by their set
+    links = linked_sets(named.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), sets.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), percent, shingle)
+    least = sets.select("set_id", F.col("doc_id").alias("least"))
     if links is not None:
-        labels = components(links)
-        whole = least.join(labels, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+        whole = least.join(components(links).hint("merge"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         tops = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-        by_set = whole.join(tops, "comp").select("set_id", "component_id")
+        by_set = whole.join(tops.hint("merge"), "comp").select("set_id", "component_id")
     else:
         by_set = least.withColumnRenamed("least", "component_id")
-    found = named.join(by_set, "set_id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.nullif(F.coalesce("component_id", last), last)).alias("component_id"))
-
-
-def with_histogram(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([histogram(np.frombuffer(x, np.uint64)) for x in batch["elements"].to_pylist()], pa.binary())], names=[*batch.schema.names, "hist"])
-
-    return sets.mapInArrow(run, "set_id long, n long, elements binary, hist binary")
+    found = rows.join(by_set.hint("merge"), "set_id", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's; of rows that share that id, all. Rows without words stay."""
+    """The rows of docs whose id is their component's; of rows that share that id, all. Rows without words or doc_id stay."""
     found = jaccard_components(docs, percent, shingle, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
