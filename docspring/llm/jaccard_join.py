@@ -137,19 +137,23 @@ def few(ids: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             for at in filter_places(batch.column(0).to_numpy(zero_copy_only=False)):
                 bits[at] = True
-        yield pa.RecordBatch.from_pydict({"part": pa.array([int(bits.sum()) % 8], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([int(bits.sum()) % 8], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for batch in batches:
             for x in batch.column(1).to_pylist():
                 bits |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
+        if bits.any():  # at most 8 partitions have rows, however many there are
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([bits.tobytes()], pa.binary())})
 
     parts = ids.mapInArrow(fill, "part int, bits binary").repartition(8, "part").mapInArrow(merge, "bits binary").collect()
-    return np.bitwise_or.reduce([np.frombuffer(r.bits, np.uint8) for r in parts])
+    return np.bitwise_or.reduce([np.zeros((1 << FILTER_BITS) // 8, np.uint8), *(np.frombuffer(r.bits, np.uint8) for r in parts)])
 
 
 def lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
