@@ -147,7 +147,7 @@ def test_quality(spark):
     rnd = random.Random(9)
     v = vocabulary(rnd, 300)
     some = lambda k: " ".join(rnd.choice(v) for _ in range(k))
-    texts = [f"{some(30)}\nPage {i}  of 90\n{some(20)}" for i in range(60)] + [f"{some(5)}\npage 1 of 90\n" + "Menu home about us and much more that is said here again\n" for _ in range(40)]
+    texts = [f"{some(30)}\nPage {i}  of 90\n{some(20)}" for i in range(150)] + [f"{some(5)}\npage 1 of 90\n" + "Menu home about us and much more that is said here again\n" for _ in range(40)]
     texts += [texts[0]] * 30 + [None, "", "###|| *a* \n\nb", ("a b c d e f g h " * 10), "l\nl\nl \nm"]
     df = rows_of(spark, texts)
     got = {r.doc_id: r for r in quality.judged(df).collect()}
