@@ -14,6 +14,10 @@ from docspring.llm import common, jaccard_join, line_dedup, packing, quality, su
 from docspring.llm.queries import vocabulary
 
 
+#: Near copies share 80 % of their runs of five words.
+SHINGLE, PERCENT = 5, 80
+
+
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """With these columns alone, n_chars (if it is one of them) counting the text as it is now."""
     return docs.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns))
@@ -33,7 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, PERCENT, SHINGLE)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

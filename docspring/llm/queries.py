@@ -46,7 +46,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(common.documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(common.documents(spark, sf_dir), percent=85, shingle=4)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

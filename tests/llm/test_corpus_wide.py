@@ -269,6 +269,41 @@ def test_language_id(spark, sf_dir):
     assert {r.lang_pred for r in language_id.predict(docs.limit(5), one).collect()} == {"en"}
 
 
+def test_pipeline_near_copies(spark, sf_dir):
+    """The stage takes five words and 80 %, on pairs that four words and 85 % leave, and op5 keeps its contract's values."""
+    import corpus_pipeline
+    from docspring.llm import queries
+
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").cache()
+    rows = docs.select("doc_id", "text").collect()
+
+    def components(size, percent):
+        sets, at, top = {}, defaultdict(list), {r.doc_id: r.doc_id for r in rows}
+        for r in rows:
+            w = words((r.text or "").lower())
+            sets[r.doc_id] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+            for x in sets[r.doc_id]:
+                at[x].append(r.doc_id)
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for i, s in sets.items():
+            for j, common in Counter(j for x in s for j in at[x] if j < i).items():
+                if 100 * common >= percent * (len(s) + len(sets[j]) - common):
+                    a, b = find(i), find(j)
+                    top[max(a, b)] = min(a, b)
+        return {i: find(i) for i in top}
+
+    wide, thin = components(5, 80), components(4, 85)
+    assert {i for i in wide if wide[i] == i} != {i for i in thin if thin[i] == i}
+    assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, sf_dir).collect()} == {i for i in wide if wide[i] == i}
+    got = queries.op5_jaccard_join(spark, sf_dir.replace("sf0.001", "sf0.01"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == thin
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
