@@ -16,6 +16,8 @@ from docspring.llm.queries import vocabulary
 
 #: Near copies share 80 % of their runs of five words.
 SHINGLE, PERCENT = 5, 80
+#: Repeats of more words than this go whatever the number of their lines.
+LINE_WORDS = 50
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(docs)
+    found = line_dedup.line_dedup(docs, words=LINE_WORDS)
     return counted(found.where((F.col("__gone") == 0) | has_word()), docs.columns)
 
 

@@ -204,6 +204,40 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(same.limit(0)).count() == 0
 
 
+def expected_lines(texts, bound):
+    """Texts without later repeats: of runs of 3 lines, of shorter ones of more than bound words, of whole shorter documents."""
+    first, gone = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        full = [(k, x.strip(" \t\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\x0c\r")]
+        spans = [("run", full[s : s + n]) for n in (1, 2, 3) for s in range(len(full) - n + 1) if n == 3 or sum(len(words(x)) for _, x in full[s : s + n]) > bound]
+        spans += [("whole", full)] if 0 < len(full) < 3 else []
+        for kind, span in spans:
+            place = (i, span[0][0])
+            if first.setdefault((kind, *(x for _, x in span)), place) != place:
+                gone[i] |= {k for k, _ in span}
+    return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)]
+
+
+def test_line_dedup_by_words(spark):
+    """Passages on one or two lines go as well."""
+    rnd = random.Random(6)
+    lines = [" ".join(f"w{k}x{j}" for j in range(1 + k % 9)) for k in range(30)]
+    texts = ["\n".join([*([f"own {i}"] * (i % 2)), *lines[at : at + rnd.randrange(1, 5)], *([" "] * (i % 3))]) for i in range(120) for at in [rnd.randrange(28)]]
+    texts += [None, "", "short", "short", " short\n", "short\nother", "short\nother", "short\nother\nthird", lines[8] + "\n" + lines[8]]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(rows_of(spark, texts), words=6).collect()}
+    assert got == dict(enumerate(expected_lines(texts, 6)))
+    assert line_dedup.line_dedup(rows_of(spark, texts).limit(0), words=6).count() == 0
+
+
+def test_pipeline_lines(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    want = {r.doc_id: t for r, t in zip(rows, expected_lines([r.text for r in rows], 50), strict=True) if t == r.text or words(t)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()} == want
+
+
 def test_chat(spark):
     P = pytest.importorskip("public_tokenizers")
     v, p = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
