@@ -7,7 +7,6 @@ import os
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspring.functions import vectors
@@ -36,8 +35,7 @@ def probe(queries: DataFrame, cache: DataFrame, threshold: float = 0.92) -> Data
 
 def newest(cache: DataFrame, most: int) -> DataFrame:
     """Entries by descending created_ts, then position; older ones go, whether they were used or not."""
-    order = W.orderBy(F.desc("created_ts"), F.desc("pos"))  # a cache has at most a few thousand entries
-    return cache.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+    return cache.orderBy(F.desc("created_ts"), F.desc("pos")).limit(most)
 
 
 class AnswerCache:

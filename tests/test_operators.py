@@ -181,6 +181,16 @@ def test_dense_clamps_and_breaks_ties(spark):
         assert [(r.query_id, r.chunk_pos) for r in got] == [("q", 0), ("q", 2), ("r", 1), ("r", 3)]
 
 
+def test_newest_bears_the_whole_table(spark, sf_dir):
+    """The newest of all events, without one window over the table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.pmod("event_id", F.lit(97)).cast("double").alias("created_ts"), F.col("event_id").alias("pos"))
+    top = cache.newest(events, 256)
+    want = sorted((-(r.event_id % 97), -r.event_id) for r in events.collect())[:256]
+    assert {r.event_id for r in top.collect()} == {-i for _, i in want} and len(want) == 256
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
 def test_cache(spark, tmp_path):
     store = cache.AnswerCache(str(tmp_path / "c.json"), 3)
     assert store.lookup(spark, [1.0, 0.0], 0.9) is None
