@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -130,12 +132,53 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+class Scratch:
+    """Tables that one call of an operator writes to the shared folder and reads back: that cuts the lineage, and outlives
+    executors. What the call's result doesn't read is deleted at the call's end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/docspring/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for df, path in self.tables:
+            if not any(df is k for k in keep):
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.tables = [t for t in self.tables if any(t[0] is k for k in keep)]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docspring/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read back, for as long as the folder lasts."""
+    return Scratch(df.sparkSession).stored(df, label)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work for mapInArrow; at its end the worker, which Spark keeps for other tasks, returns free memory to the system."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,12 +3,15 @@
 Sets are put in bands of nearly equal size. Two sets of a band whose Jaccard similarity reaches the threshold differ in at
 most k elements, so if the feature domain is cut into n1 parts, most of them differ in no more than k2; each part is cut
 into n2 subparts, and for every choice of n2 - k2 subparts their content is a signature. Sufficiently similar sets share
-one. Sets that share a signature are filtered by exact bounds (sizes, histograms) and compared element by element.
+one. Sets that share a signature stand in one bucket. Within a bucket the pairs that exact bounds (sizes, odd sketches)
+leave possible are spanned by a forest, its edges are compared element by element, and components are contracted; only where
+an edge fails are the other possible pairs between components compared, so no group gives all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -18,22 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspring.llm.common import as_bytes, mix, partitions, slices, stored, windows_of, words_of
+from docspring.llm.common import Scratch, as_bytes, mix, partitions, slices, trimmed, windows_of, words_of
 
-SHINGLE = 4
-PERCENT = 85
-#: (k2, n2) of the signatures, weaker to stronger: sets that meet in a bucket of more than BUCKET sets go on to the next,
-#: and buckets of the last are compared in blocks whatever their size.
+#: A stage on word shingles takes five words and 80 percent, unless it is told otherwise.
+SHINGLE = 5
+PERCENT = 80
+#: (k2, n2) of the signatures, weaker to stronger. A bucket of more than BUCKET sets is crowded: its sets are compared with
+#: REPS of it, and if that doesn't join them all they go on to the next signatures; the last are compared chunk by chunk.
 SCHEMES = ((1, 3), (2, 5), (3, 7))
-BUCKET = 512
+BUCKET, REPS = 1024, 8
 #: Parts beyond those needed, as a share: thinly filled parts need no signature then.
 SPARE = 0.1
-HISTOGRAM = 64
-#: Signatures of at most so many sets give their pairs at once.
-SMALL = 6
+#: Bits of a sketch for each element in which similar sets may differ; bits at least and at most.
+SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 16, 256, 1 << 16
+#: Up to so many sets of a bucket are compared in one step.
+MATRIX = 96
 FILTER_BITS = 23
-#: Parts that signatures are dealt out to, at least, and how many a worker holds before it sends them.
-PARTS, OUTBOX = 256, 1_000_000
+#: Parts that signatures are dealt out to, at least; how many a worker holds before it sends them, and before it lets go of
+#: what stands in crowded buckets.
+PARTS, OUTBOX, HELD = 256, 1_000_000, 4_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -41,6 +47,12 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     words = words_of([x.lower() for x in texts])
     at, hashes = windows_of(words.hashes, words.first, size)
     edges = np.searchsorted(at, words.first)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        hashes[lo:hi].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[edges[:-1][edges[:-1] < len(hashes)]] = True
+    hashes, edges = hashes[new], np.concatenate([[0], np.cumsum(new)])[edges]
     out = []
     for k in range(len(texts)):
         some = hashes[edges[k] : edges[k + 1]]
@@ -48,7 +60,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
             n = int(words.first[k + 1] - words.first[k])
             one = words.hashes[words.first[k] : words.first[k + 1]]
             some = mix(windows_of(one, np.array([0, n]), n)[1] + np.uint64(n))
-        out.append(np.unique(some))
+        out.append(some)
     return out
 
 
@@ -65,69 +77,156 @@ class Bands:
 
     def differ(self, band: int) -> int:
         """Elements in which two sets of the band may differ: both of its largest size."""
-        self.of(self.lows[-1] if band + 1 >= len(self.lows) else 1)
+        while len(self.lows) <= band + 1:
+            self.of(self.lows[-1])
         high = self.lows[band + 1] - 1
         return 2 * high * (100 - self.percent) // (100 + self.percent)
 
 
-def signatures(elements: np.ndarray, band: int, differ: int, scheme: tuple[int, int]) -> np.ndarray:
-    """The 64-bit signatures of a set in a band."""
+def signatures(sets: list[np.ndarray], bands: Bands, step: int, scheme: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit signatures of non-empty sets in their own band (step 0) or in the next (1), and the set that each is of.
+    Bands whose sets may not differ at all need none."""
     k2, n2 = scheme
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    band = np.array([bands.of(n) + step for n in sizes.tolist()], np.int64)
+    differ = np.array([bands.differ(b) for b in band.tolist()], np.int64)
+    some = np.flatnonzero(differ)
+    if not len(some):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes, band, differ = sizes[some], band[some], differ[some]
+    elements = np.concatenate([sets[k] for k in some.tolist()])
     bad = differ // (k2 + 1)  # parts that may differ in more than k2 elements
     need = bad + 1
-    n1 = need + math.ceil(SPARE * need) if bad else 1
-    salt = np.uint64((band * 1_000_003 + k2 * 101 + n2) & 0xFFFFFFFF)
-    spot = mix(elements ^ mix(np.array([salt], np.uint64))[0]) >> np.uint64(20)
-    sub = (spot % np.uint64(n1 * n2)).astype(np.int64)
-    part = sub // n2
-    fill = np.bincount(part, minlength=n1)
-    # a part that counts for one of two similar sets has at most k2 elements fewer in the other
-    least = np.sort(fill)[n1 - need] - k2
-    content = np.zeros(n1 * n2, np.uint64)
+    n1 = np.where(bad > 0, need + np.ceil(SPARE * need).astype(np.int64), 1)
+    salt = ((band * 1_000_003 + k2 * 101 + n2) & 0xFFFFFFFF).astype(np.uint64)
+    spot = mix(elements ^ np.repeat(mix(salt), sizes)) >> np.uint64(32)
+    sub = ((spot * np.repeat((n1 * n2).astype(np.uint64), sizes)) >> np.uint64(32)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(n1)])  # the first part of each set
+    sub += np.repeat(base[:-1] * n2, sizes)
+    content = np.zeros(base[-1] * n2, np.uint64)
     np.add.at(content, sub, mix(elements + np.uint64(0x9E3779B97F4A7C15)))
-    content = content.reshape(n1, n2)
-    kept = np.flatnonzero(fill >= least)
+    fill = np.bincount(sub // n2, minlength=base[-1])
+    owner = np.repeat(np.arange(len(some)), n1)
+    # a part that counts for one of two similar sets has at most k2 elements fewer in the other
+    least = fill[np.lexsort((fill, owner))][base[:-1] + n1 - need] - k2
+    kept = np.flatnonzero(fill >= least[owner])
+    owner = owner[kept]
+    content = content.reshape(-1, n2)[kept]
+    begin = mix((salt[owner] << np.uint64(32)) + (kept - base[:-1][owner]).astype(np.uint64))
     out = []
     for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-        key = mix(np.full(len(kept), salt * np.uint64(64) + np.uint64(c), np.uint64) ^ mix(kept.astype(np.uint64) + np.uint64(1)))
+        key = begin + np.uint64(c)
         for j in chosen:
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + content[kept, j])
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + content[:, j])
         out.append(key)
-    return np.concatenate(out)
+    return np.concatenate(out), np.tile(some[owner], len(out))
+
+
+def sketch(elements: np.ndarray, bands: Bands) -> bytes:
+    """For each bit whether an odd number of elements falls on it. Two sketches differ in no more bits than their sets in
+    elements; the halves of a sketch put on one another are the sketch of half the size."""
+    bits = SKETCH_LEAST
+    while bits < SKETCH_MOST and bits < SKETCH_RATE * bands.differ(bands.of(len(elements))):
+        bits *= 2
+    return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def stacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the size of the shortest."""
+    size, rows = min(map(len, sketches)), []
+    for x in sketches:
+        while len(x) > size:
+            half = np.frombuffer(x, np.uint8).reshape(2, -1)
+            x = (half[0] ^ half[1]).tobytes()
+        rows.append(x)
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+class Bucket:
+    """Sets of one bucket: ids, components, sizes and sketches."""
+
+    def __init__(self, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.comps, self.sizes, self.percent = ids[order], comps[order], sizes[order], percent
+        self.words = stacked([sketches[k] for k in order.tolist()])
+
+    def possible(self, i: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Which of the others (columns) may be linked to i (rows) and is of another component."""
+        rows = np.atleast_1d(i)
+        apart = np.concatenate([np.bitwise_count(self.words[r, None, :] ^ self.words[None, others, :]).sum(axis=2, dtype=np.int64) for r in np.array_split(rows, max(1, len(rows) * len(others) * self.words.shape[1] >> 20))])
+        a, b = self.sizes[rows][:, None], self.sizes[others][None, :]
+        p = self.percent
+        # 100 * common >= p * union with common = (a + b - apart) / 2 at most
+        good = ((100 + p) * apart <= (100 - p) * (a + b)) & (100 * np.minimum(a, b) >= p * np.maximum(a, b))
+        return good & (self.comps[rows][:, None] != self.comps[others][None, :])
+
+    def pairs(self, every: bool) -> Iterator[tuple[int, int]]:
+        """A forest that spans what is possible, or every possible pair."""
+        n = len(self.ids)
+        if (self.comps == self.comps[0]).all():
+            return
+        everyone = np.arange(n)
+        matrix = self.possible(everyone, everyone) if n <= MATRIX else None
+        if matrix is not None and not matrix.any():
+            return
+        row = (lambda i, others: matrix[i, others]) if matrix is not None else (lambda i, others: self.possible(i, others)[0])
+        if every:
+            for i in range(n):
+                for j in np.flatnonzero(row(i, everyone[i + 1 :])).tolist():
+                    yield int(self.ids[i]), int(self.ids[i + 1 + j])
+            return
+        left = everyone  # not reached yet
+        alone = len(np.unique(self.comps)) == n
+        while len(left) > 1:
+            queue = left[:1].tolist() if alone else left[self.comps[left] == self.comps[left[0]]].tolist()
+            left = left[1:] if alone else np.setdiff1d(left, queue)
+            while queue and len(left):
+                i = heapq.heappop(queue)  # the least id first: other buckets then give the same edges
+                hit = left[row(i, left)]
+                if len(hit):
+                    if not alone:  # one edge for each component, and all of its sets are reached
+                        of = self.comps[hit]
+                        hit = hit[np.unique(of, return_index=True)[1]]
+                        reached = left[np.isin(self.comps[left], of)]
+                    else:
+                        reached = hit
+                    for j in hit.tolist():
+                        yield min(int(self.ids[i]), int(self.ids[j])), max(int(self.ids[i]), int(self.ids[j]))
+                    left = np.setdiff1d(left, reached, assume_unique=True)
+                    for j in reached.tolist():
+                        heapq.heappush(queue, j)
+
 
+def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of the text, which tell rows apart that have one id and different texts."""
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
-def histogram(elements: np.ndarray) -> bytes:
-    """Counts by element, at most 255 each: their distance is at most the number of elements in which two sets differ."""
-    return np.minimum(np.bincount((elements >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
 
+def digest_of(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
-def feasible(sizes: np.ndarray, histograms: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the others may be similar enough to set i, by sizes and histograms."""
-    total = sizes[i] + sizes[others]
-    apart = np.abs(histograms[others] - histograms[i]).sum(axis=1)
-    # 100 * common >= percent * union with common = (total - apart) / 2 at most
-    return ((100 + percent) * apart <= (100 - percent) * total) & (100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others]))
 
+def name_of(digest: bytes, renamed: frozenset[int]) -> int:
+    """A set's 64-bit name: the first half of its digest, or the second where sets of different digests share the first."""
+    first = int.from_bytes(digest[:8], "little", signed=True)
+    return int.from_bytes(digest[8:], "little", signed=True) if first in renamed else first
 
-def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, set_id (64 bits of the set's digest; null for an empty set) and hist of each row."""
+
+def shingled(docs: DataFrame, size: int, percent: int, renamed: frozenset[int], digest=digest_of) -> DataFrame:
+    """doc_id, text_key, n, and for a set that isn't empty its name, digest and sketch, of each row of plain()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
-            texts = [x or b"" for x in as_bytes(batch.column(1))]
+            texts = [x or b"" for x in as_bytes(batch["text"])]
             for lo, hi in slices(texts):
                 sets = shingle_sets(texts[lo:hi], size)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) for x in sets], pa.int64()), pa.array([histogram(x) for x in sets], pa.binary())], names=["doc_id", "n", "set_id", "hist"])
-
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, set_id long, hist binary")
-
-
-def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+                digests = [digest(x) if len(x) else None for x in sets]
+                columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([d and name_of(d, renamed) for d in digests], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(x, bands) if len(x) else None for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], batch["text_key"][lo:hi], *columns], names=["doc_id", "text_key", "n", "set_id", "digest", "sketch"])
 
-
-def set_id(elements: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True) if len(elements) else None
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_key long, n long, set_id long, digest binary, sketch binary")
 
 
 def few(ids: DataFrame) -> np.ndarray:
@@ -168,158 +267,169 @@ def filter_places(ids: np.ndarray) -> list[np.ndarray]:
     return [((h + np.uint64(k) * (h >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for k in range(3)]
 
 
-def bucket_rows(docs: DataFrame, scheme: tuple[int, int], percent: int, size: int, parts: int, only: np.ndarray | None) -> DataFrame:
-    """From doc_id, text: pairs (null, a, b) of sets that share a signature with few others, and rows (key, set, null) of
-    the signatures that more than SMALL sets have. only: a filter over the sets that matter."""
+def bucket_rows(docs: DataFrame, scheme: tuple[int, int], percent: int, size: int, parts: int, renamed: frozenset[int], only: np.ndarray | None, digest=digest_of) -> DataFrame:
+    """members: the sets that share a signature; equal lists of one task are given once. Crowded buckets are given in chunks,
+    with their signature as key and the chunk's number, each chunk with the same REPS sets. only: a filter over the sets that
+    matter."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, owners = Bands(percent), [], []
+        bands, keys, owners, seen = Bands(percent), [], [], set()
         for batch in batches:
             texts = [x or b"" for x in as_bytes(batch.column(0))]
-            for lo, hi in slices(texts):
-                sets = {set_id(x): x for x in shingle_sets(texts[lo:hi], size) if len(x)}
-                if only is not None and sets:
-                    ids = np.fromiter(sets, np.int64, len(sets))
-                    sets = {i: sets[i] for i in ids[lets_through(only, ids)].tolist()}
-                if not sets:
+            for lo, hi in slices(texts, 1_000_000):
+                sets = {name_of(digest(x), renamed): x for x in shingle_sets(texts[lo:hi], size) if len(x)}
+                ids = np.array([i for i in sets if i not in seen], np.int64)
+                if only is not None and len(ids):
+                    ids = ids[lets_through(only, ids)]
+                if len(seen) > 1_000_000:  # copies are merged where they meet, this only sends fewer
+                    seen.clear()
+                seen.update(ids.tolist())
+                if not len(ids):
                     continue
-                for i, elements in sets.items():
-                    own = bands.of(len(elements))
-                    for band in (own, own + 1):
-                        got = signatures(elements, band, bands.differ(band), scheme)
-                        keys.append(got)
-                        owners.append(np.full(len(got), i, np.int64))
+                for step in (0, 1):
+                    key, owner = signatures([sets[i] for i in ids.tolist()], bands, step, scheme)
+                    keys.append(key)
+                    owners.append(ids[owner])
                 if sum(map(len, keys)) >= OUTBOX:
                     yield outgoing(keys, owners, parts)
                     keys, owners = [], []
         if keys:
             yield outgoing(keys, owners, parts)
 
+    def listed(lists: list[bytes]) -> pa.RecordBatch:
+        return chunk_batch([None] * len(lists), [None] * len(lists), lists)
+
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
+        keys, ids, size = [], [], 0
+        hot: dict[int, tuple[np.ndarray, int]] = {}  # crowded so far: representatives, chunks given
+
+        def crowded(key: int, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+            reps, n = hot.get(key, (owner[:REPS], 0))
+            rest = np.setdiff1d(owner, reps)
+            for lo in range(0, len(rest), BUCKET - REPS):
+                yield chunk_batch([key], [n], [np.concatenate([reps, rest[lo : lo + BUCKET - REPS]]).tobytes()])
+                n += 1
+            hot[key] = reps, n
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal keys, ids, size
+            key, owner = np.concatenate(keys), np.concatenate(ids)
+            order = np.argsort(key)
+            again = key[order]
+            again = np.concatenate([[False], again[1:] == again[:-1]])
+            again = order[again | np.concatenate([again[1:], [False]])]
+            held = np.ones(len(key), bool)
+            held[again] = False
+            if hot:
+                again = np.union1d(again, np.flatnonzero(np.isin(key, np.fromiter(hot, np.int64, len(hot)).view(np.uint64))))
+                held[again] = False
+            single = (key[held], owner[held])
+            key, owner = key[again], owner[again]
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            if len(key):
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # equal sets are one
+                key, owner = key[new], owner[new]
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            counts = np.diff(np.concatenate([begins, [len(key)]]))
+            wide = (counts > BUCKET) | np.isin(key[begins].view(np.int64), np.fromiter(hot, np.int64, len(hot)))
+            for b, c in zip(begins[wide].tolist(), counts[wide].tolist(), strict=True):
+                yield from crowded(int(key[b].view(np.int64)), owner[b : b + c])
+            if last:
+                good = ~wide & (counts > 1)
+                raw, lists = owner.tobytes(), set()
+                for b, c in zip(begins[good].tolist(), counts[good].tolist(), strict=True):
+                    lists.add(raw[8 * b : 8 * (b + c)])
+                    if len(lists) >= 100_000:
+                        yield listed(list(lists))
+                        lists = set()
+                if lists:
+                    yield listed(list(lists))
+            else:
+                stay = np.repeat(~wide, counts)
+                keys, ids = [single[0], key[stay]], [single[1], owner[stay]]
+                size = sum(map(len, keys))
+
+        limit = HELD
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch["keys"].to_pylist()]
-            ids += [from_runs(x) for x in batch["ids"].to_pylist()]
-        if not keys:
-            return
-        key, owner = np.concatenate(keys), np.concatenate(ids)
-        keys, ids = [], []
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])  # equal sets are one
-        key, owner = key[new], owner[new]
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        counts = np.diff(np.concatenate([begins, [len(key)]]))
-        a, b = [owner[:0]], [owner[:0]]
-        for n in range(2, SMALL + 1):
-            at = begins[counts == n]
-            for i, j in combinations(range(n), 2):
-                a.append(owner[at + i])
-                b.append(owner[at + j])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        for lo in range(0, len(pairs), 50_000):
-            some = pairs[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["key", "a", "b"])
-        large = np.repeat(counts > SMALL, counts)
-        key, owner = key[large], owner[large]
-        for lo in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 50_000].view(np.int64)), pa.array(owner[lo : lo + 50_000]), pa.nulls(len(key[lo : lo + 50_000]), pa.int64())], names=["key", "a", "b"])
-
-    made = docs.select("text").mapInArrow(make, "part int, keys binary, ids binary")
-    return made.repartition(partitions(docs.sparkSession), "part").mapInArrow(repeated, "key long, a long, b long")
+            for k, own, at in zip(*(batch[c].to_pylist() for c in ("keys", "ids", "which")), strict=True):
+                keys.append(np.frombuffer(k, np.uint64))
+                ids.append(np.frombuffer(own, np.int64)[np.frombuffer(at, np.uint16)])
+                size += len(keys[-1])
+                if size >= limit:
+                    yield from settled(False)
+                    limit = max(HELD, 2 * size)
+        if keys:
+            yield from settled(True)
+
+    made = docs.select("text").mapInArrow(trimmed(make), "part int, keys binary, ids binary, which binary")
+    return made.repartition(partitions(docs.sparkSession), "part").mapInArrow(trimmed(repeated), "key long, chunk int, members array<long>")
+
+
+def chunk_batch(keys: list, chunks: list, lists: list[bytes]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, lists)]) // 8
+    members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(chunks, pa.int32()), members], names=["key", "chunk", "members"])
 
 
 def outgoing(keys: list[np.ndarray], owners: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Signatures and their sets, a row for each part."""
+    """Signatures and their sets (different ones, and which is each one's), in rows of at most 65,536 for each part."""
     key, owner = np.concatenate(keys), np.concatenate(owners)
     part = (key % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     key, owner, part = key[order], owner[order], part[order]
-    edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
-    cuts = list(zip(edges[:-1], edges[1:], strict=True))
-    return pa.RecordBatch.from_pydict({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "ids": pa.array([runs_of(owner[a:b]) for a, b in cuts], pa.binary())})
-
-
-def runs_of(owner: np.ndarray) -> bytes:
-    """Ids that come in runs, as ids and lengths."""
-    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    return np.stack([owner[begins], np.diff(np.concatenate([begins, [len(owner)]]))]).tobytes()
-
-
-def from_runs(raw: bytes) -> np.ndarray:
-    ids, lengths = np.frombuffer(raw, np.int64).reshape(2, -1)
-    return np.repeat(ids, lengths)
-
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+    cuts = [(lo, min(lo + 65_536, b)) for a, b in zip(edges, [*edges[1:], len(part)], strict=True) for lo in range(a, b, 65_536)]
+    named = [np.unique(owner[a:b], return_inverse=True) for a, b in cuts]
+    return pa.RecordBatch.from_pydict({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "ids": pa.array([x.tobytes() for x, _ in named], pa.binary()), "which": pa.array([x.astype(np.uint16).tobytes() for _, x in named], pa.binary())})
 
-def proposals(members: DataFrame, percent: int, every: bool, largest: int | None) -> DataFrame:
-    """Pairs (a < b) of sets of different components that share a bucket and may be similar: for each set the first such
-    partner, or every one. Buckets of more than `largest` sets give one row (null, set) for each of their sets instead."""
 
-    def of_bucket(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, hists: np.ndarray) -> Iterator[tuple]:
-        if largest is not None and len(ids) > largest:
-            yield from ((None, int(i)) for i in ids)
-            return
-        if (comps == comps[0]).all():
-            return
-        for i in range(len(ids)):
-            for lo in range(0, i if every else len(ids), 4096):
-                others = np.arange(lo, min(lo + 4096, i if every else len(ids)))
-                others = others[comps[others] != comps[i]]
-                found = others[feasible(sizes, hists, i, others, percent)]
-                for j in (found if every else found[:1]).tolist():
-                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
-                if len(found) and not every:
-                    break
+def proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """From unit, set_id, comp, n, sketch: pairs (a < b) of sets of different components that share a unit and may be linked;
+    for each unit a forest that spans them, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = [[], [], [], []]
+        unit, pairs = None, set()
 
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            ids, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-            hists = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16)
-            pairs = list(dict.fromkeys(of_bucket(ids, comps, sizes, hists)))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
-
-        for batch in batches:
-            for row in zip(*(batch[k].to_pylist() for k in ("key", "set_id", "comp", "n", "hist")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from flush(held)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
-    ordered = members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key", "set_id")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+        def flush() -> None:
+            if len(held[0]) > 1:
+                pairs.update(Bucket(np.array(held[0], np.int64), np.array(held[1], np.int64), np.array(held[2], np.int64), held[3], percent).pairs(every))
 
-
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and histograms leave."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [batch[k].to_numpy() for k in ("n1", "n2")]
-            h = [np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) for k in ("h1", "h2")]
-            apart = np.abs(h[0] - h[1]).sum(axis=1)
-            good = ((100 + percent) * apart <= (100 - percent) * (n[0] + n[1])) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good))
-
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n1"), F.col("hist").alias("h1"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("hist").alias("h2"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n1", "n2", "h1", "h2").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b and whether they are similar, by the sets of one document of each. Texts are smaller than sets, so they are what
-    moves, and only those that a filter of fixed size lets through."""
+            units = batch["unit"].to_numpy()
+            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)] if len(units) else [0]
+            columns = [batch[k].to_pylist() for k in ("set_id", "comp", "n", "sketch")]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if units[lo] != unit:
+                    flush()
+                    held, unit = [[], [], [], []], units[lo]
+                for h, c in zip(held, columns, strict=True):
+                    h += c[lo:hi]
+            if len(pairs) > 200_000:
+                yield out()
+                pairs.clear()
+        flush()
+        if pairs:
+            yield out()
+
+    ordered = members.select("unit", "set_id", "comp", "n", "sketch").repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
+    return ordered.mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """a, b and whether they are linked, by the sets of one text of each. Texts are smaller than sets, so they are what moves,
+    and only those that a filter of fixed size lets through."""
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = stored(sets.select("set_id", "doc_id").join(ids.hint("merge"), "set_id", "left_semi"), "wanted")
-    only = few(wanted.select("doc_id"))
+    wanted = scratch.stored(sets.select("set_id", "doc_id", "text_key").join(ids.hint("merge"), "set_id", "left_semi"), "wanted")
+    only = few(wanted.select("text_key"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(lets_through(only, batch.column(0).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(lets_through(only, batch["text_key"].fill_null(0).to_numpy(zero_copy_only=False))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,109 +442,136 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, s
                     same.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_())], names=["a", "b", "linked"])
 
-    # rows of one id may have several texts: the one of the set asked for
-    found = docs.mapInArrow(pick, "doc_id long, text string").join(wanted.hint("merge"), "doc_id").groupBy("set_id", "doc_id", "text").agg(F.lit(1).alias("one"))
-    texts = stored(right_text(found, size).select("set_id", "text"), "texts")
+    found = docs.mapInArrow(trimmed(pick), docs.schema).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).hint("merge"), ["doc_id", "text_key"])
+    texts = scratch.stored(found.select("set_id", "text").dropDuplicates(["set_id"]), "texts")
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def right_text(found: DataFrame, size: int) -> DataFrame:
-    """One text for each set_id: one whose set it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or b"" for x in as_bytes(batch["text"])]
-            good = []
-            for lo, hi in slices(texts):
-                good += [set_id(x) for x in shingle_sets(texts[lo:hi], size)]
-            yield pa.RecordBatch.from_arrays([batch["set_id"], batch["text"]], names=["set_id", "text"]).filter(pa.array([a == b for a, b in zip(good, batch["set_id"].to_pylist(), strict=True)]))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, linked boolean")
 
-    return found.select("set_id", "text").mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
 
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """set_id and comp (the least id of its component) of the sets in links (a, b): least neighbour, then the label's label,
     until nothing changes."""
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "set_id"), "labels")
+    edges = scratch.stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "set_id"), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.set_id).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.set_id == near.a).select("set_id", "comp", F.least("comp", "near").alias("to"))
         up = labels.select(F.col("set_id").alias("to"), F.col("comp").alias("top"))
-        moved = stored(step.join(up, "to").select("set_id", "comp", F.least("to", "top").alias("new")), "labels")
+        moved = scratch.stored(step.join(up, "to").select("set_id", "comp", F.least("to", "top").alias("new")), "labels")
         labels = moved.select("set_id", F.col("new").alias("comp"))
         if moved.where("comp <> new").isEmpty():
             return labels
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame | None:
-    """a, b: links between distinct sets (set_id, doc_id, n, hist) that join the same components as all links do. Within a
-    component not every link is looked for: sets that are already joined need no further comparison."""
-    parts, links, only = max(PARTS, partitions(docs.sparkSession)), None, None
+def contracted(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """comps (set_id, comp) after more links: only the components that these join are labelled anew."""
+    if comps is None:
+        return components(links, scratch)
+    of = [comps.select(F.col("set_id").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b")]
+    edges = links.select("a", "b").join(of[0].hint("merge"), "a", "left").join(of[1].hint("merge"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b")
+    new = components(scratch.stored(edges.distinct(), "edges"), scratch)
+    known = comps.select("set_id", "comp").unionByName(new.join(comps.hint("merge"), "set_id", "left_anti").select("set_id", F.col("set_id").alias("comp")))
+    top = new.select(F.col("set_id").alias("comp"), F.col("comp").alias("top"))
+    return scratch.stored(known.join(top.hint("merge"), "comp", "left").select("set_id", F.coalesce("top", "comp").alias("comp")), "comps")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        checked = stored(verified(pairs, docs, sets, percent, size), "checked")
-        new = checked.where("linked").select("a", "b")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-        return checked.select("a", "b")
 
-    for level, scheme in enumerate(SCHEMES):
-        largest = BUCKET if level + 1 < len(SCHEMES) else None
-        buckets = stored(bucket_rows(docs, scheme, percent, size, parts, only), "buckets")
-        tested = stored(possible(buckets.where("key is null").select("a", "b").distinct(), sets, percent), "pairs")
-        if not tested.isEmpty():
-            check(tested)
-        rest = buckets.where("key is not null").select("key", F.col("a").alias("set_id"))
-        if rest.isEmpty():
-            break
-        members = stored(rest.join(sets.select("set_id", "n", "hist").hint("merge"), "set_id"), "members")
-        # first each set with the first other that may be linked to it, then all pairs between the components that this leaves
+def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scratch: Scratch, renamed: frozenset[int] = frozenset(), digest=digest_of) -> DataFrame | None:
+    """set_id and comp, the least set of its component, for the sets (set_id, doc_id, text_key, n, sketch) that are linked to
+    others. Sets that are already joined are compared no further."""
+    parts, comps, tested, only = max(PARTS, partitions(docs.sparkSession)), None, None, None
+
+    def settle(units: DataFrame) -> None:
+        """Joins all linked sets that share a unit (unit, members): by forests, then by all pairs of units with a failed edge."""
+        nonlocal comps, tested
         for every in (False, True):
-            labelled = members.withColumn("comp", F.col("set_id"))
-            if every and links is not None:
-                labelled = members.join(components(links).hint("merge"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-            found = stored(proposals(labelled, percent, every, largest), "pairs")
-            pairs = stored(found.where("a is not null").join(tested, ["a", "b"], "left_anti"), "pairs")
+            members = units.select("unit", F.explode("members").alias("set_id"))
+            if every:
+                failed = tested.where(~F.col("linked"))
+                failed = failed.select(F.col("a").alias("set_id")).unionByName(failed.select(F.col("b").alias("set_id"))).distinct()
+                touched = members.join(failed.hint("merge"), "set_id", "left_semi").groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+                members = members.join(touched.hint("merge"), "unit", "left_semi")
+            if comps is None:
+                members = members.withColumn("comp", F.col("set_id"))
+            else:
+                labelled = scratch.stored(members.join(comps.hint("merge"), "set_id", "left").select("unit", "set_id", F.coalesce("comp", "set_id").alias("comp")), "labelled")
+                mixed = labelled.groupBy("unit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("unit")
+                members = labelled.join(mixed.hint("merge"), "unit", "left_semi")
+            pairs = proposals(members.join(sets.select("set_id", "n", "sketch").hint("merge"), "set_id"), percent, every)
+            if tested is not None:
+                pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+            pairs = scratch.stored(pairs, "pairs")
             if not pairs.isEmpty():
-                tested = tested.unionByName(check(pairs))
-        crowded = found.where("a is null").select(F.col("b").alias("id")).distinct()
-        if crowded.isEmpty():
+                checked = scratch.stored(verified(pairs, docs, sets, percent, size, scratch), "checked")
+                tested = checked if tested is None else tested.unionByName(checked)
+                if not (new := checked.where("linked")).isEmpty():
+                    comps = contracted(comps, new, scratch)
+            if tested is None or tested.where(~F.col("linked")).isEmpty():
+                return
+
+    for level, scheme in enumerate(SCHEMES):
+        rows = scratch.stored(bucket_rows(docs, scheme, percent, size, parts, renamed, only, digest), "buckets")
+        small, crowd = rows.where("chunk is null").select("members").distinct(), rows.where("chunk is not null")
+        nothing = F.lit(None).cast("long").alias("key")
+        units = scratch.stored(small.select(nothing, "members").unionByName(crowd.select("key", "members")).withColumn("unit", F.monotonically_increasing_id()), "units")
+        settle(units)
+        if crowd.isEmpty():
             break
-        only = few(crowded)
-    return links
+        members = crowd.select("key", F.explode("members").alias("set_id"))
+        labelled = members.withColumn("comp", F.col("set_id")) if comps is None else members.join(comps.hint("merge"), "set_id", "left").select("key", "set_id", F.coalesce("comp", "set_id").alias("comp"))
+        mixed = scratch.stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
+        if mixed.isEmpty():
+            break
+        if level + 1 < len(SCHEMES):
+            only = few(members.join(mixed.hint("merge"), "key", "left_semi").select("set_id").distinct())
+            continue
+        chunks = crowd.join(mixed.hint("merge"), "key", "left_semi")
+        both = chunks.select("key", "chunk", F.col("members").alias("more")).withColumnRenamed("chunk", "later")
+        units = chunks.join(both.hint("merge"), "key").where("chunk < later").select(F.array_union("members", "more").alias("members"))
+        settle(scratch.stored(units.withColumn("unit", F.monotonically_increasing_id()), "units"))
+    return comps
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", digest=digest_of) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that is reached by links, its own included) for each row.
 
     Two documents are linked if 100 * common shingles >= percent * shingles of either. A text without words, or null, has
     an empty set and no links. Texts of equal sets are linked, and go on as one set. Repeated rows and rows of one doc_id
     join each other's components only by their sets; a null doc_id counts as the largest, and its component is null if no
-    other id is in it. An empty table gives no rows; other columns are ignored. Shingles and sets go by 64-bit hashes.
+    other id is in it. An empty table gives no rows; other columns, whatever their names, are ignored. Texts of any length
+    are taken whole; one text's words and shingles must fit into a worker (some 60 bytes for each of its bytes). Shingles go
+    by 64-bit hashes, sets by 128-bit digests: their 64-bit names are changed where two sets would share one.
     """
-    rows = stored(shingled(docs, shingle, id_col, text_col), "rows")
-    full = rows.where("set_id is not null")
-    sets = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("hist").alias("hist")), "sets")
+    scratch = Scratch(docs.sparkSession)
     named = plain(docs, id_col, text_col)
-    # texts of a null doc_id are found by 0 in the filter, and by their set
-    links = linked_sets(named.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), sets.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), percent, shingle)
+    renamed: frozenset[int] = frozenset()
+    while True:
+        rows = scratch.stored(shingled(named, shingle, percent, renamed, digest), "rows")
+        full = rows.where("set_id is not null")
+        one = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("one")
+        sets = full.groupBy("set_id").agg(one, F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+        sets = scratch.stored(sets.select("set_id", "one.doc_id", "one.text_key", "n", "sketch", (F.col("d1") != F.col("d2")).alias("clash")), "sets")
+        # of n sets about n * n / 2**65 share a name: none, or very few
+        clash = [r.set_id for r in sets.where("clash").select("set_id").limit(1_000_000).collect()]
+        if not clash:
+            break
+        renamed |= frozenset(clash)
+    comps = linked_sets(named, sets, percent, shingle, scratch, renamed, digest)
     least = sets.select("set_id", F.col("doc_id").alias("least"))
-    if links is not None:
-        whole = least.join(components(links).hint("merge"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    if comps is not None:
+        whole = least.join(comps.hint("merge"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
         tops = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-        by_set = whole.join(tops.hint("merge"), "comp").select("set_id", "component_id")
+        by_set = scratch.stored(whole.join(tops.hint("merge"), "comp").select("set_id", "component_id"), "by-set")
     else:
-        by_set = least.withColumnRenamed("least", "component_id")
+        by_set = scratch.stored(least.withColumnRenamed("least", "component_id"), "by-set")
+    scratch.drop(rows, by_set)
     found = rows.join(by_set.hint("merge"), "set_id", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's; of rows that share that id, all. Rows without words or doc_id stay."""
+    """The rows of docs whose id is their component's; of rows that share that id, all. Rows without words or doc_id stay.
+    All columns are kept."""
     found = jaccard_components(docs, percent, shingle, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("d").join(gone.alias("g").hint("merge"), docs[id_col] == F.col("g.id"), "left_anti")

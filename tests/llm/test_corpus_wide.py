@@ -104,43 +104,113 @@ def expected_links(texts, percent):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("crowd", [False, True])
-def test_jaccard_components(spark, monkeypatch, crowd):
-    if crowd:  # every bucket is too large at first, and goes through all schemes
-        monkeypatch.setattr(jaccard_join, "SMALL", 1)
-        monkeypatch.setattr(jaccard_join, "BUCKET", 3)
-    texts = corpus(11)
-    rnd = random.Random(4)
+def chained(seed):
+    texts, rnd = corpus(seed), random.Random(4)
     base = [f"w{i}" for i in range(150)]
     for k in range(25):  # a chain: neighbours are linked, ends aren't
         base[(5 * k) % 150] = f"n{k}"
         texts.append(" ".join(base))
-    texts += [" ".join(rnd.sample(["a", "b", "c", "d", "e"], 5)) for _ in range(20)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows_of(spark, texts)).collect()}
+    return texts + [" ".join(rnd.sample(["a", "b", "c", "d", "e"], 5)) for _ in range(20)]
+
+
+@pytest.mark.parametrize("bucket", [1024, 6, 3])
+def test_jaccard_components(spark, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)  # small: buckets are crowded, and go through all schemes
+    monkeypatch.setattr(jaccard_join, "REPS", 2)
+    monkeypatch.setattr(jaccard_join, "HELD", 100)
+    texts = chained(11)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows_of(spark, texts), 85, 4).collect()}
+    assert got == dict(enumerate(expected_links(texts, 85)))
+
+
+def test_jaccard_names_that_clash(spark):
+    """Sets whose digests share the first half are told apart by the second."""
+    texts = chained(12)
+    few_names = lambda x: bytes([len(x) % 3]) * 8 + jaccard_join.digest_of(x)[:8]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows_of(spark, texts), 85, 4, digest=few_names).collect()}
     assert got == dict(enumerate(expected_links(texts, 85)))
 
 
+def near_copies(n, size=120, edits=4):
+    rnd, out = random.Random(3), []
+    base = [f"w{i}" for i in range(size)]
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rnd.randrange(size)] = f"x{rnd.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_pairs_of_a_group_are_linear(spark, monkeypatch):
+    """5,000 near copies, most pairs of which are no links, give some pairs for each, and one component."""
+    counts, plain_proposals = [], jaccard_join.proposals
+
+    def counted(*args):
+        found = plain_proposals(*args).cache()
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "proposals", counted)
+    texts = near_copies(5000, edits=2)
+    got = jaccard_join.jaccard_components(rows_of(spark, texts), 80, 4).collect()
+    assert {r.component_id for r in got} == {0} and sum(counts) < 20 * len(texts)
+
+
+def test_bucket_spans_what_is_possible():
+    rnd, bands = np.random.default_rng(2), jaccard_join.Bands(80)
+    base = rnd.integers(1, 2**63, 130, np.uint64)
+    for n in (2, 40, 160):
+        sets = [np.unique(np.concatenate([rnd.choice(base, 130 - e, replace=False), rnd.integers(1, 2**63, e, np.uint64)])) for e in rnd.integers(0, 40, n)]
+        sets[0] = np.unique(np.concatenate([base, rnd.integers(1, 2**63, 25, np.uint64)]))
+        ids, comps = rnd.permutation(n), rnd.integers(0, n, n)
+        held = jaccard_join.Bucket(ids, comps, np.array([len(x) for x in sets]), [jaccard_join.sketch(x, bands) for x in sets], 80)
+        every, forest = set(held.pairs(True)), set(held.pairs(False))
+        of, size = dict(zip(ids.tolist(), comps.tolist(), strict=True)), dict(zip(ids.tolist(), sets, strict=True))
+        for i in range(n):
+            for j in range(i):  # no linked pair is lost
+                common = len(np.intersect1d(size[i], size[j]))
+                if of[i] != of[j] and 100 * common >= 80 * (len(size[i]) + len(size[j]) - common):
+                    assert (j, i) in {(min(p), max(p)) for p in every}
+        assert {(min(p), max(p)) for p in forest} <= {(min(p), max(p)) for p in every} and len(forest) < n
+
+        def tops(pairs):
+            top = {c: c for c in of.values()}
+            for _ in range(n):
+                for a, b in pairs:
+                    low = min(top[of[a]], top[of[b]])
+                    top = {k: low if v in (top[of[a]], top[of[b]]) else v for k, v in top.items()} if top[of[a]] != top[of[b]] else top
+            return top
+
+        assert tops(forest) == tops(every)
+
+
 def test_jaccard_edges(spark):
     df = rows_of(spark, ["a b c d e", "A b c d e", "a b c d e", None, "z"], [7, 3, None, 5, None])
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(df).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.jaccard_components(df, 85, 4).collect())
     assert got == [("3", 2, "3"), ("5", 0, "5"), ("7", 2, "3"), ("None", 1, "None"), ("None", 2, "3")]
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(df).collect()) == ["3", "5", "None", "None"]  # null ids stay
 
 
-def test_signatures_are_complete():
-    """Pairs at the threshold share a signature in every scheme."""
-    rnd, bands = np.random.default_rng(5), jaccard_join.Bands(85)
-    for _ in range(400):
-        n = int(rnd.integers(1, 160))
-        common = rnd.integers(1, 2**63, n, np.uint64)
-        extra = int(100 * n / 85) - n
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_are_complete(percent):
+    """Pairs at the threshold share a signature in every scheme, and their sketches differ in no more than they do."""
+    rnd, bands = np.random.default_rng(5), jaccard_join.Bands(percent)
+    for size in [*rnd.integers(1, 160, 300), *rnd.integers(300, 8000, 12), 6000, 8000]:
+        n = int(size)
+        common = np.unique(rnd.integers(1, 2**63, n, np.uint64))
+        extra = int(100 * n / percent) - n
         left = int(rnd.integers(0, extra + 1))
         a = np.unique(np.concatenate([common, rnd.integers(1, 2**63, left, np.uint64)]))
         b = np.unique(np.concatenate([common, rnd.integers(1, 2**63, extra - left, np.uint64)]))
-        for scheme in jaccard_join.SCHEMES:
-            of = lambda x: {int(s) for band in (bands.of(len(x)), bands.of(len(x)) + 1) for s in jaccard_join.signatures(x, band, bands.differ(band), scheme)}  # noqa: B023, E731
-            assert of(a) & of(b), (n, left, extra, scheme)
+        if not extra:
+            continue
+        for scheme in jaccard_join.SCHEMES if n < 3000 else jaccard_join.SCHEMES[:1]:
+            keys = [{int(k) for step in (0, 1) for k in jaccard_join.signatures([x], bands, step, scheme)[0]} for x in (a, b)]
+            assert keys[0] & keys[1], (n, left, extra, scheme)
+        x, y = jaccard_join.stacked([jaccard_join.sketch(s, bands) for s in (a, b)])
+        assert int(np.bitwise_count(x ^ y).sum()) <= extra
 
 
 def test_quality(spark):
