@@ -29,11 +29,11 @@ PERCENT = 80
 #: (k2, n2) of the signatures, weaker to stronger. A bucket of more than BUCKET sets is crowded: its sets are compared with
 #: REPS of it, and if that doesn't join them all they go on to the next signatures; the last are compared chunk by chunk.
 SCHEMES = ((1, 3), (2, 5), (3, 7))
-BUCKET, REPS = 1024, 8
+BUCKET, REPS = 4096, 8
 #: Parts beyond those needed, as a share: thinly filled parts need no signature then.
 SPARE = 0.1
 #: Bits of a sketch for each element in which similar sets may differ; bits at least and at most.
-SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 16, 256, 1 << 16
+SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 32, 256, 1 << 16
 #: Up to so many sets of a bucket are compared in one step.
 MATRIX = 96
 FILTER_BITS = 23
@@ -482,11 +482,17 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scrat
     parts, comps, tested, only = max(PARTS, partitions(docs.sparkSession)), None, None, None
 
     def settle(units: DataFrame) -> None:
-        """Joins all linked sets that share a unit (unit, members): by forests, then by all pairs of units with a failed edge."""
+        """Joins all linked sets that share a unit (unit, members): by forests, at first with each set in its largest unit
+        alone, then by all pairs of units with a failed edge."""
         nonlocal comps, tested
-        for every in (False, True):
+        for step in ("largest", "all", "every pair"):
             members = units.select("unit", F.explode("members").alias("set_id"))
-            if every:
+            if step == "largest":
+                sized = units.select("unit", F.size("members").alias("size"), F.explode("members").alias("set_id"))
+                members = sized.groupBy("set_id").agg(F.max(F.struct("size", "unit")).alias("best")).select("best.unit", "set_id")
+            elif step == "every pair":
+                if tested is None or tested.where(~F.col("linked")).isEmpty():
+                    return
                 failed = tested.where(~F.col("linked"))
                 failed = failed.select(F.col("a").alias("set_id")).unionByName(failed.select(F.col("b").alias("set_id"))).distinct()
                 touched = members.join(failed.hint("merge"), "set_id", "left_semi").groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
@@ -497,7 +503,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scrat
                 labelled = scratch.stored(members.join(comps.hint("merge"), "set_id", "left").select("unit", "set_id", F.coalesce("comp", "set_id").alias("comp")), "labelled")
                 mixed = labelled.groupBy("unit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("unit")
                 members = labelled.join(mixed.hint("merge"), "unit", "left_semi")
-            pairs = proposals(members.join(sets.select("set_id", "n", "sketch").hint("merge"), "set_id"), percent, every)
+            pairs = proposals(members.join(sets.select("set_id", "n", "sketch").hint("merge"), "set_id"), percent, step == "every pair")
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
             pairs = scratch.stored(pairs, "pairs")
@@ -506,8 +512,6 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scrat
                 tested = checked if tested is None else tested.unionByName(checked)
                 if not (new := checked.where("linked")).isEmpty():
                     comps = contracted(comps, new, scratch)
-            if tested is None or tested.where(~F.col("linked")).isEmpty():
-                return
 
     for level, scheme in enumerate(SCHEMES):
         rows = scratch.stored(bucket_rows(docs, scheme, percent, size, parts, renamed, only, digest), "buckets")
