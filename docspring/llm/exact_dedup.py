@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspring.llm.common import as_bytes, lower_ascii, partitions, stored
+from docspring.llm.common import as_bytes, lower_ascii, partitions, stored, trimmed
 
 #: Digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
@@ -155,9 +155,9 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
             yield pa.RecordBatch.from_pydict({k: batch[k] for k in ("doc_id", "address", "text_sha256", "keep_id", "group_size")} | {"same": pa.array(same, pa.bool_())})
 
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    runs = plain.mapInArrow(flush_runs, "part int, digests binary, ids binary, counts binary")
-    groups = stored(runs.repartition(partitions(spark), "part").mapInArrow(merge_runs, "address binary, keep_id long, group_size long"), "groups")
-    rows = plain.mapInArrow(addressed, "doc_id long, text string, address binary, text_sha256 string")
+    runs = plain.mapInArrow(trimmed(flush_runs), "part int, digests binary, ids binary, counts binary")
+    groups = stored(runs.repartition(partitions(spark), "part").mapInArrow(trimmed(merge_runs), "address binary, keep_id long, group_size long"), "groups")
+    rows = plain.mapInArrow(trimmed(addressed), "doc_id long, text string, address binary, text_sha256 string")
     # the same join at every size: copies are found by a shuffle, not by sending the groups to every executor
     copies = stored(rows.join(groups.hint("merge"), "address"), "copies")
 
@@ -166,7 +166,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
     stays = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("address").agg(F.min("text").alias("keep_text"), F.max("group_size").alias("group_size"))
     stays = stays.select("address", "keep_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     salted = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    checked = stored(salted.join(stays.hint("merge"), ["address", "salt"]).mapInArrow(compared, "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
+    checked = stored(salted.join(stays.hint("merge"), ["address", "salt"]).mapInArrow(trimmed(compared), "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
 
     columns = ("doc_id", "keep_id", "group_size", "text_sha256")
     single = rows.join(groups.hint("merge"), "address", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docspring.llm.common import as_bytes
+from docspring.llm.common import as_bytes, trimmed
 
 WINDOW = 2048
 END_ID = 1
@@ -226,4 +226,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
         if docs_held:
             yield from flush()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)

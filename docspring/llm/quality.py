@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspring.llm.common import IS_SPACE, as_bytes, covered, mix, slices, stored, windows_of, words_of
+from docspring.llm.common import IS_SPACE, as_bytes, covered, mix, slices, stored, trimmed, windows_of, words_of
 
 #: A line is taken out of a host's documents if more distinct texts hold it than both of these.
 LIMIT_TEXTS = 20
@@ -95,7 +95,7 @@ def verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *(pa.array(c.astype(np.int64)) for c in columns), pa.array(keys, pa.list_(pa.int64())), pa.array(under, pa.list_(pa.int64()))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     text = docs[text_col].cast("string")
-    measured = docs.select(*host_and_digest(docs[host_col], text), text.alias("text")).mapInArrow(run, SCHEMA)
+    measured = docs.select(*host_and_digest(docs[host_col], text), text.alias("text")).mapInArrow(trimmed(run), SCHEMA)
     distinct = stored(measured.dropDuplicates(["host", "digest"]), "measures")
     lines = distinct.select("host", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > limit_texts)
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
@@ -132,4 +132,4 @@ def without_limited(docs: DataFrame, host_col: str = "source", text_col: str = "
                     texts[i] = b"\n".join(x for x in texts[i].split(b"\n") if line_key(x) not in gone)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if k == n else c for k, c in enumerate(batch.columns[:-1])], names=names)
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if k == n else f.dataType) for k, f in enumerate(docs.schema.fields)]))
+    return rows.mapInArrow(trimmed(run), T.StructType([T.StructField(f.name, T.StringType() if k == n else f.dataType) for k, f in enumerate(docs.schema.fields)]))

@@ -10,20 +10,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspring.llm.common import SLICE_BYTES, Words, as_bytes, covered, mix, partitions, powers, slices, stored, words_of
+from docspring.llm.common import SLICE_BYTES, Scratch, Words, as_bytes, covered, mix, partitions, powers, slices, trimmed, words_of
 
 WINDOW = 35
-#: Parts that hashes and documents are dealt out to, at least; more if the session has more shuffle partitions.
-PARTS = 256
+#: Parts that hashes and documents are dealt out to, at least, and for each shuffle partition. A task holds one at a time.
+PARTS, PARTS_A_TASK = 256, 4
 #: Hashes that a worker holds before it sends them.
 OUTBOX = 1_000_000
 #: Kinds of the rows that travel: hashes to be compared, places found repeated, and documents.
@@ -130,20 +131,31 @@ def places_by_doc(docs: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tupl
         yield int(part[lo]), PLACES, b"", *pack_places(docs[order[lo:hi]], at[order[lo:hi]])
 
 
+def by_part(rows: DataFrame, work, schema) -> DataFrame:
+    """work(rows of a part: kind, keys, docs, at, in the order of their kinds) for one part after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for part, of_part in groupby(flat, key=lambda r: r[0]):
+            yield from work(part, (r[1:] for r in of_part))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(trimmed(run), schema)
+
+
 def compare(rows: DataFrame, parts: int) -> DataFrame:
     """The places (rows of kind PLACES) of all hashes that occur twice or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         keys, docs, at = [], [], []
-        for batch in batches:
-            for part, kind, k, d, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == PLACES:
-                    yield batch_of([(part, kind, k, d, a)])
-                else:
-                    keys.append(np.frombuffer(k, np.uint64))
-                    x, y = unpack_places(d, a)
-                    docs.append(x)
-                    at.append(y.astype(np.int32))
+        for kind, k, d, a in of_part:
+            if kind == PLACES:
+                yield batch_of([(part, kind, k, d, a)])
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                x, y = unpack_places(d, a)
+                docs.append(x)
+                at.append(y.astype(np.int32))
         if keys:
             k, d, a = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
             keys, docs, at = [], [], []
@@ -154,11 +166,10 @@ def compare(rows: DataFrame, parts: int) -> DataFrame:
             found[order[:-1][same]] = True
             d, a = d[found], a[found]
             order = np.lexsort((a, d))
-            out = list(places_by_doc(d[order], a[order], parts)) if len(d) else []
-            for lo in range(0, len(out), 64):
-                yield batch_of(out[lo : lo + 64])
+            if len(d):
+                yield batch_of(list(places_by_doc(d[order], a[order], parts)))
 
-    return rows.repartition(partitions(rows.sparkSession), "part").mapInArrow(run, ROWS)
+    return by_part(rows, work, ROWS)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,26 +206,31 @@ class Outbox:
 
 def by_document(texts: DataFrame, places: DataFrame, parts: int, work, schema) -> DataFrame:
     """work(documents as a record batch, their words, flags of the words that a place points at, outbox) for slices of
-    documents that meet their places; at a task's end work(None, None, None, outbox)."""
+    documents that meet their places; at a part's end work(None, None, None, outbox)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, docs, at = [], [], []
-        for batch in batches:
-            for _, kind, k, d, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == TEXTS:
-                    blobs.append(k)
-                else:
+    def of_a_part(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, at, out = [], [], Outbox(parts)
+        places: tuple[np.ndarray, np.ndarray] | None = None
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            """The part's documents; its places come before them."""
+            nonlocal places
+            for kind, k, d, a in of_part:
+                if kind == PLACES:
                     x, y = unpack_places(d, a)
                     docs.append(x)
                     at.append(y.astype(np.int32))
-        if not blobs:
-            return
-        d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        a = np.concatenate(at) if at else np.zeros(0, np.int32)
-        order = np.argsort(d, kind="stable")
-        d, a = d[order], a[order]
-        docs, at, out = [], [], Outbox(parts)
-        for held in merged(batch for blob in blobs for batch in pa.ipc.open_stream(blob)):
+                    continue
+                if places is None:
+                    d, a = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *at])
+                    order = np.argsort(d, kind="stable")
+                    places = d[order], a[order]
+                    docs.clear()
+                    at.clear()
+                yield from pa.ipc.open_stream(k)
+
+        for held in merged(blobs()):
+            d, a = places
             texts = [x or b"" for x in as_bytes(held["__text"])]
             for lo, hi in slices(texts):
                 words = words_of(texts[lo:hi])
@@ -224,9 +240,10 @@ def by_document(texts: DataFrame, places: DataFrame, parts: int, work, schema) -
                 for k in np.flatnonzero(right > left).tolist():
                     flags[words.first[k] + a[left[k] : right[k]]] = True
                 yield from work(held.slice(lo, hi - lo), words, flags, out)
-        yield from work(None, None, None, out)
+        if places is not None:
+            yield from work(None, None, None, out)
 
-    return texts.unionByName(places).repartition(partitions(texts.sparkSession), "part").mapInArrow(run, schema)
+    return by_part(texts.unionByName(places), of_a_part, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -236,12 +253,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     A window is repeated if its sequence of words starts at another place too, in any document or the same one; all its
     places lose their words. Windows are judged on the input. Texts that lose nothing stay byte for byte; elsewhere a kept
     word takes along the white space before it. A null text has no words and stays null. Repeated rows are documents of their
-    own, so their windows repeat each other; texts shorter than a window lose nothing. An empty table gives no rows.
-    Hashes have 64 bits.
+    own, so their windows repeat each other; texts shorter than a window lose nothing. An empty table gives no rows. Texts
+    of any length are taken whole; one text's words and hashes must fit into a worker (some 60 bytes for each of its bytes).
+    docs may have columns of any names but the three that are added, __row and __text, which raise. Windows go by 64-bit
+    hashes.
     """
     spark = docs.sparkSession
+    if taken := {"__words", "__removed", "__kept_words", "__row", "__text"} & set(docs.columns):
+        raise ValueError(f"columns of docs have names that are taken: {sorted(taken)}")
+    scratch = Scratch(spark)
     base = min(base or math.ceil(window / 2), window)
-    parts = max(PARTS, partitions(spark))
+    parts = max(PARTS, PARTS_A_TASK * partitions(spark))
 
     def named(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
         return batch["__row"][lo:hi].to_numpy(zero_copy_only=False)
@@ -289,7 +311,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
 
         return work
 
-    fields = [f for f in docs.schema.fields if f.name not in ("__row", "__text", "__words", "__removed", "__kept_words")]
+    fields = docs.schema.fields
     n = [f.name for f in fields].index(text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType() if k == n else f.dataType) for k, f in enumerate(fields)] + [T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__kept_words", T.StringType())])
 
@@ -314,12 +336,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept_words, pa.binary()).cast(pa.string())], names=schema.names)
 
     text = docs[text_col].cast("string")
-    # a row's name in the parts: equal rows share it, and then have the same text
-    rows = docs.select(*(docs[f.name] for f in fields if f.name != text_col), text.alias("__text"), F.xxhash64(docs[id_col], text).alias("__row"))
-    texts = rows.mapInArrow(send_texts, ROWS)
-    places = stored(compare(rows.select("__text", "__row").mapInArrow(send_base, ROWS), parts), "level")
+    rows = docs.select(*(docs[f.name] for f in fields if f.name != text_col), text.alias("__text"), row_name(docs, id_col, text).alias("__row"))
+    texts = rows.mapInArrow(trimmed(send_texts), ROWS)
+    places = scratch.stored(compare(rows.select("__text", "__row").mapInArrow(trimmed(send_base), ROWS), parts), "level")
     size = base
     while size < window and not places.isEmpty():
         last, size = size, min(2 * size, window)
-        places = stored(compare(by_document(texts, places, parts, extend(size, last), ROWS), parts), "level")
+        places = scratch.stored(compare(by_document(texts, places, parts, extend(size, last), ROWS), parts), "level")
+    scratch.drop(places)
     return by_document(texts, places, parts, cut, schema)
+
+
+def row_name(docs: DataFrame, id_col: str, text: Column) -> Column:
+    """A row's 64-bit name: equal rows share it. Of n rows about n * n / 2**65 pairs would share one by chance; those rows
+    are found, and get another."""
+    shared: list[int] = []
+    names = docs.select(docs[id_col].alias("i"), text.alias("t"))
+    names = names.select("i", "t", F.xxhash64("i", "t").alias("first"), F.xxhash64(F.lit("other"), "t", "i").alias("other"))
+
+    def name(i: Column, t: Column, first: Column, salt: int) -> Column:
+        return F.when(first.isin(shared), F.xxhash64(F.lit(salt), t, i)).otherwise(first) if shared else first
+
+    for salt in range(100):
+        of = names.select(name(F.col("i"), F.col("t"), F.col("first"), salt).alias("name"), "first", "other")
+        found = of.groupBy("name").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+        more = [k for r in found.select("lo", "hi").limit(10_000).collect() for k in (r.lo, r.hi)]
+        if not more:
+            return name(docs[id_col], text, F.xxhash64(docs[id_col], text), salt)
+        shared = sorted({*shared, *more})
+    raise ValueError("rows can't be told apart")
