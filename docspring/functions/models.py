@@ -33,6 +33,32 @@ def embedded(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list[li
     return chunks.withColumn(out, batch_udf(make, "array<float>")(F.col(text)))
 
 
+def embedded_requests(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: str = "batch_no", order: str = "chunk_pos", text: str = "text", out: str = "embedding") -> DataFrame:
+    """rows with an embedding; the texts of one batch number go to the model in one call, and batches are spread over tasks."""
+    kinds = [f"`{k}` {v}" for k, v in rows.dtypes]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, held = make(), []
+
+        def called() -> pd.DataFrame:
+            part = pd.concat(held)
+            got = model(part[text].tolist())
+            if len(got) != len(part):
+                raise RuntimeError(f"the model returned {len(got)} results for {len(part)} inputs")
+            return part.assign(**{out: got})
+
+        for some in batches:
+            for no, part in some.groupby(batch, sort=False):
+                if held and held[0][batch].iloc[0] != no:
+                    yield called()
+                    held = []
+                held.append(part)
+        if held:
+            yield called()
+
+    return rows.repartition(batch).sortWithinPartitions(batch, order).mapInPandas(run, ", ".join([*kinds, f"`{out}` array<float>"]))
+
+
 def checked_dimension(vector: Column, size: int) -> Column:
     """The vector, or an error if its dimension isn't that of the index."""
     return F.when(F.size(vector) == size, vector).otherwise(F.raise_error(F.lit(f"a vector of {size} dimensions is needed")))
@@ -65,6 +91,10 @@ def extractive_answer(prompt: str) -> str:
     return found[1].strip()[:512]
 
 
+def extractive_answers(prompts: list[str]) -> list[str]:
+    return [extractive_answer(p) for p in prompts]
+
+
 def never_refines(prompt: str) -> str:
     """Stands in for the model that may ask a second query."""
     return DONE

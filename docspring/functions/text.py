@@ -16,6 +16,7 @@ FIGURE_CUE = r"(?<![\p{L}\p{N}])(?:(?:figures?[ :.]|fig[. ])[ \t\r\n:.\-]{0,23}\
 JUDGED = "image|figure|visual|table|combination|multi-modal|multimodal"
 LABEL_DROPPED = r"(?U)[^\w\s\-;,./()%+]"
 ELLIPSIS, CUT = "…", "...[truncated]"
+CRITERIA = ("factual_alignment_with_reference", "completeness_vs_reference", "handling_of_visual_or_numeric_claims", "clarity", "overall")
 
 
 def col(c: Column | str) -> Column:
@@ -130,11 +131,10 @@ def metric_cell(c: Column | str) -> Column:
 
 def judge_scores(c: Column | str) -> Column:
     """The five scores (1 to 5) in a judge's answer: its outermost {...}, within a code fence or not; null if any is missing."""
-    names = "faithfulness_to_reference use_of_gold_context handling_of_visual_or_numeric_claims clarity overall".split()
     body = F.regexp_extract(col(c), r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, ", ".join(f"{n} string" for n in names))
-    whole = [F.when(parsed[n].rlike(r"^[1-5](\.0+)?$"), parsed[n].try_cast("double").cast("int")) for n in names]
+    parsed = F.from_json(body, ", ".join(f"{n} string" for n in CRITERIA))
+    whole = [F.when(parsed[n].rlike(r"^[1-5](\.0+)?$"), parsed[n].try_cast("double").cast("int")) for n in CRITERIA]
     good = whole[0].isNotNull()
     for x in whole[1:]:
         good = good & x.isNotNull()
-    return F.when(good, F.struct(*(x.alias(n) for x, n in zip(whole, names, strict=True))))
+    return F.when(good, F.struct(*(x.alias(n) for x, n in zip(whole, CRITERIA, strict=True))))

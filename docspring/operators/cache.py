@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +27,36 @@ def eligible_column(lo: Column, page_min: Column, page_max: Column) -> Column:
     return lo.isNull() & page_min.isNull() & page_max.isNull()
 
 
-def probe(queries: DataFrame, cache: DataFrame, threshold: float = 0.92) -> DataFrame:
+def probe(queries: DataFrame, cache: DataFrame, threshold: float = 0.92, most: int = 10_000) -> DataFrame:
     """query_id, answer, similarity of the most similar entry of each query, the earliest of equal ones, from the threshold on.
-    queries has query_id and embedding; the cache (answer, embedding, pos) is bounded by its size limit and is sent to all tasks."""
-    pairs = queries.select("query_id", F.col("embedding").alias("q")).join(F.broadcast(cache.select("answer", "embedding", "pos")))
-    scored = pairs.select("query_id", "answer", "pos", F.round(vectors.cosine("q", "embedding"), 9).alias("similarity"))
-    best = scored.groupBy("query_id").agg(F.max_by(F.struct("answer", "similarity"), F.struct("similarity", -F.col("pos"))).alias("b"))
-    return best.select("query_id", "b.answer", "b.similarity").where(F.col("similarity") >= threshold)
+
+    queries has query_id and embedding, the cache answer, embedding and pos. A cache has a size limit: its entries, `most` of
+    them at most, are sent to the tasks as a matrix; with more this raises."""
+    entries = cache.select("answer", vectors.doubles("embedding").alias("embedding"), "pos").orderBy("pos").limit(most + 1).collect()
+    if len(entries) > most:
+        raise ValueError(f"the cache has more than {most} entries; evict first")
+    sizes = {len(e.embedding or ()) for e in entries}
+    matrices = {n: np.array([e.embedding for e in entries if len(e.embedding or ()) == n], np.float64) for n in sizes if n}
+    answers = {n: [e.answer for e in entries if len(e.embedding or ()) == n] for n in matrices}
+    norms = {n: np.linalg.norm(m, axis=1) for n, m in matrices.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for q, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = matrices.get(len(v or ()))
+                if m is None:
+                    continue
+                length = np.linalg.norm(v)
+                tiny = (norms[len(v)] < vectors.TINY) | (length < vectors.TINY)
+                near = np.round(np.where(tiny, 0.0, (m @ np.array(v)) / np.where(tiny, 1.0, norms[len(v)] * length)), 9)
+                at = int(near.argmax())
+                if near[at] >= threshold:
+                    out.append((q, answers[len(v)][at], float(near[at])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "answer", "similarity"])
+
+    return queries.select(F.col("query_id").cast("string").alias("query_id"), vectors.doubles("embedding").alias("embedding")).mapInArrow(run, "query_id string, answer string, similarity double")
 
 
 def newest(cache: DataFrame, most: int) -> DataFrame:

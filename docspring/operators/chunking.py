@@ -50,10 +50,11 @@ def layout_runs(spans: DataFrame, size: int = 1200) -> DataFrame:
     """doc_id, run, text, page_start, page_end: spans in reading order, merged greedily.
 
     A run ends before the span with which it would be longer than `size` (two characters between spans); one span that is
-    longer by itself is a run. The fold holds a counter for each document, not its spans, so documents of any length stream.
+    longer by itself is a run. Lengths are those of the cleaned texts. The fold holds a counter for each document and sees
+    lengths alone, so documents of any length stream.
     """
-    ordered = reading_order(spans.where(text.strip("text") != "")).withColumn("text", text.strip("text"))
-    groups = ordered.repartition("doc_id").sortWithinPartitions("doc_id", "reading_no")
+    ordered = reading_order(spans.withColumn("text", text.clean_text("text")).where("text <> ''")).select("doc_id", "reading_no", "page_index", "text")
+    groups = ordered.select("doc_id", "reading_no", F.length("text").alias("n")).repartition("doc_id").sortWithinPartitions("doc_id", "reading_no")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, used, run = object(), 0, 0
@@ -69,8 +70,7 @@ def layout_runs(spans: DataFrame, size: int = 1200) -> DataFrame:
             yield batch.assign(run=runs).drop(columns="n")
 
     kind = dict(spans.dtypes)["doc_id"]
-    held = groups.select("doc_id", "reading_no", "page_index", "text", F.length("text").alias("n"))
-    numbered = held.mapInPandas(fold, f"doc_id {kind}, reading_no long, page_index int, text string, run long")
+    numbered = ordered.join(groups.mapInPandas(fold, f"doc_id {kind}, reading_no long, run long"), ["doc_id", "reading_no"])
     parts = F.array_sort(F.collect_list(F.struct("reading_no", "text")))
     return numbered.groupBy("doc_id", "run").agg(text.clean_text(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n")).alias("text"), F.min("page_index").alias("page_start"), F.max("page_index").alias("page_end"))
 

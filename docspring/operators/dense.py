@@ -14,6 +14,10 @@ from docspring.functions import vectors
 from docspring.functions.text import tokens
 
 
+#: Queries whose matrix is sent to the tasks at a time.
+BLOCK = 2048
+
+
 def l2_topk(vecs: DataFrame, query: Column, k: int, id_col: str = "chunk_pos", vector: str = "embedding") -> DataFrame:
     """The k nearest by squared distance, ties by id; k is clamped to what is there."""
     scored = vecs.select(id_col, F.round(vectors.l2_squared(vector, query), 9).alias("score"))
@@ -26,16 +30,27 @@ def cosine_topk(vecs: DataFrame, query: Column, k: int, id_col: str = "chunk_pos
 
 
 def batch_topk(vecs: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "l2", id_col: str = "chunk_pos", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank for a batch of queries: a matrix product for each Arrow batch, the k best of a partition, then
-    the k best of all. The queries' matrix is sent to every task; it doesn't grow with the table."""
+    """query_id, id, score, rank for a set of queries: a matrix product for each Arrow batch, the k best of a partition, then
+    the k best of all. Queries go in blocks of BLOCK, each with one pass over the table and its matrix sent to every task."""
+    if not queries:
+        kind = dict(vecs.dtypes)[id_col]
+        return vecs.sparkSession.createDataFrame([], f"query_id string, {id_col} {kind}, score double, rank int")
+    if len(queries) > BLOCK:
+        out = batch_topk(vecs, queries[:BLOCK], k, metric, id_col, vector)
+        for lo in range(BLOCK, len(queries), BLOCK):
+            out = out.unionByName(batch_topk(vecs, queries[lo : lo + BLOCK], k, metric, id_col, vector))
+        return out
+    kind = dict(vecs.dtypes)[id_col]
     names = [q for q, _ in queries]
     matrix = np.array([v for _, v in queries], np.float64)
     norms = np.linalg.norm(matrix, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, "U1" if kind == "string" else np.int64)) for _ in names]
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column(0).to_pylist())
             rows = batch.column(1)
             x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
             if x.shape[1] != matrix.shape[1]:
@@ -50,11 +65,12 @@ def batch_topk(vecs: DataFrame, queries: list[tuple[str, list[float]]], k: int,
                 score, which = np.concatenate([best[i][0], s[i]]), np.concatenate([best[i][1], ids])
                 top = np.lexsort((which, -score))[:k]
                 best[i] = score[top], which[top]
-        rows = [(names[i], int(d), float(v)) for i, (score, which) in enumerate(best) for v, d in zip(score, which, strict=True)]
+        rows = [(names[i], d.item(), float(v)) for i, (score, which) in enumerate(best) for v, d in zip(score, which, strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["query_id", id_col, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string() if kind == "string" else pa.int64(), pa.float64()), strict=True)], names=["query_id", id_col, "score"])
 
-    found = vecs.select(F.col(id_col).cast("long").alias(id_col), F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id string, {id_col} long, score double")
+    id_kind = "string" if kind == "string" else "long"
+    found = vecs.select(F.col(id_col).cast(id_kind).alias(id_col), F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id string, {id_col} {id_kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", F.when(F.lit(metric == "l2"), -F.col("score")).otherwise(F.col("score")))

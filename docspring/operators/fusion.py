@@ -24,23 +24,9 @@ def fuse(legs: list[DataFrame], k: int = 60, weights: list[float] | None = None,
     return fused.withColumn("fused_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rrf"), "first_seen")))
 
 
-def page_window(least: int | None, most: int | None) -> tuple[int, int] | None:
-    """Pages counted from 1, either end open, to a window from 0."""
-    if least is None and most is None:
-        return None
-    return (least - 1 if least is not None else 0), (most - 1 if most is not None else OPEN)
-
-
-def intersect(a: tuple[int, int] | None, b: tuple[int, int] | None) -> tuple[int, int] | None:
-    """Disjoint windows give None, which filters nothing."""
-    if a is None or b is None:
-        return a or b
-    lo, hi = max(a[0], b[0]), min(a[1], b[1])
-    return (lo, hi) if lo <= hi else None
-
-
 def intersect_columns(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """The same for columns: struct(lo, hi), null for no filter; an end that is null is open."""
+    """Two windows of pages, counted from 0, to struct(lo, hi); an end that is null is open. Null, which filters nothing, if all
+    ends are open or the windows are disjoint."""
     lo, hi = F.greatest(F.coalesce(lo1, F.lit(0)), F.coalesce(lo2, F.lit(0))), F.least(F.coalesce(hi1, F.lit(OPEN)), F.coalesce(hi2, F.lit(OPEN)))
     none = lo1.isNull() & hi1.isNull() & lo2.isNull() & hi2.isNull()
     return F.when(~none & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi")))
@@ -63,12 +49,13 @@ def filter_or_all(hits: DataFrame, keep: Column, cap: int, order: str = "rank")
 def with_rows(ranked: DataFrame, chunks: DataFrame, dense_ids: DataFrame | None = None) -> DataFrame:
     """The chunk behind each ranked id: of equal ids the last that the dense leg returned, else the first of the corpus. Ids
     without a chunk are dropped."""
-    firsts = chunks.withColumn("__n", F.row_number().over(W.partitionBy("chunk_id").orderBy("chunk_pos"))).where("__n = 1").drop("__n")
-    if dense_ids is None:
-        return ranked.join(firsts, "chunk_id")
-    chosen = dense_ids.groupBy("query_id", "chunk_id").agg(F.max_by("chunk_pos", "rank").alias("__pos"))
-    picked = ranked.join(chosen, ["query_id", "chunk_id"], "left").join(firsts.select("chunk_id", F.col("chunk_pos").alias("__first")), "chunk_id")
-    return picked.withColumn("chunk_pos", F.coalesce("__pos", "__first")).drop("__pos", "__first").join(chunks.drop("chunk_id"), "chunk_pos")
+    wanted = chunks.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    firsts = wanted.groupBy("chunk_id").agg(F.min("chunk_pos").alias("__first"))
+    picked = ranked.drop("chunk_pos").join(firsts, "chunk_id")
+    if dense_ids is not None:
+        chosen = dense_ids.groupBy("query_id", "chunk_id").agg(F.max_by("chunk_pos", "rank").alias("__pos"))
+        picked = picked.join(chosen, ["query_id", "chunk_id"], "left").withColumn("__first", F.coalesce("__pos", "__first")).drop("__pos")
+    return picked.withColumnRenamed("__first", "chunk_pos").join(wanted.drop("chunk_id"), "chunk_pos")
 
 
 def merge_passes(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

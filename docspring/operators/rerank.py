@@ -44,21 +44,22 @@ def metadata_rerank(hits: DataFrame, order: str = "rank", out: str = "rank") ->
     return reranked(hits.withColumn("bonus", metadata_bonus(F.col("query"))), F.col("bonus"), order, out)
 
 
-def cross_encoder_rerank(hits: DataFrame, scorer: Callable[[str, str], float] | None, order: str = "rank") -> tuple[DataFrame, str | None]:
-    """By a model's score of (query, text); without a model the order stays, with a note."""
+def cross_encoder_rerank(hits: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]] | None, order: str = "rank") -> tuple[DataFrame, str | None]:
+    """By a model's scores of pairs (query, text), a list of them at a time; without a model the order stays, with a note."""
     if scorer is None:
         return hits, "cross_encoder_unavailable"
 
     @F.pandas_udf("double")
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([float(scorer(q, t)) for q, t in zip(queries, texts, strict=True)])
+        return pd.Series(scorer(list(zip(queries, texts, strict=True))), dtype="float64")
 
     return reranked(hits, score("query", "text"), order), None
 
 
-def maxsim_rerank(coarse: DataFrame, query: Column, n_slots: int, k: int, id_col: str, vector: str = "embedding") -> tuple[DataFrame, Column]:
-    """The k best of a coarse list (id, score, vector) by late interaction, then by the coarse score. Rows without a vector are
-    left out; the second value tells how the list was made."""
+def maxsim_rerank(coarse: DataFrame, query: Column, n_slots: int, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
+    """The k best of each question's coarse list (query_id, id, score, vector) by late interaction with the question's vector,
+    then by the coarse score. Rows without a vector are left out."""
     usable = coarse.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
     fine = usable.withColumn("maxsim", F.round(vectors.maxsim(vectors.slots(query, n_slots), vectors.slots(vector, n_slots)), 9))
-    return fine.orderBy(F.desc("maxsim"), F.desc("score"), id_col).limit(k), F.lit("maxsim")
+    order = W.partitionBy("query_id").orderBy(F.desc("maxsim"), F.desc("score"), id_col)
+    return fine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,8 +1,10 @@
-"""BM25 over a term table."""
+"""BM25 over an index of postings, stored in the order of the terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,32 +14,50 @@ from docspring.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_table(chunks: DataFrame) -> DataFrame:
-    """chunk_pos, term, tf. Chunks without an id take no part. Write it beside the chunks: it feeds every other table here."""
-    some = chunks.where(F.trim("chunk_id") != "")
-    return some.select("chunk_pos", F.explode(tokens("text")).alias("term")).groupBy("chunk_pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class TermIndex:
+    """postings: term, chunk_pos, tf, dl; vocabulary: term, df, raw (the idf without a floor); positions: chunk_pos of every
+    chunk with an id. Both tables of terms are sorted by them, so a scan for the terms of some questions skips the rest."""
 
+    postings: DataFrame
+    vocabulary: DataFrame
+    positions: DataFrame
+    n: int
+    avgdl: float
+    mean: float
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.trim("chunk_id") != "").select("chunk_pos", F.size(tokens("text")).cast("long").alias("dl"))
+    def idf(self) -> Column:
+        """A negative idf becomes EPSILON times the mean over all terms."""
+        return F.when(F.col("raw") < 0, F.lit(EPSILON * self.mean)).otherwise(F.col("raw"))
 
 
-def tables(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Term table and lengths, kept by the executors: five aggregates read them, and the corpus is tokenised once."""
-    return term_table(chunks).persist(), lengths(chunks).persist()
+def term_index(chunks: DataFrame, path: str) -> TermIndex:
+    """Tokenises the chunks once, and writes the index under this path. Chunks without an id take no part."""
+    spark = chunks.sparkSession
+    some = chunks.where(F.trim("chunk_id") != "").select("chunk_pos", tokens("text").alias("words"))
+    words = some.select("chunk_pos", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term"))
+    counted = words.groupBy("chunk_pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted.repartition("term").sortWithinPartitions("term", "chunk_pos").write.mode("overwrite").parquet(f"{path}/postings")  # a null term: a chunk without words
+    return load_terms(spark, path, made=True)
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: n and avgdl."""
-    return lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+def load_terms(spark, path: str, made: bool = False) -> TermIndex:
+    every = spark.read.parquet(f"{path}/postings")
+    if made:
+        n = every.select("chunk_pos").distinct().count()
+        df = every.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        raw = (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")
+        df.select("term", "df", raw).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        every.groupBy("chunk_pos").agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/positions")
+    vocabulary, positions = spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/positions")
+    size = positions.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).head()
+    mean = vocabulary.agg(F.avg("raw").alias("mean")).head().mean
+    return TermIndex(every.where("term is not null").select("term", "chunk_pos", "tf", "dl"), vocabulary, positions.select("chunk_pos"), size.n, (size.dl or 0) / max(size.n, 1), mean or 0.0)
 
 
-def term_stats(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf; a negative idf becomes EPSILON times the mean over all terms."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def term_stats(index: TermIndex) -> DataFrame:
+    """term, df, idf."""
+    return index.vocabulary.select("term", "df", index.idf().alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,29 +65,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(queries: DataFrame, terms: DataFrame, lengths: DataFrame) -> DataFrame:
+def scores(queries: DataFrame, index: TermIndex) -> DataFrame:
     """query_id, chunk_pos, score of the chunks that have a word of the query."""
-    stats = corpus_stats(lengths)
-    idf = term_stats(terms, stats)
-    wanted = query_terms(queries).join(idf, "term")
-    hits = terms.join(wanted, "term").join(lengths, "chunk_pos").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_pos").agg(F.round(F.sum(part), 9).alias("score"))
+    wanted = query_terms(queries).join(term_stats(index), "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
+    return index.postings.join(wanted, "term").groupBy("query_id", "chunk_pos").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def sparse_topk(queries: DataFrame, chunks: DataFrame, terms: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+def sparse_topk(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
     """query_id, chunk_pos, score, rank. Chunks without a word of the query stay with score 0, in corpus order.
 
-    While every score is positive no more than k chunks of score 0 can be in a pool, and they are among the first 2k of the
-    corpus: only those meet the queries. Should the floor make scores negative, that isn't so, and all chunks take part.
+    While no score can be negative, no more than k chunks of score 0 can be in a pool, and they are among the first 2k of
+    the corpus: only those meet the queries. Where the mean idf is negative (a corpus of next to no different words), that
+    isn't so, and all chunks take part.
     """
-    scored = scores(queries, terms, lengths)
-    some = chunks.where(F.trim("chunk_id") != "").select("chunk_pos")
-    first = some.orderBy("chunk_pos").limit(2 * k)
-    floor = scored.agg(F.min("score").alias("least")).select((F.coalesce("least", F.lit(0.0)) < 0).alias("negative"))
-    negative = F.broadcast(floor)
-    fill = first.unionByName(some.join(negative, F.col("negative"), "inner").select("chunk_pos")).distinct()
-    pairs = fill.crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "chunk_pos", F.lit(0.0).alias("score"))
-    every = scored.unionByName(pairs).groupBy("query_id", "chunk_pos").agg(F.sum("score").alias("score"))
+    if index.mean < 0:
+        pairs = queries.select("query_id").crossJoin(index.positions)
+    else:
+        first = [r.chunk_pos for r in index.positions.orderBy("chunk_pos").limit(2 * k).collect()]
+        pairs = queries.select("query_id", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<long>")).alias("chunk_pos"))
+    every = scores(queries, index).unionByName(pairs.select("query_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.lit(0.0).alias("score")))
+    summed = every.groupBy("query_id", "chunk_pos").agg(F.sum("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_pos")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

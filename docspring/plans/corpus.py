@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, models, vectors
-from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, structured
+from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured
 from docspring.plans import retrieval
 from docspring.sources import documents, index
 
@@ -63,12 +63,17 @@ def build_chunks(parts: Mapping[str, DataFrame], settings: Settings) -> tuple[Da
 
 
 def ingest(parts: Mapping[str, DataFrame], embedder: Callable[[], Callable[[list[str]], list[list[float]]]], settings: Settings) -> DataFrame:
-    """Chunks with vectors into the index and the collection, both from one table. No chunks, or a chunk without a vector, is an error."""
+    """Chunks with vectors into the index and the collection, both from one table. The model gets requests within the limits of
+    texts and tokens. No chunks, or a chunk without a vector, is an error."""
     chunks, _ = build_chunks(parts, settings)
     spark = chunks.sparkSession
     staged = f"{settings.index_path}/staged"
-    models.embedded(chunks.drop("embedding"), embedder).write.mode("overwrite").parquet(staged)
-    made = spark.read.parquet(staged)
+    chunks.drop("embedding").write.mode("overwrite").parquet(f"{staged}/chunks")
+    rows = spark.read.parquet(f"{staged}/chunks")
+    requests = folds.embed_batches(rows.withColumn("corpus", F.lit("all")), settings.embed_batch_size, settings.embed_max_tokens)
+    numbered = rows.join(requests.select("chunk_pos", "batch_no"), "chunk_pos")
+    models.embedded_requests(numbered, embedder).drop("batch_no").write.mode("overwrite").parquet(f"{staged}/embedded")
+    made = spark.read.parquet(f"{staged}/embedded")
     sizes = made.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("vectors"), F.max(F.size("embedding")).alias("size")).head()
     if not sizes.n:
         raise ValueError("the documents gave no chunks")
@@ -101,7 +106,7 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
         if hit:
             return {"answer": hit[0], "hits": [], "similarity": hit[1], "notes": ["cache_hit"]}
     tables = tables or index.TermTables()
-    terms, lengths, _ = tables.get(spark, settings.index_path)
+    terms, _ = tables.get(spark, settings.index_path)
     filtered = row.lo is not None
 
     def search(questions: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
         vecs = list(zip([q for q, _ in texts], embed([t for _, t in texts]), strict=True))
         k = settings.dense_pool if settings.hybrid else retrieval.dense_pool(settings, filtered)
         found = dense.batch_topk(chunks.select("chunk_pos", "embedding"), vecs, k)
-        local, _ = retrieval.dual(questions, chunks, found, found, terms, lengths, settings)
+        local, _ = retrieval.dual(questions, chunks, found, found, terms, settings)
         return local
 
     hits, notes = retrieval.multi_hop(asked, search, refine, settings)
@@ -122,7 +127,7 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
     return {"answer": text, "hits": found, "similarity": None, "notes": list(notes.values())}
 
 
-def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: DataFrame, lengths: DataFrame, settings: Settings, generate: Callable[[str], str] = models.extractive_answer, judge: Callable[[str], str] | None = None, rows: int | None = None) -> dict:
+def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[str], str] | None = None, rows: int | None = None) -> dict:
     """All questions in one plan: hits, contexts, stand-in scores, means by type, judge, and the report's six parts.
 
     gold has query_id and the columns of labelled questions; dense_legs has query_id, chunk_pos and rank for them."""
@@ -131,8 +136,8 @@ def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: D
     if gold.isEmpty():
         raise SystemExit(2)
     asked = retrieval.questions(gold.select("query_id", F.col("question").alias("query")), settings)
-    hits = retrieval.hybrid(asked, chunks, dense_legs, terms, lengths, settings)
-    made = F.pandas_udf(lambda s: s.map(generate), "string")
+    hits = retrieval.hybrid(asked, chunks, dense_legs, terms, settings)
+    made = models.batch_udf(lambda: generate, "string")
     answers = prompts(hits, asked).select("query_id", made("prompt").alias("generated_answer"))
     out = gold.join(folds.hit_texts(hits), "query_id", "left").join(answers, "query_id", "left")
     scored = evaluation.lexical_recall(out).persist()
@@ -171,16 +176,25 @@ def ingest_patches(patches: DataFrame, encoder: Callable[[], Callable[[list], li
     index.upsert_patches(made.withColumn("embedding", models.checked_dimension(F.col("embedding"), text_size)), path)
 
 
-def retrieve_patches(patches: DataFrame, query: list[float], settings: Settings, pdf_sha256: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The payload filter first, then the coarse list, then late interaction; without usable vectors the coarse order."""
+def retrieve_patches_batch(patches: DataFrame, queries: list[tuple[str, list[float]]], settings: Settings, pdf_sha256: str | None = None) -> DataFrame:
+    """query_id, the patches' columns, score, maxsim and rank: the payload filter first, then each question's coarse list, then
+    late interaction (or the coarse order without it)."""
     rows = patches if pdf_sha256 is None else patches.where(F.col("pdf_sha256") == pdf_sha256)
-    q = F.array(*(F.lit(float(x)) for x in query))
-    coarse = dense.cosine_topk(rows, q, settings.visual_prefetch, "patch_id").join(rows, "patch_id")
+    coarse = dense.batch_topk(rows, queries, settings.visual_prefetch, "cosine", "patch_id").drop("rank").join(rows, "patch_id")
+    if settings.maxsim:
+        asked = patches.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id string, query_vector array<double>")
+        return rerank.maxsim_rerank(coarse.join(asked, "query_id"), F.col("query_vector"), settings.maxsim_slots, settings.visual_top_k, "patch_id").drop("query_vector")
+    return retrieval.ranked(coarse, [F.desc("score"), F.col("patch_id")], settings.visual_top_k)
+
+
+def retrieve_patches(patches: DataFrame, query: list[float], settings: Settings, pdf_sha256: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The same for one question, and how its list was made; where no patch has a vector there is nothing to rerank."""
+    some = patches if pdf_sha256 is None else patches.where(F.col("pdf_sha256") == pdf_sha256)
+    top = retrieve_patches_batch(patches, [("q", query)], settings, pdf_sha256).drop("query_id", "rank")
     if not settings.maxsim:
-        return coarse.orderBy(F.desc("score"), "patch_id").limit(settings.visual_top_k), {"rerank": "cosine"}
-    if coarse.where(F.col("embedding").isNotNull()).isEmpty():
-        return coarse.orderBy(F.desc("score"), "patch_id").limit(settings.visual_top_k), {"rerank": "maxsim_failed"}
-    top, _ = rerank.maxsim_rerank(coarse, q, settings.maxsim_slots, settings.visual_top_k, "patch_id")
+        return top, {"rerank": "cosine"}
+    if some.where(F.col("embedding").isNotNull()).isEmpty():
+        return top, {"rerank": "maxsim_failed"}
     return top, {"rerank": "maxsim", "slots": str(settings.maxsim_slots)}
 
 

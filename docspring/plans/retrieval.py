@@ -21,8 +21,7 @@ def dense_pool(settings: Settings, filtered: bool) -> int:
 def questions(asked: DataFrame, settings: Settings) -> DataFrame:
     """query_id, query (without its page clause), lo, hi: the window from 0 after intersecting the clause with the settings'."""
     parsed = asked.select("query_id", strip_page_clause("query").alias("p"))
-    env = fusion.page_window(settings.page_filter_min, settings.page_filter_max)
-    bound = [F.lit(None).cast("long") if env is None else F.lit(x).cast("long") for x in (env or (None, None))]
+    bound = [F.lit(None if x is None else x - 1).cast("long") for x in (settings.page_filter_min, settings.page_filter_max)]
     window = fusion.intersect_columns(F.col("p.lo") - 1, F.col("p.hi") - 1, *bound)
     return parsed.select("query_id", F.col("p.query").alias("query"), window["lo"].alias("lo"), window["hi"].alias("hi"))
 
@@ -31,7 +30,7 @@ def ranked(scored: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, terms: DataFrame, lengths: DataFrame, settings: Settings, scorer: Callable[[str, str], float] | None = None) -> DataFrame:
+def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None) -> DataFrame:
     """query_id, rank, chunk_pos, chunk_id, score, bonus and the chunk's columns.
 
     asked: query_id, query, lo, hi. dense: query_id, chunk_pos, rank of the vector leg. The pools are cut first, then fused,
@@ -41,12 +40,12 @@ def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, terms: DataFra
     dense_ids = dense.join(ids, "chunk_pos").select("query_id", "chunk_pos", "chunk_id", "rank")
     legs, weights = [dense_ids], [settings.rrf_dense_weight]
     if settings.hybrid:
-        found = sparse.sparse_topk(asked.select("query_id", "query"), chunks, terms, lengths, settings.sparse_pool)
+        found = sparse.sparse_topk(asked.select("query_id", "query"), index, settings.sparse_pool)
         legs.append(found.join(ids, "chunk_pos").select("query_id", "chunk_pos", "chunk_id", "rank"))
         weights.append(settings.rrf_sparse_weight)
     fused = fusion.fuse(legs, settings.rrf_k, weights)
     rows = fusion.with_rows(fused.withColumnRenamed("fused_rank", "rank"), chunks, dense_ids)
-    rows = rows.join(F.broadcast(asked.select("query_id", "query", "lo", "hi")), "query_id")
+    rows = rows.join(asked.select("query_id", "query", "lo", "hi"), "query_id")
     kept = fusion.filter_or_all(rows, fusion.overlaps(F.col("lo"), F.col("hi")), 1 << 30)
     # unfiltered after all: three times top_k; else the cross-encoder's list
     cap = F.when(F.col("filtered"), F.lit(max(settings.top_k, settings.cross_encoder_top_n))).otherwise(F.least(F.lit(3 * settings.top_k), F.lit(max(settings.top_k, settings.cross_encoder_top_n))))
@@ -64,10 +63,10 @@ def dense_only(asked: DataFrame, chunks: DataFrame, dense: DataFrame, settings:
     return ranked(kept.withColumnRenamed("rank", "__r"), ["__r"], settings.top_k).drop("__r")
 
 
-def dual(asked: DataFrame, chunks: DataFrame, local_dense: DataFrame, remote_dense: DataFrame, terms: DataFrame | None, lengths: DataFrame | None, settings: Settings, scorer=None) -> tuple[DataFrame, DataFrame]:
-    """The local leg (hybrid, or dense where there is no term table) and the remote leg (dense, never filtered), side by side."""
-    if settings.hybrid and terms is not None:
-        local = hybrid(asked, chunks, local_dense, terms, lengths, settings, scorer)
+def dual(asked: DataFrame, chunks: DataFrame, local_dense: DataFrame, remote_dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer=None) -> tuple[DataFrame, DataFrame]:
+    """The local leg (hybrid, or dense where there is no index of terms) and the remote leg (dense, never filtered), side by side."""
+    if settings.hybrid and index is not None:
+        local = hybrid(asked, chunks, local_dense, index, settings, scorer)
     else:
         local = dense_only(asked, chunks, local_dense, settings)
     remote = ranked(remote_dense.withColumnRenamed("rank", "__r"), ["__r"], settings.top_k).drop("__r").join(chunks, "chunk_pos")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
 from docspring.operators import batching, cache, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
-from docspring.plans import retrieval
+from docspring.plans import corpus, retrieval
+from docspring.sources import index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,12 +55,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     kinds = ["narrative", "figure_ref", "table_structured", "figure_visual"]
     of = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     kind = F.when(of == "table_structured", "pdf_table").when(of == "figure_visual", "pdf_image").otherwise("narrative")
-    return docs.select(F.col("doc_id").alias("chunk_pos"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", page.alias("page_start"), (page + F.pmod("doc_id", F.lit(3)).cast("int")).alias("page_end"), of.alias("content_type"), kind.alias("chunk_kind"), F.substring("text", 1, 60).alias("section_hint"))
+    return docs.select(F.col("doc_id").alias("chunk_pos"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", page.alias("page_start"), (page + F.pmod("doc_id", F.lit(3)).cast("int")).alias("page_end"), of.alias("content_type"), kind.alias("chunk_kind"), text.section_hint("text").alias("section_hint"))
 
 
 CHUNKS = """chunks AS (SELECT doc_id AS chunk_pos, 'c' || doc_id AS chunk_id, text, (doc_id % 40)::INT AS page_start, (doc_id % 40 + doc_id % 3)::INT AS page_end,
     ['narrative', 'figure_ref', 'table_structured', 'figure_visual'][(doc_id % 4)::INT + 1] AS content_type,
-    ['narrative', 'narrative', 'pdf_table', 'pdf_image'][(doc_id % 4)::INT + 1] AS chunk_kind, substr(text, 1, 60) AS section_hint FROM documents)"""
+    ['narrative', 'narrative', 'pdf_table', 'pdf_image'][(doc_id % 4)::INT + 1] AS chunk_kind, CASE WHEN length(line) > 96 THEN substr(line, 1, 95) || '…' ELSE line END AS section_hint
+    FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM documents))"""
 
 
 # --- text functions ---
@@ -93,10 +95,10 @@ def clip_text(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(text.clip("text", 500)).alias("clipped"))
 
 
-@query("SELECT doc_id, '<<<UNTRUSTED_PDF_LAYOUT_TEXT role=sec_' || doc_id || '>>>' || chr(10) || substr(trim(text), 1, 20) || chr(10) || '<<<END_UNTRUSTED_PDF_LAYOUT_TEXT role=sec_' || doc_id || '>>>' AS block FROM documents WHERE trim(substr(trim(text), 1, 20), E' \\n') = substr(trim(text), 1, 20)")
+@query("WITH t AS (SELECT doc_id, trim(text, E' \\n\\t') AS t FROM documents) SELECT doc_id, md5('<<<UNTRUSTED_PDF_LAYOUT_TEXT role=sec_' || doc_id || '>>>' || chr(10) || CASE WHEN length(t) > 2500 THEN substr(t, 1, 2485) || '...[truncated]' ELSE t END || chr(10) || '<<<END_UNTRUSTED_PDF_LAYOUT_TEXT role=sec_' || doc_id || '>>>') AS block FROM t")
 def untrusted_blocks(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("head", F.substring(F.trim("text"), 1, 20)).where(text.strip("head") == F.col("head"))
-    return docs.select("doc_id", text.untrusted_layout(F.concat(F.lit("sec #*"), F.col("doc_id").cast("string")), "head").alias("block"))
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.md5(text.untrusted_layout(F.concat(F.lit("sec #*"), F.col("doc_id").cast("string")), "text")).alias("block"))
 
 
 @query(r"""WITH q AS (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' only on pages 9-4' WHEN 1 THEN ' pages 3 to 12 and page 5' WHEN 2 THEN ' page 7' ELSE '' END AS query FROM benchmark),
@@ -165,7 +167,7 @@ def spans_of(spark, sf_dir) -> DataFrame:
     return pages.select("doc_id", F.concat(F.lit("s"), F.col("page_index").cast("string")).alias("span_id"), (F.col("page_index") / 3).cast("int").alias("page_index"), F.lit(1.0).alias("x0"), y.alias("y0"), F.lit(9.0).alias("x1"), (y + 1).alias("y1"), "text")
 
 
-@query(r"""WITH RECURSIVE o AS (SELECT conv_id AS doc_id, (turn // 3)::INT AS page, trim(text, E' \n') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 3, (turn * 37) % 11, 's' || turn) AS n FROM conversations WHERE trim(text, E' \n') <> ''),
+@query(r"""WITH RECURSIVE o AS (SELECT conv_id AS doc_id, (turn // 3)::INT AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 3, (turn * 37) % 11, 's' || turn) AS n FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
     f AS (SELECT doc_id, n, page, t, length(t)::BIGINT AS used, 0::BIGINT AS run FROM o WHERE n = 1
           UNION ALL SELECT o.doc_id, o.n, o.page, o.t, CASE WHEN f.used + 2 + length(o.t) > 1200 THEN length(o.t) ELSE f.used + 2 + length(o.t) END, CASE WHEN f.used + 2 + length(o.t) > 1200 THEN f.run + 1 ELSE f.run END FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)
     SELECT doc_id, run, md5(trim(regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY n), '\s+', ' ', 'g'))) AS run_text, min(page) AS page_start, max(page) AS page_end FROM f GROUP BY doc_id, run""")
@@ -237,34 +239,36 @@ def distinct_tables(spark, sf_dir):
 # --- sparse and dense legs ---
 
 
-def asked(spark, sf_dir, n: int = 10**9) -> DataFrame:
-    """The benchmark's items as questions: the first words of each."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").cast("string").alias("query_id"), words.alias("query"))
+def asked(spark, sf_dir) -> DataFrame:
+    """The benchmark's items as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
 
-ASKED = "asked AS (SELECT item_id::VARCHAR AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id < {n})"
-TERMS = f"""{CHUNKS}, words AS (SELECT chunk_pos, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM chunks), terms AS (SELECT chunk_pos, term, count(*) AS tf FROM words GROUP BY ALL),
-    lens AS (SELECT chunk_pos, len(regexp_extract_all(lower(text), '{TOKEN}')) AS dl FROM chunks), stats AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lens),
-    raws AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM terms, stats GROUP BY term),
-    idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+ASKED = "asked AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
+TERMS = f"""{CHUNKS}, words AS (SELECT chunk_pos, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM chunks), terms AS MATERIALIZED (SELECT chunk_pos, term, count(*) AS tf FROM words GROUP BY ALL),
+    lens AS MATERIALIZED (SELECT chunk_pos, len(regexp_extract_all(lower(text), '{TOKEN}')) AS dl FROM chunks), stats AS MATERIALIZED (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lens),
+    raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM terms GROUP BY term), stats), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raws),
+    idfs AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raws, mean)"""
 SPARSE = f"""{TERMS}, qterms AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM asked),
     part AS (SELECT query_id, terms.chunk_pos, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qterms JOIN terms USING (term) JOIN idfs USING (term) JOIN lens ON lens.chunk_pos = terms.chunk_pos, stats GROUP BY query_id, terms.chunk_pos),
     bm AS (SELECT asked.query_id, chunks.chunk_pos, coalesce(round(score, 9), 0.0) AS score FROM asked CROSS JOIN chunks LEFT JOIN part ON part.query_id = asked.query_id AND part.chunk_pos = chunks.chunk_pos),
     sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos) AS rank FROM bm QUALIFY rank <= 24)"""
 
 
+def indexed(spark, sf_dir) -> tuple[DataFrame, sparse.TermIndex]:
+    """Chunks and the index of their terms, tokenised once."""
+    chunks = chunk_rows(documents(spark, sf_dir))
+    return chunks, sparse.term_index(chunks, index.scratch(spark, "terms"))
+
+
 @query(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def term_stats(spark, sf_dir):
-    chunks = chunk_rows(documents(spark, sf_dir))
-    terms, lengths = sparse.tables(chunks)
-    return sparse.term_stats(terms, sparse.corpus_stats(lengths)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.term_stats(indexed(spark, sf_dir)[1]).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {ASKED.format(n=8)}, {SPARSE} SELECT query_id, rank, chunk_pos, round(score, 6) AS score FROM sparse")
+@query(f"WITH {ASKED}, {SPARSE} SELECT query_id, rank, chunk_pos, round(score, 6) AS score FROM sparse")
 def bm25_topk(spark, sf_dir):
-    chunks = chunk_rows(documents(spark, sf_dir))
-    got = sparse.sparse_topk(asked(spark, sf_dir, 8), chunks, *sparse.tables(chunks), 24)
+    got = sparse.sparse_topk(asked(spark, sf_dir), indexed(spark, sf_dir)[1], 24)
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_pos", F.round("score", 6).alias("score"))
 
 
@@ -277,55 +281,72 @@ def scaled(spark, sf_dir) -> DataFrame:
 SCALED = "scaled AS (SELECT vec_id AS chunk_pos, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 3)) AS embedding, label FROM embeddings)"
 
 
-def vector_of(vecs: DataFrame, n: int) -> Column:
-    """The vector of one row, as a literal."""
-    row = vecs.where(F.col("chunk_pos") == n).select("embedding").head()
-    return F.array(*(F.lit(float(x)) for x in row.embedding))
+def questions_of(vecs: DataFrame) -> list[tuple[str, list[float]]]:
+    """The stated set of queries: every vector whose id is divisible by 100."""
+    return [(str(r.chunk_pos), list(r.embedding)) for r in vecs.where("chunk_pos % 100 = 0").orderBy("chunk_pos").collect()]
 
 
-@query(f"WITH {SCALED}, s AS (SELECT s.chunk_pos, round(list_sum(list_transform(list_zip(s.embedding, q.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS score FROM scaled s, (SELECT embedding FROM scaled WHERE chunk_pos = 7) q) SELECT chunk_pos, round(score, 6) AS score, row_number() OVER (ORDER BY score, chunk_pos) AS rank FROM s QUALIFY rank <= 24")
-def dense_l2_topk(spark, sf_dir):
+def nearest(spark, sf_dir, k: int, metric: str) -> DataFrame:
     vecs = scaled(spark, sf_dir)
-    top = dense.l2_topk(vecs, vector_of(vecs, 7), 24)
-    return top.select("chunk_pos", F.round("score", 6).alias("score"), F.row_number().over(W.orderBy("score", "chunk_pos")).cast("long").alias("rank"))
+    got = dense.batch_topk(vecs.select("chunk_pos", "embedding"), questions_of(vecs), k, metric)
+    return got.select("query_id", "chunk_pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-COSINE = f"{SCALED}, s AS (SELECT q.chunk_pos AS query_id, s.chunk_pos, round(list_dot_product(s.embedding, q.embedding) / (sqrt(list_dot_product(s.embedding, s.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 9) AS score FROM scaled s, (SELECT chunk_pos, embedding FROM scaled WHERE chunk_pos % 100 = 0) q)"
+ASKING = "(SELECT chunk_pos, embedding FROM scaled WHERE chunk_pos % 100 = 0) q"
 
 
-@query(f"WITH {COSINE} SELECT query_id::VARCHAR AS query_id, chunk_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos) AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH {SCALED}, s AS (SELECT q.chunk_pos AS query_id, s.chunk_pos, round(list_sum(list_transform(list_zip(s.embedding, q.embedding), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS score FROM scaled s, {ASKING}) SELECT query_id::VARCHAR AS query_id, chunk_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_pos) AS rank FROM s QUALIFY rank <= 24")
+def dense_l2_topk(spark, sf_dir):
+    return nearest(spark, sf_dir, 24, "l2")
+
+
+@query(f"WITH {SCALED}, s AS (SELECT q.chunk_pos AS query_id, s.chunk_pos, round(list_dot_product(s.embedding, q.embedding) / (sqrt(list_dot_product(s.embedding, s.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 9) AS score FROM scaled s, {ASKING}) SELECT query_id::VARCHAR AS query_id, chunk_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos) AS rank FROM s QUALIFY rank <= 10")
 def dense_cosine_topk(spark, sf_dir):
-    vecs = scaled(spark, sf_dir)
-    queries = [(str(r.chunk_pos), list(r.embedding)) for r in vecs.where("chunk_pos % 100 = 0").orderBy("chunk_pos").collect()]
-    got = dense.batch_topk(vecs.select("chunk_pos", "embedding"), queries, 10, "cosine")
-    return got.select("query_id", "chunk_pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return nearest(spark, sf_dir, 10, "cosine")
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v FROM e WHERE vec_id = 3), s AS (SELECT vec_id, (SELECT sum(m) FROM (SELECT i, max(list_dot_product(q.v[8*i+1:8*i+8], e.v[8*j+1:8*j+8]) / (greatest(sqrt(list_dot_product(q.v[8*i+1:8*i+8], q.v[8*i+1:8*i+8])), 1e-12) * greatest(sqrt(list_dot_product(e.v[8*j+1:8*j+8], e.v[8*j+1:8*j+8])), 1e-12))) AS m FROM range(8) a(i), range(8) b(j) GROUP BY i)) AS maxsim FROM e, q WHERE vec_id % 5 = 0) SELECT vec_id, round(maxsim, 6) AS maxsim FROM s")
-def maxsim(spark, sf_dir):
-    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
-    q = vector_of(vecs, 3)
-    return vecs.where("chunk_pos % 5 = 0").select(F.col("chunk_pos").alias("vec_id"), F.round(vectors.maxsim(vectors.slots(q, 8), vectors.slots("embedding", 8)), 6).alias("maxsim"))
+def unscaled(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+
 
+def slots_sql(candidates: str) -> str:
+    """query_id, vec_id, maxsim over pairs with the vectors qv and ev: cosines of slots of eight, the best of each, summed."""
+    part = lambda v, i: f"{v}[8*{i}+1:8*{i}+8]"
+    a, b = part("qv", "i"), part("ev", "j")
+    cos = f"list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-12) * greatest(sqrt(list_dot_product({b}, {b})), 1e-12))"
+    return f"x AS (SELECT query_id, vec_id, i, max({cos}) AS m FROM {candidates}, range(8) a(i), range(8) b(j) GROUP BY query_id, vec_id, i), ms AS (SELECT query_id, vec_id, sum(m) AS maxsim FROM x GROUP BY query_id, vec_id)"
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5), q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3), c AS (SELECT vec_id, e.v, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 96),
-    x AS (SELECT vec_id, score, i, max(list_dot_product(q.v[8*i+1:8*i+8], c.v[8*j+1:8*j+8]) / (sqrt(list_dot_product(q.v[8*i+1:8*i+8], q.v[8*i+1:8*i+8])) * sqrt(list_dot_product(c.v[8*j+1:8*j+8], c.v[8*j+1:8*j+8])))) AS m FROM c, q, range(8) a(i), range(8) b(j) GROUP BY vec_id, score, i),
-    s AS (SELECT vec_id, score, round(sum(m), 9) AS maxsim FROM x GROUP BY vec_id, score) SELECT vec_id, round(maxsim, 6) AS maxsim, round(score, 6) AS score FROM s ORDER BY s.maxsim DESC, s.score DESC, vec_id LIMIT 6""")
+
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, q.v AS qv, e.v AS ev FROM e, e q WHERE q.vec_id % 100 = 0), {slots_sql('p')} SELECT query_id::VARCHAR AS query_id, vec_id, round(maxsim, 6) AS maxsim FROM ms")
+def maxsim(spark, sf_dir):
+    """The stated queries against all vectors, in blocks of queries."""
+    vecs, out = unscaled(spark, sf_dir), None
+    asked_for = questions_of(vecs)
+    for lo in range(0, len(asked_for), dense.BLOCK):
+        block = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("v")) for q, v in asked_for[lo : lo + dense.BLOCK])))
+        scored = vecs.select("chunk_pos", "embedding", block.alias("q")).select("q.query_id", F.col("chunk_pos").alias("vec_id"), F.round(vectors.maxsim(vectors.slots("q.v", 8), vectors.slots("embedding", 8)), 6).alias("maxsim"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, q.v AS qv, e.v AS ev, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM e, e q WHERE q.vec_id % 100 = 0 AND e.label = 3),
+    p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id::VARCHAR) <= 96), {slots_sql('p')},
+    s AS (SELECT ms.query_id, ms.vec_id, round(maxsim, 9) AS maxsim, score FROM ms JOIN p ON p.query_id = ms.query_id AND p.vec_id = ms.vec_id)
+    SELECT query_id::VARCHAR AS query_id, vec_id, round(maxsim, 6) AS maxsim, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.maxsim DESC, s.score DESC, vec_id::VARCHAR) AS rank FROM s QUALIFY rank <= 6""")
 def visual_retrieval(spark, sf_dir):
     """The payload filter stands below the cut, then the coarse list, then late interaction."""
-    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    q = vector_of(vecs, 3)
-    coarse = dense.cosine_topk(vecs.where("label < 5"), q, 96).join(vecs.drop("label"), "chunk_pos")
-    top, _ = rerank.maxsim_rerank(coarse, q, 8, 6, "chunk_pos")
-    return top.select(F.col("chunk_pos").alias("vec_id"), F.round("maxsim", 6).alias("maxsim"), F.round("score", 6).alias("score"))
+    vecs = unscaled(spark, sf_dir)
+    patches = vecs.select(F.col("chunk_pos").cast("string").alias("patch_id"), "embedding", F.col("label").cast("string").alias("pdf_sha256"))
+    top = corpus.retrieve_patches_batch(patches, questions_of(vecs), Settings(), "3")
+    return top.select("query_id", F.col("patch_id").cast("long").alias("vec_id"), F.round("maxsim", 6).alias("maxsim"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- fusion and the whole retrieval ---
 
 
-def dense_leg(queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def dense_leg(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_pos, rank by the hashing embedder."""
-    scored = dense.hashed_cosine(dense.hashed_terms(terms), "chunk_pos", queries)
+    scored = dense.hashed_cosine(dense.hashed_terms(postings), "chunk_pos", queries)
     return retrieval.ranked(scored, [F.desc("score"), F.col("chunk_pos")], k).select("query_id", "chunk_pos", "score", "rank")
 
 
@@ -337,17 +358,15 @@ FUSED = f"""{SPARSE}, {DENSE}, legs AS (SELECT query_id, chunk_pos, 1.0 / (60 +
     summed AS (SELECT query_id, chunk_pos, round(sum(share::DOUBLE), 12) AS rrf, min(seen) AS first_seen FROM legs GROUP BY query_id, chunk_pos), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first_seen) AS rank FROM summed)"""
 
 
-def legs_of(spark, sf_dir, n: int):
-    chunks, queries = chunk_rows(documents(spark, sf_dir)), asked(spark, sf_dir, n)
-    tables = sparse.tables(chunks)
-    return chunks, queries, tables, dense_leg(queries, tables[0], 24)
+def legs_of(spark, sf_dir):
+    (chunks, terms), queries = indexed(spark, sf_dir), asked(spark, sf_dir)
+    return chunks, queries, terms, dense_leg(queries, terms.postings, 24)
 
 
-@query(f"WITH {ASKED.format(n=6)}, {FUSED} SELECT query_id, chunk_pos, round(rrf, 9) AS rrf, rank FROM fused")
+@query(f"WITH {ASKED}, {FUSED} SELECT query_id, chunk_pos, round(rrf, 9) AS rrf, rank FROM fused")
 def rrf_hybrid(spark, sf_dir):
-    chunks, queries, tables, left = legs_of(spark, sf_dir, 6)
-    right = sparse.sparse_topk(queries, chunks, *tables, 24)
-    got = fusion.fuse([left, right], key="chunk_pos")
+    _, queries, terms, left = legs_of(spark, sf_dir)
+    got = fusion.fuse([left, sparse.sparse_topk(queries, terms, 24)], key="chunk_pos")
     return got.select("query_id", "chunk_pos", F.round("rrf", 9).alias("rrf"), F.col("fused_rank").cast("long").alias("rank"))
 
 
@@ -355,9 +374,9 @@ FILTER = """flagged AS (SELECT d.query_id, d.chunk_pos, d.rank, c.page_end >= 5
     kept AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) AS passed FROM flagged) SELECT query_id, chunk_pos, rank, passed > 0 AS filtered, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM kept WHERE ok OR passed = 0 QUALIFY n <= 5"""
 
 
-@query(f"WITH {ASKED.format(n=8)}, {TERMS}, {DENSE}, {FILTER.format(wide=0)}")
+@query(f"WITH {ASKED}, {TERMS}, {DENSE}, {FILTER.format(wide=0)}")
 def page_filter_fallback(spark, sf_dir):
-    chunks, queries, _, found = legs_of(spark, sf_dir, 8)
+    chunks, queries, _, found = legs_of(spark, sf_dir)
     lo = 5 * F.col("query_id").cast("int")
     kept = fusion.filter_or_all(found.join(chunks, "chunk_pos"), fusion.overlaps(lo, lo), 5)
     return kept.select("query_id", "chunk_pos", F.col("rank").cast("long").alias("rank"), "filtered", F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("long").alias("n"))
@@ -381,25 +400,23 @@ def with_cue(queries: DataFrame) -> DataFrame:
     return queries.withColumn("query", F.concat("query", F.when(n == 0, " figure chart").when(n == 1, " table").otherwise(" image")))
 
 
-@query(f"WITH {ASKED.format(n=6)}, {TERMS}, {DENSE}, {Q2}, {BONUS} SELECT d.query_id, d.chunk_pos, round(bonus, 6)::DOUBLE AS bonus, row_number() OVER (PARTITION BY d.query_id ORDER BY bonus DESC, d.rank) AS rank FROM dense d JOIN bonus b ON b.query_id = d.query_id AND b.chunk_pos = d.chunk_pos")
+@query(f"WITH {ASKED}, {TERMS}, {DENSE}, {Q2}, {BONUS} SELECT d.query_id, d.chunk_pos, round(bonus, 6)::DOUBLE AS bonus, row_number() OVER (PARTITION BY d.query_id ORDER BY bonus DESC, d.rank) AS rank FROM dense d JOIN bonus b ON b.query_id = d.query_id AND b.chunk_pos = d.chunk_pos")
 def metadata_boost(spark, sf_dir):
-    chunks, queries, _, found = legs_of(spark, sf_dir, 6)
+    chunks, queries, _, found = legs_of(spark, sf_dir)
     hits = found.join(chunks, "chunk_pos").join(with_cue(queries), "query_id")
     return rerank.metadata_rerank(hits).select("query_id", "chunk_pos", F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH a0 AS (SELECT item_id::VARCHAR AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') || CASE item_id % 3 WHEN 0 THEN ' figure chart' WHEN 1 THEN ' table' ELSE ' image' END AS query FROM benchmark WHERE item_id < 6), asked AS (SELECT query_id, query FROM a0), q2 AS (SELECT * FROM asked), {FUSED}, {BONUS},
+@query(f"""WITH a0 AS (SELECT item_id::VARCHAR AS query_id, text || CASE item_id % 3 WHEN 0 THEN ' figure chart' WHEN 1 THEN ' table' ELSE ' image' END AS query FROM benchmark), asked AS (SELECT query_id, query FROM a0), q2 AS (SELECT * FROM asked), {FUSED}, {BONUS},
     flagged AS (SELECT f.*, page_start <= 12 AND page_end >= 3 AS ok FROM fused f JOIN chunks c USING (chunk_pos)), k AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY query_id) AS passed FROM flagged),
     cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM k WHERE query_id::INT % 2 = 1 OR ok OR passed = 0 QUALIFY n <= 24)
     SELECT c.query_id, c.chunk_pos, round(rrf, 9) AS score, round(bonus, 6)::DOUBLE AS bonus, row_number() OVER (PARTITION BY c.query_id ORDER BY bonus DESC, c.rank) AS rank FROM cut c JOIN bonus b ON b.query_id = c.query_id AND b.chunk_pos = c.chunk_pos QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY bonus DESC, c.rank) <= 5""")
 def hybrid_full(spark, sf_dir):
-    """Six questions, half of them with a page clause, through the whole retrieval as one plan."""
-    chunks, queries = chunk_rows(documents(spark, sf_dir)), with_cue(asked(spark, sf_dir, 6))
-    settings = Settings()
+    """Every question, half of them with a page clause, through the whole retrieval as one plan."""
+    (chunks, terms), queries, settings = indexed(spark, sf_dir), with_cue(asked(spark, sf_dir)), Settings()
     clause = F.when(F.col("query_id").cast("int") % 2 == 0, F.lit(" on pages 4-13")).otherwise(F.lit(""))
     plain = retrieval.questions(queries.withColumn("query", F.concat("query", clause)), settings)
-    tables = sparse.tables(chunks)
-    hits = retrieval.hybrid(plain, chunks, dense_leg(plain, tables[0], settings.dense_pool), *tables, settings)
+    hits = retrieval.hybrid(plain, chunks, dense_leg(plain, terms.postings, settings.dense_pool), terms, settings)
     return hits.select("query_id", "chunk_pos", F.round("score", 9).alias("score"), F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -411,17 +428,18 @@ def multi_hop_merge(spark, sf_dir):
     return fusion.merge_passes(first, second, 3).select("query_id", "chunk_id", F.col("merged_rank").cast("long").alias("rank"))
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id, v FROM e WHERE vec_id < 64), s AS (SELECT e.vec_id AS query_id, c.vec_id AS pos, round(list_cosine_similarity(e.v, c.v), 9) AS similarity FROM e, c WHERE e.vec_id % 3 = 0) SELECT query_id::VARCHAR AS query_id, 'a' || arg_max(pos, (similarity, -pos)) AS answer, round(max(similarity), 6) AS similarity FROM s GROUP BY query_id HAVING max(similarity) >= 0.5")
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id, v FROM e ORDER BY vec_id % 97 DESC, vec_id DESC LIMIT 256), s AS (SELECT e.vec_id AS query_id, c.vec_id AS pos, round(list_cosine_similarity(e.v, c.v), 9) AS similarity FROM e, c) SELECT query_id::VARCHAR AS query_id, 'a' || arg_max(pos, (similarity, -pos)) AS answer, round(max(similarity), 6) AS similarity FROM s GROUP BY query_id HAVING max(similarity) >= 0.5")
 def cache_probe(spark, sf_dir):
+    """Every vector asks the cache, which holds as many entries as its limit allows."""
     vecs = table(spark, sf_dir, "embeddings")
-    held = vecs.where("vec_id < 64").select(F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"), "embedding", F.col("vec_id").alias("pos"))
-    queries = vecs.where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
-    return cache.probe(queries, held, 0.5).select("query_id", "answer", F.round("similarity", 6).alias("similarity"))
+    entries = vecs.select(F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"), "embedding", F.col("vec_id").alias("pos"), F.pmod("vec_id", F.lit(97)).cast("double").alias("created_ts"))
+    queries = vecs.select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    return cache.probe(queries, cache.newest(entries, 256), 0.5).select("query_id", "answer", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_id < 2000 QUALIFY row_number() OVER (ORDER BY event_id % 97 DESC, event_id DESC) <= 256")
+@query("SELECT event_id, value FROM events QUALIFY row_number() OVER (ORDER BY event_id % 97 DESC, event_id DESC) <= 256")
 def cache_evict(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", "value", F.pmod("event_id", F.lit(97)).cast("double").alias("created_ts"), F.col("event_id").alias("pos"))
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.pmod("event_id", F.lit(97)).cast("double").alias("created_ts"), F.col("event_id").alias("pos"))
     return cache.newest(rows, 256).select("event_id", "value")
 
 
@@ -434,12 +452,16 @@ def upsert_keeps_last(spark, sf_dir):
 # --- folds, tables, images, evaluation ---
 
 
-@query("""WITH RECURSIVE o AS (SELECT source, doc_id, greatest(1, floor(length(text) / 2.0)::BIGINT + 1) AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
-    f AS (SELECT source, doc_id, n, need, 1 AS cnt, need AS used, 0::BIGINT AS batch_no FROM o WHERE n = 1 UNION ALL
-          SELECT o.source, o.doc_id, o.n, o.need, CASE WHEN f.cnt = 12 OR f.used + o.need > 20000 THEN 1 ELSE f.cnt + 1 END, CASE WHEN f.cnt = 12 OR f.used + o.need > 20000 THEN o.need ELSE f.used + o.need END, CASE WHEN f.cnt = 12 OR f.used + o.need > 20000 THEN f.batch_no + 1 ELSE f.batch_no END FROM f JOIN o ON o.source = f.source AND o.n = f.n + 1)
-    SELECT source, doc_id, need, batch_no FROM f""")
+@query("""WITH RECURSIVE w AS (SELECT source, doc_id, text, unnest(range(0, length(text), 1000)) AS start FROM documents), c AS (SELECT source, doc_id * 1000000 + start // 1000 AS chunk_pos, greatest(1, floor(length(substr(text, start + 1, 1200)) / 2.0)::BIGINT + 1) AS need FROM w),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_pos) AS n FROM c),
+    f AS (SELECT source, chunk_pos, n, need, 1 AS cnt, need AS used, 0::BIGINT AS batch_no FROM o WHERE n = 1 UNION ALL
+          SELECT o.source, o.chunk_pos, o.n, o.need, CASE WHEN f.cnt = 12 OR f.used + o.need > 5000 THEN 1 ELSE f.cnt + 1 END, CASE WHEN f.cnt = 12 OR f.used + o.need > 5000 THEN o.need ELSE f.used + o.need END, CASE WHEN f.cnt = 12 OR f.used + o.need > 5000 THEN f.batch_no + 1 ELSE f.batch_no END FROM f JOIN o ON o.source = f.source AND o.n = f.n + 1)
+    SELECT source, chunk_pos, need, batch_no FROM f""")
 def embed_batches(spark, sf_dir):
-    return folds.embed_batches(documents(spark, sf_dir), 12, 20000, "source", "doc_id").select("source", "doc_id", "need", "batch_no")
+    """The windows of all documents, in requests of at most 12 texts and 5,000 tokens."""
+    cut = documents(spark, sf_dir).select("source", "doc_id", F.posexplode(text.windows("text", 1200, 200)).alias("n", "w"))
+    rows = cut.select("source", (F.col("doc_id") * 1_000_000 + F.col("n")).alias("chunk_pos"), "w.text")
+    return folds.embed_batches(rows, 12, 5000, "source", "chunk_pos", span=200_000_000).select("source", "chunk_pos", "need", "batch_no")
 
 
 PACK = f"""{CHUNKS}, h AS (SELECT chunk_pos % 50 AS query_id, *, row_number() OVER (PARTITION BY chunk_pos % 50 ORDER BY chunk_pos) AS rank FROM chunks),
@@ -559,12 +581,12 @@ def judge_means(spark, sf_dir):
     return evaluation.judge_means(judged(spark, sf_dir))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 5 + 1)::INT END AS faithfulness_to_reference, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 3 END AS clarity FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 5 + 1)::INT END AS factual_alignment_with_reference, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 3 END AS clarity FROM documents")
 def judge_json(spark, sf_dir):
     d = F.col("doc_id")
-    good = F.concat(F.lit('```json\n{"faithfulness_to_reference": '), (d % 5 + 1).cast("string"), F.lit(', "use_of_gold_context": 2, "handling_of_visual_or_numeric_claims": 5, "clarity": 3, "overall": 1}\n```'))
+    good = F.concat(F.lit('```json\n{"factual_alignment_with_reference": '), (d % 5 + 1).cast("string"), F.lit(', "completeness_vs_reference": 2, "handling_of_visual_or_numeric_claims": 5, "clarity": 3, "overall": 1}\n```'))
     reply = F.when(d % 4 == 0, F.lit('{"clarity": 9}')).otherwise(good)
-    return documents(spark, sf_dir).select("doc_id", text.judge_scores(reply).alias("s")).select("doc_id", "s.faithfulness_to_reference", "s.clarity")
+    return documents(spark, sf_dir).select("doc_id", text.judge_scores(reply).alias("s")).select("doc_id", "s.factual_alignment_with_reference", "s.clarity")
 
 
 @query("SELECT table_id, name AS \"column\", rows, numbers FROM (SELECT p_size % 5 AS table_id, count(*) AS rows, count(*) AS numbers, 'price' AS name FROM part GROUP BY 1 UNION ALL SELECT 100 + p_size % 5, count(*), count(*) FILTER (p_partkey % 3 <> 0), 'mixed' FROM part GROUP BY 1)")

@@ -18,6 +18,6 @@ PATCHES = (
 CACHE = "embedding array<double>, answer string, created_ts double"
 GOLD_ROWS = "question string, ground_truth_context string, ground_truth_answer string, page_number string, context_content_type string"
 EVAL_ROWS = f"{GOLD_ROWS}, generated_answer string, retrieved_contexts array<string>, notes array<string>"
-JUDGE = "faithfulness_to_reference int, use_of_gold_context int, handling_of_visual_or_numeric_claims int, clarity int, overall int"
+JUDGE = "factual_alignment_with_reference int, completeness_vs_reference int, handling_of_visual_or_numeric_claims int, clarity int, overall int"
 
 CHUNK_KINDS = ("narrative", "pdf_table", "pdf_image")

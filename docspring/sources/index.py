@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspring.functions import ids
+from docspring.operators import sparse
 from docspring.operators.batching import keep_last
 
 FORMAT = "docspring_index_v1"
@@ -73,25 +76,31 @@ def freshness_key(spark: SparkSession, path: str) -> str:
 
 
 class TermTables:
-    """Term tables of the latest state of each index, kept in memory until the index changes."""
+    """The index of terms beside each index, made again when that changes."""
 
     def __init__(self):
-        self.held: dict[str, tuple[str, DataFrame, DataFrame]] = {}
+        self.held: dict[str, tuple[str, sparse.TermIndex]] = {}
 
-    def get(self, spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool]:
-        """terms, lengths, and whether they were there already."""
-        from docspring.operators import sparse
-
-        key, held = freshness_key(spark, path), self.held.get(path)
+    def get(self, spark: SparkSession, path: str) -> tuple[sparse.TermIndex, bool]:
+        """The index of terms, and whether it was there already."""
+        key, held = freshness_key(spark, f"{path}/chunks"), self.held.get(path)
         if held and held[0] == key:
-            return held[1], held[2], True
-        if held:
-            held[1].unpersist()
-            held[2].unpersist()
-        chunks = load_index(spark, path)
-        terms, lengths = sparse.term_table(chunks).persist(), sparse.lengths(chunks).persist()
-        self.held[path] = (key, terms, lengths)
-        return terms, lengths, False
+            return held[1], True
+        made = sparse.term_index(load_index(spark, path), f"{path}/terms")
+        self.held[path] = (key, made)
+        return made, False
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder for tables of one session, where driver and executors both reach it: in spark.checkpoint.dir, or on one
+    machine alone in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docspring-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/docspring/{label}-{uuid.uuid4().hex}"
 
 
 def reset_collection(spark: SparkSession, path: str, vector_size: int) -> None:
@@ -102,12 +111,21 @@ def reset_collection(spark: SparkSession, path: str, vector_size: int) -> None:
 
 
 def upsert_points(chunks: DataFrame, path: str) -> DataFrame:
-    """Chunks with vectors as points; of one chunk id the last overwrites the others. Returns what was written."""
+    """Chunks with vectors as points, over those that are stored: of one chunk id the last of the batch overwrites the others,
+    and points that the batch doesn't name stay. Returns all points."""
     spark = chunks.sparkSession
     size = json.loads(read_text(spark, f"{path}/{MANIFEST}"))["size"]
     good = F.when(F.size("embedding") == size, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector isn't of size {size}")))
     points = keep_last(chunks, "chunk_id", "chunk_pos").withColumns({"point_id": ids.point_uuid("chunk_id"), "embedding": good})
-    points.write.mode("overwrite").parquet(f"{path}/points")
+    target, fs = _fs(spark, f"{path}/points")
+    if fs.exists(target):
+        old = spark.read.parquet(f"{path}/points")
+        points = points.unionByName(old.join(points.select("point_id"), "point_id", "left_anti"), allowMissingColumns=True)
+    staged, _ = _fs(spark, f"{path}/points.new")
+    points.write.mode("overwrite").parquet(f"{path}/points.new")  # beside, since the old points are read meanwhile
+    fs.delete(target, True)
+    fs.rename(staged, target)
+    spark.catalog.refreshByPath(f"{path}/points")
     return spark.read.parquet(f"{path}/points")
 
 

@@ -1,6 +1,7 @@
 """Operators on small inline rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def test_clip_and_wrap(spark):
 
 
 def test_judge_scores(spark):
-    body = '{"faithfulness_to_reference": 5, "use_of_gold_context": 1, "handling_of_visual_or_numeric_claims": 2, "clarity": 3, "overall": 4}'
+    body = '{"factual_alignment_with_reference": 5, "completeness_vs_reference": 1, "handling_of_visual_or_numeric_claims": 2, "clarity": 3, "overall": 4}'
     assert one(spark, text.judge_scores(F.lit(f"```json\n{body}\n```"))).asDict()["overall"] == 4
     assert one(spark, text.judge_scores(F.lit(body.replace("5", "6")))) is None
     assert one(spark, text.judge_scores(F.lit("nothing"))) is None
@@ -118,10 +119,17 @@ def test_fusion(spark):
         fusion.fuse([legs(spark, [])], 60, [1.0, 2.0])
 
 
-def test_windows():
-    assert fusion.page_window(10, 12) == (9, 11) and fusion.page_window(None, 5) == (0, 4) and fusion.page_window(None, None) is None
-    assert fusion.intersect((9, 11), (0, 4)) is None  # disjoint: no filter
-    assert fusion.intersect((2, 8), (5, 20)) == (5, 8) and fusion.intersect(None, (1, 2)) == (1, 2)
+def test_windows(spark):
+    def window(*ends):
+        w = one(spark, fusion.intersect_columns(*(F.lit(x).cast("long") for x in ends)))
+        return w and (w.lo, w.hi)
+
+    assert window(9, 11, None, None) == (9, 11) and window(None, 4, None, None) == (0, 4) and window(*[None] * 4) is None
+    assert window(9, 11, 0, 4) is None  # disjoint: no filter
+    assert window(2, 8, 5, 20) == (5, 8)
+    asked = spark.createDataFrame([("q", "what on pages 4-8"), ("r", "what")], "query_id string, query string")
+    got = {r.query_id: (r.query, r.lo, r.hi) for r in retrieval.questions(asked, Settings(page_filter_min=6, page_filter_max=None)).collect()}
+    assert got == {"q": ("what", 5, 7), "r": ("what", 5, fusion.OPEN)}
 
 
 def test_filter_falls_back(spark):
@@ -144,21 +152,22 @@ def corpus(spark):
     return spark.createDataFrame(rows, "chunk_pos long, chunk_id string, text string")
 
 
-def test_bm25_keeps_zeros_and_counts_repeats(spark):
-    chunks = corpus(spark)
-    terms, lengths = sparse.term_table(chunks), sparse.lengths(chunks)
+def test_bm25_keeps_zeros_and_counts_repeats(spark, tmp_path):
+    terms = sparse.term_index(corpus(spark), str(tmp_path / "t"))
     asked = spark.createDataFrame([("q", "beta beta nothing"), ("n", "nothing")], "query_id string, query string")
-    got = sparse.sparse_topk(asked, chunks, terms, lengths, 3).orderBy("query_id", "rank").collect()
+    got = sparse.sparse_topk(asked, terms, 3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.chunk_pos, r.score > 0) for r in got] == [("n", 0, False), ("n", 1, False), ("n", 2, False), ("q", 0, True), ("q", 1, False), ("q", 2, False)]
     n, dl, avg = 5, 3, 8 / 5
     idf = math.log(n - 1 + 0.5) - math.log(1.5)
     assert got[3].score == pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * dl / avg)), abs=1e-6)
+    again = sparse.load_terms(spark, str(tmp_path / "t"))
+    assert (again.n, again.avgdl, again.mean) == (terms.n, terms.avgdl, terms.mean)
 
 
-def test_bm25_negative_scores_lose_to_zeros(spark):
+def test_bm25_negative_scores_lose_to_zeros(spark, tmp_path):
     chunks = spark.createDataFrame([(i, f"c{i}", "same" if i < 3 else "") for i in range(4)], "chunk_pos long, chunk_id string, text string")
     asked = spark.createDataFrame([("q", "same")], "query_id string, query string")
-    got = sparse.sparse_topk(asked, chunks, sparse.term_table(chunks), sparse.lengths(chunks), 2).orderBy("rank").collect()
+    got = sparse.sparse_topk(asked, sparse.term_index(chunks, str(tmp_path / "t")), 2).orderBy("rank").collect()
     assert got[0].chunk_pos == 3 and got[0].score == 0 and got[1].score < 0
 
 
@@ -168,7 +177,7 @@ def test_bonus_overrides_rank(spark):
     assert [round(r.bonus, 2) for r in got] == [1.6, 0.25, 0.0]
     kept, note = rerank.cross_encoder_rerank(hits, None)
     assert kept is hits and note
-    scored, _ = rerank.cross_encoder_rerank(hits.withColumn("text", F.col("section_hint")), lambda q, t: float(len(t)))
+    scored, _ = rerank.cross_encoder_rerank(hits.withColumn("text", F.col("section_hint")), lambda pairs: [float(len(t)) for _, t in pairs])
     assert [r.section_hint for r in scored.orderBy("rank").collect()] == ["Revenue by year", "revenue", ""]
 
 
@@ -179,6 +188,16 @@ def test_dense_clamps_and_breaks_ties(spark):
     for metric in ("l2", "cosine"):
         got = dense.batch_topk(vecs, [("q", [0.0, 1.0]), ("r", [1.0, 0.0])], 2, metric).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.chunk_pos) for r in got] == [("q", 0), ("q", 2), ("r", 1), ("r", 3)]
+        named = dense.batch_topk(vecs.withColumn("chunk_pos", F.concat(F.lit("p"), F.col("chunk_pos").cast("string"))), [("q", [0.0, 1.0])], 2, metric).orderBy("rank").collect()
+        assert [r.chunk_pos for r in named] == ["p0", "p2"]
+    assert dense.batch_topk(vecs, [], 2).count() == 0
+
+
+def test_queries_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 2)
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "chunk_pos long, embedding array<float>")
+    got = dense.batch_topk(vecs, [(str(i), [float(i), 1.0]) for i in range(5)], 1).collect()
+    assert {(r.query_id, r.chunk_pos) for r in got} == {(str(i), i) for i in range(5)}
 
 
 def test_newest_bears_the_whole_table(spark, sf_dir):
@@ -200,6 +219,9 @@ def test_cache(spark, tmp_path):
     assert store.lookup(spark, [1.0, 0.0], 0.95)[0] == "a2" and store.lookup(spark, [0.0, 1.0], 0.95) is None
     assert store.lookup(spark, [1.0, 0.0, 0.0], 0.5) is None
     (tmp_path / "c.json").write_text("broken")
+    five = spark.createDataFrame([("a", [1.0], i) for i in range(5)], "answer string, embedding array<double>, pos long")
+    with pytest.raises(ValueError, match="evict"):
+        cache.probe(five.select(F.lit("q").alias("query_id"), "embedding"), five, most=4)
     assert store.entries() == [] and cache.shared_cache("x") is cache.shared_cache("x")
     assert cache.eligible(None, None, None) and not cache.eligible((1, 2), None, None)
 
@@ -218,6 +240,18 @@ def test_embed_batches(spark):
     assert [r.batch_no for r in folds.embed_batches(big, 250, 2000).orderBy("chunk_pos").collect()] == [0, 1, 2]
     with pytest.raises(Exception, match="budget"):
         folds.embed_batches(big, 250, 100).collect()
+    rnd = random.Random(1)
+    sizes = [(rnd.choice(["a", "b", None]), i, rnd.randrange(1, 120)) for i in range(600)]
+    many = spark.createDataFrame([(g, i, "x" * n) for g, i, n in sizes], "corpus string, chunk_pos long, text string")
+    want = {}
+    for g in ("a", "b", None):
+        n = used = no = 0
+        for _, i, size in (x for x in sizes if x[0] == g):
+            if n == 9 or n and used + size // 2 + 1 > 300:
+                n, used, no = 0, 0, no + 1
+            n, used, want[i] = n + 1, used + size // 2 + 1, no
+    for span in (1, 7, 50, 10_000):  # ranges of any size give the same fold
+        assert {r.chunk_pos: r.batch_no for r in folds.embed_batches(many, 9, 300, span=span).collect()} == want
     with pytest.raises(ValueError):
         folds.embed_batches(big, 0)
 
@@ -236,6 +270,11 @@ def test_layout(spark):
     assert len(texts["t"]) == 399 and texts["t"].endswith("...[truncated]")
 
 
+def test_layout_runs_count_cleaned_texts(spark):
+    spans = spark.createDataFrame([("d", "s1", 0, 0.0, 0.0, 1.0, 1.0, "a" + " " * 30 + "b", 0), ("d", "s2", 0, 0.0, 2.0, 1.0, 3.0, "c" * 20, 1)], SPAN)
+    assert [r.text for r in chunking.layout_runs(spans, 40).collect()] == ["a b " + "c" * 20]
+
+
 def test_chunks(spark):
     pages = spark.createDataFrame([("d", 0, "alpha " * 20), ("d", 1, " "), ("d", 2, "beta " * 20), ("e", 0, "short")], "doc_id string, page_index int, text string")
     got = chunking.page_chunks(pages, 80, 10).where("doc_id = 'd'").orderBy("n").collect()
@@ -274,10 +313,10 @@ def test_evaluation(spark, tmp_path):
     assert [r.row_no for r in evaluation.worst(rows).collect()] == [2] and evaluation.worst(rows, 0).count() == 0
     whole = dict.fromkeys(evaluation.CRITERIA, 4)
     report = {"retrieval_config": {"a|b": 1}, "ragas_summary_mean": {"zeta": nan, "faithfulness": 0.5}, "ragas_by_context_content_type": [{"context_content_type": "t", "faithfulness": 0.25}], "per_row_ragas": [{"faithfulness": nan}, {"faithfulness": 0.1, "user_input": "why\n?"}], "llm_judge": [{"scores": {"error": "x"}}, {"scores": whole}]}
-    evaluation.write_report(str(tmp_path / "r.json"), report)
+    evaluation.write_report(spark, str(tmp_path / "r.json"), report)
     md = (tmp_path / "r.md").read_text()
     assert "a\\|b" in md and "| faithfulness | 0.500 |\n| zeta | — |" in md and "Failures: **1**" in md and "why<br>?" in md
-    assert "_No scores._" in evaluation.markdown_report({})
+    assert "_No scores._" in evaluation.markdown_report(spark, {})
 
 
 def test_multi_hop(spark):

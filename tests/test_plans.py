@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
+from docspring.functions import models
 from docspring.operators import cache, sparse
 from docspring.plans import corpus, retrieval
 from docspring.sources import documents, index
@@ -35,7 +36,7 @@ def test_ingest_and_answer(spark, files, tmp_path):
     points = spark.read.parquet(f"{settings.index_path}/collections/{settings.collection}/points")
     assert points.count() == chunks.select("chunk_id").distinct().count()
     tables, embed = index.TermTables(), corpus.hashed_embedder()
-    assert [tables.get(spark, settings.index_path)[2] for _ in range(2)] == [False, True]
+    assert [tables.get(spark, settings.index_path)[1] for _ in range(2)] == [False, True]
     store = cache.AnswerCache(settings.cache_path)
     got = corpus.answer(spark, "what fell in the second quarter", chunks, embed, settings, tables=tables, store=store)
     assert "costs fell" in got["answer"] and got["hits"][0].page_start == 1 and got["notes"] == ["multi_hop_done"]
@@ -70,25 +71,46 @@ def test_gold_questions(spark, tmp_path):
         documents.gold_questions(spark, str(tmp_path / "h.csv"))
 
 
-def test_evaluate(spark, sf_dir):
+def test_requests_keep_their_limits(spark, tmp_path):
+    """The model is called with the batches of the fold, whole and in order."""
+    rows = spark.createDataFrame([(i, "x" * n, b) for i, (n, b) in enumerate([(3, 0), (5, 0), (7, 1), (2, 1), (1, 1), (9, 2)])], "chunk_pos long, text string, batch_no long")
+    calls = lambda: lambda texts: [[float(len(texts)), float(len(t))] for t in texts]
+    got = {r.chunk_pos: list(r.embedding) for r in models.embedded_requests(rows, calls).collect()}
+    assert got == {0: [2, 3], 1: [2, 5], 2: [3, 7], 3: [3, 2], 4: [3, 1], 5: [1, 9]}
+
+
+def test_upsert_keeps_the_other_points(spark, tmp_path):
+    path = str(tmp_path / "c")
+    index.reset_collection(spark, path, 2)
+    batch = lambda *rows: spark.createDataFrame(rows, "chunk_id string, chunk_pos long, text string, embedding array<float>")
+    assert index.upsert_points(batch(("a", 0, "old", [1.0, 0.0]), ("b", 1, "b", [1.0, 0.0])), path).count() == 2
+    got = {r.chunk_id: r.text for r in index.upsert_points(batch(("a", 0, "x", [1.0, 0.0]), ("a", 1, "new", [1.0, 0.0]), ("c", 2, "c", [1.0, 0.0])), path).collect()}
+    assert got == {"a": "new", "b": "b", "c": "c"}
+    with pytest.raises(Exception, match="size 2"):
+        index.upsert_points(batch(("d", 0, "d", [1.0])), path)
+    assert spark.read.parquet(f"{path}/points").count() == 3
+
+
+def test_evaluate(spark, sf_dir, tmp_path):
     from docspring import queries
 
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
-    gold = queries.asked(spark, sf_dir, 3).select("query_id", F.col("query").alias("question"), F.col("query").alias("ground_truth_context"), F.lit("a").alias("ground_truth_answer"), F.lit("1").alias("page_number"), F.lit("table").alias("context_content_type"))
-    legs = queries.dense_leg(gold.select("query_id", F.col("question").alias("query")), sparse.term_table(chunks), 24)
-    report = corpus.evaluate(gold, chunks, legs, sparse.term_table(chunks), sparse.lengths(chunks), Settings(), judge=lambda x: "no scores here")
+    gold = queries.asked(spark, sf_dir).where("query_id < 3").select("query_id", F.col("query").alias("question"), F.col("query").alias("ground_truth_context"), F.lit("a").alias("ground_truth_answer"), F.lit("1").alias("page_number"), F.lit("table").alias("context_content_type"))
+    terms = sparse.term_index(chunks, str(tmp_path / "t"))
+    legs = queries.dense_leg(gold.select("query_id", F.col("question").alias("query")), terms.postings, 24)
+    report = corpus.evaluate(gold, chunks, legs, terms, Settings(), judge=lambda x: "no scores here")
     assert len(report["per_row_ragas"]) == 3 and 0 < report["ragas_summary_mean"]["lexical_context_recall"] <= 1 and len(report["llm_judge"]) == 3 and all("error" in r["scores"] for r in report["llm_judge"])
     with pytest.raises(SystemExit):
-        corpus.evaluate(gold.limit(0), chunks, legs, sparse.term_table(chunks), sparse.lengths(chunks), Settings())
+        corpus.evaluate(gold.limit(0), chunks, legs, terms, Settings())
 
 
-def test_dense_fallback(spark, sf_dir):
+def test_dense_fallback(spark, sf_dir, tmp_path):
     from docspring import queries
 
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
-    asked = retrieval.questions(queries.asked(spark, sf_dir, 2), Settings())
-    legs = queries.dense_leg(asked, sparse.term_table(chunks), 24)
-    local, remote = retrieval.dual(asked, chunks, legs, legs, None, None, Settings())
+    asked = retrieval.questions(queries.asked(spark, sf_dir).where("query_id < 2"), Settings())
+    legs = queries.dense_leg(asked, sparse.term_index(chunks, str(tmp_path / "t")).postings, 24)
+    local, remote = retrieval.dual(asked, chunks, legs, legs, None, Settings())
     assert local.count() == remote.count() == 10
 
 
