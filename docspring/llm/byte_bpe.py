@@ -1,5 +1,5 @@
 """Byte-level BPE (8): prefix dynamic programming. For each byte prefix of a piece the one last token that its encoding
-can end with is stored; an append extends the table, an edit drops it from the edit on."""
+can end with is stored; an append extends the table, an edit makes it anew until its entries are the old ones again."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,8 +17,8 @@ from docspring.llm.common import as_bytes
 
 #: Fixed value: the White_Space characters of Unicode, as the rank files' own library reads \s.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks, pieces and token pairs that a Python worker keeps of each kind.
-KEPT = 400_000
+#: Chunks, pieces and token pairs that a Python worker keeps of each kind, and the characters of a chunk or piece at most.
+KEPT, LONG = 400_000, 64
 
 
 def plain_pattern(pattern: str) -> str:
@@ -26,7 +27,7 @@ def plain_pattern(pattern: str) -> str:
 
 
 class PrefixTable:
-    """The encoding of one growing byte string. last[i] is the last token of the encoding of the first i bytes."""
+    """The encoding of one byte string that grows and changes. last[i] is the last token of the encoding of the first i bytes."""
 
     def __init__(self, codec: Codec, data: bytes = b""):
         self.codec, self.data, self.last = codec, b"", [-1]
@@ -35,22 +36,38 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Entries of shorter prefixes stay as they are."""
         self.data += more
-        data, last, ranks, pairs, longest = self.data, self.last, self.codec.ranks, self.codec.pairs, self.codec.longest
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (not start or pairs[last[start], token]):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
-
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Bytes start to end become new; prefixes up to start keep their entries."""
-        tail = self.data[end:]
-        self.data = self.data[:start]
+        self._fill([])
+
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Bytes start to end become new. Prefixes up to start keep their entries; behind the edit, entries are made anew until
+        as many as the longest token has bytes are what they were, and so are all that follow. Returns how many were made."""
+        before = self.last[end + 1 :]
+        self.data = self.data[:start] + new + self.data[end:]
         del self.last[start + 1 :]
-        self.append(new + tail)
+        return self._fill(before)
+
+    def _fill(self, before: list[int]) -> int:
+        """before: the entries that the last prefixes had."""
+        last, sizes, pairs, longest = self.last, self.codec.sizes, self.codec.pairs, self.codec.longest
+        want = begin = len(last)
+        tail, agreed = len(self.data) + 1 - len(before), 0
+        for at, token in self.codec.automaton.iter(self.data.decode("latin-1"), max(0, begin - longest)):
+            if at + 1 != want:
+                if at + 1 < want:
+                    continue
+                break
+            start = want - sizes[token]
+            if pairs[last[start], token] if start else self.codec.splits[token] is not False:
+                last.append(token)
+                if want >= tail:
+                    agreed = agreed + 1 if before[want - tail] == token else 0
+                    if agreed == longest:
+                        last += before[want - tail + 1 :]
+                        return want + 1 - begin
+                want += 1
+        if want <= len(self.data):
+            raise ValueError(f"byte {self.data[want - 1]} is not in the vocabulary")
+        return want - begin
 
     def ids(self) -> list[int]:
         out, end, tokens = [], len(self.data), self.codec.tokens
@@ -60,8 +77,30 @@ class PrefixTable:
         return out[::-1]
 
 
+class Splits(dict):
+    """token -> the two tokens that its last merge joins; None for a single byte, False if merges don't lead to it."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, token: int):
+        data, ranks = self.codec.tokens[token], self.codec.ranks
+        parts, got = [data[i : i + 1] for i in range(len(data))], None
+        while len(parts) > 1:
+            rank, at = min(((r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None), default=(None, 0))
+            if rank is None:
+                break
+            if len(parts) == 2:
+                got = ranks[parts[0]], ranks[parts[1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self[token] = got = got if len(parts) == 1 else False
+        return got
+
+
 class Pairs(dict):
-    """(left, right) -> whether the merges leave exactly these two tokens of their joined bytes."""
+    """(left, right) -> whether the merges leave exactly these two tokens of their joined bytes: going back through the merges
+    that make them, the latest first, no merge across the boundary would have come earlier."""
 
     def __init__(self, codec: Codec):
         super().__init__()
@@ -70,10 +109,28 @@ class Pairs(dict):
     def __missing__(self, pair: tuple[int, int]) -> bool:
         if len(self) >= 4 * KEPT:
             self.clear()
-        left, right = (self.codec.tokens[x] for x in pair)
-        self[pair] = got = self.codec.merge(left + right) == [left, right]
+        self[pair] = got = self.stay(*pair)
         return got
 
+    def stay(self, left: int, right: int) -> bool:
+        tokens, ranks, splits = self.codec.tokens, self.codec.ranks, self.codec.splits
+        a, b = splits[left], splits[right]
+        if a is False or b is False:
+            return False
+        limit = len(ranks) + max(left, right)
+        while True:
+            across = ranks.get(tokens[left] + tokens[right])
+            if across is not None and across < limit:
+                return False
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                limit, left = left, a[1]
+                a = splits[left]
+            else:  # of equal merges the leftmost comes first: the one across the boundary
+                limit, right = right + 1, b[0]
+                b = splits[right]
+
 
 class Pieces(dict):
     def __init__(self, codec: Codec):
@@ -81,11 +138,13 @@ class Pieces(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= KEPT:
-            self.clear()
         raw = piece.encode()
         one = self.codec.ranks.get(raw)
-        self[piece] = got = [one] if one is not None else PrefixTable(self.codec, raw).ids()
+        got = [one] if one is not None else PrefixTable(self.codec, raw).ids()
+        if len(piece) <= LONG:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = got
         return got
 
 
@@ -97,15 +156,16 @@ class Chunks(dict):
         self.codec, self.first = codec, first
 
     def __missing__(self, chunk: str) -> str | None:
-        if len(self) >= KEPT:
-            self.clear()
         word = chunk[1:] if chunk.startswith("\n") and not self.first else chunk
         if not word or word.split() != [word]:
             got = None
         else:
             whole = word if self.first else chunk if word is not chunk else " " + word
             got = "".join(f",{i}" for i in self.codec.encode_plain(whole))
-        self[chunk] = got
+        if len(chunk) <= LONG:
+            if len(self) >= KEPT:
+                self.clear()
+            self[chunk] = got
         return got
 
 
@@ -117,19 +177,16 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: b for b, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        self.sizes = [0] * (max(self.tokens) + 1)
+        self.automaton = ahocorasick.Automaton()  # finds all tokens that end at a byte
+        for b, i in self.ranks.items():
+            self.sizes[i] = len(b)
+            self.automaton.add_word(b.decode("latin-1"), i)
+        self.automaton.make_automaton()
         self.split = regex.compile(plain_pattern(pattern)).findall
-        self.pairs, self.pieces = Pairs(self), Pieces(self)
+        self.splits, self.pairs, self.pieces = Splits(self), Pairs(self), Pieces(self)
         self.head, self.rest = Chunks(self, True), Chunks(self, False)
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Lowest rank first, leftmost of equals: the definition, for short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while True:
-            rank, at = min(((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None), default=(None, 0))
-            if rank is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
     def encode_plain(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.pieces[piece]]
 

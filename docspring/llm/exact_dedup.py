@@ -1,49 +1,74 @@
 """Exact dedup (4): a log-structured merge index of digests. Memtables flush sorted runs with Bloom filters, compaction
-merges the runs of a digest range, and texts that hit the same digest are compared byte by byte."""
+merges the runs of a digest range, rows probe the filters of the compacted runs, and texts that hit a digest are compared
+byte by byte with the one that stays."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspring.llm.common import as_bytes, lower_ascii, partitions, stored, trimmed
+from docspring.llm.common import Scratch, as_bytes, lower_ascii, partitions, trimmed
 
 #: Digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
-#: Digest ranges, each with its own tree of runs. A power of two; raise it with the table (about 1e6 digests a range).
+#: Digest ranges, each with its own tree of runs: a power of two to 65,536; raise it with the table (about 1e6 digests a range).
 RANGES = 256
+#: Bits of the filters over the compacted runs of all ranges together, which are sent to every task: a longer index's filters
+#: let more pass, and rows are only moved in vain.
+FILTER_BITS = 1 << 26
 #: Copies of one text that are compared in one task; larger groups are dealt out to several.
 COPIES_A_TASK = 64
 
 
-class Run:
-    """Sorted digests of 16 bytes, with the identifier that stays and the number of rows of each, and a Bloom filter."""
+def range_of(digests: np.ndarray) -> np.ndarray:
+    """The range of each digest of 16 bytes, by its first two."""
+    first = np.frombuffer(digests.tobytes(), ">u2")[::8].astype(np.int64)
+    return first * RANGES >> 16
 
-    def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray):
-        self.digests, self.ids, self.counts = digests, ids, counts
-        self.bits = max(64, 1 << (10 * len(digests)).bit_length())
-        self.filter = np.zeros(self.bits, bool)
+
+class Filter:
+    """A Bloom filter over digests of 16 bytes, about ten bits for each and `most` at most (powers of two)."""
+
+    def __init__(self, digests: np.ndarray, most: int = 1 << 62):
+        self.bits = min(max(64, 1 << (10 * len(digests)).bit_length()), max(64, most))
+        held = np.zeros(self.bits, bool)
         for at in self._places(digests):
-            self.filter[at] = True
+            held[at] = True
+        self.packed = np.packbits(held, bitorder="little")
+
+    @classmethod
+    def of(cls, packed: bytes) -> Filter:
+        out = cls.__new__(cls)
+        out.packed, out.bits = np.frombuffer(packed, np.uint8), 8 * len(packed)
+        return out
 
     def _places(self, digests: np.ndarray) -> list[np.ndarray]:
         a, b = np.frombuffer(digests.tobytes(), np.uint64).reshape(-1, 2).T
         return [(a + np.uint64(k) * b) & np.uint64(self.bits - 1) for k in range(4)]
 
     def may_hold(self, digests: np.ndarray) -> np.ndarray:
-        """False: certainly not in this run."""
-        return np.logical_and.reduce([self.filter[at] for at in self._places(digests)])
+        """False: certainly not in here."""
+        return np.logical_and.reduce([(self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0 for at in self._places(digests)])
+
+
+class Run:
+    """Sorted digests of 16 bytes, with the identifier that stays and the number of rows of each, and their filter."""
+
+    def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.digests, self.ids, self.counts = digests, ids, counts
+        self.filter = Filter(digests)
 
     def find(self, digests: np.ndarray) -> np.ndarray:
         """Where each digest stands in this run, -1 if nowhere; only what passes the filter is searched."""
         out = np.full(len(digests), -1)
         if len(self.digests):
-            (maybe,) = np.nonzero(self.may_hold(digests))
+            (maybe,) = np.nonzero(self.filter.may_hold(digests))
             at = np.minimum(np.searchsorted(self.digests, digests[maybe]), len(self.digests) - 1)
             out[maybe] = np.where(self.digests[at] == digests[maybe], at, -1)
         return out
@@ -116,7 +141,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
     of the one that stays are compared with it whole, and where an address turns out to hold different texts its rows are
     grouped again by the texts themselves.
     """
-    spark, largest = docs.sparkSession, keep == "max"
+    spark, largest, scratch = docs.sparkSession, keep == "max", Scratch(docs.sparkSession)
 
     def flush_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(largest)
@@ -125,52 +150,71 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
             for i, x in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 index.add(digest((x or b"").lower())[:16], none if i is None else i)
         for run in index.runs():
-            part = np.frombuffer(run.digests.tobytes(), np.uint8)[::16].astype(np.int64) * RANGES // 256
+            part = range_of(run.digests)
             edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
             cuts = list(zip(edges[:-1], edges[1:], strict=True))
             yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[lo]) for lo, _ in cuts], pa.int32())} | {k: pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for k, x in (("digests", run.digests), ("ids", run.ids), ("counts", run.counts))})
 
     def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Index] = {}
+        """For each range its filter, and the digests that two rows or more have; one range after the other."""
         none = np.iinfo(np.int64).min if largest else np.iinfo(np.int64).max
-        for batch in batches:
-            for part, digests, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part, Index(largest)).add_run(Run(np.frombuffer(digests, "S16"), np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)))
-        for index in held.values():
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for part, rows in groupby(flat, key=lambda r: r[0]):
+            index = Index(largest)
+            for _, digests, ids, counts in rows:
+                index.add_run(Run(np.frombuffer(digests, "S16"), np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)))
             run = index.compacted()
             (more,) = np.nonzero(run.counts > 1)
             ids, raw = run.ids[more], run.digests[more].tobytes()
-            yield pa.RecordBatch.from_pydict({"address": pa.array([raw[k : k + 16] for k in range(0, len(raw), 16)], pa.binary()), "keep_id": pa.array(ids, pa.int64(), mask=ids == none), "group_size": pa.array(run.counts[more])})
+            columns = [pa.array([raw[k : k + 16] for k in range(0, len(raw), 16)], pa.binary()), pa.array(ids, pa.int64(), mask=ids == none), pa.array(run.counts[more], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(more), pa.int32()), pa.nulls(len(more), pa.binary()), *columns], names=names)
+            packed = Filter(run.digests[more], FILTER_BITS // RANGES).packed.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary()), *(pa.nulls(1, c.type) for c in columns)], names=names)
 
     def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = {part: Filter.of(packed) for part, packed in filters.items()}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lowered = [(x or b"").lower() for x in as_bytes(batch.column(1))]
             full = [digest(x) for x in lowered]
             sha = full if digest is sha256 else map(sha256, lowered)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": batch.column(1), "address": pa.array([x[:16] for x in full], pa.binary()), "text_sha256": [x.hex() for x in sha]})
+            digests = np.frombuffer(b"".join(x[:16] for x in full), "S16")
+            part, maybe = range_of(digests), np.zeros(len(full), bool)
+            for p in np.unique(part).tolist():
+                if p in probes:
+                    (at,) = np.nonzero(part == p)
+                    maybe[at] = probes[p].may_hold(digests[at])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": batch.column(1), "address": pa.array([x[:16] for x in full], pa.binary()), "text_sha256": [x.hex() for x in sha], "maybe": pa.array(maybe)})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [(a or b"").lower() == (b or b"").lower() for a, b in zip(as_bytes(batch["text"]), as_bytes(batch["keep_text"]), strict=True)]
             yield pa.RecordBatch.from_pydict({k: batch[k] for k in ("doc_id", "address", "text_sha256", "keep_id", "group_size")} | {"same": pa.array(same, pa.bool_())})
 
+    names = ["part", "filter", "address", "keep_id", "group_size"]
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     runs = plain.mapInArrow(trimmed(flush_runs), "part int, digests binary, ids binary, counts binary")
-    groups = stored(runs.repartition(partitions(spark), "part").mapInArrow(trimmed(merge_runs), "address binary, keep_id long, group_size long"), "groups")
-    rows = plain.mapInArrow(trimmed(addressed), "doc_id long, text string, address binary, text_sha256 string")
-    # the same join at every size: copies are found by a shuffle, not by sending the groups to every executor
-    copies = stored(rows.join(groups.hint("merge"), "address"), "copies")
+    index = scratch.stored(runs.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(trimmed(merge_runs), "part int, filter binary, address binary, keep_id long, group_size long"), "index")
+    filters = {r.part: bytes(r.filter) for r in index.where("filter is not null").select("part", "filter").collect()}  # FILTER_BITS / 8 bytes at most
+    groups = index.where("address is not null").select("address", "keep_id", "group_size")
+    rows = plain.mapInArrow(trimmed(addressed), "doc_id long, text string, address binary, text_sha256 string, maybe boolean")
+    # the same join at every size; only rows that pass a filter are moved
+    probed = scratch.stored(rows.where("maybe").drop("maybe").join(groups.hint("merge"), "address", "left"), "probed")
+    copies = probed.where("group_size is not null")
 
     # each copy meets the text that stays in one of size / COPIES_A_TASK places, so that no group lands in one task
     salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / COPIES_A_TASK)).cast("int")
     stays = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("address").agg(F.min("text").alias("keep_text"), F.max("group_size").alias("group_size"))
     stays = stays.select("address", "keep_text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     salted = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    checked = stored(salted.join(stays.hint("merge"), ["address", "salt"]).mapInArrow(trimmed(compared), "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
+    checked = scratch.stored(salted.join(stays.hint("merge"), ["address", "salt"]).mapInArrow(trimmed(compared), "doc_id long, address binary, text_sha256 string, keep_id long, group_size long, same boolean"), "checked")
+    nothing_else = rows.where(~F.col("maybe")).unionByName(probed.where("group_size is null").select("doc_id", "text", "address", "text_sha256", F.lit(False).alias("maybe")))
 
     columns = ("doc_id", "keep_id", "group_size", "text_sha256")
-    single = rows.join(groups.hint("merge"), "address", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    single = nothing_else.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     shared = checked.where(~F.col("same")).select("address").distinct()
+    scratch.drop(probed, checked)
     if shared.isEmpty():
         out = single.unionByName(checked.select(*columns))
     else:

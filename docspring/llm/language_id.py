@@ -18,11 +18,9 @@ from pyspark.sql import Window as W
 
 from docspring.llm.common import as_bytes, slices
 
-#: The bounded sample that the machines are fitted on: rows at most, over all languages and of one.
+#: The bounded sample that the machines are fitted on: rows at most, over all languages (but one of each) and of one.
 SAMPLE_ROWS = 3000
 SAMPLE_ROWS_A_LANGUAGE = 500
-#: Languages learned at most, the most frequent first.
-LANGUAGES = 60
 BUCKETS = 8192
 SCALE = 12.0
 UNKNOWN = "und"
@@ -72,23 +70,26 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[kept], counts[begins]
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent; y is +1 or -1, the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    alpha, w, norms = np.zeros(len(x)), np.zeros(x.shape[1], np.float64), np.einsum("ij,ij->i", x, x).astype(np.float64)
+def fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, norms: np.ndarray, cost: float = 10.0, rounds: int = 40) -> np.ndarray:
+    """Linear support vector machine over these rows of x by dual coordinate descent; y is +1 or -1, norms are those of the
+    rows of x with a one for the bias, and the last weight is the bias. x itself isn't copied."""
+    alpha, w, bias = np.zeros(len(rows)), np.zeros(x.shape[1], np.float64), 0.0
     limits = np.where(y > 0, cost * len(y) / max(1, 2 * (y > 0).sum()), cost * len(y) / max(1, 2 * (y < 0).sum()))
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norms[i], 0.0), limits[i])
+        for i in order.permutation(len(rows)):
+            row = x[rows[i]]
+            new = min(max(alpha[i] - (y[i] * (row @ w + bias) - 1) / norms[rows[i]], 0.0), limits[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * row
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w.astype(np.float32)
+    return np.append(w, bias).astype(np.float32)
 
 
 @dataclass
@@ -106,16 +107,17 @@ class Model:
         families = sorted({family(a) for a in names})
         labels = np.array(languages)
         of = np.array([family(a) for a in languages])
+        norms = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1
         machines, columns = [], []
         if len(families) > 1:
             for f in families:
                 machines.append(("family", f, None))
-                columns.append(fit_machine(x, np.where(of == f, 1.0, -1.0)))
+                columns.append(fit_machine(x, np.arange(len(x)), np.where(of == f, 1.0, -1.0), norms))
         for f in families:
             for a, b in combinations([n for n in names if family(n) == f], 2):
-                rows = (labels == a) | (labels == b)
+                rows = np.flatnonzero((labels == a) | (labels == b))
                 machines.append((f, a, b))
-                columns.append(fit_machine(x[rows], np.where(labels[rows] == a, 1.0, -1.0)))
+                columns.append(fit_machine(x, rows, np.where(labels[rows] == a, 1.0, -1.0), norms))
         return Model(names, machines, np.array(columns, np.float32).T if columns else np.zeros((BUCKETS + 1, 0), np.float32))
 
     def table(self) -> np.ndarray:
@@ -157,13 +159,17 @@ def has_letter(text: bytes) -> bool:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, rows_a_language: int = SAMPLE_ROWS_A_LANGUAGE) -> DataFrame:
-    """doc_id of labelled rows, by a hash of the id: as many of each language, within both bounds. docs has doc_id, text, lang."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    top = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    n = max(1, top.count())
-    each = max(1, min(rows_a_language, rows // n))
-    ranked = labelled.join(F.broadcast(top.select("lang")), "lang").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    return ranked.where(F.col("n") <= each).select("doc_id", "lang")
+    """lang and text of labelled rows, by a hash of id and text: as many of each language, within both bounds, but one of each
+    language at least. Rows of one id are rows each. docs has doc_id, text, lang.
+
+    A language's rows are thinned to some 2 * n + 200 of n asked for, by their hash, before any are ranked."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("least"))
+    each = max(1, min(rows_a_language, rows // max(1, counts.count())))
+    share = F.lit(2 * each + 200) / F.col("c")
+    thin = labelled.join(counts, "lang").where((F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share) | (F.col("h") == F.col("least")))
+    ranked = thin.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
+    return ranked.where(F.col("n") <= each).select("lang", "text")
 
 
 def features(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -184,10 +190,8 @@ def features(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, rows_a_language: int = SAMPLE_ROWS_A_LANGUAGE) -> Model | None:
-    """docs: doc_id, text, lang of the rows to learn from. None without a labelled row."""
-    chosen = sample(docs, rows, rows_a_language)
-    ids = chosen.select("doc_id").distinct()  # at most `rows` ids
-    x, languages = features(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi"))
+    """docs: doc_id, text, lang of the rows to learn from; every value of lang is learned. None without a labelled row."""
+    x, languages = features(sample(docs, rows, rows_a_language))
     return Model.fit(x, languages) if languages else None
 
 
@@ -197,7 +201,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     A null text, one without a letter, and every text without a model are "und" with score 0. Ties go to the language first
     by name. Repeated rows get the same answer; an empty table gives no rows; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each machine, of at most LANGUAGES languages
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each machine, whatever the number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ END_ID = 1
 LEAST_CUT = 64
 #: Tokens that one task packs together before it writes its windows.
 GROUP_TOKENS = 4_000_000
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a Python worker keeps, and their characters at most.
+KEPT_WORDS, LONG = 400_000, 64
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,29 +132,54 @@ def merge_table(tokenizer) -> dict[bytes, int]:
     return {bytes(map(table.__getitem__, token)): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if token not in added}
 
 
+def is_plain(path: str) -> bool:
+    """Whether the tokenizer's file says what the leaner engine assumes: no normaliser, a byte-level splitter of this pattern
+    without a space in front, merges in the order of their ids, and no exceptions from them."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, splitter = file["model"], file.get("pre_tokenizer") or {}
+    vocab = model.get("vocab", {})
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [vocab.get("".join(m), -1) for m in merges]
+    return (
+        model.get("type", "BPE") == "BPE"
+        and file.get("normalizer") is None
+        and splitter.get("type") == "ByteLevel"
+        and not splitter.get("add_prefix_space", True)
+        and splitter.get("use_regex", True)
+        and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and all(a < b for a, b in zip([-1, *made[:-1]], made, strict=True))
+        and len(set(vocab) - {"".join(m) for m in merges}) == 256 + len({t["content"] for t in file.get("added_tokens", [])} & set(vocab))
+        and set(byte_of_symbol()) <= set(vocab)
+    )
+
+
 class WordIds(dict):
-    """Chunk -> its ids as little-endian bytes. A chunk is what stands between two single spaces, with "\\n" in front where
-    a line begins; the split pattern always cuts there. Chunks with other white space hold None: their text is encoded whole."""
+    """Chunk -> its ids as little-endian bytes. A chunk is what stands between two single spaces, with "\n" in front where
+    a line begins; the split pattern always cuts there. Chunks with other white space give None: their text is encoded whole.
+    At most KEPT_WORDS chunks of at most LONG characters are kept."""
 
     def __init__(self, encode, first: bool = False):
         super().__init__()
         self.encode, self.first = encode, first
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
         word = chunk[1:] if chunk.startswith("\n") and not self.first else chunk
         if not word or word.split() != [word]:
             got = None
         else:
             got = array("I", self.encode(word if self.first else chunk if word is not chunk else " " + word)).tobytes()
-        self[chunk] = got
+        if len(chunk) <= LONG:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[chunk] = got
         return got
 
 
 class Encoder:
-    """Ids of whole texts, the same as the tokenizer's for the whole text. New words go through its merge table in a leaner
-    engine; texts whose white space may join words go through the tokenizer itself."""
+    """Ids of whole texts, the same as the tokenizer's for the whole text. If its file is as is_plain() says, new words go
+    through its merge table in a leaner engine; texts whose white space may join words, and all texts of other files, go
+    through the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -162,17 +188,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=merge_table(self.tokenizer), special_tokens={}).encode_ordinary
-        self.head, self.rest = WordIds(words, first=True), WordIds(words)
+        self.head = self.rest = None
+        if is_plain(path):
+            words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=merge_table(self.tokenizer), special_tokens={}).encode_ordinary
+            self.head, self.rest = WordIds(words, first=True), WordIds(words)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        head, *rest = text.replace("\n", " \n").split(" ")
-        try:
-            return self.head[head] + b"".join(map(self.rest.__getitem__, rest))
-        except TypeError:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.rest is not None:
+            head, *rest = text.replace("\n", " \n").split(" ")
+            try:
+                return self.head[head] + b"".join(map(self.rest.__getitem__, rest))
+            except TypeError:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspring.llm import chat, jaccard_join, language_id, line_dedup, quality, substring_dedup
 
@@ -373,6 +375,58 @@ def test_language_id(spark, sf_dir):
     assert {r.lang_pred for r in language_id.predict(docs.limit(5), one).collect()} == {"en"}
 
 
+def test_language_sample_keeps_its_bounds(spark):
+    """Repeated ids and rows don't enlarge the sample, null ids take part, and every language is learned."""
+    rows = [(i % 3, f"text {i}", "en") for i in range(400)] + [(5, "the same", "de")] * 900 + [(None, f"null {i}", "fr") for i in range(4)] + [(i, "x", f"l{i:03}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r.lang for r in language_id.sample(docs, 100_000, 50).collect())
+    assert got["en"] == got["de"] == 50 and got["fr"] == 4 and len(got) == 93
+    assert set(Counter(r.lang for r in language_id.sample(docs, 100, 50).collect()).values()) == {1}  # one of each at least
+    model = language_id.train(docs.where("lang like 'l00%'"))
+    assert model.languages == [f"l{i:03}" for i in range(10)]
+
+
+def test_language_votes_and_ties():
+    """Families by margin, then votes, then sums of margins, then names: against a plain count."""
+    languages, rnd = ["de", "en", "nl", "es", "fr", "xx"], np.random.default_rng(4)
+    families = sorted({language_id.family(a) for a in languages})
+    machines = [("family", f, None) for f in families] + [(f, a, b) for f in families for a, b in combinations([n for n in sorted(languages) if language_id.family(n) == f], 2)]
+    model = language_id.Model(sorted(languages), machines, np.zeros((1, len(machines)), np.float32))
+    margins = rnd.choice([-1.0, -0.5, 0.0, 0.5, 1.0], (500, len(machines)))  # many ties
+    names, scores = model.decide(margins)
+    sure = lambda m: 1 / (1 + np.exp(-2 * m))
+    for row, name, score in zip(margins, names, scores, strict=True):
+        value = {m: v for m, v in zip(machines, row.tolist(), strict=True)}
+        best = max(families, key=lambda f: (value["family", f, None], -families.index(f)))
+        members = [a for a in sorted(languages) if language_id.family(a) == best]
+        votes, sums, shares = Counter(), Counter(), Counter()
+        for (f, a, b), v in value.items():
+            if f == best and b is not None:
+                votes[a if v >= 0 else b] += 1
+                sums[a] += v
+                sums[b] -= v
+                shares[a] += sure(v)
+                shares[b] += 1 - sure(v)
+        want = max(members, key=lambda a: (votes[a], sums[a], -members.index(a)))
+        assert name == want
+        assert score == pytest.approx(sure(value["family", best, None]) * (shares[want] / (len(members) - 1) if len(members) > 1 else 1))
+
+
+def test_margins_are_means_of_weights(spark):
+    """predict() against trigrams counted one by one."""
+    docs = rows_of(spark, ["the cat and the dog", "le chat et le chien", "der Hund und die Katze", "Żółć i ość"] * 3)
+    model = language_id.train(docs.select("doc_id", "text", F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "pl"])), (F.col("doc_id") % 4 + 1).cast("int")).alias("lang")))
+    bucket = language_id.bucket_of_gram()
+    for text in ("the cat sat", "un chien", "Ö" * 50, "a"):
+        symbols = [int(language_id._SYMBOLS[b]) for b in text.encode() + b"   "]
+        grams = [(symbols[i] << 12) | (symbols[i + 1] << 6) | symbols[i + 2] for i in range(len(symbols) - 2)]
+        grams = [g for g in grams if g]
+        margins = sum(model.weights[bucket[g]].astype(np.float64) for g in grams) * language_id.SCALE / max(1, len(grams)) + model.weights[-1]
+        names, scores = model.decide(margins[None, :])
+        got = language_id.predict(rows_of(spark, [text]), model).head()
+        assert got.lang_pred == names[0] and got.score == pytest.approx(float(scores[0]), abs=1e-4)
+
+
 def test_pipeline_near_copies(spark, sf_dir):
     """The stage takes five words and 80 %, on pairs that four words and 85 % leave, and op5 keeps its contract's values."""
     import corpus_pipeline

@@ -1,7 +1,9 @@
 """Operators 4, 6, 8 and 10 against plain definitions."""
 
 import base64
+import copy
 import hashlib
+import json
 import random
 import zlib
 
@@ -56,6 +58,55 @@ def test_prefix_table_appends_and_edits():
         text = text[:lo] + new + text[hi:]
         table.edit(lo, hi, new)
         assert table.ids() == enc._core_bpe.encode_single_piece(text)
+    long = bytes(rnd.choice(b"abcdeth ing") for _ in range(5000))
+    table = byte_bpe.PrefixTable(codec, long)
+    made = table.edit(100, 103, b"zz")  # the entries behind the edit soon are the old ones again
+    assert table.ids() == enc._core_bpe.encode_single_piece(long[:100] + b"zz" + long[103:]) and 2 < made < 500
+    assert len(table.last) == 5000
+
+
+def test_pairs_are_those_that_merges_leave():
+    codec, rnd = byte_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8)
+
+    def merged(data):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while found := [(codec.ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in codec.ranks]:
+            _, at = min(found)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    ids = list(codec.tokens)
+    for _ in range(4000):
+        a, b = rnd.choice(ids), rnd.choice([rnd.choice(ids), rnd.randrange(3000), rnd.randrange(256)])
+        if rnd.random() < 0.2:
+            b = a
+        if b in codec.tokens:
+            x, y = codec.tokens[a], codec.tokens[b]
+            assert codec.pairs[a, b] == (merged(x + y) == [x, y])
+
+
+def test_long_words_are_not_kept(spark):
+    codec = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    text = "a " + "xyz" * 5000 + " b"
+    assert codec.encode_joined(text) == ",".join(map(str, tiktoken_codec().encode_ordinary(text)))
+    encode = packing.Encoder(P.path("byte_bpe_50k.json"))
+    assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(len(k) <= 64 for d in (codec.rest, codec.pieces, encode.rest) for k in d)
+
+
+def test_packing_of_other_tokenizer_files(spark, tmp_path):
+    """A file that isn't as the leaner engine assumes goes through the tokenizer whole."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    assert packing.is_plain(P.path("byte_bpe_50k.json"))
+    for name, change in {"prefix": lambda x: x["pre_tokenizer"].update(add_prefix_space=True), "lower": lambda x: x.update(normalizer={"type": "Lowercase"}), "order": lambda x: x["model"]["merges"].reverse()}.items():
+        other = copy.deepcopy(file)
+        change(other)
+        (tmp_path / f"{name}.json").write_text(json.dumps(other))
+        encode = packing.Encoder(str(tmp_path / f"{name}.json"))
+        assert not packing.is_plain(str(tmp_path / f"{name}.json"))
+        for text in ("Some Words here", " and\nlines"):
+            assert encode(text) == np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_packing_covers_every_id_once(spark, sf_dir):
@@ -142,6 +193,11 @@ def test_index_levels():
     for k, (least, n) in want.items():
         at = [(r, r.find(np.array([k], "S16"))[0]) for r in runs]
         assert min(r.ids[j] for r, j in at if j >= 0) == least and sum(r.counts[j] for r, j in at if j >= 0) == n
+    mixed = np.array([hashlib.md5(b"%d" % i).digest() for i in range(4000)], "S16")
+    few = exact_dedup.Filter(mixed[:1000], 1 << 12)
+    assert few.may_hold(mixed[:1000]).all() and len(few.packed) == 512 and exact_dedup.Filter.of(few.packed.tobytes()).may_hold(mixed[:1000]).all()
+    assert exact_dedup.Filter(mixed[:1000]).may_hold(mixed[1000:]).mean() < 0.1
+    assert exact_dedup.range_of(np.array([b"\xff" * 16, b"\x01\x00" + b"a" * 14], "S16")).tolist() == [exact_dedup.RANGES - 1, exact_dedup.RANGES // 256]
     absent = np.array([b"%016d" % i for i in range(50)], "S16")
     assert all((r.find(absent) == -1).all() for r in runs)
 
@@ -163,15 +219,25 @@ def test_urls_against_plain_rules(spark):
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     want = {i: plain(u) for i, u in enumerate(urls)}
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df, rules).collect()} == want
-    split = df.select("page_id", "url", url_filters.host_of(df.url).alias("host"), url_filters.path_of(df.url).alias("path"))
-    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_by_join(split, url_filters.rule_table(spark, rules)).collect()} == want
     assert url_filters.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_any_characters_and_length(spark, monkeypatch):
+    rules = [("x.net/é/", "block"), ("x.net/日本", "allow"), ("y.net/ab", "block"), ("b.y.net/", "allow"), ("X.net/É", "block"), ("x.net/é/", "allow"), ("İ.net/", "block")]
+    urls = {"http://x.net/é/": "x.net/é/", "http://x.net/é/q": "x.net/é/", "http://x.net/日本語": "x.net/日本", "http://x.net/日": None, "http://b.y.net/ab": "b.y.net/", "http://y.net/abc": "y.net/ab", "http://x.net/Éa": "x.net/É", "http://İ.net/": "İ.net/", "http://x.net/" + "é" * 5000: None, "http://" + "x." * 300 + "net/é/" + "q" * 100_000: "x.net/é/"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdict = {"x.net/é/": "block", "x.net/日本": "allow", "y.net/ab": "block", "b.y.net/": "allow", "x.net/É": "block", "İ.net/": "block", None: "allow"}
+    for most in (1_000_000, 2):  # one file, and several
+        monkeypatch.setattr(url_filters.RuleFile.build, "__defaults__", (url_filters.RuleFile.build.__defaults__[0], most))
+        got = {r.url: (r.rule, r.verdict) for r in url_filters.judge_urls(df, rules).collect()}
+        assert got == {u: (r, verdict[r]) for u, r in urls.items()}
+    assert url_filters.judge_urls(df, []).where("verdict = 'allow' and rule is null").count() == len(urls)
+
+
 def test_rule_file_survives_collisions(tmp_path):
     rules = [(f"h{i}.example/p{i}", "block" if i % 2 else "allow") for i in range(50)]
     weak = lambda b: len(b) % 3
-    (tmp_path / "f").write_bytes(url_filters.RuleFile.build(rules, weak))
+    (tmp_path / "f").write_bytes(url_filters.RuleFile.build(rules, weak)[0])
     held = url_filters.RuleFile(str(tmp_path / "f"), weak)
     found = held.probe([r.encode() for r, _ in rules] + [b"h99.example/p1"])
     assert found[-1] == -1 and sorted(found[:-1].tolist()) == list(range(50))
