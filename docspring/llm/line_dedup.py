@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspring.llm.common import WORD, stored
+from docspring.llm.common import WORD, Scratch
 
 #: Consecutive lines that are deleted if they stand somewhere earlier.
 RUN = 3
@@ -46,18 +46,20 @@ def short_runs(base: DataFrame, run: int, words: int) -> DataFrame:
     return found.select("r.key", F.struct("__id", "__hash", "r.start", "r.n").alias("place"))
 
 
-def later_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+def later_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """__id, __hash and gone: the numbers (from 0) of the lines to delete, for the documents that have any.
 
     Places are ordered by doc_id, then line. Lines are compared without the spaces around them; those without a word take
     no part and stay. Documents of fewer than `run` lines have no runs, unless `words` is given: then runs of fewer lines
     but more words than that go too, and documents of fewer lines that are copies of an earlier one.
     """
+    docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    id_col, text_col = "id", "text"
     lines = F.transform(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1), lambda x, i: F.struct(F.xxhash64(trimmed(x)).alias("h"), i.alias("line"), (trimmed(x) != "").alias("full"), *([] if words is None else [F.regexp_count(x, F.lit(WORD)).alias("words")])))
     names = ["h", "line", *([] if words is None else ["words"])]
     plain = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: F.struct(*(x[c].alias(c) for c in names)))
     base = keyed(docs, id_col, text_col).select("__id", "__hash", plain.alias("lines")).where(F.size("lines") >= (run if words is None else 1)).distinct()
-    base = stored(base, "lines")
+    base = (scratch or Scratch(docs.sparkSession)).stored(base, "lines")
     long = base if words is None else base.where(F.size("lines") >= run)
 
     starts = F.sequence(F.lit(0), F.size("lines") - run)
@@ -83,14 +85,19 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     runs of more words and of whole shorter documents; __lines and __gone count the lines before and those deleted.
 
     Null texts stay null. Rows of one doc_id and text are one document, whatever their number; rows of one doc_id with
-    different texts are different documents. An empty table gives no rows. All columns are kept.
+    different texts are different documents. An empty table gives no rows. All columns are kept, whatever their names, but
+    __lines and __gone, which are replaced. A text's lines must fit into a row of Spark's.
     """
-    names = docs.columns
-    gone = stored(later_lines(docs, run, id_col, text_col, words), "gone")
-    rows = keyed(docs, id_col, text_col).withColumn("__split", F.split(F.col(text_col), "\n", -1)).drop(text_col)
+    names = [c for c in docs.columns if c not in ("__lines", "__gone")]
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.stored(later_lines(docs, run, id_col, text_col, words, scratch), "gone")
+    scratch.drop(gone)
+    # the caller's columns go in a struct, so that none clashes with those used here
+    packed = docs.select(F.struct(*(docs[c] for c in names if c != text_col)).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = keyed(packed, "id", "text").withColumn("split", F.split("text", "\n", -1)).drop("text", "id")
     # the same join at every size, and one that Spark splits where many copies meet
     joined = rows.join(gone.hint("merge"), ["__id", "__hash"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.array_join("__split", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("__split")[i]), "\n"))
-    counts = [F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone")]
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in names), *counts)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("split", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("split")[i]), "\n"))
+    counts = [F.coalesce(F.size("split"), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone")]
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names), *counts)

@@ -151,21 +151,23 @@ def is_plain(path: str) -> bool:
         and all(a < b for a, b in zip([-1, *made[:-1]], made, strict=True))
         and len(set(vocab) - {"".join(m) for m in merges}) == 256 + len({t["content"] for t in file.get("added_tokens", [])} & set(vocab))
         and set(byte_of_symbol()) <= set(vocab)
+        and all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and t["content"].split() == [t["content"]] for t in file.get("added_tokens", []))
     )
 
 
 class WordIds(dict):
     """Chunk -> its ids as little-endian bytes. A chunk is what stands between two single spaces, with "\n" in front where
-    a line begins; the split pattern always cuts there. Chunks with other white space give None: their text is encoded whole.
+    a line begins; the split pattern always cuts there. Chunks with other white space or one of the tokenizer's added tokens give None:
+    their text is encoded whole.
     At most KEPT_WORDS chunks of at most LONG characters are kept."""
 
-    def __init__(self, encode, first: bool = False):
+    def __init__(self, encode, added: list[str], first: bool = False):
         super().__init__()
-        self.encode, self.first = encode, first
+        self.encode, self.added, self.first = encode, added, first
 
     def __missing__(self, chunk: str) -> bytes | None:
         word = chunk[1:] if chunk.startswith("\n") and not self.first else chunk
-        if not word or word.split() != [word]:
+        if not word or word.split() != [word] or any(a in chunk for a in self.added):
             got = None
         else:
             got = array("I", self.encode(word if self.first else chunk if word is not chunk else " " + word)).tobytes()
@@ -187,11 +189,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.head = self.rest = None
         if is_plain(path):
             words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=merge_table(self.tokenizer), special_tokens={}).encode_ordinary
-            self.head, self.rest = WordIds(words, first=True), WordIds(words)
+            added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.head, self.rest = WordIds(words, added, first=True), WordIds(words, added)
 
     def __call__(self, text: str) -> bytes:
         if not text:

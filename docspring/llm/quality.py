@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspring.llm.common import IS_SPACE, as_bytes, covered, mix, slices, stored, trimmed, windows_of, words_of
+from docspring.llm.common import IS_SPACE, Scratch, as_bytes, covered, mix, slices, trimmed, windows_of, words_of
 
 #: A line is taken out of a host's documents if more distinct texts hold it than both of these.
 LIMIT_TEXTS = 20
@@ -79,12 +79,13 @@ def host_and_digest(host: Column, text: Column) -> list[Column]:
     return [F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("digest")]
 
 
-def verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit_texts: int = LIMIT_TEXTS, limit_share: float = LIMIT_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit_texts: int = LIMIT_TEXTS, limit_share: float = LIMIT_SHARE, scratch: Scratch | None = None) -> DataFrame:
     """One row for each distinct (host, digest of a text): the measures, base_failed, n_limited_words (words in lines above
     the limits), limited (those lines' keys) and kept.
 
     Equal texts of a host count once, so copies neither raise a line's frequency nor meet in one task. A null text counts
-    as empty, a null host as the empty host.
+    as empty, a null host as the empty host. Texts of any length are taken whole; one text's words must fit into a worker
+    (some 60 bytes for each of its bytes). Other columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text",
 
     text = docs[text_col].cast("string")
     measured = docs.select(*host_and_digest(docs[host_col], text), text.alias("text")).mapInArrow(trimmed(run), SCHEMA)
-    distinct = stored(measured.dropDuplicates(["host", "digest"]), "measures")
+    distinct = (scratch or Scratch(docs.sparkSession)).stored(measured.dropDuplicates(["host", "digest"]), "measures")
     lines = distinct.select("host", F.explode("line_keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > limit_texts)
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     above = lines.join(hosts, "host").where(F.col("texts") > limit_share * F.col("host_texts")).select("host", "key")
@@ -110,18 +111,21 @@ def verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text",
 
 def judged(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
     """doc_id and its verdict's columns, for each row of docs. Repeated rows are judged alike; an empty table gives no rows."""
-    found = stored(verdicts(docs, host_col, text_col, **limits).drop("limited"), "verdicts")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.stored(verdicts(docs, host_col, text_col, scratch=scratch, **limits).drop("limited"), "verdicts")
+    scratch.drop(found)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *host_and_digest(docs[host_col], docs[text_col].cast("string")))
     return rows.join(found, ["host", "digest"])
 
 
 def without_limited(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """The kept rows of docs with their own columns, the lines above the limits taken out of the texts. Texts without such
+    """The kept rows of docs with their own columns, whatever their names, the lines above the limits taken out of the texts. Texts without such
     lines stay as they are, byte for byte."""
-    names, n = docs.columns, docs.columns.index(text_col)
-    found = stored(verdicts(docs, host_col, text_col, **limits).where("kept").select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), F.col("limited").alias("__limited")), "kept")
+    names, n, scratch = docs.columns, docs.columns.index(text_col), Scratch(docs.sparkSession)
+    found = scratch.stored(verdicts(docs, host_col, text_col, scratch=scratch, **limits).where("kept").select("host", "digest", "limited"), "kept")
+    scratch.drop(found)
     host, digest = host_and_digest(docs[host_col], docs[text_col].cast("string"))
-    rows = docs.select("*", host.alias("__host"), digest.alias("__digest")).join(found, ["__host", "__digest"]).select(*names, "__limited")
+    rows = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(names)), host, digest).join(found, ["host", "digest"]).select(*(f"c{k}" for k in range(len(names))), "limited")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

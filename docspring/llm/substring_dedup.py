@@ -255,12 +255,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     word takes along the white space before it. A null text has no words and stays null. Repeated rows are documents of their
     own, so their windows repeat each other; texts shorter than a window lose nothing. An empty table gives no rows. Texts
     of any length are taken whole; one text's words and hashes must fit into a worker (some 60 bytes for each of its bytes).
-    docs may have columns of any names but the three that are added, __row and __text, which raise. Windows go by 64-bit
-    hashes.
+    Other columns, whatever their names, are kept, but those of the names that are added, which are replaced. Windows go by
+    64-bit hashes.
     """
     spark = docs.sparkSession
-    if taken := {"__words", "__removed", "__kept_words", "__row", "__text"} & set(docs.columns):
-        raise ValueError(f"columns of docs have names that are taken: {sorted(taken)}")
     scratch = Scratch(spark)
     base = min(base or math.ceil(window / 2), window)
     parts = max(PARTS, PARTS_A_TASK * partitions(spark))
@@ -311,7 +309,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
 
         return work
 
-    fields = docs.schema.fields
+    fields = [f for f in docs.schema.fields if f.name not in ("__words", "__removed", "__kept_words")]
     n = [f.name for f in fields].index(text_col)
     schema = T.StructType([T.StructField(f.name, T.StringType() if k == n else f.dataType) for k, f in enumerate(fields)] + [T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__kept_words", T.StringType())])
 
@@ -331,12 +329,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
                 before = np.maximum(previous[kept], words.begins[k]).tolist()
                 text = b"".join([words.data[b:e] for b, e in zip(before, words.ends[kept].tolist(), strict=True)]).lstrip()
             texts.append(text)
-        arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if f.name == text_col else batch[f.name] for f in fields]
+        arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if k == n else batch[f"c{k}"] for k in range(len(fields))]
         counts = np.diff(words.first).astype(np.int64)
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts), pa.array(removed, pa.int64()), pa.array(kept_words, pa.binary()).cast(pa.string())], names=schema.names)
 
     text = docs[text_col].cast("string")
-    rows = docs.select(*(docs[f.name] for f in fields if f.name != text_col), text.alias("__text"), row_name(docs, id_col, text).alias("__row"))
+    rows = docs.select(*(docs[f.name].alias(f"c{k}") for k, f in enumerate(fields) if k != n), text.alias("__text"), row_name(docs, id_col, text).alias("__row"))
     texts = rows.mapInArrow(trimmed(send_texts), ROWS)
     places = scratch.stored(compare(rows.select("__text", "__row").mapInArrow(trimmed(send_base), ROWS), parts), "level")
     size = base

@@ -113,7 +113,6 @@ def test_packing_covers_every_id_once(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["long word " * 5000]
     got = packing.pack_documents(documents(spark, texts), P.path("byte_bpe_50k.json")).collect()
     by_doc, by_seq = {}, {}
