@@ -97,6 +97,15 @@ ORACLE_SQL = {
         depth AS (SELECT w.doc_id, w.i, word, sum(coalesce(step, 0)) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS deep FROM w LEFT JOIN steps ON w.doc_id = steps.doc_id AND w.i = steps.i),
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) FILTER (deep = 0) AS kept, count(*) FILTER (deep > 0) AS n_removed FROM depth GROUP BY doc_id)
         SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^{SPACES}]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+        e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS top FROM d UNION SELECT e.x, r.top FROM r JOIN e ON e.y = r.doc_id)
+        SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(top) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op3_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+') AS words FROM documents),
         lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
