@@ -49,6 +49,12 @@ def corpus_digest(index_path: str, collection: str) -> str:
     return hashlib.sha256(f"{os.path.realpath(index_path)}\0{collection}".encode()).hexdigest()[:16]
 
 
+def cache_paths(template: str, index_path: str, collection: Column | str) -> Column:
+    """The same as cache_path() for a column of collections."""
+    d = F.substring(F.sha2(F.concat(F.lit(os.path.realpath(index_path)), F.lit("\0"), col(collection)), 256), 1, 16)
+    return F.concat(F.lit(template[:-5] + "_"), d, F.lit(".json")) if template.endswith(".json") else F.concat(F.lit(os.path.join(template, "")), d)
+
+
 def cache_path(template: str, index_path: str, collection: str) -> str:
     """One answer cache for each corpus: <stem>_<digest>.json, or a folder of that name."""
     d = corpus_digest(index_path, collection)

@@ -127,12 +127,16 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
     return {"answer": text, "hits": found, "similarity": None, "notes": list(notes.values())}
 
 
+def capped(gold: DataFrame, rows: int | None) -> DataFrame:
+    """The first questions by id, as many as are asked for; all without a number."""
+    return gold if rows is None else gold.orderBy("query_id").limit(rows)
+
+
 def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[str], str] | None = None, rows: int | None = None) -> dict:
     """All questions in one plan: hits, contexts, stand-in scores, means by type, judge, and the report's six parts.
 
     gold has query_id and the columns of labelled questions; dense_legs has query_id, chunk_pos and rank for them."""
-    if rows is not None:
-        gold = gold.orderBy("query_id").limit(rows)
+    gold = capped(gold, rows)
     if gold.isEmpty():
         raise SystemExit(2)
     asked = retrieval.questions(gold.select("query_id", F.col("question").alias("query")), settings)

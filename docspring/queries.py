@@ -618,3 +618,123 @@ def patch_rects(spark, sf_dir):
     w, h = (500 + 37 * F.col("n_nationkey")).cast("int"), (300 + 53 * F.col("n_nationkey")).cast("int")
     rect = geometry.pdf_rect(*(F.lit(float(x)) for x in (10, 20, 605, 862)), w, h, F.lit(192), F.lit(64), F.lit(256), F.lit(256))
     return table(spark, sf_dir, "nation").select("n_nationkey", geometry.patch_count(w, h, 256, 192).alias("n"), F.round(rect["x0"], 6).alias("x0"), F.round(rect["y1"], 6).alias("y1"))
+
+
+# --- sources, sinks and whole plans ---
+
+
+@query("SELECT item_id::VARCHAR AS query_id, sha256(text) AS query_sha256, length(text) AS query_char_length FROM benchmark")
+def trace_rows(spark, sf_dir):
+    return index.trace_rows(asked(spark, sf_dir))
+
+
+CLAUSED = "CASE item_id % 4 WHEN 0 THEN ' only on pages 9-4' WHEN 1 THEN ' pages 3 to 12 and page 5' ELSE '' END"
+
+
+@query(rf"SELECT item_id::VARCHAR AS query_id, NOT regexp_matches(text || {CLAUSED}, '(?i)\bpages?\s*(\d+)\s*(?:-|–|to)\s*(\d+)\b') AND item_id % 3 <> 0 AND item_id % 5 <> 0 AS eligible FROM benchmark")
+def cache_eligible(spark, sf_dir):
+    n = F.col("item_id")
+    clause = F.when(n % 4 == 0, " only on pages 9-4").when(n % 4 == 1, " pages 3 to 12 and page 5").otherwise("")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", text.strip_page_clause(F.concat("text", clause)).alias("p"))
+    return rows.select(n.cast("string").alias("query_id"), cache.eligible_column(F.col("p.lo"), F.when(n % 3 == 0, n), F.when(n % 5 == 0, n)).alias("eligible"))
+
+
+@query(rf"WITH f AS (SELECT doc_id, doc_id % 3 <> 0 AND regexp_matches(lower(cue), '(^|[^\p{{L}}\p{{N}}])(?:(?:figures?[ :.]|fig[. ])[ \t\r\n:.\-]{{0,23}}\p{{Nd}}|(?:figures?|fig)\p{{Nd}})') AS kept FROM {FIGURES}) SELECT doc_id, CASE WHEN NOT kept THEN 'image without figure label: xref ' || doc_id END AS note FROM f")
+def labelled_images(spark, sf_dir):
+    """Images that the parse keeps, and a note on each that it drops."""
+    d = F.col("doc_id")
+    images = figures(spark, sf_dir).select(d, d.alias("xref"), F.when(d % 3 == 1, F.col("cue")).alias("contextual_snippet_above"), F.when(d % 3 == 2, F.col("cue")).alias("contextual_snippet_below"))
+    kept, dropped = layout.labelled_images(images)
+    return kept.select("doc_id", F.lit(None).cast("string").alias("note")).unionByName(dropped.select("doc_id", "note"))
+
+
+@query(f"WITH {CHUNKS} SELECT md5(text) AS text, chunk_id, page_start, page_end, 'a.pdf' AS source, 'note' AS structure_note, content_type, section_hint, chunk_kind, CASE WHEN chunk_pos % 2 = 0 THEN 't' || chunk_pos END AS table_id, 'a,b' AS table_csv_preview, chunk_pos AS image_xref FROM chunks")
+def chunk_payload(spark, sf_dir):
+    pos = F.col("chunk_pos")
+    rows = chunk_rows(documents(spark, sf_dir)).withColumns({"source": F.lit("a.pdf"), "structure_note": F.lit("note"), "table_id": F.when(pos % 2 == 0, F.concat(F.lit("t"), pos.cast("string"))), "table_csv_preview": F.lit("a,b"), "image_xref": pos})
+    return chunking.payload(rows).select(F.md5("text").alias("text"), "metadata.*")
+
+
+@query("SELECT item_id::VARCHAR AS query_id FROM benchmark ORDER BY 1 LIMIT 10")
+def row_cap(spark, sf_dir):
+    """The cap on rows is the feature: an evaluation of the first ten questions."""
+    return corpus.capped(asked(spark, sf_dir), 10).select("query_id")
+
+
+def whole_page(doc_id: str, content: bytes):
+    yield {"page_index": 0, "text": content.decode()}
+
+
+def line_spans(doc_id: str, content: bytes):
+    for i, line in enumerate(content.decode().split("\n")):
+        yield {"span_id": f"line-{i}", "page_index": 0, "x0": 0.0, "y0": float(i), "x1": 1.0, "y1": i + 1.0, "text": line, "extractor": "lines"}
+
+
+def files_of(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, 'pypdf-page-0' AS span_id, 'pypdf' AS extractor, md5(text) AS text FROM documents WHERE trim(text, E' \\n\\t') <> '' UNION ALL SELECT doc_id::VARCHAR, 'line-' || (i - 1), 'lines', md5(line) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+def extractor_union(spark, sf_dir):
+    parts = corpus.parse_documents(files_of(spark, sf_dir), {"pages": whole_page, "spans": line_spans})
+    return parts["spans"].select("doc_id", "span_id", "extractor", F.md5("text").alias("text"))
+
+
+@query(rf"""SELECT doc_id, left(sha256(text || '|' || doc_id % 7 || '|' || (doc_id % 7 + 1) || '|' || source), 24) AS chunk_id, CASE WHEN length(line) > 96 THEN substr(line, 1, 95) || '…' ELSE line END AS section_hint,
+    CASE WHEN regexp_matches(substr(text, 1, 800), '(?i)\b(figure|fig\.|chart|graph|diagram)\b') THEN 'figure_ref' WHEN regexp_matches(substr(text, 1, 800), '(?i)\b(table\s+\d+|schedule\s+[ivx\d]|million\b|billion\b|\$\s*[\d,]+)\b') OR doc_id % 6 = 0 THEN 'table_dense' WHEN regexp_matches(substr(text, 1, 800), '\$\s*\d') THEN 'numeric_heavy' ELSE 'narrative' END AS content_type, 'narrative' AS chunk_kind
+    FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM {CUED})""")
+def constructed_chunks(spark, sf_dir):
+    page = F.pmod("doc_id", F.lit(7)).cast("int")
+    rows = cued(documents(spark, sf_dir)).select("doc_id", F.lit(0).alias("n"), "text", page.alias("page_start"), (page + 1).alias("page_end"), "source", F.when(F.col("doc_id") % 6 == 0, "a Table by layout").otherwise("page").alias("structure_note"))
+    return chunking.constructed(rows).select("doc_id", "chunk_id", "section_hint", "content_type", "chunk_kind")
+
+
+@query("SELECT doc_id, 'data/cache_' || left(sha256('/srv/index' || chr(0) || source), 16) || '.json' AS path, 'data/cache/' || left(sha256('/srv/index' || chr(0) || source), 16) AS folder FROM documents")
+def cache_paths(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", ids.cache_paths("data/cache.json", "/srv/index", "source").alias("path"), ids.cache_paths("data/cache", "/srv/index", "source").alias("folder"))
+
+
+@query(r"""WITH p AS (SELECT conv_id AS doc_id, turn::INT AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+    s AS (SELECT doc_id, page, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
+    w AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS whole FROM p GROUP BY doc_id),
+    x AS (SELECT doc_id, pos, substr(whole, pos + 1, 1200) AS raw FROM (SELECT doc_id, unnest(range(0, length(whole), 1000)) AS pos, whole FROM w)),
+    j AS (SELECT x.doc_id, pos, raw, max(page) FILTER (start <= pos + length(raw) // 2) AS page FROM x JOIN s ON x.doc_id = s.doc_id GROUP BY x.doc_id, pos, raw)
+    SELECT doc_id, page AS page_start, left(sha256(trim(raw, E' \n') || '|' || page || '|' || page || '|' || doc_id), 24) AS chunk_id, 64::INT AS dimensions FROM j WHERE trim(raw, E' \n') <> ''""")
+def ingest(spark, sf_dir):
+    """Pages to chunks with vectors, the index and the collection; read back from the index."""
+    pages = pages_of(spark, sf_dir)
+    parts = {"pages": pages, "spans": spans_of(spark, sf_dir).limit(0)}
+    chunks = corpus.ingest(parts, corpus.hashed_embedder, Settings(index_path=index.scratch(spark, "index")))
+    return chunks.select("doc_id", "page_start", "chunk_id", F.size("embedding").alias("dimensions"))
+
+
+@query(f"WITH {ASKED}, {FUSED} SELECT 'local' AS leg, query_id, chunk_pos, rank FROM fused WHERE rank <= 5 UNION ALL SELECT 'remote', query_id, chunk_pos, rank FROM dense WHERE rank <= 5")
+def dual_retrieval(spark, sf_dir):
+    chunks, queries, terms, found = legs_of(spark, sf_dir)
+    settings = Settings(metadata_boost=False)
+    local, remote = retrieval.dual(retrieval.questions(queries, settings), chunks, found, found, terms, settings)
+    leg = lambda name, df: df.select(F.lit(name).alias("leg"), "query_id", "chunk_pos", F.col("rank").cast("long").alias("rank"))
+    return leg("local", local).unionByName(leg("remote", remote))
+
+
+FOLLOW_UP = "which table and chart say more"
+
+
+@query(f"""WITH asked AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark UNION ALL SELECT 'more', '{FOLLOW_UP}'), {TERMS}, {DENSE},
+    u AS (SELECT query_id, chunk_pos, 1 AS pass, rank FROM dense WHERE rank <= 3 AND query_id <> 'more' UNION ALL SELECT item_id::VARCHAR, chunk_pos, 2, rank FROM benchmark, dense WHERE query_id = 'more' AND rank <= 3 AND item_id % 2 = 0),
+    o AS (SELECT query_id, chunk_pos, pass, rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_pos ORDER BY pass) = 1)
+    SELECT query_id, 'c' || chunk_pos AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) <= 5""")
+def multi_hop_retrieval(spark, sf_dir):
+    """A second pass for every other question; the model's reply is the same follow-up for each."""
+    chunks, terms = indexed(spark, sf_dir)
+    asked_for = retrieval.questions(asked(spark, sf_dir), Settings())
+    second = {r.query: int(r.query_id) % 2 == 0 for r in asked_for.collect()}
+
+    def search(questions: DataFrame) -> DataFrame:
+        return dense_leg(questions.select("query_id", "query"), terms.postings, 3).join(chunks.select("chunk_pos", "chunk_id", "text"), "chunk_pos")
+
+    def refine(prompt: str) -> str:
+        return FOLLOW_UP if second[prompt.removeprefix("Question: ").partition("\nPassages so far:")[0]] else "DONE"
+
+    hits, _ = retrieval.multi_hop(asked_for, search, refine, Settings())
+    return hits.select("query_id", "chunk_id", F.col("merged_rank").cast("long").alias("rank"))
