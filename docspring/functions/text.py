@@ -52,10 +52,19 @@ def window_step(size: int, overlap: int) -> int:
 
 
 def windows(c: Column | str, size: int, overlap: int) -> Column:
-    """array of struct(start, text): windows of `size` characters, also the tail that lies wholly in the one before."""
+    """array of struct(start, text): windows of `size` characters, also the tail that lies wholly in the one before.
+
+    The text is cut into pieces of a step in one pass, and a window is put together from those that it covers, so long texts
+    aren't counted off from their beginning for each window."""
     c, step = col(c), window_step(size, overlap)
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(c, s + 1, F.lit(size)).alias("text")))
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)(.{{1,{step}}})"), 1)
+
+    def cut(held: Column) -> Column:
+        at = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1)).otherwise(F.array().cast("array<int>"))
+        text = lambda i: F.substring(F.array_join(F.slice(held, i + 1, F.lit(-(-size // step))), ""), 1, size)
+        return F.transform(at, lambda i: F.struct((i * step).alias("start"), text(i).alias("text")))
+
+    return F.flatten(F.transform(F.array(pieces), cut))  # the pieces as a variable: they are made once
 
 
 def content_type(c: Column | str, note: Column | str | None = None) -> Column:
