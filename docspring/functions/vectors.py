@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def l2_squared(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f's lambdas name it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(FLOOR)))
+    return once(F.struct(a.alias("v"), F.greatest(norm(a), F.lit(FLOOR)).alias("n")), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
 
 
 def slots(a: Column | str, n: int) -> Column:
@@ -51,12 +58,11 @@ def slots(a: Column | str, n: int) -> Column:
 
 def maxsim(query: Column, document: Column) -> Column:
     """Sum over the query's rows of the largest cosine with a row of the document; both arrays of rows."""
-    q, d = F.transform(query, normalized), F.transform(document, normalized)
-    return total(F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y)))))
+    both = F.struct(F.transform(query, normalized).alias("q"), F.transform(document, normalized).alias("d"))
+    return once(both, lambda s: total(F.transform(s["q"], lambda x: F.array_max(F.transform(s["d"], lambda y: dot(x, y))))))
 
 
 def hashed_embedding(text: Column | str, size: int = 64) -> Column:
     """A deterministic stand-in for a text model: counts of tokens by hash, normalised."""
     buckets = F.transform(tokens(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return normalized(counts)
+    return once(buckets, lambda held: normalized(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))))
