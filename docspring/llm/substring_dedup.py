@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from docspring.llm.common import SLICE_BYTES, Scratch, Words, as_bytes, covered, mix, partitions, powers, slices, trimmed, words_of
 
 WINDOW = 35
-#: Parts that hashes and documents are dealt out to, at least, and for each shuffle partition. A task holds one at a time.
-PARTS, PARTS_A_TASK = 256, 4
+#: Parts that hashes and documents are dealt out to, at least; more if the session has more shuffle partitions. A task holds
+#: one at a time.
+PARTS = 256
 #: Hashes that a worker holds before it sends them.
 OUTBOX = 1_000_000
 #: Kinds of the rows that travel: hashes to be compared, places found repeated, and documents.
@@ -131,13 +132,16 @@ def places_by_doc(docs: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tupl
         yield int(part[lo]), PLACES, b"", *pack_places(docs[order[lo:hi]], at[order[lo:hi]])
 
 
-def by_part(rows: DataFrame, work, schema) -> DataFrame:
-    """work(rows of a part: kind, keys, docs, at, in the order of their kinds) for one part after the other."""
+def by_part(rows: DataFrame, make, schema) -> DataFrame:
+    """make() gives, for each task, work(part, rows of the part: kind, keys, docs, at, in the order of their kinds), which is
+    called for one part after the other, and finish(), which is called at the task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, finish = make()
         flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for part, of_part in groupby(flat, key=lambda r: r[0]):
             yield from work(part, (r[1:] for r in of_part))
+        yield from finish()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(trimmed(run), schema)
@@ -146,30 +150,44 @@ def by_part(rows: DataFrame, work, schema) -> DataFrame:
 def compare(rows: DataFrame, parts: int) -> DataFrame:
     """The places (rows of kind PLACES) of all hashes that occur twice or more."""
 
-    def work(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, docs, at = [], [], []
-        for kind, k, d, a in of_part:
-            if kind == PLACES:
-                yield batch_of([(part, kind, k, d, a)])
-            else:
-                keys.append(np.frombuffer(k, np.uint64))
-                x, y = unpack_places(d, a)
-                docs.append(x)
-                at.append(y.astype(np.int32))
-        if keys:
-            k, d, a = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
-            keys, docs, at = [], [], []
-            order = np.argsort(k)
-            same = k[order][1:] == k[order][:-1]
-            found = np.zeros(len(k), bool)
-            found[order[1:][same]] = True
-            found[order[:-1][same]] = True
-            d, a = d[found], a[found]
-            order = np.lexsort((a, d))
-            if len(d):
-                yield batch_of(list(places_by_doc(d[order], a[order], parts)))
+    def make():
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # places of several parts go together, so that there are fewer rows
 
-    return by_part(rows, work, ROWS)
+        def work(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            keys, docs, at = [], [], []
+            for kind, k, d, a in of_part:
+                if kind == PLACES:
+                    yield batch_of([(part, kind, k, d, a)])
+                else:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    x, y = unpack_places(d, a)
+                    docs.append(x)
+                    at.append(y.astype(np.int32))
+            if keys:
+                k, d, a = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
+                keys, docs, at = [], [], []
+                order = np.argsort(k)
+                same = k[order][1:] == k[order][:-1]
+                twice = np.zeros(len(k), bool)
+                twice[order[1:][same]] = True
+                twice[order[:-1][same]] = True
+                if twice.any():
+                    found.append((d[twice], a[twice]))
+                if sum(len(x) for x, _ in found) >= OUTBOX:
+                    yield from finish()
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if found:
+                d, a = (np.concatenate(x) for x in zip(*found, strict=True))
+                found.clear()
+                order = np.lexsort((a, d))
+                out = list(places_by_doc(d[order], a[order], parts))
+                for lo in range(0, len(out), 64):
+                    yield batch_of(out[lo : lo + 64])
+
+        return work, finish
+
+    return by_part(rows, make, ROWS)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,44 +224,47 @@ class Outbox:
 
 def by_document(texts: DataFrame, places: DataFrame, parts: int, work, schema) -> DataFrame:
     """work(documents as a record batch, their words, flags of the words that a place points at, outbox) for slices of
-    documents that meet their places; at a part's end work(None, None, None, outbox)."""
+    documents that meet their places; at a task's end work(None, None, None, outbox)."""
 
-    def of_a_part(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        docs, at, out = [], [], Outbox(parts)
-        places: tuple[np.ndarray, np.ndarray] | None = None
-
-        def blobs() -> Iterator[pa.RecordBatch]:
-            """The part's documents; its places come before them."""
-            nonlocal places
-            for kind, k, d, a in of_part:
-                if kind == PLACES:
-                    x, y = unpack_places(d, a)
-                    docs.append(x)
-                    at.append(y.astype(np.int32))
-                    continue
-                if places is None:
-                    d, a = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *at])
-                    order = np.argsort(d, kind="stable")
-                    places = d[order], a[order]
-                    docs.clear()
-                    at.clear()
-                yield from pa.ipc.open_stream(k)
-
-        for held in merged(blobs()):
-            d, a = places
-            texts = [x or b"" for x in as_bytes(held["__text"])]
-            for lo, hi in slices(texts):
-                words = words_of(texts[lo:hi])
-                names = held["__row"][lo:hi].to_numpy(zero_copy_only=False)
-                left, right = np.searchsorted(d, names), np.searchsorted(d, names, "right")
-                flags = np.zeros(len(words.hashes), bool)
-                for k in np.flatnonzero(right > left).tolist():
-                    flags[words.first[k] + a[left[k] : right[k]]] = True
-                yield from work(held.slice(lo, hi - lo), words, flags, out)
-        if places is not None:
-            yield from work(None, None, None, out)
+    def make():
+        out = Outbox(parts)
 
-    return by_part(texts.unionByName(places), of_a_part, schema)
+        def of_a_part(part: int, of_part: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            docs, at = [], []
+            places: tuple[np.ndarray, np.ndarray] | None = None
+
+            def blobs() -> Iterator[pa.RecordBatch]:
+                """The part's documents; its places come before them."""
+                nonlocal places
+                for kind, k, d, a in of_part:
+                    if kind == PLACES:
+                        x, y = unpack_places(d, a)
+                        docs.append(x)
+                        at.append(y.astype(np.int32))
+                        continue
+                    if places is None:
+                        d, a = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, np.int32), *at])
+                        order = np.argsort(d, kind="stable")
+                        places = d[order], a[order]
+                        docs.clear()
+                        at.clear()
+                    yield from pa.ipc.open_stream(k)
+
+            for held in merged(blobs()):
+                d, a = places
+                texts = [x or b"" for x in as_bytes(held["__text"])]
+                for lo, hi in slices(texts):
+                    words = words_of(texts[lo:hi])
+                    names = held["__row"][lo:hi].to_numpy(zero_copy_only=False)
+                    left, right = np.searchsorted(d, names), np.searchsorted(d, names, "right")
+                    flags = np.zeros(len(words.hashes), bool)
+                    for k in np.flatnonzero(right > left).tolist():
+                        flags[words.first[k] + a[left[k] : right[k]]] = True
+                    yield from work(held.slice(lo, hi - lo), words, flags, out)
+
+        return of_a_part, lambda: work(None, None, None, out)
+
+    return by_part(texts.unionByName(places), make, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -261,7 +282,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, base: int | None = No
     spark = docs.sparkSession
     scratch = Scratch(spark)
     base = min(base or math.ceil(window / 2), window)
-    parts = max(PARTS, PARTS_A_TASK * partitions(spark))
+    parts = max(PARTS, partitions(spark))
 
     def named(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
         return batch["__row"][lo:hi].to_numpy(zero_copy_only=False)
