@@ -167,7 +167,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, rows_a_language: int = SAMP
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("least"))
     each = max(1, min(rows_a_language, rows // max(1, counts.count())))
     share = F.lit(2 * each + 200) / F.col("c")
-    thin = labelled.join(counts, "lang").where((F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share) | (F.col("h") == F.col("least")))
+    # one row for each language, all of which the model holds
+    thin = labelled.join(F.broadcast(counts), "lang").where((F.lit(0.5) + F.col("h") / F.lit(2.0**64) <= share) | (F.col("h") == F.col("least")))
     ranked = thin.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
     return ranked.where(F.col("n") <= each).select("lang", "text")
 
