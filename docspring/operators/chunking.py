@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docspring.functions import ids, text
 from docspring.operators.layout import reading_order
+from docspring.staging import Staging
 
 JOIN = 2  # characters between joined pages or spans
 
@@ -92,23 +93,36 @@ def narrative_chunks(spans: DataFrame, pages: DataFrame, size: int = 1200, overl
     return by_layout.unionByName(page_chunks(rest, size, overlap)), notes
 
 
-def union_chunks(narrative: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
-    """Narrative chunks, then tables, then images, with chunk_pos as the corpus order. The order is by document, kind and
-    number; positions are dense over partitions that are sorted by range, without one task for all."""
+def union_chunks(narrative: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None, staging: Staging | None = None) -> DataFrame:
+    """Narrative chunks, then tables, then images, with chunk_pos as the corpus order, by kind, document and number."""
     out = narrative.withColumn("kind_no", F.lit(0))
     for k, more in enumerate((tables, images), 1):
         if more is not None:
             out = out.unionByName(more.withColumn("kind_no", F.lit(k)), allowMissingColumns=True)
-    return positioned(out, ["kind_no", "doc_id", "n"]).drop("kind_no")
+    return positioned(out, ["kind_no", "doc_id", "n"], staging=staging).drop("kind_no")
 
 
-def positioned(df: DataFrame, keys: list[str], name: str = "chunk_pos") -> DataFrame:
-    """With a dense number from 0 by these keys: range partitions, counted, and numbered within."""
-    part = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-    numbered = part.withColumn("__n", F.row_number().over(W.partitionBy("__part").orderBy(*keys)))
-    counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("c"))
-    starts = counts.select("__part", F.coalesce(F.sum("c").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # one row for each partition
-    return numbered.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__start")
+def positioned(df: DataFrame, keys: list[str], name: str = "chunk_pos", staging: Staging | None = None) -> DataFrame:
+    """With a dense number from 0 by these keys.
+
+    Rows are written once in sorted range partitions, each with its partition and its place there. Counts come from that
+    table, so what is counted is what is numbered; the partitions' beginnings are as many rows as there are write tasks.
+    The table stays for as long as the result is read: give a staging folder to delete it.
+    """
+    spark, place = df.sparkSession, "__place"
+    table = staging or Staging(spark, "positions")
+    written = table.stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.monotonically_increasing_id()), f"by-{name}")
+    part, at = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))  # how Spark makes these ids
+    starts, total = [], 0
+    for r in written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last")).orderBy("part").collect():
+        if r.last != r.n - 1:
+            raise RuntimeError(f"partition {r.part} has {r.n} rows and the place {r.last}")
+        starts.append((r.part, total))
+        total += r.n
+    begins = spark.createDataFrame(starts, "__part long, __start long")
+    joined = written.withColumn("__part", part).join(F.broadcast(begins), "__part", "left")
+    start = F.coalesce("__start", F.raise_error(F.concat(F.lit("no beginning of partition "), F.col("__part").cast("string"))).cast("long"))
+    return joined.withColumn(name, start + at).drop("__part", "__start", place)
 
 
 def payload(chunks: DataFrame) -> DataFrame:

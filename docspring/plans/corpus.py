@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
@@ -13,6 +14,7 @@ from docspring.functions import geometry, ids, models, vectors
 from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured
 from docspring.plans import retrieval
 from docspring.sources import documents, index
+from docspring.staging import Staging
 
 
 def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption: Callable | None = None, summary: Callable | None = None) -> dict[str, DataFrame]:
@@ -50,30 +52,36 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption:
     return {"notes": documents.empty_notes(spark), **out}
 
 
-def build_chunks(parts: Mapping[str, DataFrame], settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Narrative, table and image chunks in corpus order, and notes."""
+def build_chunks(parts: Mapping[str, DataFrame], settings: Settings, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    """Narrative, table and image chunks in corpus order, and notes. The order stands in a staged table, which the caller drops
+    if it gives the folder."""
     narrative, notes = chunking.narrative_chunks(parts["spans"].where("y0 is not null"), parts["pages"], settings.chunk_size, settings.chunk_overlap)
     more = {}
-    numbered = lambda df, key: df.withColumns({"pdf_sha256": F.col("doc_id"), "source": F.col("doc_id"), "n": F.hash("page_index", key)})
+    numbered = lambda df, key: df.withColumns({"pdf_sha256": F.col("doc_id"), "source": F.col("doc_id"), "n": F.row_number().over(W.partitionBy("doc_id").orderBy("page_index", key))})
     if settings.index_tables and "tables" in parts:
         more["tables"] = structured.table_chunks(numbered(parts["tables"], "table_id"))
     if settings.index_images and "images" in parts:
         more["images"] = structured.image_chunks(numbered(parts["images"], "xref"), settings.image_min_area_px, need_label=settings.require_figure_label)
-    return chunking.union_chunks(narrative, more.get("tables"), more.get("images")), notes
+    return chunking.union_chunks(narrative, more.get("tables"), more.get("images"), staging), notes
 
 
 def ingest(parts: Mapping[str, DataFrame], embedder: Callable[[], Callable[[list[str]], list[list[float]]]], settings: Settings) -> DataFrame:
     """Chunks with vectors into the index and the collection, both from one table. The model gets requests within the limits of
     texts and tokens. No chunks, or a chunk without a vector, is an error."""
-    chunks, _ = build_chunks(parts, settings)
+    spark = parts["pages"].sparkSession
+    staging = Staging(spark, "ingest")
+    try:
+        return _ingested(build_chunks(parts, settings, staging)[0], embedder, settings, staging)
+    finally:
+        staging.drop()
+
+
+def _ingested(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], settings: Settings, staging: Staging) -> DataFrame:
     spark = chunks.sparkSession
-    staged = f"{settings.index_path}/staged"
-    chunks.drop("embedding").write.mode("overwrite").parquet(f"{staged}/chunks")
-    rows = spark.read.parquet(f"{staged}/chunks")
+    rows = staging.stored(chunks.drop("embedding"), "chunks")
     requests = folds.embed_batches(rows.withColumn("corpus", F.lit("all")), settings.embed_batch_size, settings.embed_max_tokens)
     numbered = rows.join(requests.select("chunk_pos", "batch_no"), "chunk_pos")
-    models.embedded_requests(numbered, embedder).drop("batch_no").write.mode("overwrite").parquet(f"{staged}/embedded")
-    made = spark.read.parquet(f"{staged}/embedded")
+    made = staging.stored(models.embedded_requests(numbered, embedder).drop("batch_no"), "embedded")
     sizes = made.agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("vectors"), F.max(F.size("embedding")).alias("size")).head()
     if not sizes.n:
         raise ValueError("the documents gave no chunks")

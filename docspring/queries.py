@@ -11,6 +11,7 @@ from docspring.functions import geometry, ids, payload, text, vectors
 from docspring.operators import batching, cache, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
 from docspring.plans import corpus, retrieval
 from docspring.sources import index
+from docspring.staging import scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,7 +259,7 @@ SPARSE = f"""{TERMS}, qterms AS (SELECT query_id, unnest(regexp_extract_all(lowe
 def indexed(spark, sf_dir) -> tuple[DataFrame, sparse.TermIndex]:
     """Chunks and the index of their terms, tokenised once."""
     chunks = chunk_rows(documents(spark, sf_dir))
-    return chunks, sparse.term_index(chunks, index.scratch(spark, "terms"))
+    return chunks, sparse.term_index(chunks, scratch(spark, "terms"))
 
 
 @query(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idfs")
@@ -694,18 +695,29 @@ def cache_paths(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", ids.cache_paths("data/cache.json", "/srv/index", "source").alias("path"), ids.cache_paths("data/cache", "/srv/index", "source").alias("folder"))
 
 
-@query(r"""WITH p AS (SELECT conv_id AS doc_id, turn::INT AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+@query(r"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, turn::INT AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE conv_id % 2 = 1 AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
     s AS (SELECT doc_id, page, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
     w AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS whole FROM p GROUP BY doc_id),
     x AS (SELECT doc_id, pos, substr(whole, pos + 1, 1200) AS raw FROM (SELECT doc_id, unnest(range(0, length(whole), 1000)) AS pos, whole FROM w)),
-    j AS (SELECT x.doc_id, pos, raw, max(page) FILTER (start <= pos + length(raw) // 2) AS page FROM x JOIN s ON x.doc_id = s.doc_id GROUP BY x.doc_id, pos, raw)
-    SELECT doc_id, page AS page_start, left(sha256(trim(raw, E' \n') || '|' || page || '|' || page || '|' || doc_id), 24) AS chunk_id, 64::INT AS dimensions FROM j WHERE trim(raw, E' \n') <> ''""")
+    j AS (SELECT x.doc_id, pos, raw, max(page) FILTER (start <= pos + length(raw) // 2) AS page FROM x JOIN s ON x.doc_id = s.doc_id GROUP BY x.doc_id, pos, raw),
+    o AS (SELECT conv_id AS doc_id, (turn // 3)::INT AS page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 3, (turn * 37) % 11, 's' || turn) AS n FROM conversations WHERE conv_id % 2 = 0 AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+    f AS (SELECT doc_id, n, page, t, length(t)::BIGINT AS used, 0::BIGINT AS run FROM o WHERE n = 1
+          UNION ALL SELECT o.doc_id, o.n, o.page, o.t, CASE WHEN f.used + 2 + length(o.t) > 1200 THEN length(o.t) ELSE f.used + 2 + length(o.t) END, CASE WHEN f.used + 2 + length(o.t) > 1200 THEN f.run + 1 ELSE f.run END FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1),
+    r AS (SELECT doc_id, run, trim(regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY n), '\s+', ' ', 'g')) AS t, min(page) AS page_start, max(page) AS page_end FROM f GROUP BY doc_id, run),
+    l AS (SELECT doc_id, run, page_start, page_end, unnest(range(0, length(t), 1000)) AS pos, t FROM r),
+    every AS (
+        SELECT 0 AS kind_no, doc_id::VARCHAR AS doc_id, pos // 1000 AS n, page AS page_start, page AS page_end, trim(raw, E' \n') AS t FROM j
+        UNION ALL SELECT 0, doc_id::VARCHAR, row_number() OVER (PARTITION BY doc_id ORDER BY run, pos) - 1, page_start, page_end, trim(substr(t, pos + 1, 1200), E' \n') FROM l),
+    chunked AS (SELECT kind_no, doc_id, n, page_start, page_end, left(sha256(t || '|' || page_start || '|' || page_end || '|' || doc_id), 24) AS chunk_id FROM every WHERE t <> ''
+        UNION ALL SELECT 1, n_regionkey::VARCHAR, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 4, 't' || n_nationkey), (n_nationkey % 4)::INT, (n_nationkey % 4)::INT, left(sha256(n_regionkey || chr(0) || 't' || n_nationkey || chr(0) || n_nationkey % 4), 24) FROM nation WHERE NOT (n_nationkey % 2 = 1 AND n_nationkey % 3 = 1))
+    SELECT row_number() OVER (ORDER BY kind_no, doc_id, n) - 1 AS chunk_pos, doc_id, page_start, page_end, chunk_id, 64::INT AS dimensions FROM chunked""")
 def ingest(spark, sf_dir):
-    """Pages to chunks with vectors, the index and the collection; read back from the index."""
-    pages = pages_of(spark, sf_dir)
-    parts = {"pages": pages, "spans": spans_of(spark, sf_dir).limit(0)}
-    chunks = corpus.ingest(parts, corpus.hashed_embedder, Settings(index_path=index.scratch(spark, "index")))
-    return chunks.select("doc_id", "page_start", "chunk_id", F.size("embedding").alias("dimensions"))
+    """Spans, pages and tables to chunks with vectors, the index and the collection; read back from the index. Every other
+    document has no spans, so both ways of cutting are taken."""
+    named = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    parts = {"pages": named(pages_of(spark, sf_dir)), "spans": named(spans_of(spark, sf_dir).where("doc_id % 2 = 0")), "tables": table_blocks(spark, sf_dir).drop("n")}
+    chunks = corpus.ingest(parts, corpus.hashed_embedder, Settings(index_path=scratch(spark, "index")))
+    return chunks.select("chunk_pos", "doc_id", "page_start", "page_end", "chunk_id", F.size("embedding").alias("dimensions"))
 
 
 @query(f"WITH {ASKED}, {FUSED} SELECT 'local' AS leg, query_id, chunk_pos, rank FROM fused WHERE rank <= 5 UNION ALL SELECT 'remote', query_id, chunk_pos, rank FROM dense WHERE rank <= 5")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,18 +89,6 @@ class TermTables:
         return made, False
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder for tables of one session, where driver and executors both reach it: in spark.checkpoint.dir, or on one
-    machine alone in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docspring-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docspring/{label}-{uuid.uuid4().hex}"
-
-
 def reset_collection(spark: SparkSession, path: str, vector_size: int) -> None:
     """Dropped and made anew, for vectors of this size under cosine."""
     p, fs = _fs(spark, path)

@@ -340,3 +340,19 @@ def test_alignment(spark):
         batching.aligned(a, b.where("id < 2"), "id").collect()
     rows = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new")], "chunk_id string, chunk_pos long, text string")
     assert [r.text for r in batching.keep_last(rows, "chunk_id", "chunk_pos").collect()] == ["new"]
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_positions_are_dense_over_many_partitions(spark, coalesce, tmp_path):
+    """400,000 rows over many range partitions: no row is lost, and every number occurs once, in the order of the keys."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        rows = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("doc_id"), F.lit(0).alias("kind_no"), F.repeat(F.lit("x"), 50).alias("text"))
+        got = chunking.positioned(rows, ["kind_no", "doc_id"]).select("chunk_pos", "doc_id")
+        assert got.where("chunk_pos = doc_id").count() == got.count() == 400_000
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert chunking.positioned(rows.limit(0), ["doc_id"]).count() == 0
