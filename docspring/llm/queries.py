@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspring.llm import byte_bpe, chat, common, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, url_filters
+from docspring.llm import byte_bpe, chat, common, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, repair, spelling, substring_dedup, url_filters
 
 #: The rules of the contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -77,12 +77,90 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, URL_RULES).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_packing, op7_line_dedup, op8_byte_bpe, op9_language_id, op10_url_filters)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(common.documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_exact_dedup, op5_jaccard_join, op6_packing, op7_line_dedup, op8_byte_bpe, op9_language_id, op10_url_filters, op11_pii, op12_spelling_variants, op13_conversation_repair)}
 
 SPACES = r"\x20\x09-\x0D"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The table of the common checksum of 32 bits, and the checksum of a text by it.
+CRC_TABLE = """t0 AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t0 WHERE k < 8),
+        tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM t0 WHERE k = 8)"""
+
+
+def crc(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def repair_step() -> tuple[str, str]:
+    """Columns of a step of the repair: the states after inserts (pn, ps, pu, pa), then after the row. A state is a struct of
+    cost, audit and text, whose order is that of cost, then audit."""
+    put = lambda x, cost, letters, text="''": f"{{'c': {x}.c + {cost}, 'w': {x}.w || '{letters}', 't': {x}.t || {text}}}"
+    first = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    user, answer = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    both = f"{user} || {answer}"
+    pu = first("u", *(put(x, 3, "I", user) for x in "nsa"), put("u", 6, "II", f"{answer} || {user}"))
+    pa = first("a", put("u", 3, "I", answer), *(put(x, 6, "II", both) for x in "nsa"))
+    no = "{'c': 1000000, 'w': '', 't': ''}"
+    when = lambda test, x: f"CASE WHEN {test} THEN {x} ELSE {no} END"
+    own = "chr(10) || role || ':' || text"
+    drop = lambda x: put(x, 4, "D")
+    keep = lambda letter, x: when(f"NOT doomed AND letter = '{letter}'", put(x, "tr", "K", own))
+    turn = lambda x, role: when("NOT doomed", put(x, "3 + tr", "R", f"{role} || text"))
+    after = [
+        f"{drop('n')} AS n", first(drop("s"), keep("s", "n")) + " AS s",
+        first(drop("pu"), *(keep("u", x) for x in ("n", "s", "pa")), *(turn(x, user) for x in ("n", "s", "pa"))) + " AS u",
+        first(drop("pa"), keep("a", "pu"), turn("pu", answer)) + " AS a",
+    ]
+    return f"{pu} AS pu, {pa} AS pa", ", ".join(after)
+
+
 ORACLE_SQL = {
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        r AS (SELECT doc_id, {LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}'))")} AS run FROM documents),
+        d AS (SELECT run, count(*) AS c, coalesce(doc_id::VARCHAR, '') || ':' || run AS said FROM r GROUP BY doc_id, run),
+        h AS (SELECT run, c, {crc("said")} AS h FROM d, tab),
+        m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+        w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+        v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+        put AS (SELECT DISTINCT v.word AS long, v.n AS long_n, w.word AS short, w.n AS short_n FROM v JOIN w ON v.rest = w.word),
+        near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                 UNION ALL SELECT long, short, short_n FROM put UNION ALL SELECT short, long, long_n FROM put),
+        best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+        f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+        walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+        tops AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN tops ON tops.word = f.word""",
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations),
+        h AS (SELECT src.*, {crc("said")} % 20 AS h FROM src, tab),
+        dam AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam),
+        g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+        k AS MATERIALIZED (SELECT conv_id, turn, i, role, text, letter, before, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM g),
+        z AS (SELECT conv_id, i, role, text, letter, blank OR duplicate AS doomed, CASE WHEN truncated THEN 3 ELSE 0 END AS tr FROM k),
+        no AS (SELECT {{'c': 1000000, 'w': '', 't': ''}} AS x),
+        dp AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'w': '', 't': ''}} AS n, x AS s, x AS u, x AS a FROM (SELECT DISTINCT conv_id FROM conversations), no
+               UNION ALL SELECT conv_id, i, {repair_step()[1]} FROM (SELECT dp.conv_id, z.i, role, text, letter, doomed, tr, n, s, u, a, {repair_step()[0]} FROM dp JOIN z ON z.conv_id IS NOT DISTINCT FROM dp.conv_id AND z.i = dp.i + 1)),
+        ends AS (SELECT conv_id, list_sort([n, a, {{'c': u.c + 3, 'w': u.w || 'I', 't': u.t || chr(10) || 'assistant:'}}, {{'c': s.c + 6, 'w': s.w || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}])[1] AS x FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, x.c::BIGINT AS cost, x.w AS audit, sha256(substr(x.t, 2)) AS repaired_sha256
+        FROM ends e LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS normal FROM documents),
         k AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY normal) AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size, sha256(normal) AS text_sha256 FROM t)
