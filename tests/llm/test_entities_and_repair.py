@@ -256,7 +256,7 @@ def plain_audit(rows):
                     at = {"": "u", "s": "u", "u": "a", "a": "u"}[at]
                 for e in "KRD":
                     to, more = {"D": (at, 4), "R": ({"": "u", "s": "u", "u": "a", "a": "u"}[at], 3 + 3 * truncated), "K": (letter, 3 * truncated)}[e]
-                    if e != "D" and doomed or e == "K" and at + letter not in ("s", "u", "su", "au", "ua"):
+                    if e != "D" and doomed or e == "K" and (not letter or at + letter not in ("s", "u", "su", "au", "ua")):
                         continue
                     key = (cost + 3 * k + more, audit + "I" * k + e)
                     new[to] = min(new.get(to, key), key)
