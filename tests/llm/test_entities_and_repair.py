@@ -310,6 +310,7 @@ def test_op13(spark, tmp_path, monkeypatch, bits):
             turn = None if rnd.random() < 0.05 else t + rnd.choice([0, 0, 0, 3])
             rows.append((conv, turn, rnd.choice(["user", "assistant", "user", "assistant", "system", "tool", None, "", "süd"]), rnd.choice([f"Said {rnd.randrange(9)}.", "why?", "cut off", "", None, " \t\n", "é! \r\n", "x" * 50_000 + "."])))
     rows += rows[:40]
+    rows.append((next(c for c in range(1000, 2000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0), 0, "user", "All is dropped."))
     spark.createDataFrame([(*r, "x", 0) for r in rows], "conv_id long, turn long, role string, text string, conv string, place int").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
     by = {}
     for r in rows:
