@@ -76,22 +76,36 @@ def batch_topk(vecs: DataFrame, queries: list[tuple[str, list[float]]], k: int,
     return ranked.withColumn("score", F.when(F.lit(metric == "l2"), -F.col("score")).otherwise(F.col("score")))
 
 
-def hashed_counts(rows: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """key, bucket, tf: tokens by hash."""
-    words = rows.select(key, F.explode(tokens(text)).alias("w"))
-    return words.groupBy(key, (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % size).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def hashed_terms(terms: DataFrame, size: int = 64) -> DataFrame:
-    """The same from a term table."""
+def hashed_vectors(words: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """key and embedding, the counts of its tokens by hash, from rows of key, term and tf: the hashing stand-in's vectors before
+    they are made a unit long."""
     bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % size).cast("int")
-    return terms.groupBy("chunk_pos", bucket.alias("bucket")).agg(F.sum("tf").alias("tf"))
-
-
-def hashed_cosine(docs: DataFrame, key: str, queries: DataFrame, size: int = 64) -> DataFrame:
-    """query_id, key, score of the hashing stand-in from counts by key and bucket: joined by bucket, so vectors are never built."""
-    asked = hashed_counts(queries, "query_id", "query", size)
-    length = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    dots = docs.join(F.broadcast(asked.select("query_id", "bucket", F.col("tf").alias("qtf"))), "bucket").groupBy("query_id", key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    norms, qnorms = length(docs, key), length(asked, "query_id").withColumnRenamed("norm", "qnorm")
-    return dots.join(norms, key).join(F.broadcast(qnorms), "query_id").select("query_id", key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
+    counts = words.groupBy(key, bucket.alias("bucket")).agg(F.sum("tf").cast("double").alias("tf"))
+    held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("m"))  # size of them at most
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
+
+
+def question_vectors(queries: DataFrame, size: int = 64) -> DataFrame:
+    words = queries.select("query_id", F.explode(tokens("query")).alias("term"))
+    return hashed_vectors(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")), "query_id", size)
+
+
+def in_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[str, list[float]]]]:
+    """Queries (query_id, embedding) as lists of at most so many: the driver holds one partition's and one block's at a time."""
+    held: list[tuple[str, list[float]]] = []
+    for r in queries.select(F.col("query_id").cast("string"), "embedding").toLocalIterator():
+        held.append((r[0], list(r[1])))
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def hashed_topk(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_pos, score, rank by the stand-in's vectors: those of chunks (chunk_pos, embedding) against those of the
+    questions, by matrix products. Chunks that have no bucket of the question's aren't found."""
+    out = batch_topk(vecs, [], k)
+    for block in in_blocks(question_vectors(queries)):
+        out = out.unionByName(batch_topk(vecs, block, k, "cosine"))
+    return out.where(F.col("score") > 0)

@@ -1,58 +1,104 @@
-"""BM25 over an index of postings, stored in the order of the terms."""
+"""BM25 over postings in blocks of chunks, with bounds that leave blocks unread."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspring.functions.text import tokens
+from docspring.staging import Staging
 
 # The constants of the public BM25 variant that floors negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks of a block: neighbours by number.
+SPAN = 4096
+#: Blocks of the greatest bounds that each query reads first, to know what score the others must reach.
+SEEDS = 2
+#: Queries that a task scores against one block at a time.
+GROUP = 256
+#: Scores are rounded to so many places; bounds get a little more than that.
+PLACES, SLACK = 9, 1e-8
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """postings: term, chunk_pos, tf, dl; vocabulary: term, df, raw (the idf without a floor); positions: chunk_pos of every
-    chunk with an id. Both tables of terms are sorted by them, so a scan for the terms of some questions skips the rest."""
+    """blocks: term, block, n, tokens, max_tf, min_dl, and as arrays ats (places in the block), tfs and dls; vocabulary: term,
+    df, raw (the idf without a floor); positions: chunk_pos of every chunk with an id. dead (block, ats) are places that no longer
+    count, and numbers (slot, chunk_pos) says which chunk stands in a place, where that isn't its number."""
 
-    postings: DataFrame
+    blocks: DataFrame
     vocabulary: DataFrame
     positions: DataFrame
     n: int
     avgdl: float
     mean: float
+    span: int = SPAN
+    dead: DataFrame | None = None
+    numbers: DataFrame | None = None
 
     def idf(self) -> Column:
         """A negative idf becomes EPSILON times the mean over all terms."""
         return F.when(F.col("raw") < 0, F.lit(EPSILON * self.mean)).otherwise(F.col("raw"))
 
+    def share(self, tf: Column, dl: Column) -> Column:
+        """What a posting adds for a weight of 1. It grows with tf and falls with dl."""
+        return tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
 
-def term_index(chunks: DataFrame, path: str) -> TermIndex:
+    def postings(self) -> DataFrame:
+        """term, chunk_pos, tf, dl: a row for each posting."""
+        flat = self.blocks.select("term", "block", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p")).select("term", "block", "p.ats", "p.tfs", "p.dls")
+        if self.dead is not None:
+            gone = self.dead.select("block", F.explode("ats").alias("ats"))
+            flat = flat.join(gone, ["block", "ats"], "left_anti")
+        return renumbered(flat.select("term", (F.col("block") * self.span + F.col("ats")).alias("chunk_pos"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")), self)
+
+
+def renumbered(rows: DataFrame, index: TermIndex) -> DataFrame:
+    if index.numbers is None:
+        return rows
+    return rows.withColumnRenamed("chunk_pos", "slot").join(index.numbers, "slot").drop("slot")
+
+
+def posting_blocks(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """The blocks of rows (chunk_pos, text). Texts move once, to the task of their block, where they are tokenised and counted;
+    a term of all chunks is spread over all blocks."""
+    placed = rows.select(F.floor(F.col("chunk_pos") / span).cast("long").alias("block"), F.pmod("chunk_pos", F.lit(span)).cast("int").alias("at"), "text").repartition("block")
+    words = placed.select("block", "at", tokens("text").alias("words")).select("block", "at", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    counted = words.groupBy("block", "at", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    entries = F.array_sort(F.collect_list(F.struct("at", "tf", "dl")))  # span of them at most
+    made = counted.groupBy("block", "term").agg(entries.alias("e"), F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    return made.select("term", "block", "n", "tokens", "max_tf", "min_dl", F.col("e.at").alias("ats"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls")).sortWithinPartitions("term", "block")
+
+
+def vocabulary_of(terms: DataFrame, n: int) -> DataFrame:
+    """term, df, raw from term and df."""
+    raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    return terms.select("term", "df", raw.alias("raw"))
+
+
+def term_index(chunks: DataFrame, path: str, span: int = SPAN) -> TermIndex:
     """Tokenises the chunks once, and writes the index under this path. Chunks without an id take no part."""
     spark = chunks.sparkSession
-    some = chunks.where(F.trim("chunk_id") != "").select("chunk_pos", tokens("text").alias("words"))
-    words = some.select("chunk_pos", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term"))
-    counted = words.groupBy("chunk_pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted.repartition("term").sortWithinPartitions("term", "chunk_pos").write.mode("overwrite").parquet(f"{path}/postings")  # a null term: a chunk without words
-    return load_terms(spark, path, made=True)
-
-
-def load_terms(spark, path: str, made: bool = False) -> TermIndex:
-    every = spark.read.parquet(f"{path}/postings")
-    if made:
-        n = every.select("chunk_pos").distinct().count()
-        df = every.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw")
-        df.select("term", "df", raw).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-        every.groupBy("chunk_pos").agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/positions")
-    vocabulary, positions = spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/positions")
-    size = positions.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).head()
+    some = chunks.where(F.trim("chunk_id") != "").select(F.col("chunk_pos").cast("long").alias("chunk_pos"), "text")
+    some.select("chunk_pos").write.mode("overwrite").parquet(f"{path}/positions")
+    posting_blocks(some, span).write.mode("overwrite").parquet(f"{path}/blocks")
+    n = spark.read.parquet(f"{path}/positions").count()
+    terms = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
+    vocabulary_of(terms, n).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    return load_terms(spark, path, span)
+
+
+def load_terms(spark: SparkSession, path: str, span: int = SPAN) -> TermIndex:
+    blocks, vocabulary, positions = (spark.read.parquet(f"{path}/{k}") for k in ("blocks", "vocabulary", "positions"))
+    n, words = positions.count(), blocks.agg(F.sum("tokens").alias("t")).head().t or 0
     mean = vocabulary.agg(F.avg("raw").alias("mean")).head().mean
-    return TermIndex(every.where("term is not null").select("term", "chunk_pos", "tf", "dl"), vocabulary, positions.select("chunk_pos"), size.n, (size.dl or 0) / max(size.n, 1), mean or 0.0)
+    return TermIndex(blocks, vocabulary, positions, n, words / max(n, 1), mean or 0.0, span)
 
 
 def term_stats(index: TermIndex) -> DataFrame:
@@ -65,26 +111,144 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(queries: DataFrame, index: TermIndex) -> DataFrame:
-    """query_id, chunk_pos, score of the chunks that have a word of the query."""
-    wanted = query_terms(queries).join(term_stats(index), "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    return index.postings.join(wanted, "term").groupBy("query_id", "chunk_pos").agg(F.round(F.sum(part), 9).alias("score"))
+def weighted(queries: DataFrame, index: TermIndex) -> DataFrame:
+    """query_id, term, weight."""
+    return query_terms(queries).join(term_stats(index), "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
+
+
+def block_bounds(queries: DataFrame, index: TermIndex) -> DataFrame:
+    """query_id, block, term, weight, bound: what the term can add in a chunk of the block at most. Reads no postings."""
+    heads = index.blocks.select("term", "block", "max_tf", "min_dl")
+    most = F.greatest(F.col("weight") * index.share(F.col("max_tf"), F.col("min_dl")), F.lit(0.0))
+    return heads.join(weighted(queries, index), "term").select("query_id", "block", "term", "weight", most.alias("bound"))
+
+
+def best_of_block(rows: list[tuple], span: int, avgdl: float, k: int) -> list[tuple[str, int, float]]:
+    """(query, place, score) of the k best of each query in a block. rows: ats, tfs, dls and wants, the queries with weight, bound
+    and floor; without tfs the places take part with 0, and without wants they are dead.
+
+    Terms that can't reach a query's floor even together find no chunks (MaxScore): they only add to those that others find."""
+    parts, by_query = [], {}
+    live = np.ones(span, bool)
+    for ats, tfs, dls, wants in rows:
+        if wants is None:
+            live[ats] = False
+            continue
+        tf = None if tfs is None else np.asarray(tfs, np.float64)
+        parts.append((np.asarray(ats, np.int64), None if tf is None else tf / (tf + K1 * (1 - B + B * np.asarray(dls, np.float64) / avgdl))))
+        for q in wants:
+            by_query.setdefault(q["query_id"], []).append((q["bound"], q["weight"], len(parts) - 1, q["floor"]))
+    out, scores, found = [], np.zeros(span), np.zeros(span, bool)
+    for query, terms in by_query.items():
+        terms.sort(key=lambda t: (-t[0], t[2]))
+        floor = terms[0][3]
+        left = sum(t[0] for t in terms)
+        scores[:], found[:] = 0.0, False
+        for bound, weight, part, _ in terms:
+            ats, shares = parts[part]
+            if shares is None:
+                found[ats] = True
+                continue
+            if floor is None or left + SLACK >= floor:
+                found[ats] = True
+                scores[ats] += weight * shares
+            else:
+                some = found[ats]
+                scores[ats[some]] += weight * shares[some]
+            left -= bound
+        at = np.flatnonzero(found & live)
+        got = np.round(scores[at], PLACES)
+        order = np.lexsort((at, -got))[:k]
+        out += [(query, int(a), float(s)) for a, s in zip(at[order], got[order], strict=True)]
+    return out
+
+
+def scored_blocks(wanted: DataFrame, index: TermIndex, k: int, groups: int, zeros: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_pos, score: the k best of each wanted block for each query. wanted: query_id, block, term, weight, bound,
+    floor. zeros (query_id, block, ats) are places that take part with a score of 0. A task holds one block's postings for GROUP
+    queries at a time."""
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
+    wants = F.collect_list(F.struct("query_id", "weight", "bound", "floor")).alias("wants")  # some GROUP at most
+    grouped = wanted.withColumn("g", group).groupBy("term", "block", "g").agg(wants)
+    rows = index.blocks.join(grouped, ["term", "block"]).select("block", "g", "ats", "tfs", "dls", "wants")
+    if zeros is not None:
+        none = F.lit(None).cast("array<int>")
+        also = zeros.withColumns({"g": group, "weight": F.lit(0.0), "bound": F.lit(0.0), "floor": F.lit(None).cast("double")}).groupBy("block", "g").agg(F.first("ats").alias("ats"), wants)
+        rows = rows.unionByName(also.select("block", "g", "ats", none.alias("tfs"), none.alias("dls"), "wants"))
+    if index.dead is not None:
+        gone = index.dead.join(grouped.select("block", "g").distinct(), "block")
+        rows = rows.unionByName(gone.select("block", "g", "ats", *(F.lit(None).cast("array<int>").alias(c) for c in ("tfs", "dls")), F.lit(None).cast(rows.schema["wants"].dataType).alias("wants")))
+    span, avgdl = index.span, index.avgdl
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            found = best_of_block(held, span, avgdl, k)
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            q, at, s = columns
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array([key[0] * span + a for a in at], pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_pos", "score"])
+
+        for batch in batches:
+            blocks, gs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, here in enumerate(zip(blocks, gs, strict=True)):
+                if key is not None and here != key:
+                    yield done()
+                    held = []
+                key = here
+                held.append(tuple(None if not (x := batch.column(c)[i]).is_valid else x.values.to_numpy(zero_copy_only=False) if c < 5 else x.as_py() for c in range(2, 6)))
+        if key is not None:
+            yield done()
+
+    ordered = rows.repartition("block", "g").sortWithinPartitions("block", "g").select("block", "g", "ats", "tfs", "dls", "wants")
+    return ordered.mapInArrow(run, "query_id string, chunk_pos long, score double")
+
+
+def top(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_pos, score, rank of the k best of each query, ties by number."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_pos")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def block_plan(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best chunks of each query's blocks of the greatest bounds, and the blocks (query_id, block, term, weight, bound, floor)
+    that may still hold one of the k best: those whose bound reaches the k-th score so far."""
+    staging = staging or Staging(queries.sparkSession, "sparse")
+    groups = max(1, -(-queries.count() // GROUP))
+    bounds = staging.stored(block_bounds(queries, index), "bounds")
+    of_block = bounds.groupBy("query_id", "block").agg(F.sum("bound").alias("most"))
+    ranked = of_block.withColumn("no", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "block")))
+    first = ranked.where(F.col("no") <= seeds).select("query_id", "block")
+    found = staging.stored(top(scored_blocks(bounds.join(first, ["query_id", "block"]).withColumn("floor", F.lit(None).cast("double")), index, k, groups), k), "first")
+    floors = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = of_block.join(first, ["query_id", "block"], "left_anti").join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") + SLACK >= F.col("floor")))
+    return found.drop("rank"), staging.stored(bounds.join(rest.select("query_id", "block", "floor"), ["query_id", "block"]), "rest")
+
+
+def scores(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS) -> DataFrame:
+    """query_id, chunk_pos, score: the k best chunks (at least) of each query that have a word of it. With a negative mean idf
+    bounds say nothing: then all blocks are read, and chunks without a word of the query take part with 0."""
+    groups = max(1, -(-queries.count() // GROUP))
+    if index.mean < 0:
+        at = F.col("chunk_pos") if index.numbers is None else F.col("slot")
+        held = index.positions if index.numbers is None else index.numbers
+        places = held.groupBy(F.floor(at / index.span).cast("long").alias("block")).agg(F.collect_list(F.pmod(at, F.lit(index.span)).cast("int")).alias("ats"))
+        every = queries.select("query_id").crossJoin(places)  # a stated set of queries by blocks
+        return scored_blocks(block_bounds(queries, index).withColumn("floor", F.lit(None).cast("double")), index, k, groups, every)
+    found, rest = block_plan(queries, index, k, seeds)
+    return found.unionByName(scored_blocks(rest, index, k, groups))
 
 
-def sparse_topk(queries: DataFrame, index: TermIndex, k: int) -> DataFrame:
+def sparse_topk(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS) -> DataFrame:
     """query_id, chunk_pos, score, rank. Chunks without a word of the query stay with score 0, in corpus order.
 
-    While no score can be negative, no more than k chunks of score 0 can be in a pool, and they are among the first 2k of
-    the corpus: only those meet the queries. Where the mean idf is negative (a corpus of next to no different words), that
-    isn't so, and all chunks take part.
+    While no score can be negative, no more than k chunks of score 0 can be in a pool, and they are among the first 2k of the
+    corpus: only those meet the queries. The k best are exact: blocks are left unread only if they can't hold one of them.
+    Where places aren't numbers (an index that grew), equal scores at a block's end are kept by place.
     """
-    if index.mean < 0:
-        pairs = queries.select("query_id").crossJoin(index.positions)
-    else:
+    found = renumbered(scores(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), index, k, seeds), index)
+    if index.mean >= 0:
         first = [r.chunk_pos for r in index.positions.orderBy("chunk_pos").limit(2 * k).collect()]
-        pairs = queries.select("query_id", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<long>")).alias("chunk_pos"))
-    every = scores(queries, index).unionByName(pairs.select("query_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.lit(0.0).alias("score")))
-    summed = every.groupBy("query_id", "chunk_pos").agg(F.sum("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_pos")
-    return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        none = queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<long>")).alias("chunk_pos"))
+        found = found.unionByName(none.select("query_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.lit(0.0).alias("score")))
+    return top(found.groupBy("query_id", "chunk_pos").agg(F.max("score").alias("score")), k)

@@ -58,7 +58,7 @@ def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, index: sparse.
 
 def dense_only(asked: DataFrame, chunks: DataFrame, dense: DataFrame, settings: Settings) -> DataFrame:
     """The vector leg alone: filtered by pages, or its first top_k where nothing passes."""
-    rows = dense.join(chunks, "chunk_pos").join(F.broadcast(asked.select("query_id", "query", "lo", "hi")), "query_id")
+    rows = dense.join(chunks, "chunk_pos").join(asked.select("query_id", "query", "lo", "hi"), "query_id")
     kept = fusion.filter_or_all(rows, fusion.overlaps(F.col("lo"), F.col("hi")), settings.top_k)
     return ranked(kept.withColumnRenamed("rank", "__r"), ["__r"], settings.top_k).drop("__r")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -256,20 +258,40 @@ SPARSE = f"""{TERMS}, qterms AS (SELECT query_id, unnest(regexp_extract_all(lowe
     sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_pos) AS rank FROM bm QUALIFY rank <= 24)"""
 
 
-def indexed(spark, sf_dir) -> tuple[DataFrame, sparse.TermIndex]:
-    """Chunks and the index of their terms, tokenised once."""
-    chunks = chunk_rows(documents(spark, sf_dir))
-    return chunks, sparse.term_index(chunks, scratch(spark, "terms"))
+@dataclass(frozen=True)
+class Corpus:
+    """Chunks, the index of their terms and their stand-in vectors."""
+
+    chunks: DataFrame
+    terms: sparse.TermIndex
+    vectors: DataFrame
+
+
+_corpora: dict[tuple[str, str], tuple[str, Corpus]] = {}
+
+
+def indexed(spark, sf_dir) -> Corpus:
+    """Made once for each session and state of the table."""
+    session, key = (spark.sparkContext.applicationId, sf_dir), index.freshness_key(spark, f"{sf_dir}/documents.parquet")
+    if (held := _corpora.get(session)) and held[0] == key:
+        return held[1]
+    chunks, path = chunk_rows(documents(spark, sf_dir)), scratch(spark, "terms")
+    terms = sparse.term_index(chunks, path)
+    dense.hashed_vectors(terms.postings(), "chunk_pos").write.parquet(f"{path}/vectors")
+    made = Corpus(chunks, terms, spark.read.parquet(f"{path}/vectors"))
+    _corpora.clear()
+    _corpora[session] = (key, made)
+    return made
 
 
 @query(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def term_stats(spark, sf_dir):
-    return sparse.term_stats(indexed(spark, sf_dir)[1]).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.term_stats(indexed(spark, sf_dir).terms).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {ASKED}, {SPARSE} SELECT query_id, rank, chunk_pos, round(score, 6) AS score FROM sparse")
 def bm25_topk(spark, sf_dir):
-    got = sparse.sparse_topk(asked(spark, sf_dir), indexed(spark, sf_dir)[1], 24)
+    got = sparse.sparse_topk(asked(spark, sf_dir), indexed(spark, sf_dir).terms, 24)
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_pos", F.round("score", 6).alias("score"))
 
 
@@ -345,12 +367,6 @@ def visual_retrieval(spark, sf_dir):
 # --- fusion and the whole retrieval ---
 
 
-def dense_leg(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_pos, rank by the hashing embedder."""
-    scored = dense.hashed_cosine(dense.hashed_terms(postings), "chunk_pos", queries)
-    return retrieval.ranked(scored, [F.desc("score"), F.col("chunk_pos")], k).select("query_id", "chunk_pos", "score", "rank")
-
-
 DENSE = f"""dw AS (SELECT chunk_pos, ('0x' || left(md5(term), 8))::BIGINT % 64 AS bucket, sum(tf) AS tf FROM terms GROUP BY ALL), qw AS (SELECT query_id, ('0x' || left(md5(term), 8))::BIGINT % 64 AS bucket, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM asked) GROUP BY ALL),
     dn AS (SELECT chunk_pos, sqrt(sum(tf * tf)) AS norm FROM dw GROUP BY chunk_pos), qn AS (SELECT query_id, sqrt(sum(qtf * qtf)) AS qnorm FROM qw GROUP BY query_id),
     hc AS (SELECT query_id, chunk_pos, round(sum(tf * qtf) / (any_value(norm) * any_value(qnorm)), 9) AS score FROM dw JOIN qw USING (bucket) JOIN dn USING (chunk_pos) JOIN qn USING (query_id) GROUP BY query_id, chunk_pos),
@@ -360,8 +376,8 @@ FUSED = f"""{SPARSE}, {DENSE}, legs AS (SELECT query_id, chunk_pos, 1.0 / (60 +
 
 
 def legs_of(spark, sf_dir):
-    (chunks, terms), queries = indexed(spark, sf_dir), asked(spark, sf_dir)
-    return chunks, queries, terms, dense_leg(queries, terms.postings, 24)
+    held, queries = indexed(spark, sf_dir), asked(spark, sf_dir)
+    return held.chunks, queries, held.terms, dense.hashed_topk(held.vectors, queries, 24)
 
 
 @query(f"WITH {ASKED}, {FUSED} SELECT query_id, chunk_pos, round(rrf, 9) AS rrf, rank FROM fused")
@@ -414,10 +430,10 @@ def metadata_boost(spark, sf_dir):
     SELECT c.query_id, c.chunk_pos, round(rrf, 9) AS score, round(bonus, 6)::DOUBLE AS bonus, row_number() OVER (PARTITION BY c.query_id ORDER BY bonus DESC, c.rank) AS rank FROM cut c JOIN bonus b ON b.query_id = c.query_id AND b.chunk_pos = c.chunk_pos QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY bonus DESC, c.rank) <= 5""")
 def hybrid_full(spark, sf_dir):
     """Every question, half of them with a page clause, through the whole retrieval as one plan."""
-    (chunks, terms), queries, settings = indexed(spark, sf_dir), with_cue(asked(spark, sf_dir)), Settings()
+    held, queries, settings = indexed(spark, sf_dir), with_cue(asked(spark, sf_dir)), Settings()
     clause = F.when(F.col("query_id").cast("int") % 2 == 0, F.lit(" on pages 4-13")).otherwise(F.lit(""))
     plain = retrieval.questions(queries.withColumn("query", F.concat("query", clause)), settings)
-    hits = retrieval.hybrid(plain, chunks, dense_leg(plain, terms.postings, settings.dense_pool), terms, settings)
+    hits = retrieval.hybrid(plain, held.chunks, dense.hashed_topk(held.vectors, plain, settings.dense_pool), held.terms, settings)
     return hits.select("query_id", "chunk_pos", F.round("score", 9).alias("score"), F.round("bonus", 6).alias("bonus"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -738,12 +754,12 @@ FOLLOW_UP = "which table and chart say more"
     SELECT query_id, 'c' || chunk_pos AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) <= 5""")
 def multi_hop_retrieval(spark, sf_dir):
     """A second pass for every other question; the model's reply is the same follow-up for each."""
-    chunks, terms = indexed(spark, sf_dir)
+    held = indexed(spark, sf_dir)
     asked_for = retrieval.questions(asked(spark, sf_dir), Settings())
     second = {r.query: int(r.query_id) % 2 == 0 for r in asked_for.collect()}
 
     def search(questions: DataFrame) -> DataFrame:
-        return dense_leg(questions.select("query_id", "query"), terms.postings, 3).join(chunks.select("chunk_pos", "chunk_id", "text"), "chunk_pos")
+        return dense.hashed_topk(held.vectors, questions, 3).join(held.chunks.select("chunk_pos", "chunk_id", "text"), "chunk_pos")
 
     def refine(prompt: str) -> str:
         return FOLLOW_UP if second[prompt.removeprefix("Question: ").partition("\nPassages so far:")[0]] else "DONE"

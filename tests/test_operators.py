@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,49 @@ def test_bm25_keeps_zeros_and_counts_repeats(spark, tmp_path):
     assert (again.n, again.avgdl, again.mean) == (terms.n, terms.avgdl, terms.mean)
 
 
+def plain_bm25(texts: dict[int, str], query: str) -> list[tuple[float, int]]:
+    """All chunks by score, then number."""
+    words = {i: t.split() for i, t in texts.items()}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(raw.values()) / len(raw)
+    out = []
+    for i, ws in words.items():
+        score = 0.0
+        for w in query.split():
+            tf = ws.count(w)
+            score += (floor if raw.get(w, 0) < 0 else raw.get(w, 0)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ws) / avg))
+        out.append((-round(score, 9), i))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def zipf():
+    """Chunks whose neighbours are alike, and questions of frequent and rare words."""
+    rnd = random.Random(12)
+    word = lambda topic: "the" if rnd.random() < 0.3 else f"w{int(rnd.paretovariate(0.7)) % 40}" if rnd.random() < 0.5 else f"t{topic}x{rnd.randrange(12)}"
+    texts = {i: " ".join(word(i // 40) for _ in range(rnd.randrange(3, 30))) for i in range(900)}
+    return texts, {f"q{j}": " ".join(rnd.choice(texts[rnd.randrange(900)].split()) for _ in range(rnd.randrange(1, 5))) + " the" for j in range(25)}
+
+
+def test_bm25_reads_a_part_of_the_blocks(spark, tmp_path, zipf):
+    texts, asked = zipf
+    chunks = spark.createDataFrame([(i, f"c{i}", t) for i, t in texts.items()], "chunk_pos long, chunk_id string, text string")
+    questions = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    index = sparse.term_index(chunks, str(tmp_path / "t"), span=16)
+    assert index.blocks.agg(F.max(F.size("ats"))).head()[0] <= 16 and index.blocks.where("term = 'the'").count() > 50  # a frequent term is spread
+    got = {}
+    for r in sparse.sparse_topk(questions, index, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_pos))
+    for q, text in asked.items():
+        assert [(pytest.approx(s, abs=1e-8), i) for s, i in got[q]] == plain_bm25(texts, text)[:5], text
+    every = sparse.block_bounds(questions, index).select("query_id", "block").distinct().count()
+    _, rest = sparse.block_plan(questions, index, 5)
+    read = rest.select("query_id", "block").distinct().count() + sparse.SEEDS * len(asked)
+    assert read < 0.6 * every, (read, every)
+
+
 def test_bm25_negative_scores_lose_to_zeros(spark, tmp_path):
     chunks = spark.createDataFrame([(i, f"c{i}", "same" if i < 3 else "") for i in range(4)], "chunk_pos long, chunk_id string, text string")
     asked = spark.createDataFrame([("q", "same")], "query_id string, query string")
