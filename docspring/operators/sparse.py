@@ -17,7 +17,7 @@ from docspring.staging import Staging
 # The constants of the public BM25 variant that floors negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks of a block: neighbours by number.
-SPAN = 4096
+SPAN = 1024
 #: Blocks of the greatest bounds that each query reads first, to know what score the others must reach.
 SEEDS = 2
 #: Queries that a task scores against one block at a time.
