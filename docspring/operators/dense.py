@@ -76,18 +76,21 @@ def batch_topk(vecs: DataFrame, queries: list[tuple[str, list[float]]], k: int,
     return ranked.withColumn("score", F.when(F.lit(metric == "l2"), -F.col("score")).otherwise(F.col("score")))
 
 
+def bucket_of(term: Column | str, size: int = 64) -> Column:
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % size).cast("int")
+
+
 def hashed_vectors(words: DataFrame, key: str, size: int = 64) -> DataFrame:
-    """key and embedding, the counts of its tokens by hash, from rows of key, term and tf: the hashing stand-in's vectors before
-    they are made a unit long."""
-    bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % size).cast("int")
-    counts = words.groupBy(key, bucket.alias("bucket")).agg(F.sum("tf").cast("double").alias("tf"))
+    """key and embedding, the counts of its tokens by bucket, from rows of key, bucket and tf: the hashing stand-in's vectors
+    before they are made a unit long."""
+    counts = words.groupBy(key, "bucket").agg(F.sum("tf").cast("double").alias("tf"))
     held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("m"))  # size of them at most
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
 
 
 def question_vectors(queries: DataFrame, size: int = 64) -> DataFrame:
     words = queries.select("query_id", F.explode(tokens("query")).alias("term"))
-    return hashed_vectors(words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")), "query_id", size)
+    return hashed_vectors(words.select("query_id", bucket_of("term", size).alias("bucket"), F.lit(1).alias("tf")), "query_id", size)
 
 
 def in_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[str, list[float]]]]:

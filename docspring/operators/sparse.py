@@ -50,13 +50,15 @@ class TermIndex:
         """What a posting adds for a weight of 1. It grows with tf and falls with dl."""
         return tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
 
-    def postings(self) -> DataFrame:
-        """term, chunk_pos, tf, dl: a row for each posting."""
-        flat = self.blocks.select("term", "block", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p")).select("term", "block", "p.ats", "p.tfs", "p.dls")
+    def postings(self, of_term: Column | str = "term") -> DataFrame:
+        """term (or what is made of it), chunk_pos, tf, dl: a row for each posting."""
+        rows = self.blocks.select(of_term, "block", "ats", "tfs", "dls")
+        term = rows.columns[0]
+        flat = rows.select(term, "block", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p")).select(term, "block", "p.ats", "p.tfs", "p.dls")
         if self.dead is not None:
             gone = self.dead.select("block", F.explode("ats").alias("ats"))
             flat = flat.join(gone, ["block", "ats"], "left_anti")
-        return renumbered(flat.select("term", (F.col("block") * self.span + F.col("ats")).alias("chunk_pos"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")), self)
+        return renumbered(flat.select(term, (F.col("block") * self.span + F.col("ats")).alias("chunk_pos"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")), self)
 
 
 def renumbered(rows: DataFrame, index: TermIndex) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
-from docspring.operators import batching, cache, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
 from docspring.plans import corpus, retrieval
 from docspring.sources import index
 from docspring.staging import scratch
@@ -277,7 +277,7 @@ def indexed(spark, sf_dir) -> Corpus:
         return held[1]
     chunks, path = chunk_rows(documents(spark, sf_dir)), scratch(spark, "terms")
     terms = sparse.term_index(chunks, path)
-    dense.hashed_vectors(terms.postings(), "chunk_pos").write.parquet(f"{path}/vectors")
+    dense.hashed_vectors(terms.postings(dense.bucket_of("term").alias("bucket")), "chunk_pos").write.parquet(f"{path}/vectors")
     made = Corpus(chunks, terms, spark.read.parquet(f"{path}/vectors"))
     _corpora.clear()
     _corpora[session] = (key, made)
@@ -328,6 +328,24 @@ def dense_cosine_topk(spark, sf_dir):
     return nearest(spark, sf_dir, 10, "cosine")
 
 
+def by_cells(spark, sf_dir, k: int, metric: str) -> DataFrame:
+    vecs = scaled(spark, sf_dir)
+    made = cells.build(vecs.select("chunk_pos", "embedding"), scratch(spark, "cells"), metric)
+    got = cells.nearest(made, questions_of(vecs), k)
+    return got.select("query_id", "chunk_pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLE_SQL["dense_l2_topk"])
+def cells_l2_topk(spark, sf_dir):
+    """The same vectors as by the scan, from the cells that can hold them."""
+    return by_cells(spark, sf_dir, 24, "l2")
+
+
+@query(ORACLE_SQL["dense_cosine_topk"])
+def cells_cosine_topk(spark, sf_dir):
+    return by_cells(spark, sf_dir, 10, "cosine")
+
+
 def unscaled(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_pos"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 

@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
-from docspring.operators import batching, cache, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
 from docspring.plans import retrieval
 
 
@@ -237,6 +238,30 @@ def test_dense_clamps_and_breaks_ties(spark):
     assert dense.batch_topk(vecs, [], 2).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_cells_equal_a_scan(spark, tmp_path, metric):
+    """Vectors in clusters, some equal, some without a length: the same rows as by a scan, from a part of the rings."""
+    rnd = np.random.default_rng(4)
+    centers = rnd.normal(size=(20, 8)) * 6
+    x = centers[rnd.integers(0, 20, 4000)] + rnd.normal(size=(4000, 8)) * 0.3
+    x[:40], x[40:300] = 0.0, x[300]
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)], "chunk_pos long, embedding array<double>").repartition(5)
+    asked = [(str(i), x[i].tolist()) for i in range(0, 4000, 100)]
+    made = cells.build(vecs, str(tmp_path / "c"), metric, ring=64)
+    got = sorted(map(tuple, cells.nearest(made, asked, 7).select("query_id", "chunk_pos", "score", "rank").collect()))
+    want = sorted(map(tuple, dense.batch_topk(vecs, asked, 7, metric).select("query_id", "chunk_pos", "score", "rank").collect()))
+    assert got == want and len(got) == 280
+    plain = [q for q in asked if np.linalg.norm(q[1]) > 0 and not np.array_equal(q[1], x[300])]
+    first, rest = cells.plan(made, np.array([v for _, v in plain]), 7)
+    rings = made.rings.count()
+    assert made.rings.agg(F.max("n")).head()[0] <= 64 and rest.count() + cells.SEEDS * len(plain) < 0.3 * rings * len(plain)
+    assert cells.nearest(made, [], 3).count() == 0
+    with pytest.raises(ValueError):
+        cells.nearest(made, [("q", [1.0])], 3)
+    none = cells.build(vecs.limit(0), str(tmp_path / "n"), metric)
+    assert cells.nearest(none, [("q", [1.0] * 8)], 3).count() == 0
+
+
 def test_queries_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK", 2)
     vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "chunk_pos long, embedding array<float>")

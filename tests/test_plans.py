@@ -97,7 +97,7 @@ def test_evaluate(spark, sf_dir, tmp_path):
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
     gold = queries.asked(spark, sf_dir).where("query_id < 3").select("query_id", F.col("query").alias("question"), F.col("query").alias("ground_truth_context"), F.lit("a").alias("ground_truth_answer"), F.lit("1").alias("page_number"), F.lit("table").alias("context_content_type"))
     terms = sparse.term_index(chunks, str(tmp_path / "t"))
-    legs = dense.hashed_topk(dense.hashed_vectors(terms.postings(), "chunk_pos"), gold.select("query_id", F.col("question").alias("query")), 24)
+    legs = dense.hashed_topk(dense.hashed_vectors(terms.postings(dense.bucket_of("term").alias("bucket")), "chunk_pos"), gold.select("query_id", F.col("question").alias("query")), 24)
     report = corpus.evaluate(gold, chunks, legs, terms, Settings(), judge=lambda x: "no scores here")
     assert len(report["per_row_ragas"]) == 3 and 0 < report["ragas_summary_mean"]["lexical_context_recall"] <= 1 and len(report["llm_judge"]) == 3 and all("error" in r["scores"] for r in report["llm_judge"])
     with pytest.raises(SystemExit):
@@ -109,7 +109,7 @@ def test_dense_fallback(spark, sf_dir, tmp_path):
 
     chunks = queries.chunk_rows(queries.documents(spark, sf_dir))
     asked = retrieval.questions(queries.asked(spark, sf_dir).where("query_id < 2"), Settings())
-    legs = dense.hashed_topk(dense.hashed_vectors(sparse.term_index(chunks, str(tmp_path / "t")).postings(), "chunk_pos"), asked, 24)
+    legs = dense.hashed_topk(dense.hashed_vectors(sparse.term_index(chunks, str(tmp_path / "t")).postings(dense.bucket_of("term").alias("bucket")), "chunk_pos"), asked, 24)
     local, remote = retrieval.dual(asked, chunks, legs, legs, None, Settings())
     assert local.count() == remote.count() == 10
 
