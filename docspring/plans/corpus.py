@@ -13,7 +13,7 @@ from docspring.config import Settings
 from docspring.functions import geometry, ids, models, vectors
 from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured
 from docspring.plans import retrieval
-from docspring.sources import documents, index
+from docspring.sources import documents, index, points
 from docspring.staging import Staging
 
 
@@ -88,8 +88,8 @@ def _ingested(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], li
     if sizes.vectors != sizes.n or not sizes.size:
         raise RuntimeError("the embedder gave no vectors")
     index.save_index(made, settings.index_path)
-    index.reset_collection(spark, f"{settings.index_path}/collections/{settings.collection}", sizes.size)
-    index.upsert_points(made, f"{settings.index_path}/collections/{settings.collection}")
+    points.reset(spark, f"{settings.index_path}/collections/{settings.collection}", sizes.size)
+    points.upsert(made, f"{settings.index_path}/collections/{settings.collection}")
     return index.load_index(spark, settings.index_path)
 
 

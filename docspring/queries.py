@@ -12,7 +12,7 @@ from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
 from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
 from docspring.plans import corpus, retrieval
-from docspring.sources import index
+from docspring.sources import index, points, segments
 from docspring.staging import scratch
 
 QUERIES: dict = {}
@@ -484,6 +484,32 @@ def upsert_keeps_last(spark, sf_dir):
     return batching.keep_last(rows, "chunk_id", "chunk_pos").select("chunk_id", F.col("chunk_pos").alias("doc_id"))
 
 
+@query("SELECT 'c' || doc_id % (SELECT count(*) // 2 FROM documents) AS chunk_id, coalesce(max(doc_id) FILTER (doc_id % 3 = 0), max(doc_id)) AS doc_id, CASE WHEN count(*) FILTER (doc_id % 3 = 0) > 0 THEN 'second' ELSE 'first' END AS batch, 2::INT AS dimensions FROM documents GROUP BY 1")
+def upsert_buckets(spark, sf_dir):
+    """Documents in two batches, two to a point: what the second names replaces what the first gave, whichever comes later."""
+    docs, path = documents(spark, sf_dir), scratch(spark, "points")
+    half = docs.count() // 2
+    rows = docs.select("doc_id", F.concat(F.lit("c"), (F.col("doc_id") % half).cast("string")).alias("chunk_id"), F.col("doc_id").alias("chunk_pos"), F.array(F.col("doc_id").cast("double"), F.lit(1.0)).alias("embedding"))
+    points.reset(spark, path, 2)
+    points.upsert(rows.where("doc_id % 3 <> 0").withColumn("batch", F.lit("first")), path)
+    got = points.upsert(rows.where("doc_id % 3 = 0").withColumn("batch", F.lit("second")), path)
+    return got.select("chunk_id", "doc_id", "batch", F.size("embedding").alias("dimensions"))
+
+
+@query(ORACLE_SQL["term_stats"])
+def incremental_terms(spark, sf_dir):
+    """A tenth of the documents come later, a tenth change, some go: the index grows by those alone and has the frequencies of one
+    made anew."""
+    final = chunk_rows(documents(spark, sf_dir)).withColumn("doc_id", F.col("chunk_pos").cast("string"))
+    d = F.col("chunk_pos")
+    before = final.where(d % 10 != 1).withColumn("text", F.when(d % 10 == 0, F.concat(F.lit("once "), F.reverse("text"))).otherwise(F.col("text")))
+    more = final.where(d % 50 == 0).withColumns({"chunk_pos": -1 - d, "doc_id": F.concat(F.lit("gone"), d.cast("string"))})
+    grown = segments.SegmentedTerms(spark, scratch(spark, "segments"))
+    grown.upsert(before.unionByName(more))
+    grown.upsert(final, whole=True)
+    return sparse.term_stats(grown.index()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 # --- folds, tables, images, evaluation ---
 
 

@@ -1,4 +1,4 @@
-"""The index as Parquet with a manifest, collections of points, and traces."""
+"""The index as Parquet with a manifest, its terms, patches, and traces."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspring.functions import ids
 from docspring.operators import sparse
-from docspring.operators.batching import keep_last
+from docspring.sources.segments import SegmentedTerms
 
 FORMAT = "docspring_index_v1"
 MANIFEST = "manifest.json"
@@ -74,7 +73,7 @@ def freshness_key(spark: SparkSession, path: str) -> str:
 
 
 class TermTables:
-    """The index of terms beside each index, made again when that changes."""
+    """The index of terms beside each index, brought up to date when that changes: by its changed documents alone."""
 
     def __init__(self):
         self.held: dict[str, tuple[str, sparse.TermIndex]] = {}
@@ -84,37 +83,13 @@ class TermTables:
         key, held = freshness_key(spark, f"{path}/chunks"), self.held.get(path)
         if held and held[0] == key:
             return held[1], True
-        made = sparse.term_index(load_index(spark, path), f"{path}/terms")
+        chunks, terms = load_index(spark, path), SegmentedTerms(spark, f"{path}/terms")
+        terms.upsert(chunks, whole=True)
+        made = terms.index(chunks)
         self.held[path] = (key, made)
         return made, False
 
 
-def reset_collection(spark: SparkSession, path: str, vector_size: int) -> None:
-    """Dropped and made anew, for vectors of this size under cosine."""
-    p, fs = _fs(spark, path)
-    fs.delete(p, True)
-    write_text(spark, f"{path}/{MANIFEST}", json.dumps({"format": FORMAT, "size": vector_size, "distance": "cosine"}))
-
-
-def upsert_points(chunks: DataFrame, path: str) -> DataFrame:
-    """Chunks with vectors as points, over those that are stored: of one chunk id the last of the batch overwrites the others,
-    and points that the batch doesn't name stay. Returns all points."""
-    spark = chunks.sparkSession
-    size = json.loads(read_text(spark, f"{path}/{MANIFEST}"))["size"]
-    good = F.when(F.size("embedding") == size, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector isn't of size {size}")))
-    points = keep_last(chunks, "chunk_id", "chunk_pos").withColumns({"point_id": ids.point_uuid("chunk_id"), "embedding": good})
-    target, fs = _fs(spark, f"{path}/points")
-    if fs.exists(target):
-        old = spark.read.parquet(f"{path}/points")
-        points = points.unionByName(old.join(points.select("point_id"), "point_id", "left_anti"), allowMissingColumns=True)
-    staged, _ = _fs(spark, f"{path}/points.new")
-    points.write.mode("overwrite").parquet(f"{path}/points.new")  # beside, since the old points are read meanwhile
-    fs.delete(target, True)
-    fs.rename(staged, target)
-    spark.catalog.refreshByPath(f"{path}/points")
-    return spark.read.parquet(f"{path}/points")
-
-
 def upsert_patches(patches: DataFrame, path: str, append: bool = False) -> None:
     """Flat payloads of 17 fields with their vectors."""
     patches.write.mode("append" if append else "overwrite").parquet(f"{path}/patches")

@@ -1,6 +1,8 @@
 """Sources, sinks, whole plans and the registered queries."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from docspring.config import Settings
 from docspring.functions import models
 from docspring.operators import cache, dense, sparse
 from docspring.plans import corpus, retrieval
-from docspring.sources import documents, index
+from docspring.sources import documents, index, manifests, points, segments
 from docspring.streaming import ingest
 
 
@@ -33,8 +35,8 @@ def test_ingest_and_answer(spark, files, tmp_path):
     settings = Settings(chunk_size=200, chunk_overlap=20, index_path=str(tmp_path / "idx"), cache_path=str(tmp_path / "cache.json"))
     chunks = corpus.ingest(parts, corpus.hashed_embedder, settings)
     assert {r.page_start for r in chunks.collect()} == {0, 1}
-    points = spark.read.parquet(f"{settings.index_path}/collections/{settings.collection}/points")
-    assert points.count() == chunks.select("chunk_id").distinct().count()
+    held = points.points(spark, f"{settings.index_path}/collections/{settings.collection}")
+    assert held.count() == chunks.select("chunk_id").distinct().count()
     tables, embed = index.TermTables(), corpus.hashed_embedder()
     assert [tables.get(spark, settings.index_path)[1] for _ in range(2)] == [False, True]
     store = cache.AnswerCache(settings.cache_path)
@@ -79,16 +81,99 @@ def test_requests_keep_their_limits(spark, tmp_path):
     assert got == {0: [2, 3], 1: [2, 5], 2: [3, 7], 3: [3, 2], 4: [3, 1], 5: [1, 9]}
 
 
+def point_batch(spark, *rows):
+    return spark.createDataFrame(rows, "chunk_id string, chunk_pos long, text string, embedding array<float>")
+
+
 def test_upsert_keeps_the_other_points(spark, tmp_path):
-    path = str(tmp_path / "c")
-    index.reset_collection(spark, path, 2)
-    batch = lambda *rows: spark.createDataFrame(rows, "chunk_id string, chunk_pos long, text string, embedding array<float>")
-    assert index.upsert_points(batch(("a", 0, "old", [1.0, 0.0]), ("b", 1, "b", [1.0, 0.0])), path).count() == 2
-    got = {r.chunk_id: r.text for r in index.upsert_points(batch(("a", 0, "x", [1.0, 0.0]), ("a", 1, "new", [1.0, 0.0]), ("c", 2, "c", [1.0, 0.0])), path).collect()}
+    path, batch = str(tmp_path / "c"), lambda *rows: point_batch(spark, *rows)
+    points.reset(spark, path, 2, buckets=8)
+    assert points.points(spark, path) is None
+    assert points.upsert(batch(("a", 0, "old", [1.0, 0.0]), ("b", 1, "b", [1.0, 0.0])), path).count() == 2
+    got = {r.chunk_id: r.text for r in points.upsert(batch(("a", 0, "x", [1.0, 0.0]), ("a", 1, "new", [1.0, 0.0]), ("c", 2, "c", [1.0, 0.0])), path).collect()}
     assert got == {"a": "new", "b": "b", "c": "c"}
     with pytest.raises(Exception, match="size 2"):
-        index.upsert_points(batch(("d", 0, "d", [1.0])), path)
-    assert spark.read.parquet(f"{path}/points").count() == 3
+        points.upsert(batch(("d", 0, "d", [1.0])), path)
+    assert points.upsert(batch(), path).count() == 3
+    points.reset(spark, path, 3)
+    assert points.points(spark, path) is None and points.state(spark, path)["size"] == 3
+
+
+def test_upsert_rewrites_its_buckets_alone_and_bears_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    points.reset(spark, path, 1, buckets=16)
+    points.upsert(point_batch(spark, *((f"c{i}", i, "first", [float(i)]) for i in range(200))), path)
+    before = points.state(spark, path)["files"]
+    points.upsert(point_batch(spark, ("c5", 5, "second", [5.0])), path)
+    after = points.state(spark, path)["files"]
+    assert sum(after[b] != before[b] for b in before) == 1
+
+    def crash(*_):
+        raise OSError("the machine is gone")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(manifests, "commit", crash)
+        points.upsert(point_batch(spark, *((f"c{i}", i, "third", [float(i)]) for i in range(200))), path)
+    texts = [r.text for r in points.points(spark, path).collect()]
+    assert len(texts) == 200 and texts.count("first") == 199 and texts.count("second") == 1
+    held = manifests.read(spark, path)
+    manifests.commit(spark, path, held)
+    with pytest.raises(RuntimeError, match="another writer"):
+        manifests.commit(spark, path, held)
+    assert points.upsert(point_batch(spark, *((f"c{i}", i, "fourth", [float(i)]) for i in range(200))), path).where("text = 'fourth'").count() == 200
+    for _ in range(3):  # what no manifest names is deleted
+        points.upsert(point_batch(spark, ("c5", 5, "last", [5.0])), path)
+    assert len(manifests.versions(spark, path)) == 2 and len(os.listdir(f"{path}/data")) <= 3
+
+
+def term_rows(index):
+    return {(r.term, r.df, round(r.idf, 9)) for r in sparse.term_stats(index).collect()}
+
+
+def test_terms_grow_by_what_changes(spark, tmp_path):
+    """After changes of several kinds the index equals one made anew, and only what changed was tokenised."""
+    rnd = random.Random(3)
+    say = lambda: " ".join(f"w{int(rnd.paretovariate(0.8)) % 50}" for _ in range(rnd.randrange(1, 12)))
+    texts = {f"d{i:03}": [say() for _ in range(rnd.randrange(1, 4))] for i in range(60)}
+
+    def chunks(held):
+        rows = [(d, k, f"{d}-{k}", t) for d, some in sorted(held.items()) for k, t in enumerate(some)]
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "chunk_pos long, doc_id string, n int, chunk_id string, text string")
+
+    asked = spark.createDataFrame([(f"q{i}", say()) for i in range(8)], "query_id string, query string")
+    grown = segments.SegmentedTerms(spark, str(tmp_path / "g"), span=8)
+
+    def check():
+        now = chunks(texts)
+        fresh = sparse.term_index(now, str(tmp_path / "f"), span=8)
+        index = grown.index(now)
+        assert term_rows(index) == term_rows(fresh) and (index.n, index.avgdl, index.mean) == pytest.approx((fresh.n, fresh.avgdl, fresh.mean))
+        got = [[(r.query_id, r.score) for r in sparse.sparse_topk(asked, x, 4).orderBy("query_id", "rank").collect()] for x in (index, fresh)]
+        assert got[0] == got[1]
+
+    assert grown.upsert(chunks(texts)) == {"new": 60, "changed": 0, "dead": 0, "same": 0}
+    check()
+    texts["d003"], texts["d007"], texts["x"] = [say()], [*texts["d007"], say()], [say(), say()]
+    del texts["d011"]
+    assert grown.upsert(chunks(texts), whole=True) == {"new": 1, "changed": 2, "dead": 1, "same": 57}
+    last = grown.state()["segments"][-1]
+    assert {r.doc_id for r in spark.read.parquet(f"{grown.path}/parts/{last}/slots").collect()} == {"d003", "d007", "x"}
+    check()
+    assert grown.upsert(chunks({"d003": texts["d003"]})) == {"new": 0, "changed": 0, "dead": 0, "same": 1} and len(grown.state()["segments"]) == 2
+    del texts["x"]
+    grown.delete(spark.createDataFrame([("x",), ("unknown",)], "doc_id string"))
+    texts["d003"] = [say()]
+    grown.upsert(chunks({"d003": texts["d003"]}))
+    check()
+    grown.compact()
+    assert len(grown.state()["segments"]) == 1 and not grown.state()["deaths"]
+    check()
+    texts["d020"] = [say()]
+    grown.upsert(chunks(texts), whole=True)
+    check()
+    empty = segments.SegmentedTerms(spark, str(tmp_path / "e"))
+    empty.upsert(chunks({}))
+    assert empty.index().n == 0 and sparse.sparse_topk(asked, empty.index(), 3).count() == 0
 
 
 def test_evaluate(spark, sf_dir, tmp_path):
@@ -129,7 +214,8 @@ def test_stream(spark, tmp_path):
     pages = spark.createDataFrame([(d, 0, " ".join(f"{d}{i}" for i in range(150))) for d in "de"], "doc_id string, page_index int, text string")
     pages.write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # nothing new the second time
-        ingest.stream_chunks(ingest.page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), Settings(chunk_size=200, chunk_overlap=20), once=True).awaitTermination(120)
+        ingest.stream_chunks(ingest.page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), Settings(chunk_size=200, chunk_overlap=20), once=True, terms=str(tmp_path / "terms")).awaitTermination(120)
+    assert segments.SegmentedTerms(spark, str(tmp_path / "terms")).index().n == spark.read.parquet(str(tmp_path / "out")).count()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.select("doc_id").distinct().count() == 2 and got.count() == got.select("chunk_id").distinct().count()
 
