@@ -14,6 +14,7 @@ from docspring.operators.layout import reading_order
 from docspring.staging import Staging
 
 JOIN = 2  # characters between joined pages or spans
+WINDOWS = 64  # neighbouring windows that are put together in one row
 
 
 def constructed(rows: DataFrame) -> DataFrame:
@@ -31,19 +32,38 @@ def constructed(rows: DataFrame) -> DataFrame:
 def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200, source: Column | None = None) -> DataFrame:
     """Windows over a document's pages (doc_id, page_index, text), joined by two characters.
 
-    A chunk's page is the last that begins at or before its middle character. Blank pages take no part. A document's
-    windows are cut in its own row, and the pages' beginnings travel with them as a sorted array: nothing is joined.
+    A chunk's page is the last that begins at or before its middle character. Blank pages take no part. Pages are cut where
+    windows begin, into pieces that know their place and page; WINDOWS neighbouring windows are put together in one row, which
+    holds the pieces of the page that each one's middle lies in. No row holds more of a document than that and no join is
+    needed, so a document may have any number of pages.
     """
+    step = text.window_step(size, overlap)
+    reach = -(-size // step)  # pieces' cells that a window covers
     full = pages.select("doc_id", "page_index", text.clean_text("text").alias("text")).where("text <> ''")
     order = W.partitionBy("doc_id").orderBy("page_index")
-    placed = full.withColumn("start", F.coalesce(F.sum(F.length("text") + JOIN).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    whole = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "page_index", "text"))).alias("p"))
-    joined = whole.select("doc_id", F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["page_index"].alias("page"))).alias("starts"), F.array_join("p.text", "\n\n").alias("whole"))
-    cut = joined.select("doc_id", "starts", F.posexplode(text.windows("whole", size, overlap)).alias("n", "w"))
-    middle = F.col("w.start") + F.floor(F.length("w.text") / 2)
-    page = F.coalesce(F.element_at(F.filter("starts", lambda x: x["start"] <= middle), -1)["page"], F.element_at("starts", 1)["page"])
+    start = F.coalesce(F.sum(F.length("text").cast("long") + JOIN).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    last = F.lead("page_index").over(order).isNull()
+    placed = full.select("doc_id", "page_index", start.alias("start"), F.when(last, F.col("text")).otherwise(F.concat("text", F.lit("\n\n"))).alias("text"))
+    head = F.lit(step) - F.pmod("start", F.lit(step))
+    cells = F.concat(F.array(F.substr("text", F.lit(1), head)), F.regexp_extract_all(F.substr("text", head + 1), F.lit(f"(?s)(.{{1,{step}}})"), 1))
+    cut = placed.select("doc_id", "page_index", "start", F.floor(F.col("start") / step).alias("first"), F.posexplode(cells).alias("i", "t"))
+    cell = F.col("first") + F.col("i")
+    pieces = cut.select("doc_id", cell.alias("cell"), F.greatest("start", cell * step).alias("at"), F.col("page_index").alias("page"), "t")
+    block = lambda c: F.floor(c / WINDOWS)
+    spread = pieces.withColumn("block", F.explode(F.array_distinct(F.array(block(F.greatest(F.col("cell") - reach + 1, F.lit(0))), block(F.col("cell"))))))
+    held = spread.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "cell", "page", "t"))).alias("p"))
+
+    def window(n: Column) -> Column:
+        inside = F.filter("p", lambda x: (x["cell"] >= n) & (x["cell"] < n + reach))
+        whole = F.substring(F.array_join(F.transform(inside, lambda x: x["t"]), ""), 1, size)
+        page = F.element_at(F.filter(inside, lambda x: x["at"] <= n * step + F.floor(F.length(whole) / 2)), -1)["page"]
+        return F.struct(n.cast("int").alias("n"), whole.alias("text"), page.alias("page"))
+
+    first, end = F.col("block") * WINDOWS, F.least(F.col("block") * WINDOWS + WINDOWS - 1, F.element_at("p", -1)["cell"])
+    # a block that holds only the beginning of the next one's first window has no window of its own beyond its last cell
+    made = held.where(end >= first).select("doc_id", F.explode(F.transform(F.sequence(first, end), window)).alias("w"))
     src = source if source is not None else F.col("doc_id").cast("string")
-    rows = cut.select("doc_id", "n", text.strip("w.text").alias("text"), page.alias("page_start"), page.alias("page_end"), src.alias("source"), F.lit("pypdf_page_window").alias("structure_note"))
+    rows = made.select("doc_id", "w.n", text.strip("w.text").alias("text"), F.col("w.page").alias("page_start"), F.col("w.page").alias("page_end"), src.alias("source"), F.lit("pypdf_page_window").alias("structure_note"))
     return constructed(rows.where("text <> ''"))
 
 

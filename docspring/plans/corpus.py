@@ -8,17 +8,20 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, models, vectors
-from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured
+from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured, tables
 from docspring.plans import retrieval
+from docspring.schemas import TABLES
 from docspring.sources import documents, index, points
 from docspring.staging import Staging
 
 
-def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption: Callable | None = None, summary: Callable | None = None) -> dict[str, DataFrame]:
-    """spans, pages, tables, images and notes of all files. parsers: pages, and any of spans, markdown, tables, images."""
+def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption: Callable | None = None, summary: Callable | None = None, text_tables: bool = False) -> dict[str, DataFrame]:
+    """spans, pages, tables, images and notes of all files. parsers: pages, and any of spans, markdown, tables, images. With
+    text_tables and no parser of tables, they are found in the spans' layout."""
     spark = files.sparkSession
     pages, notes = documents.page_texts(files, parsers["pages"])
     out = {"pages": pages, "notes": notes}
@@ -30,10 +33,14 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption:
     boxed = spans.where("y0 is not null").withColumn("span_pos", F.xxhash64("span_id"))
     out["spans"] = spans
     for name, read, key in (("tables", documents.table_blocks, "table_id"), ("images", documents.image_blocks, "xref")):
-        if name not in parsers:
+        if name in parsers:
+            blocks, problems = read(files, parsers[name])
+            out["notes"] = out["notes"].unionByName(problems)
+        elif name == "tables" and text_tables:
+            found = tables.stream_tables(boxed)
+            blocks = found.select(*(F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(TABLES)))
+        else:
             continue
-        blocks, problems = read(files, parsers[name])
-        out["notes"] = out["notes"].unionByName(problems)
         anchors = blocks.withColumn("anchor_id", F.concat_ws("#", F.col("page_index").cast("string"), F.col(key).cast("string")))
         near = layout.with_page_fallback(anchors, boxed, layout.nearest_neighbors(anchors.where("y0 is not null"), boxed))
         snippets = layout.neighbor_snippets(near, spans).drop("page_index")

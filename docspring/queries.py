@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
-from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
 from docspring.plans import corpus, retrieval
 from docspring.sources import index, points, segments
 from docspring.staging import scratch
@@ -225,6 +225,47 @@ def page_fallback(spark, sf_dir):
     return layout.with_page_fallback(anchors, spans, layout.nearest_neighbors(anchors, spans)).select("anchor_id", "above_id", "below_id")
 
 
+GRID = """g AS (SELECT event_id // 100 AS doc_id, ((event_id // 20) % 5)::INT AS page_index, 's' || event_id AS span_id, event_type AS text, (event_id % 20) // 4 AS r, event_id % 4 AS c, event_id // 20 AS page_no, event_id FROM events WHERE event_id % 11 <> 0),
+    b AS (SELECT doc_id, page_index, span_id, text, CASE WHEN r = 2 AND page_no % 3 = 0 THEN 0 ELSE c * 60 + (event_id * 17) % 7 END::DOUBLE AS x0, CASE WHEN r = 2 AND page_no % 3 = 0 THEN 250 WHEN r = 0 AND c = 1 AND page_no % 4 = 0 THEN 170 ELSE c * 60 + (event_id * 17) % 7 + 30 END::DOUBLE AS x1, (r * 20 + (event_id * 13) % 3 + CASE WHEN r > 3 AND page_no % 5 = 0 THEN 90 ELSE 0 END)::DOUBLE AS y0, (r * 20 + (event_id * 13) % 3 + 12 + CASE WHEN r > 3 AND page_no % 5 = 0 THEN 90 ELSE 0 END)::DOUBLE AS y1 FROM g)"""
+
+
+def grid(spark, sf_dir) -> DataFrame:
+    """Events as words in a grid on pages: some are missing, some rows are one wide line, some heads span columns, some rows
+    stand far below."""
+    e = F.col("event_id")
+    r, c, page = F.floor((e % 20) / 4), e % 4, F.floor(e / 20)
+    x = (c * 60 + (e * 17) % 7).cast("double")
+    wide = (r == 2) & (page % 3 == 0)
+    y = (r * 20 + (e * 13) % 3 + F.when((r > 3) & (page % 5 == 0), 90).otherwise(0)).cast("double")
+    return table(spark, sf_dir, "events").where(e % 11 != 0).select(
+        F.floor(e / 100).alias("doc_id"), (page % 5).cast("int").alias("page_index"), F.concat(F.lit("s"), e.cast("string")).alias("span_id"), F.col("event_type").alias("text"),
+        F.when(wide, 0.0).otherwise(x).alias("x0"), F.when(wide, 250.0).when((r == 0) & (c == 1) & (page % 4 == 0), 170.0).otherwise(x + 30).alias("x1"), y.alias("y0"), (y + 12).alias("y1"),
+    )
+
+
+@query(f"""WITH {GRID}, a AS (SELECT *, CASE WHEN y0 + 3 < max(y1 - 3) OVER (PARTITION BY doc_id, page_index ORDER BY y0 + 3, y1 - 3, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM b),
+    rw AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_index ORDER BY y0 + 3, y1 - 3, span_id) - 1 AS row_no FROM a),
+    ca AS (SELECT *, CASE WHEN x0 < 6 + max(x1) OVER (PARTITION BY doc_id, page_index, row_no ORDER BY x0, x1, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM rw),
+    ce AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_index, row_no ORDER BY x0, x1, span_id) - 1 AS cell_no FROM ca),
+    rs AS (SELECT doc_id, page_index, row_no, max(cell_no) + 1 AS cells, min(y0) AS top, max(y1) AS bottom FROM ce GROUP BY ALL HAVING max(cell_no) >= 1),
+    rn AS (SELECT *, CASE WHEN lag(row_no) OVER w = row_no - 1 AND top - lag(bottom) OVER w <= 2 * (bottom - top) THEN 0 ELSE 1 END AS new FROM rs WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY row_no)),
+    tn AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_index ORDER BY row_no) - 1 AS table_no FROM rn),
+    tb AS (SELECT *, max(cells) OVER t AS most FROM tn WINDOW t AS (PARTITION BY doc_id, page_index, table_no) QUALIFY count(*) OVER t >= 2),
+    cl AS (SELECT ce.doc_id, ce.page_index, table_no, ce.row_no, cell_no, span_id, text, x0, x1, y0, cells = most AS whole FROM ce JOIN tb ON ce.doc_id = tb.doc_id AND ce.page_index = tb.page_index AND ce.row_no = tb.row_no),
+    pa AS (SELECT *, CASE WHEN x0 < max(x1) OVER (PARTITION BY doc_id, page_index, table_no ORDER BY x0, x1, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS step FROM cl WHERE whole),
+    pn AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page_index, table_no ORDER BY x0, x1, span_id) - 1 AS column_no FROM pa),
+    cs AS (SELECT doc_id, page_index, table_no, column_no, min(x0) AS lo, max(x1) AS hi FROM pn GROUP BY doc_id, page_index, table_no, column_no),
+    co AS (SELECT * FROM cs QUALIFY count(*) OVER (PARTITION BY doc_id, page_index, table_no) >= 2),
+    jo AS (SELECT cl.*, column_no FROM cl JOIN co ON cl.doc_id = co.doc_id AND cl.page_index = co.page_index AND cl.table_no = co.table_no QUALIFY row_number() OVER (PARTITION BY cl.doc_id, cl.page_index, cl.table_no, row_no, cell_no, span_id ORDER BY least(x1, hi) - greatest(x0, lo) DESC, column_no) = 1)
+    SELECT doc_id, page_index, 'stream-p' || page_index || '-' || table_no AS table_id, (row_no - min(row_no) OVER (PARTITION BY doc_id, page_index, table_no))::BIGINT AS row_no, column_no::BIGINT AS column_no, text
+    FROM (SELECT doc_id, page_index, table_no, row_no, column_no, string_agg(text, ' ' ORDER BY x0, y0, span_id) AS text FROM jo GROUP BY doc_id, page_index, table_no, row_no, column_no)""")
+def stream_tables(spark, sf_dir):
+    """The texts of all tables' cells, put into whole tables and taken out again."""
+    found = tables.stream_tables(grid(spark, sf_dir))
+    cells = found.select("doc_id", "page_index", "table_id", F.posexplode("rows").alias("row_no", "row")).select("doc_id", "page_index", "table_id", "row_no", F.posexplode("row").alias("column_no", "text"))
+    return cells.where("text <> ''").select("doc_id", "page_index", "table_id", F.col("row_no").cast("long").alias("row_no"), F.col("column_no").cast("long").alias("column_no"), "text")
+
+
 @query(f"WITH {BOXES}, i AS (SELECT doc_id, page_index, event_id % 5 AS xref, (event_id % 2)::DOUBLE AS x0, (event_id % 4)::DOUBLE AS y0, event_id FROM b) SELECT doc_id, page_index, xref, x0, y0, min(event_id) AS event_id FROM i GROUP BY ALL")
 def distinct_images(spark, sf_dir):
     e = F.col("event_id")

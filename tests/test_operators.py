@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import geometry, ids, payload, text, vectors
-from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
 from docspring.plans import retrieval
 
 
@@ -425,3 +425,45 @@ def test_positions_are_dense_over_many_partitions(spark, coalesce, tmp_path):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert chunking.positioned(rows.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(40, 10), (50, 45), (7, 0)])
+def test_page_windows_against_one_string(spark, size, overlap):
+    """Pages of many lengths, blank ones, one of several windows: the windows of the joined text and the pages of their middles."""
+    rnd, step = random.Random(size), size - overlap
+    docs = {f"d{d}": {p * 2: "".join(rnd.choice("abé🎉  \n") for _ in range(rnd.choice([0, 3, 20, 400]))) for p in range(rnd.randrange(1, 9))} for d in range(12)}
+    docs["long"] = {p: f"page {p} " * rnd.randrange(1, 6) for p in range(700)}
+    rows = [(d, p, t) for d, pages in docs.items() for p, t in pages.items()]
+    got = {(r.doc_id, r.n): (r.text, r.page_start) for r in chunking.page_chunks(spark.createDataFrame(rows, "doc_id string, page_index int, text string").repartition(5), size, overlap).collect()}
+    want = {}
+    for d, pages in docs.items():
+        whole, starts = "", []
+        for p, t in sorted(pages.items()):
+            if t := " ".join(t.split()):
+                whole += "\n\n" if whole else ""
+                starts.append((len(whole), p))
+                whole += t
+        for n in range(-(-len(whole) // step)):
+            w = whole[n * step : n * step + size]
+            if w.strip():
+                want[d, n] = w.strip(), max(s for s in starts if s[0] <= n * step + len(w) // 2)[1]
+    assert got == want
+
+
+def test_a_document_of_many_pages(spark):
+    """200 MB in one document: no row holds more than some windows of it."""
+    pages = spark.range(40_000).select(F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("page_index"), F.concat(F.lit("p"), F.col("id").cast("string"), F.repeat(F.lit(" wordswords"), 454)).alias("text"))
+    got = chunking.page_chunks(pages).agg(F.count(F.lit(1)).alias("n"), F.max("page_start").alias("last"), F.count_if(F.length("text") > 1200).alias("over")).head()
+    total = sum(1 + len(str(i)) + 454 * 11 for i in range(40_000)) + 2 * 39_999
+    assert got.n == -(-total // 1000) and got.last == 39_999 and got.over == 0
+
+
+def test_tables_in_text(spark):
+    """A head over two columns, a missing cell, a cell of two words; prose and a single row are no tables."""
+    rows = [("a", 0, 100, 10, "Year"), ("b", 60, 140, 10, "Sums of all"), ("c", 0, 30, 30, "2020"), ("d", 60, 90, 31, "1.5"), ("e", 110, 140, 29, "2.5"), ("f", 0, 30, 50, "2021"), ("g", 111, 125, 50, "3"), ("h", 126, 140, 50, "mn"), ("p", 0, 300, 120, "A line of prose."), ("q", 0, 300, 140, "Another one."), ("x", 0, 30, 400, "alone"), ("y", 60, 90, 400, "here"), ("z", None, None, None, "no box")]
+    rows[0] = ("a", 0, 30, 10, "Year")
+    spans = spark.createDataFrame([("d", 3, i, *(None if v is None else float(v) for v in (x0, y, x1, None if y is None else y + 12)), t) for i, x0, x1, y, t in rows], "doc_id string, page_index int, span_id string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = tables.stream_tables(spans).collect()
+    assert [(r.table_id, r.rows) for r in got] == [("stream-p3-0", [["Year", "Sums of all", ""], ["2020", "1.5", "2.5"], ["2021", "", "3 mn"]])]
+    assert got[0].filled == pytest.approx(7 / 9) and (got[0].x0, got[0].y0, got[0].x1, got[0].y1) == (0, 10, 140, 62)
+    assert tables.stream_tables(spans.limit(0)).count() == 0
