@@ -64,25 +64,6 @@ def checked_dimension(vector: Column, size: int) -> Column:
     return F.when(F.size(vector) == size, vector).otherwise(F.raise_error(F.lit(f"a vector of {size} dimensions is needed")))
 
 
-def attempted(make: Callable[[], Callable[[object], str]], name: str):
-    """struct(value, error): for captions, summaries and judges, whose failures are notes and not errors."""
-
-    @F.pandas_udf("value string, error string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = make()
-
-        def one(x):
-            try:
-                return model(x), None
-            except Exception as e:  # the row stays, with a note
-                return None, f"{name}: {type(e).__name__}: {e}"
-
-        for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=["value", "error"])
-
-    return call
-
-
 def extractive_answer(prompt: str) -> str:
     """Stands in for a text model: the first numbered passage of the prompt's context."""
     found = re.search(r"(?ms)^\[1\][^\n]*\n(.*?)(?=^\[2\]|^<<<END_|\Z)", prompt)
@@ -95,9 +76,9 @@ def extractive_answers(prompts: list[str]) -> list[str]:
     return [extractive_answer(p) for p in prompts]
 
 
-def never_refines(prompt: str) -> str:
+def never_refines(prompts: list[str]) -> list[str]:
     """Stands in for the model that may ask a second query."""
-    return DONE
+    return [DONE] * len(prompts)
 
 
 def overlap_score(query: str, text: str) -> float:

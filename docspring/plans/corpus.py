@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspring.config import Settings
-from docspring.functions import geometry, ids, models, vectors
+from docspring.functions import calls, geometry, ids, models, vectors
 from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured, tables
 from docspring.plans import retrieval
 from docspring.schemas import TABLES
@@ -50,11 +50,11 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption:
         out["images"], dropped = layout.labelled_images(out["images"])
         out["notes"] = out["notes"].unionByName(dropped)
         if caption is not None:
-            tried = out["images"].withColumn("__c", models.attempted(caption, "caption")(F.col("content")))
+            tried = out["images"].withColumn("__c", calls.attempted(caption, "caption")(F.col("content")))
             out["images"] = tried.withColumn("caption", F.col("__c.value")).drop("__c")
     if "tables" in out and summary is not None:
         body = F.coalesce("as_markdown", "as_csv")
-        tried = out["tables"].withColumn("__s", F.when(body.isNotNull(), models.attempted(summary, "summary")(body)))
+        tried = out["tables"].withColumn("__s", F.when(body.isNotNull(), calls.attempted(summary, "summary")(body)))
         out["tables"] = tried.withColumn("summary", F.coalesce("__s.value", "summary")).drop("__s")
     return {"notes": documents.empty_notes(spark), **out}
 
@@ -110,7 +110,7 @@ def prompts(hits: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.select("query_id", text.alias("prompt"))
 
 
-def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], settings: Settings, generate: Callable[[str], str] = models.extractive_answer, refine: Callable[[str], str] | None = models.never_refines, tables: index.TermTables | None = None, store: cache.AnswerCache | None = None) -> dict:
+def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], settings: Settings, generate: Callable[[str], str] = models.extractive_answer, refine: Callable[[list[str]], list[str]] | None = models.never_refines, tables: index.TermTables | None = None, store: cache.AnswerCache | None = None) -> dict:
     """One question: cache, retrieval in one or two passes, context, answer, cache."""
     asked = retrieval.questions(spark.createDataFrame([("q", question)], "query_id string, query string"), settings)
     row = asked.head()
@@ -139,7 +139,7 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
     text = generate(prompt)
     if plain:
         store.put(vector, text)
-    return {"answer": text, "hits": found, "similarity": None, "notes": list(notes.values())}
+    return {"answer": text, "hits": found, "similarity": None, "notes": [r.note for r in notes.collect()]}
 
 
 def capped(gold: DataFrame, rows: int | None) -> DataFrame:
@@ -147,7 +147,7 @@ def capped(gold: DataFrame, rows: int | None) -> DataFrame:
     return gold if rows is None else gold.orderBy("query_id").limit(rows)
 
 
-def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[str], str] | None = None, rows: int | None = None) -> dict:
+def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[list[str]], list[str]] | None = None, rows: int | None = None) -> dict:
     """All questions in one plan: hits, contexts, stand-in scores, means by type, judge, and the report's six parts.
 
     gold has query_id and the columns of labelled questions; dense_legs has query_id, chunk_pos and rank for them."""
@@ -167,7 +167,7 @@ def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: s
         from docspring.functions.text import is_judged, judge_scores
 
         asked_judge = scored.where(is_judged("context_content_type"))
-        replies = asked_judge.withColumn("r", models.attempted(lambda: judge, "judge")(F.to_json(F.struct("question", "ground_truth_answer", "generated_answer"))))
+        replies = asked_judge.withColumn("r", calls.attempted(lambda: judge, "judge")(F.to_json(F.struct("question", "ground_truth_answer", "generated_answer"))))
         for r in replies.select("query_id", judge_scores("r.value").alias("scores"), "r.error").collect():
             judged.append({"query_id": r.query_id, "scores": r.scores.asDict() if r.scores else {"error": r.error or "no scores"}})
     import datetime

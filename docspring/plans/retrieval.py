@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
-from docspring.functions.text import strip_page_clause
+from docspring.functions import calls
+from docspring.functions.models import DONE
+from docspring.functions.text import strip, strip_page_clause
 from docspring.operators import fusion, rerank, sparse
+from docspring.staging import Staging
 
 
 def dense_pool(settings: Settings, filtered: bool) -> int:
@@ -81,31 +84,32 @@ def refinement_prompts(asked: DataFrame, hits: DataFrame, most: int = 4, chars:
     return asked.join(seen, "query_id", "left").select("query_id", text.alias("prompt"))
 
 
-def second_queries(replies: dict[str, str], first: dict[str, str], most: int = 512) -> dict[str, str]:
-    """Follow-ups by query: one line that isn't DONE, empty, or the question again."""
-    out = {}
-    for q, reply in replies.items():
-        line = next((x.strip() for x in reply.splitlines() if x.strip()), "")[:most]
-        if line and line.upper().rstrip(".") != "DONE" and line.lower() != first[q].lower():
-            out[q] = line
-    return out
+def follow_up(reply: Column, query: Column, most: int = 512) -> Column:
+    """The reply's first line that isn't blank, cut; null if it is DONE, the question again, or nothing."""
+    lines = F.filter(F.transform(F.split(reply, "\\R"), strip), lambda x: x != "")
+    line = F.substring(F.try_element_at(lines, F.lit(1)), 1, most)
+    return F.when((F.upper(F.rtrim(line, F.lit("."))) != DONE) & (F.lower(line) != F.lower(query)), line)
 
 
-def multi_hop(asked: DataFrame, search: Callable[[DataFrame], DataFrame], refine: Callable[[str], str] | None, settings: Settings) -> tuple[DataFrame, dict[str, str]]:
-    """Hits of one or two passes and a note for each query. The driver holds the questions' texts and the model's replies."""
+def multi_hop(asked: DataFrame, search: Callable[[DataFrame], DataFrame], refine: Callable[[list[str]], list[str]] | None, settings: Settings, staging: Staging | None = None, limits: calls.Limits = calls.Limits()) -> tuple[DataFrame, DataFrame]:
+    """Hits of one or two passes, and for each query its note, and the follow-up's digest and length if there was one.
+
+    The model is called on executors, in batches. Hits and replies of the first pass are staged, so nothing is searched or asked
+    twice, and only follow-ups are searched again; a model that fails costs its query the second pass and gives a note. Queries
+    without a hit aren't refined."""
     first = search(asked)
-    texts = {r.query_id: r.query for r in asked.select("query_id", "query").collect()}
+    none = [F.lit(None).cast("string").alias("follow_sha256"), F.lit(None).cast("int").alias("follow_length")]
     if not settings.multi_hop or refine is None:
-        return first, dict.fromkeys(texts, "multi_hop_disabled")
-    replies, notes = {}, {}
-    for r in refinement_prompts(asked, first).collect():
-        try:
-            replies[r.query_id] = refine(r.prompt)
-        except Exception as e:  # a model that fails costs the second pass only
-            notes[r.query_id] = f"multi_hop_failed: {type(e).__name__}"
-    more = second_queries(replies, texts)
-    notes |= {q: "multi_hop_second_pass" if q in more else "multi_hop_done" for q in replies}
-    if not more:
+        return first, asked.select("query_id", F.lit("multi_hop_disabled").alias("note"), *none)
+    held = staging or Staging(asked.sparkSession, "multi-hop")
+    first = held.stored(first, "first")
+    some = asked.join(first.select("query_id").distinct(), "query_id", "left_semi")
+    call = calls.attempted(lambda: refine, "multi_hop_failed", limits)
+    answered = refinement_prompts(some, first).select("query_id", call("prompt").alias("r"))
+    told = held.stored(asked.join(answered, "query_id", "left").withColumn("follow", follow_up(F.col("r.value"), F.col("query"))), "replies")
+    note = F.when(F.col("r").isNull(), "multi_hop_empty").when(F.col("r.error").isNotNull(), F.col("r.error")).when(F.col("follow").isNotNull(), "multi_hop_second_pass").otherwise("multi_hop_done")
+    notes = told.select("query_id", note.alias("note"), F.sha2("follow", 256).alias("follow_sha256"), F.length("follow").alias("follow_length"))
+    again = told.where("follow is not null").withColumn("query", F.col("follow")).select(*asked.columns)
+    if again.isEmpty():
         return first, notes
-    again = asked.sparkSession.createDataFrame(list(more.items()), "query_id string, query string").join(asked.drop("query"), "query_id")
     return fusion.merge_passes(first, search(again), settings.top_k), notes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
-from docspring.functions import geometry, ids, payload, text, vectors
+from docspring.functions import calls, geometry, ids, models, payload, text, vectors
 from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
 from docspring.plans import corpus, retrieval
 from docspring.sources import index, points, segments
@@ -830,24 +831,45 @@ def dual_retrieval(spark, sf_dir):
     return leg("local", local).unionByName(leg("remote", remote))
 
 
-FOLLOW_UP = "which table and chart say more"
+ENDS = "trim(array_to_string(string_split(replace(text, chr(10), ' '), ' ')[-3:], ' '))"
 
 
-@query(f"""WITH asked AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark UNION ALL SELECT 'more', '{FOLLOW_UP}'), {TERMS}, {DENSE},
-    u AS (SELECT query_id, chunk_pos, 1 AS pass, rank FROM dense WHERE rank <= 3 AND query_id <> 'more' UNION ALL SELECT item_id::VARCHAR, chunk_pos, 2, rank FROM benchmark, dense WHERE query_id = 'more' AND rank <= 3 AND item_id % 2 = 0),
+def last_words(prompts: list[str]) -> list[str]:
+    """Stands in for the model: asks for the question's last three words, if its length is even."""
+    asked_for = [p.removeprefix("Question: ").partition("\nPassages so far:")[0] for p in prompts]
+    return [" ".join(q.replace("\n", " ").split(" ")[-3:]) if len(q) % 2 == 0 else models.DONE for q in asked_for]
+
+
+@query(f"""WITH asked AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark UNION ALL SELECT 'f' || item_id, {ENDS} FROM benchmark WHERE length(text) % 2 = 0), {TERMS}, {DENSE},
+    u AS (SELECT query_id, chunk_pos, 1 AS pass, rank FROM dense WHERE rank <= 3 AND query_id[1] <> 'f' UNION ALL SELECT query_id[2:], chunk_pos, 2, rank FROM dense WHERE rank <= 3 AND query_id[1] = 'f'),
     o AS (SELECT query_id, chunk_pos, pass, rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_pos ORDER BY pass) = 1)
     SELECT query_id, 'c' || chunk_pos AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) <= 5""")
 def multi_hop_retrieval(spark, sf_dir):
-    """A second pass for every other question; the model's reply is the same follow-up for each."""
+    """A second pass by each question's own follow-up, for those that the model asks one for."""
     held = indexed(spark, sf_dir)
-    asked_for = retrieval.questions(asked(spark, sf_dir), Settings())
-    second = {r.query: int(r.query_id) % 2 == 0 for r in asked_for.collect()}
 
     def search(questions: DataFrame) -> DataFrame:
         return dense.hashed_topk(held.vectors, questions, 3).join(held.chunks.select("chunk_pos", "chunk_id", "text"), "chunk_pos")
 
-    def refine(prompt: str) -> str:
-        return FOLLOW_UP if second[prompt.removeprefix("Question: ").partition("\nPassages so far:")[0]] else "DONE"
+    hits, _ = retrieval.multi_hop(retrieval.questions(asked(spark, sf_dir), Settings()), search, last_words, Settings())
+    return hits.select("query_id", "chunk_id", F.col("merged_rank" if "merged_rank" in hits.columns else "rank").cast("long").alias("rank"))
+
+
+class Flaky:
+    """A transport that fails on schedule: every third call as a whole, and for good on texts whose length 7 divides."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, texts: list[str]) -> list:
+        self.calls += 1
+        if self.calls % 3 == 0:
+            raise ConnectionError("try again")
+        return [ValueError("not this one") if len(t) % 7 == 0 else hashlib.md5(t.encode()).hexdigest() for t in texts]
+
 
-    hits, _ = retrieval.multi_hop(asked_for, search, refine, Settings())
-    return hits.select("query_id", "chunk_id", F.col("merged_rank").cast("long").alias("rank"))
+@query("SELECT doc_id, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS value, CASE WHEN length(text) % 7 = 0 THEN 'summary: ValueError: not this one' END AS error FROM documents")
+def batched_replies(spark, sf_dir):
+    """Every text through a model that fails now and then: replies stay with their rows, and what fails for good is a note."""
+    call = calls.attempted(Flaky, "summary", calls.Limits(items=8, size=20_000, tries=4))
+    return documents(spark, sf_dir).select("doc_id", call("text").alias("r")).select("doc_id", "r.value", "r.error")

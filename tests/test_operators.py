@@ -1,5 +1,6 @@
 """Operators on small inline rows."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspring.config import Settings
-from docspring.functions import geometry, ids, payload, text, vectors
+from docspring.functions import calls, geometry, ids, payload, text, vectors
 from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
 from docspring.plans import retrieval
 
@@ -391,14 +392,21 @@ def test_evaluation(spark, tmp_path):
 def test_multi_hop(spark):
     asked = spark.createDataFrame([("q", "first question", None, None), ("r", "other", None, None)], "query_id string, query string, lo long, hi long")
     search = lambda df: df.select("query_id", F.when(F.col("query") == "more", "b").otherwise("a").alias("chunk_id"), F.lit(1).alias("rank"), F.col("query").alias("text"))
-    hits, notes = retrieval.multi_hop(asked, search, lambda p: "more" if "first" in p else "DONE", Settings())
-    assert {(r.query_id, r.chunk_id) for r in hits.collect()} == {("q", "a"), ("q", "b"), ("r", "a")} and notes == {"q": "multi_hop_second_pass", "r": "multi_hop_done"}
-
-    def fails(p):
-        raise RuntimeError
-
-    assert set(retrieval.multi_hop(asked, search, fails, Settings())[1].values()) == {"multi_hop_failed: RuntimeError"}
-    assert set(retrieval.multi_hop(asked, search, None, Settings())[1].values()) == {"multi_hop_disabled"}
+    notes_of = lambda refine: {r.query_id: (r.note, r.follow_length) for r in retrieval.multi_hop(asked, search, refine, Settings())[1].collect()}
+    hits, notes = retrieval.multi_hop(asked, search, lambda prompts: ["\n more \nless" if "first" in p else "done." for p in prompts], Settings())
+    assert {(r.query_id, r.chunk_id) for r in hits.collect()} == {("q", "a"), ("q", "b"), ("r", "a")}
+    assert {r.query_id: (r.note, r.follow_length) for r in notes.collect()} == {"q": ("multi_hop_second_pass", 4), "r": ("multi_hop_done", None)}
+    assert notes.where("query_id = 'q'").head().follow_sha256 == hashlib.sha256(b"more").hexdigest()
+
+    def fails(prompts):
+        raise RuntimeError("no model")
+
+    assert notes_of(fails) == {"q": ("multi_hop_failed: RuntimeError: no model", None), "r": ("multi_hop_failed: RuntimeError: no model", None)}
+    assert notes_of(lambda prompts: [ValueError("x") if "first" in p else "FIRST QUESTION" for p in prompts])["q"][0] == "multi_hop_failed: ValueError: x"
+    assert set(notes_of(lambda prompts: ["Other" for p in prompts]).values()) == {("multi_hop_second_pass", 5), ("multi_hop_done", None)}
+    assert set(notes_of(None).values()) == {("multi_hop_disabled", None)}
+    none, told = retrieval.multi_hop(asked, lambda df: search(df).limit(0), fails, Settings())
+    assert none.count() == 0 and {r.note for r in told.collect()} == {"multi_hop_empty"}
     assert retrieval.dense_pool(Settings(top_k=20), True) == 50 and retrieval.dense_pool(Settings(), False) == 5
 
 
@@ -467,3 +475,30 @@ def test_tables_in_text(spark):
     assert [(r.table_id, r.rows) for r in got] == [("stream-p3-0", [["Year", "Sums of all", ""], ["2020", "1.5", "2.5"], ["2021", "", "3 mn"]])]
     assert got[0].filled == pytest.approx(7 / 9) and (got[0].x0, got[0].y0, got[0].x1, got[0].y1) == (0, 10, 140, 62)
     assert tables.stream_tables(spans.limit(0)).count() == 0
+
+
+def test_calls_keep_order_and_lose_only_what_fails():
+    limits, sent = calls.Limits(items=3, size=10, tries=3), []
+    fails = iter([True, False, True, True] + [False] * 50)
+
+    def transport(requests):
+        sent.append(list(requests))
+        if next(fails):
+            raise ConnectionError("down")
+        return [KeyError(r) if r == "bad" else r.upper() for r in requests]
+
+    requests = ["a", None, "bb", "ccc", "d" * 12, "bad", "e", "f"]
+    got = calls.replies(requests, transport, limits)
+    assert [type(x).__name__ if isinstance(x, Exception) else x for x in got] == ["A", None, "BB", "CCC", "D" * 12, "KeyError", "E", "F"]
+    assert sent[0] == sent[1] == ["a", "bb", "ccc"]  # tried again as it was
+    assert sent[2] == sent[3] == sent[4] == ["d" * 12] and sent[5] == ["bad", "e", "f"] and sent[6:] == [["bad"], ["bad"]]
+
+    def breaks(requests):
+        if "poison" in requests:
+            raise ValueError("all of it")
+        return list(requests)
+
+    got = calls.replies(["a", "poison", "b", "c"], breaks, calls.Limits(items=4, tries=1))
+    assert [got[0], got[2], got[3]] == ["a", "b", "c"] and isinstance(got[1], ValueError)
+    assert isinstance(calls.replies(["x"], lambda r: [], calls.Limits(tries=1))[0], RuntimeError)
+    assert [len(x) for x in calls.batches_of(["ab"] * 7 + [None, "x" * 99], calls.Limits(items=5, size=6))] == [3, 3, 1, 1]

@@ -183,7 +183,7 @@ def test_evaluate(spark, sf_dir, tmp_path):
     gold = queries.asked(spark, sf_dir).where("query_id < 3").select("query_id", F.col("query").alias("question"), F.col("query").alias("ground_truth_context"), F.lit("a").alias("ground_truth_answer"), F.lit("1").alias("page_number"), F.lit("table").alias("context_content_type"))
     terms = sparse.term_index(chunks, str(tmp_path / "t"))
     legs = dense.hashed_topk(dense.hashed_vectors(terms.postings(dense.bucket_of("term").alias("bucket")), "chunk_pos"), gold.select("query_id", F.col("question").alias("query")), 24)
-    report = corpus.evaluate(gold, chunks, legs, terms, Settings(), judge=lambda x: "no scores here")
+    report = corpus.evaluate(gold, chunks, legs, terms, Settings(), judge=lambda rows: ["no scores here"] * len(rows))
     assert len(report["per_row_ragas"]) == 3 and 0 < report["ragas_summary_mean"]["lexical_context_recall"] <= 1 and len(report["llm_judge"]) == 3 and all("error" in r["scores"] for r in report["llm_judge"])
     with pytest.raises(SystemExit):
         corpus.evaluate(gold.limit(0), chunks, legs, terms, Settings())
