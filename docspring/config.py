@@ -34,7 +34,7 @@ class Settings:
     cache_enabled: bool = True
     cache_threshold: float = _of(0.92, 0.5, 1.0)
     cache_max_entries: int = _of(256, 16, 10000)
-    cache_path: str = "data/answer_cache.json"
+    cache_path: str = "data/answer_cache"
     multi_hop: bool = True
     plotting: bool = True
     index_tables: bool = True

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import os
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 
 from docspring.functions import vectors
 from docspring.schemas import CACHE
+from docspring.staging import deleted, filesystem
 
-VERSION = 1
+SCHEMA = f"{CACHE}, pos long, id string"
 
 
 def eligible(inline_window, page_min, page_max) -> bool:
@@ -65,45 +65,62 @@ def newest(cache: DataFrame, most: int) -> DataFrame:
 
 
 class AnswerCache:
-    """Entries in one JSON file, rewritten whole and renamed into place. A file that can't be read is an empty cache."""
+    """Entries in a folder that all sessions share: each addition is a segment of its own, seen when it is complete, so two
+    sessions that write at once lose nothing. Segments are put together when there are many; an entry that a broken-off or
+    parallel compaction left twice counts once."""
 
-    def __init__(self, path: str, most: int = 256):
-        self.path, self.most = path, most
+    def __init__(self, path: str, most: int = 256, segments: int = 16):
+        self.path, self.most, self.segments = path.rstrip("/"), most, segments
 
-    def entries(self) -> list[dict]:
-        try:
-            with open(self.path, encoding="utf-8") as f:
-                held = json.load(f)
-            found = held["entries"] if held.get("version") == VERSION else []
-            return [e for e in found if isinstance(e, dict) and isinstance(e.get("embedding"), list) and isinstance(e.get("answer"), str)] if isinstance(found, list) else []
-        except (OSError, ValueError, KeyError, AttributeError):
+    def _listed(self, spark: SparkSession) -> list[str]:
+        """The complete segments, by name, which is by time."""
+        p, fs = filesystem(spark, self.path)
+        if not fs.exists(p):
             return []
+        found = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+        done = [x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        return sorted(x.toString() for x in done)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [([float(x) for x in e["embedding"]], e["answer"], float(e.get("created_ts", 0.0)), i) for i, e in enumerate(self.entries())]
-        return spark.createDataFrame(rows, CACHE + ", pos long")
-
-    def put(self, embedding: list[float], answer: str, now: float | None = None) -> None:
-        entries = [*self.entries(), {"embedding": embedding, "answer": answer, "created_ts": time.time() if now is None else now}]
-        keep = {id(e) for e in sorted(reversed(entries), key=lambda e: -e.get("created_ts", 0.0))[: self.most]}
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-        with open(f"{self.path}.tmp", "w", encoding="utf-8") as f:
-            json.dump({"version": VERSION, "entries": [e for e in entries if id(e) in keep]}, f)
-        os.replace(f"{self.path}.tmp", self.path)
+        """All entries: embedding, answer, created_ts, pos and id. Those beyond the newest `most` don't count any more."""
+        some = self._listed(spark)
+        return spark.read.schema(SCHEMA).parquet(*some).dropDuplicates(["id"]) if some else spark.createDataFrame([], SCHEMA)
+
+    def append(self, entries: DataFrame) -> None:
+        """Entries (embedding, answer, and if given created_ts and pos, the order of entries of one time) as a segment."""
+        now = time.time()
+        has = lambda c, other: F.col(c) if c in entries.columns else other
+        rows = entries.select(vectors.doubles("embedding").alias("embedding"), "answer", has("created_ts", F.lit(now)).cast("double").alias("created_ts"), has("pos", F.lit(int(now * 1e6))).cast("long").alias("pos"), F.uuid().alias("id"))
+        rows.where("embedding is not null and answer is not null").write.parquet(f"{self.path}/{int(now * 1000):014d}-{uuid.uuid4().hex}")
+        if len(self._listed(entries.sparkSession)) > self.segments:
+            self.compact(entries.sparkSession)
+
+    def put(self, spark: SparkSession, embedding: list[float], answer: str, now: float | None = None) -> None:
+        rows = spark.createDataFrame([([float(x) for x in embedding], answer, float(time.time() if now is None else now))], CACHE)
+        self.append(rows.coalesce(1))
+
+    def compact(self, spark: SparkSession) -> None:
+        """The newest entries of the segments that are there now as one, then those are deleted; segments that come meanwhile stay."""
+        some = self._listed(spark)
+        if len(some) < 2:
+            return
+        held = spark.read.schema(SCHEMA).parquet(*some).dropDuplicates(["id"])
+        newest(held, self.most).coalesce(1).write.parquet(f"{self.path}/{int(time.time() * 1000):014d}-{uuid.uuid4().hex}")
+        for x in some:
+            deleted(spark, x)
 
     def lookup(self, spark: SparkSession, embedding: list[float], threshold: float) -> tuple[str, float] | None:
         asked = spark.createDataFrame([("q", [float(x) for x in embedding])], "query_id string, embedding array<double>")
-        got = probe(asked, self.table(spark), threshold).collect()
+        got = self.lookups(asked, threshold).collect()
         return (got[0].answer, got[0].similarity) if got else None
 
-
-_caches: dict[str, AnswerCache] = {}
-
-
-def shared_cache(path: str, most: int = 256) -> AnswerCache:
-    """One instance for each path."""
-    return _caches.setdefault(os.path.realpath(path), AnswerCache(path, most))
-
-
-def clear_shared_caches() -> None:
-    _caches.clear()
+    def lookups(self, queries: DataFrame, threshold: float) -> DataFrame:
+        """query_id, answer, similarity for the queries (query_id, embedding) that an entry of the newest is near enough to. A
+        segment that a compaction deletes while it is read is looked for again."""
+        spark = queries.sparkSession
+        try:
+            return probe(queries, newest(self.table(spark), self.most), threshold)
+        except Exception as e:
+            if "FILE_NOT_EXIST" not in str(e) and "FileNotFound" not in str(e):
+                raise
+            return probe(queries, newest(self.table(spark), self.most), threshold)

@@ -29,11 +29,26 @@ def nearest_neighbors(anchors: DataFrame, spans: DataFrame) -> DataFrame:
 
     A span is above if its bottom is at most SLACK below the anchor's top, and the other way round; the gap may be negative.
     Ties go to the first in span_pos. Left and right don't matter.
+
+    A sweep: the edges of a page's anchors and spans are put in one order, and each anchor takes the best of the spans that it
+    has passed. So a page costs a sort, not all pairs of its anchors and spans.
     """
-    near = anchors.alias("a").join(spans.where("y0 is not null").alias("s"), ["doc_id", "page_index"], "left")
-    up, down = F.col("a.y0") - F.col("s.y1"), F.col("s.y0") - F.col("a.y1")
-    pick = lambda gap: F.min(F.when(gap >= -SLACK, F.struct(gap.alias("gap"), F.col("s.span_pos").alias("pos"), F.col("s.span_id").alias("id"))))["id"]
-    return near.groupBy("doc_id", "page_index", "anchor_id").agg(pick(up).alias("above_id"), pick(down).alias("below_id"))
+    kind, none = dict(anchors.dtypes), F.lit(None)
+    anchor = lambda edge: anchors.select("doc_id", "page_index", F.col("anchor_id"), edge.alias("edge"), F.lit(1).alias("turn"), none.cast("double").alias("at"), none.cast(dict(spans.dtypes)["span_pos"]).alias("pos"), none.cast(dict(spans.dtypes)["span_id"]).alias("id"))
+    boxed = spans.where("y0 is not null and y1 is not null")
+    span = lambda edge: boxed.select("doc_id", "page_index", none.cast(kind["anchor_id"]).alias("anchor_id"), F.col(edge).alias("edge"), F.lit(0).alias("turn"), F.col(edge).cast("double").alias("at"), F.col("span_pos").alias("pos"), F.col("span_id").alias("id"))
+
+    def swept(rows: DataFrame, down: bool, name: str) -> DataFrame:
+        # downwards, the lowest bottom passed so far; upwards, the highest top; an anchor comes after spans on its edge
+        order = W.partitionBy("doc_id", "page_index").orderBy(F.asc("edge") if down else F.desc("edge"), "turn")
+        passed = F.when(F.col("turn") == 0, F.struct((-F.col("at") if down else F.col("at")).alias("at"), "pos", "id"))
+        best = F.min(passed).over(order.rowsBetween(W.unboundedPreceding, 0))
+        return rows.withColumn("best", best).where("turn = 1").groupBy("doc_id", "page_index", "anchor_id").agg(F.min("best")["id"].alias(name))
+
+    top, bottom = F.col("y0") + SLACK, F.col("y1") - SLACK
+    above = swept(anchor(top).unionByName(span("y1")), True, "above_id")
+    below = swept(anchor(bottom).unionByName(span("y0")), False, "below_id")
+    return above.join(below, ["doc_id", "page_index", "anchor_id"])
 
 
 def with_page_fallback(anchors: DataFrame, spans: DataFrame, neighbors: DataFrame) -> DataFrame:

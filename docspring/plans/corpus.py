@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docspring.config import Settings
 from docspring.functions import calls, geometry, ids, models, vectors
-from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, rerank, sparse, structured, tables
+from docspring.operators import batching, cache, chunking, dense, evaluation, folds, layout, metrics, rerank, sparse, structured, tables
 from docspring.plans import retrieval
 from docspring.schemas import TABLES
 from docspring.sources import documents, index, points
@@ -138,7 +138,7 @@ def answer(spark: SparkSession, question: str, chunks: DataFrame, embed: Callabl
     prompt = prompts(hits, asked).head().prompt
     text = generate(prompt)
     if plain:
-        store.put(vector, text)
+        store.put(spark, vector, text)
     return {"answer": text, "hits": found, "similarity": None, "notes": [r.note for r in notes.collect()]}
 
 
@@ -147,8 +147,9 @@ def capped(gold: DataFrame, rows: int | None) -> DataFrame:
     return gold if rows is None else gold.orderBy("query_id").limit(rows)
 
 
-def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[list[str]], list[str]] | None = None, rows: int | None = None) -> dict:
-    """All questions in one plan: hits, contexts, stand-in scores, means by type, judge, and the report's six parts.
+def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: sparse.TermIndex, settings: Settings, generate: Callable[[list[str]], list[str]] = models.extractive_answers, judge: Callable[[list[str]], list[str]] | None = None, rows: int | None = None, verdict: metrics.Judge = metrics.lexical, prefix: str = "lexical_") -> dict:
+    """All questions in one plan: hits, contexts, stand-in scores, means by type, judge, and the report's six parts. Measures by the lexical verdict bear its prefix;
+    with a judge of statements, give that verdict and an empty prefix.
 
     gold has query_id and the columns of labelled questions; dense_legs has query_id, chunk_pos and rank for them."""
     gold = capped(gold, rows)
@@ -159,9 +160,17 @@ def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: s
     made = models.batch_udf(lambda: generate, "string")
     answers = prompts(hits, asked).select("query_id", made("prompt").alias("generated_answer"))
     out = gold.join(folds.hit_texts(hits), "query_id", "left").join(answers, "query_id", "left")
-    scored = evaluation.lexical_recall(out).persist()
-    per_row = [r.asDict() for r in scored.select("query_id", F.col("question").alias("user_input"), "page_number", "context_content_type", "generated_answer", "lexical_context_recall").orderBy("query_id").collect()]
-    metric = ["lexical_context_recall"]
+    staging = Staging(gold.sparkSession, "evaluation")
+    try:
+        scored = staging.stored(metrics.measures(out, verdict, prefix), "scored")
+        return _report(scored, settings, [f"{prefix}{m}" for m in metrics.NAMES], judge)
+    finally:
+        staging.drop()
+
+
+def _report(scored: DataFrame, settings: Settings, names: list[str], judge: Callable[[list[str]], list[str]] | None) -> dict:
+    """The report holds a row for each question: what evaluation sets are made of."""
+    per_row = [r.asDict() for r in scored.select("query_id", F.col("question").alias("user_input"), "page_number", "context_content_type", "generated_answer", *names).orderBy("query_id").collect()]
     judged = []
     if judge is not None:
         from docspring.functions.text import is_judged, judge_scores
@@ -172,11 +181,11 @@ def evaluate(gold: DataFrame, chunks: DataFrame, dense_legs: DataFrame, terms: s
             judged.append({"query_id": r.query_id, "scores": r.scores.asDict() if r.scores else {"error": r.error or "no scores"}})
     import datetime
 
-    mean = evaluation.dataset_mean(scored, metric).head().asDict()
+    mean = evaluation.dataset_mean(scored, names).head().asDict()
     return {
         "generated_at_utc": datetime.datetime.now(datetime.UTC).isoformat(), "retrieval_config": settings.snapshot(),
         "ragas_summary_mean": {k: v if v is not None else math.nan for k, v in mean.items()},
-        "ragas_by_context_content_type": [r.asDict() for r in evaluation.mean_by_type(scored, metric).orderBy("context_content_type").collect()],
+        "ragas_by_context_content_type": [r.asDict() for r in evaluation.mean_by_type(scored, names).orderBy("context_content_type").collect()],
         "per_row_ragas": per_row, "llm_judge": judged,
     }
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import calls, geometry, ids, models, payload, text, vectors
-from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, metrics, rerank, sparse, structured, tables
 from docspring.plans import corpus, retrieval
 from docspring.sources import index, points, segments
 from docspring.staging import scratch
@@ -514,6 +514,17 @@ def cache_probe(spark, sf_dir):
     return cache.probe(queries, cache.newest(entries, 256), 0.5).select("query_id", "answer", F.round("similarity", 6).alias("similarity"))
 
 
+@query(ORACLE_SQL["cache_probe"])
+def cache_table(spark, sf_dir):
+    """The same, from a cache that grew by three additions and was put together."""
+    vecs = table(spark, sf_dir, "embeddings")
+    entries = vecs.select("vec_id", F.concat(F.lit("a"), F.col("vec_id").cast("string")).alias("answer"), "embedding", F.col("vec_id").alias("pos"), F.pmod("vec_id", F.lit(97)).cast("double").alias("created_ts"))
+    store = cache.AnswerCache(scratch(spark, "answers"), 256, segments=2)
+    for k in range(3):
+        store.append(entries.where(F.col("vec_id") % 3 == k))
+    return store.lookups(vecs.select(F.col("vec_id").cast("string").alias("query_id"), "embedding"), 0.5).select("query_id", "answer", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT event_id, value FROM events QUALIFY row_number() OVER (ORDER BY event_id % 97 DESC, event_id DESC) <= 256")
 def cache_evict(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "value", F.pmod("event_id", F.lit(97)).cast("double").alias("created_ts"), F.col("event_id").alias("pos"))
@@ -647,7 +658,7 @@ def image_chunks(spark, sf_dir):
     return structured.image_chunks(images, 8192).select("doc_id", "text", "chunk_id")
 
 
-def metrics(spark, sf_dir) -> DataFrame:
+def scores_of(spark, sf_dir) -> DataFrame:
     """Scores by document; some are NaN, some types null."""
     rows = table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
     value = F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("quality") + (F.col("doc_id") % 10) / 16.0)
@@ -657,20 +668,51 @@ def metrics(spark, sf_dir) -> DataFrame:
 METRICS = "m AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN lang END AS context_content_type, CASE WHEN doc_id % 7 <> 0 THEN quality + (doc_id % 10) / 16.0 END AS faithfulness, toxic::DOUBLE AS context_recall FROM labels JOIN documents USING (doc_id))"
 
 
+SAMPLES = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+    s AS (SELECT conv_id AS query_id, coalesce(max(text) FILTER (role = 'user' AND k = 1), '') AS question, coalesce(max(text) FILTER (back = 1), '') AS answer, coalesce(max(text) FILTER (role = 'assistant' AND k = 1), '') AS reference FROM t GROUP BY conv_id),
+    p AS (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, text AS passage FROM conversations WHERE turn % 3 <> 2)"""
+VERDICTS = rf"""x AS (SELECT query_id, 'answer' AS part, answer AS t FROM s UNION ALL SELECT query_id, 'reference', reference FROM s),
+    y AS (SELECT query_id, part, unnest(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '' || chr(10), 'g'), '
++')) AS raw, generate_subscripts(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '' || chr(10), 'g'), '
++'), 1) AS no FROM x),
+    st AS (SELECT query_id, part, no, list_distinct(regexp_extract_all(lower(raw), '{TOKEN}')) AS w FROM y WHERE trim(raw, E' 
+	
+') <> ''),
+    v AS (SELECT st.query_id, part, no, rank, len(w) > 0 AND len(list_intersect(w, list_distinct(regexp_extract_all(lower(passage), '{TOKEN}')))) >= 0.5 * len(w) AS good FROM st JOIN p ON p.query_id = st.query_id
+          UNION ALL SELECT st.query_id, 'question', no, 0, len(q) > 0 AND len(list_intersect(q, w)) >= 0.5 * len(q) FROM (SELECT st.*, list_distinct(regexp_extract_all(lower(question), '{TOKEN}')) AS q FROM st JOIN s ON s.query_id = st.query_id WHERE part = 'answer') st)"""
+
+
+@query(f"""WITH {SAMPLES}, {VERDICTS}, b AS (SELECT query_id, part, no, max(good::INT) AS good FROM v GROUP BY query_id, part, no),
+    h AS (SELECT query_id, avg(good) FILTER (part = 'answer') AS faithfulness, avg(good) FILTER (part = 'question') AS answer_relevancy, avg(good) FILTER (part = 'reference') AS context_recall FROM b GROUP BY query_id),
+    u AS (SELECT query_id, rank, max(good::INT) AS useful FROM v WHERE part = 'reference' GROUP BY query_id, rank), r AS (SELECT *, avg(useful) OVER (PARTITION BY query_id ORDER BY rank) AS share FROM u),
+    c AS (SELECT query_id, coalesce(avg(share) FILTER (useful = 1), 0) AS context_precision FROM r GROUP BY query_id)
+    SELECT s.query_id, round(faithfulness, 6) AS lexical_faithfulness, round(answer_relevancy, 6) AS lexical_answer_relevancy, round(context_precision, 6) AS lexical_context_precision, round(context_recall, 6) AS lexical_context_recall
+    FROM s LEFT JOIN h ON h.query_id = s.query_id LEFT JOIN c ON c.query_id = s.query_id""")
+def answer_measures(spark, sf_dir):
+    """Conversations as samples: the first user's text asks, the last turn answers, the first answer is the reference, and two
+    turns of three are the passages."""
+    turns, t = table(spark, sf_dir, "conversations"), F.struct("turn", "text")
+    first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, t))["text"], F.lit(""))
+    passages = F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 != 2, t))), lambda x: x["text"])
+    samples = turns.groupBy(F.col("conv_id").alias("query_id")).agg(first("user").alias("question"), F.coalesce(F.max(t)["text"], F.lit("")).alias("generated_answer"), first("assistant").alias("ground_truth_answer"), passages.alias("retrieved_contexts"))
+    got = metrics.measures(samples)
+    return got.select("query_id", *(F.round(f"lexical_{n}", 6).alias(f"lexical_{n}") for n in metrics.NAMES))
+
+
 @query(f"WITH {METRICS} SELECT context_content_type, round(avg(faithfulness), 6) AS faithfulness, round(avg(context_recall), 6) AS context_recall FROM m GROUP BY 1")
 def eval_mean_by_type(spark, sf_dir):
-    got = evaluation.mean_by_type(metrics(spark, sf_dir), ["faithfulness", "context_recall"])
+    got = evaluation.mean_by_type(scores_of(spark, sf_dir), ["faithfulness", "context_recall"])
     return got.select("context_content_type", F.round("faithfulness", 6).alias("faithfulness"), F.round("context_recall", 6).alias("context_recall"))
 
 
 @query(f"WITH {METRICS} SELECT round(avg(faithfulness), 6) AS faithfulness, round(avg(context_recall), 6) AS context_recall FROM m")
 def eval_mean(spark, sf_dir):
-    return evaluation.dataset_mean(metrics(spark, sf_dir), ["faithfulness", "context_recall"]).select(*(F.round(c, 6).alias(c) for c in ("faithfulness", "context_recall")))
+    return evaluation.dataset_mean(scores_of(spark, sf_dir), ["faithfulness", "context_recall"]).select(*(F.round(c, 6).alias(c) for c in ("faithfulness", "context_recall")))
 
 
 @query(f"WITH {METRICS} SELECT doc_id, faithfulness FROM m WHERE faithfulness IS NOT NULL ORDER BY faithfulness, doc_id LIMIT 5")
 def worst_rows(spark, sf_dir):
-    return evaluation.worst(metrics(spark, sf_dir)).select("doc_id", "faithfulness")
+    return evaluation.worst(scores_of(spark, sf_dir)).select("doc_id", "faithfulness")
 
 
 def judged(spark, sf_dir) -> DataFrame:

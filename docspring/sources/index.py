@@ -10,19 +10,15 @@ from pyspark.sql import functions as F
 
 from docspring.operators import sparse
 from docspring.sources.segments import SegmentedTerms
+from docspring.staging import filesystem
 
 FORMAT = "docspring_index_v1"
 MANIFEST = "manifest.json"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside, then renamed into place."""
-    target, fs = _fs(spark, path)
+    target, fs = filesystem(spark, path)
     staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
     out = fs.create(staged, True)
     try:
@@ -34,7 +30,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    target, fs = _fs(spark, path)
+    target, fs = filesystem(spark, path)
     if not fs.exists(target):
         return None
     return spark.read.text(path, wholetext=True).head()[0]
@@ -44,7 +40,7 @@ def save_index(chunks: DataFrame, path: str) -> None:
     """The corpus replaces the one before; the manifest follows the data, so a half-written index has none. Rows of one id
     stay apart here."""
     spark = chunks.sparkSession
-    target, fs = _fs(spark, f"{path}/{MANIFEST}")
+    target, fs = filesystem(spark, f"{path}/{MANIFEST}")
     fs.delete(target, False)
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     n = spark.read.parquet(f"{path}/chunks").count()
@@ -63,7 +59,7 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 def freshness_key(spark: SparkSession, path: str) -> str:
     """The index's path and the latest change of its files."""
-    p, fs = _fs(spark, path)
+    p, fs = filesystem(spark, path)
     if not fs.exists(p):
         return f"{path}:0.000000000"
     files, latest = fs.listFiles(p, True), 0

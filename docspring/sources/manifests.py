@@ -7,12 +7,9 @@ import re
 
 from pyspark.sql import SparkSession
 
-_NAME = re.compile(r"manifest-([0-9]{12})\.json")
-
+from docspring.staging import filesystem
 
-def filesystem(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+_NAME = re.compile(r"manifest-([0-9]{12})\.json")
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:

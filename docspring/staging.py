@@ -29,14 +29,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def delete_path(jvm, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def deleted(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = filesystem(spark, path)
+    fs.delete(p, True)
     _left.pop(path, None)
 
 

@@ -1,9 +1,11 @@
 """Operators on small inline rows."""
 
 import hashlib
+import json
 import math
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docspring.config import Settings
 from docspring.functions import calls, geometry, ids, payload, text, vectors
-from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, rerank, sparse, structured, tables
+from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, metrics, rerank, sparse, structured, tables
 from docspring.plans import retrieval
 
 
@@ -281,21 +283,83 @@ def test_newest_bears_the_whole_table(spark, sf_dir):
 
 
 def test_cache(spark, tmp_path):
-    store = cache.AnswerCache(str(tmp_path / "c.json"), 3)
+    store = cache.AnswerCache(str(tmp_path / "c"), 3)
     assert store.lookup(spark, [1.0, 0.0], 0.9) is None
     for i in range(5):
-        store.put([1.0, i / 100], f"a{i}", now=i)
-    assert [e["answer"] for e in store.entries()] == ["a2", "a3", "a4"]  # first in, first out
+        store.put(spark, [1.0, i / 100], f"a{i}", now=i)
+    assert sorted(r.answer for r in cache.newest(store.table(spark), 3).collect()) == ["a2", "a3", "a4"]  # first in, first out
     assert store.lookup(spark, [1.0, 0.0], 0.95)[0] == "a2" and store.lookup(spark, [0.0, 1.0], 0.95) is None
     assert store.lookup(spark, [1.0, 0.0, 0.0], 0.5) is None
-    (tmp_path / "c.json").write_text("broken")
     five = spark.createDataFrame([("a", [1.0], i) for i in range(5)], "answer string, embedding array<double>, pos long")
     with pytest.raises(ValueError, match="evict"):
         cache.probe(five.select(F.lit("q").alias("query_id"), "embedding"), five, most=4)
-    assert store.entries() == [] and cache.shared_cache("x") is cache.shared_cache("x")
     assert cache.eligible(None, None, None) and not cache.eligible((1, 2), None, None)
 
 
+def test_cache_of_several_sessions(spark, tmp_path, monkeypatch):
+    """Writers at once, a compaction while another session writes, and one that breaks off: no entry is lost or counted twice."""
+    stores = [cache.AnswerCache(str(tmp_path / "c"), 100, segments=50) for _ in range(3)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: stores[i % 3].put(spark, [1.0, float(i)], f"a{i}", now=i), range(12)))
+    answers = lambda: sorted(r.answer for r in stores[0].table(spark).collect())
+    every = sorted(f"a{i}" for i in range(12))
+    assert answers() == every
+    remove = cache.deleted
+
+    def writes_meanwhile(s, path):
+        if len(answers()) == 12:
+            stores[1].put(s, [0.0, 1.0], "meanwhile")
+        remove(s, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(cache, "deleted", writes_meanwhile)
+        stores[0].compact(spark)
+    assert answers() == sorted([*every, "meanwhile"]) and len(stores[0]._listed(spark)) == 2
+    with monkeypatch.context() as m:
+        m.setattr(cache, "deleted", lambda *_: None)  # broken off before it deletes
+        stores[2].compact(spark)
+    assert answers() == sorted([*every, "meanwhile"])
+    small = cache.AnswerCache(str(tmp_path / "c"), 4, segments=2)
+    small.put(spark, [5.0, 5.0], "last", now=1000)
+    assert len(small._listed(spark)) == 1 and answers() == ["a10", "a11", "last", "meanwhile"]
+
+
+def test_measures_of_answers(spark):
+    """Shares and rank-weighted precision from verdicts, by the lexical judge and by a model that fails now and then."""
+    rows = [("q", "when did costs fall", "Costs fell in spring. The moon is far away!", "Costs fell in spring.\nRevenue grew.", ["nothing of it", "in spring costs fell", "revenue grew a lot"]), ("none", "what", "", None, None), ("bare", "costs fall", "Costs fall.", "", ["costs fall"])]
+    samples = spark.createDataFrame(rows, "query_id string, question string, generated_answer string, ground_truth_answer string, retrieved_contexts array<string>")
+    got = {r.query_id: tuple(r)[5:] for r in metrics.measures(samples).collect()}
+    assert got == {"q": (0.5, 0.0, pytest.approx((1 / 2 + 2 / 3) / 2), 1.0), "none": (None, None, None, None), "bare": (1.0, 1.0, None, None)}
+
+    def judge(requests):
+        pairs = [json.loads(r) for r in requests]
+        if len(pairs) > 2:
+            raise ConnectionError("too many")
+        return [ValueError("unsure") if "moon" in p["statement"] else "Yes." if p["passage"].split()[-1].strip(".!") in p["statement"].lower() else "no" for p in pairs]
+
+    by_model = metrics.measures(samples, metrics.judge_by(lambda: judge, calls.Limits(tries=2)), "")
+    assert by_model.columns[5:] == list(metrics.NAMES)
+    q = by_model.where("query_id = 'q'").head()
+    assert (q.faithfulness, q.context_recall) == (1.0, 0.5)  # the statement on which the judge fails counts in neither
+
+
+def test_neighbours_by_a_sweep(spark):
+    """Against all pairs, with ties, overlaps and pages without spans; the plan joins no anchors with spans."""
+    rnd = random.Random(9)
+    box = lambda: (float(y := rnd.randrange(40)), float(y + rnd.randrange(6)))
+    spans = [(d, p, f"s{i}", i, *box()) for i, (d, p) in enumerate((rnd.choice("ab"), rnd.randrange(3)) for _ in range(150))] + [("a", 0, "bare", 999, None, None)]
+    anchors = [(d, p, i, *box()) for i, (d, p) in enumerate((rnd.choice("abc"), rnd.randrange(4)) for _ in range(80))]
+    got = layout.nearest_neighbors(spark.createDataFrame(anchors, "doc_id string, page_index int, anchor_id long, y0 double, y1 double"), spark.createDataFrame(spans, "doc_id string, page_index int, span_id string, span_pos long, y0 double, y1 double"))
+    want = {}
+    for d, p, i, y0, y1 in anchors:
+        here = [s for s in spans if s[:2] == (d, p) and s[4] is not None]
+        pick = lambda gaps: min(gaps, default=(None, None, None))[2]
+        want[i] = pick([(y0 - s[5], s[3], s[2]) for s in here if y0 - s[5] >= -2]), pick([(s[4] - y1, s[3], s[2]) for s in here if s[4] - y1 >= -2])
+    assert {r.anchor_id: (r.above_id, r.below_id) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Window ") == 2  # above with below
+
+
 def test_context_stops_at_the_first_overflow(spark):
     hits = spark.createDataFrame([("q", i + 1, "x" * n, 3, 4, "narrative", None) for i, n in enumerate((50, 5000, 10))], "query_id string, rank int, text string, page_start int, page_end int, content_type string, chunk_kind string")
     packed = folds.packed_context(hits, 1000)
