@@ -105,10 +105,15 @@ def in_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[str
         yield held
 
 
+def blocks_topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """batch_topk for queries in a table (query_id, embedding), block by block."""
+    out = batch_topk(vecs, [], k)
+    for block in in_blocks(queries):
+        out = out.unionByName(batch_topk(vecs, block, k, metric))
+    return out
+
+
 def hashed_topk(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_pos, score, rank by the stand-in's vectors: those of chunks (chunk_pos, embedding) against those of the
     questions, by matrix products. Chunks that have no bucket of the question's aren't found."""
-    out = batch_topk(vecs, [], k)
-    for block in in_blocks(question_vectors(queries)):
-        out = out.unionByName(batch_topk(vecs, block, k, "cosine"))
-    return out.where(F.col("score") > 0)
+    return blocks_topk(vecs, question_vectors(queries), k, "cosine").where(F.col("score") > 0)

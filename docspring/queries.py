@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from docspring.config import Settings
 from docspring.functions import calls, geometry, ids, models, payload, text, vectors
 from docspring.operators import batching, cache, cells, chunking, dense, evaluation, folds, fusion, layout, metrics, rerank, sparse, structured, tables
-from docspring.plans import corpus, retrieval
+from docspring.plans import answers, corpus, retrieval
+from docspring.sources import documents as sources
 from docspring.sources import index, points, segments
 from docspring.staging import scratch
 
@@ -668,6 +671,15 @@ def scores_of(spark, sf_dir) -> DataFrame:
 METRICS = "m AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN lang END AS context_content_type, CASE WHEN doc_id % 7 <> 0 THEN quality + (doc_id % 10) / 16.0 END AS faithfulness, toxic::DOUBLE AS context_recall FROM labels JOIN documents USING (doc_id))"
 
 
+def samples_of(spark, sf_dir) -> DataFrame:
+    """Conversations as samples: the first user's text asks, the last turn answers, the first answer is the reference, and two
+    turns of three are the passages."""
+    turns, t = table(spark, sf_dir, "conversations"), F.struct("turn", "text")
+    first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, t))["text"], F.lit(""))
+    passages = F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 != 2, t))), lambda x: x["text"])
+    return turns.groupBy(F.col("conv_id").alias("query_id")).agg(first("user").alias("question"), F.coalesce(F.max(t)["text"], F.lit("")).alias("generated_answer"), first("assistant").alias("ground_truth_answer"), passages.alias("retrieved_contexts"))
+
+
 SAMPLES = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
     s AS (SELECT conv_id AS query_id, coalesce(max(text) FILTER (role = 'user' AND k = 1), '') AS question, coalesce(max(text) FILTER (back = 1), '') AS answer, coalesce(max(text) FILTER (role = 'assistant' AND k = 1), '') AS reference FROM t GROUP BY conv_id),
     p AS (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, text AS passage FROM conversations WHERE turn % 3 <> 2)"""
@@ -689,13 +701,7 @@ VERDICTS = rf"""x AS (SELECT query_id, 'answer' AS part, answer AS t FROM s UNIO
     SELECT s.query_id, round(faithfulness, 6) AS lexical_faithfulness, round(answer_relevancy, 6) AS lexical_answer_relevancy, round(context_precision, 6) AS lexical_context_precision, round(context_recall, 6) AS lexical_context_recall
     FROM s LEFT JOIN h ON h.query_id = s.query_id LEFT JOIN c ON c.query_id = s.query_id""")
 def answer_measures(spark, sf_dir):
-    """Conversations as samples: the first user's text asks, the last turn answers, the first answer is the reference, and two
-    turns of three are the passages."""
-    turns, t = table(spark, sf_dir, "conversations"), F.struct("turn", "text")
-    first = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, t))["text"], F.lit(""))
-    passages = F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 != 2, t))), lambda x: x["text"])
-    samples = turns.groupBy(F.col("conv_id").alias("query_id")).agg(first("user").alias("question"), F.coalesce(F.max(t)["text"], F.lit("")).alias("generated_answer"), first("assistant").alias("ground_truth_answer"), passages.alias("retrieved_contexts"))
-    got = metrics.measures(samples)
+    got = metrics.measures(samples_of(spark, sf_dir))
     return got.select("query_id", *(F.round(f"lexical_{n}", 6).alias(f"lexical_{n}") for n in metrics.NAMES))
 
 
@@ -915,3 +921,127 @@ def batched_replies(spark, sf_dir):
     """Every text through a model that fails now and then: replies stay with their rows, and what fails for good is a note."""
     call = calls.attempted(Flaky, "summary", calls.Limits(items=8, size=20_000, tries=4))
     return documents(spark, sf_dir).select("doc_id", call("text").alias("r")).select("doc_id", "r.value", "r.error")
+
+
+# --- answers, reports and model legs as whole plans ---
+
+HYBRID, _, _TOP = ORACLE_SQL["hybrid_full"].rpartition("\n    SELECT c.query_id")
+NEAREST_STORED = """vecs AS (SELECT query_id, bucket, qtf / qnorm AS x FROM qw JOIN qn USING (query_id)),
+    near AS (SELECT a.query_id, b.query_id AS entry, round(sum(a.x * b.x), 9) AS similarity FROM vecs a JOIN vecs b USING (bucket) WHERE a.query_id::INT % 2 = 1 AND b.query_id::INT % 4 = 1 GROUP BY ALL),
+    cached AS (SELECT query_id, arg_max(entry, (similarity, -entry::INT)) AS entry, max(similarity) AS similarity FROM near GROUP BY query_id HAVING max(similarity) >= 0.92)"""
+
+
+@query(f"""{HYBRID}, full_hits AS (SELECT c.query_id{_TOP}), {NEAREST_STORED},
+    first AS (SELECT h.query_id, text, length('[1] pages ' || page_start || '–' || page_end || ' · ' || content_type || ' · ' || chunk_kind || chr(10) || text) AS size FROM full_hits h JOIN chunks USING (chunk_pos) WHERE rank = 1)
+    SELECT q.query_id, CASE WHEN entry IS NOT NULL THEN 'stored ' || entry WHEN size > 12000 OR size IS NULL OR trim(text, E' \n\t') = '' THEN 'The report doesn''t say.' ELSE substr(trim(text, E' \n\t'), 1, 512) END AS answer, round(similarity, 6) AS similarity, CASE WHEN entry IS NOT NULL THEN 'cache_hit' ELSE 'multi_hop_done' END AS note
+    FROM asked q LEFT JOIN cached c ON c.query_id = q.query_id LEFT JOIN first f ON f.query_id = q.query_id""")
+def answered_questions(spark, sf_dir):
+    """All questions in one plan, half of them with a page clause: a quarter of the answers are in the cache before, the others
+    come from the retrieval and the stand-in model."""
+    held, queries, settings = indexed(spark, sf_dir), with_cue(asked(spark, sf_dir)), Settings()
+    n = F.col("query_id").cast("int")
+    store = cache.AnswerCache(scratch(spark, "answers"))
+    stored = queries.where(n % 4 == 1).withColumn("embedding", models.batch_udf(corpus.hashed_embedder, "array<double>")("query"))
+    store.append(stored.select("embedding", F.concat(F.lit("stored "), "query_id").alias("answer"), n.cast("long").alias("pos")))
+    clause = F.when(n % 2 == 0, F.lit(" on pages 4-13")).otherwise(F.lit(""))
+    told, _ = answers.answered(queries.withColumn("query", F.concat("query", clause)), held.chunks, corpus.hashed_embedder, held.terms, settings, store=store, vectors=held.vectors, metric="cosine")
+    return told.select("query_id", "answer", F.round("similarity", 6).alias("similarity"), "note")
+
+
+@query(f"""WITH {PACK}, asked AS (SELECT DISTINCT query_id, 'what of ' || query_id AS query FROM h), packed AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context, bool_or(chunk_kind = 'pdf_table') AS has_table, bool_or(chunk_kind = 'pdf_image') AS has_figure FROM k WHERE NOT stop GROUP BY query_id)
+    SELECT a.query_id, md5('{answers.RULES.strip().replace("'", "''")}' || chr(10) || CASE WHEN has_table THEN '{answers.TABLES.strip()}' || chr(10) ELSE '' END || CASE WHEN has_figure THEN '{answers.FIGURES.strip().replace("'", "''")}' || chr(10) ELSE '' END || '{answers.OPENED.strip()}' || chr(10) || coalesce(context, '') || chr(10) || '{answers.CLOSED.strip().replace(chr(10), "' || chr(10) || '")} ' || query || chr(10) || '{answers.CITE.strip()}') AS prompt
+    FROM asked a LEFT JOIN packed p ON p.query_id = a.query_id""")
+def prompt_texts(spark, sf_dir):
+    hits = hits_of(spark, sf_dir)
+    of = hits.select("query_id").distinct().withColumn("query", F.concat(F.lit("what of "), F.col("query_id").cast("string")))
+    return answers.prompts(hits, of).select("query_id", F.md5("prompt").alias("prompt"))
+
+
+def overlap_scores(pairs: list[tuple[str, str]]) -> list[float]:
+    return [models.overlap_score(q, t) for q, t in pairs]
+
+
+@query(rf"""WITH {ASKED}, {TERMS}, {DENSE}, o AS (SELECT d.query_id, d.chunk_pos, d.rank, len(list_intersect(list_distinct(regexp_extract_all(lower(query), '{TOKEN}')), list_distinct(regexp_extract_all(lower(text), '{TOKEN}')))) / len(list_distinct(regexp_extract_all(lower(query), '{TOKEN}'))) AS score FROM dense d JOIN asked q USING (query_id) JOIN chunks c USING (chunk_pos))
+    SELECT query_id, chunk_pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM o""")
+def cross_encoder(spark, sf_dir):
+    """The dense leg in the order of a model's scores of pairs."""
+    chunks, queries, _, found = legs_of(spark, sf_dir)
+    hits, note = rerank.cross_encoder_rerank(found.join(chunks, "chunk_pos").join(queries, "query_id"), overlap_scores)
+    return hits.select("query_id", "chunk_pos", F.col("rank").cast("long").alias("rank"))
+
+
+def labels_seen(requests: list[str]) -> list[str]:
+    """Stands in for a model that sees: what it was shown, in order."""
+    out = []
+    for r in requests:
+        parts = json.loads(r)["parts"]
+        shown = [base64.b64decode(x["image_base64"]).decode() for x in parts if x.get("image_base64")]
+        out.append(parts[1]["text"].split("\n")[1] + ": " + (" ".join(shown) or parts[-1]["text"]))
+    return out
+
+
+@query(f"""{ORACLE_SQL["visual_retrieval"].rpartition("    SELECT query_id::VARCHAR AS query_id, vec_id, round(maxsim, 6)")[0].rstrip()},
+    top AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s.maxsim DESC, s.score DESC, vec_id::VARCHAR) AS rank FROM s QUALIFY rank <= 6), told AS (SELECT query_id, string_agg('crop-' || vec_id, ' ' ORDER BY rank) AS seen FROM top GROUP BY query_id)
+    SELECT query_id::VARCHAR AS query_id, 'what is on ' || query_id || ': ' || seen AS answer FROM told UNION ALL SELECT 'none', 'what is on none: {answers.NO_CROPS}'""")
+def visual_replies(spark, sf_dir):
+    """The patches that late interaction ranks first go, as pictures, to a model that sees; one question has none."""
+    vecs = unscaled(spark, sf_dir)
+    patches = vecs.select(F.col("chunk_pos").cast("string").alias("patch_id"), "embedding", F.col("label").cast("string").alias("pdf_sha256"))
+    top = corpus.retrieve_patches_batch(patches, questions_of(vecs), Settings(), "3").withColumn("png", F.encode(F.concat(F.lit("crop-"), "patch_id"), "UTF-8"))
+    names = vecs.where("chunk_pos % 100 = 0").select(F.col("chunk_pos").cast("string").alias("query_id")).unionByName(spark.createDataFrame([("none",)], "query_id string"))
+    of = names.withColumn("query", F.concat(F.lit("what is on "), "query_id"))
+    return answers.visual_answers(of, top, labels_seen).select("query_id", "answer")
+
+
+@query(r"SELECT trim(text, E' \n\t') AS question, 'see ' || chr(34) || item_id || chr(34) || ', there' AS ground_truth_context, '' AS ground_truth_answer, item_id::VARCHAR AS page_number, CASE WHEN item_id % 2 = 0 THEN 'table' ELSE '' END AS context_content_type FROM benchmark WHERE item_id % 7 <> 0".replace("\\n", "\n").replace("\\t", "\t"))
+def gold_csv(spark, sf_dir):
+    """Labelled questions through a CSV file with quotes, commas, line ends, spaces and empty fields; blank ones are dropped."""
+    n = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select(F.when(n % 7 == 0, "  ").otherwise(F.concat(F.lit("  "), "text", F.lit(" "))).alias("Question"), F.concat(F.lit('see "'), n.cast("string"), F.lit('", there')).alias("Ground_Truth_Context"), F.lit(None).cast("string").alias("Ground_Truth_Answer"), F.concat(F.lit(" "), n.cast("string")).alias("Page_Number"), F.when(n % 2 == 0, "table").alias("Context_Content_Type"))
+    path = scratch(spark, "gold")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return sources.gold_questions(spark, path)
+
+
+@query("SELECT doc_id, length(text) AS chars, quality FROM documents JOIN labels USING (doc_id)")
+def aligned_rows(spark, sf_dir):
+    """Texts and labels side by side, by key; a row on one side only would be an error."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    texts = documents(spark, sf_dir).select("doc_id", F.length("text").alias("chars")).join(labels.select("doc_id"), "doc_id", "left_semi")
+    return batching.aligned(texts, labels, "doc_id").select("doc_id", "chars", "quality")
+
+
+def size_and_place(blobs: list[bytes]) -> list[list[float]]:
+    """Stands in for a picture encoder."""
+    return [[float(x) for x in bytes(b).decode().split("x")] for b in blobs]
+
+
+@query("""WITH n AS (SELECT n_nationkey, p AS page_index, 500 + 37 * n_nationkey AS w, 300 + 53 * n_nationkey AS h FROM nation, range(3) x(p)), t AS (SELECT *, r.r AS row_index, c.c AS col_index FROM n, range(20) r(r), range(20) c(c) WHERE r.r * 192 < h AND c.c * 192 < w)
+    SELECT 'p6-' || left(sha256('sha' || n_nationkey || '|p=' || page_index || '|r=' || row_index || '|c=' || col_index || '|dpi=144.0'), 26) AS patch_id, page_index::INT AS page_index, least(256, w - col_index * 192)::INT AS width_px, round(least(256, w - col_index * 192) + row_index + 0.5, 6)::DOUBLE AS total FROM t""")
+def patch_ingest(spark, sf_dir):
+    """Pages to patches with vectors, and read back; the pages beyond the limit are left out."""
+    n = F.col("n_nationkey")
+    pages = table(spark, sf_dir, "nation").select(F.concat(F.lit("sha"), n.cast("string")).alias("pdf_sha256"), F.lit("a.pdf").alias("source_filename"), F.explode(F.array(*map(F.lit, range(5)))).alias("page_index"), (500 + 37 * n).cast("int").alias("pixmap_page_width"), (300 + 53 * n).cast("int").alias("pixmap_page_height"))
+    path, patches = scratch(spark, "patches"), corpus.patch_records(pages, Settings(patch_max_pages=3))
+    pictured = patches.withColumn("png", F.encode(F.concat_ws("x", "width_px", "row_index", F.lit("0.5")), "UTF-8"))
+    corpus.ingest_patches(pictured, lambda: size_and_place, path, 3)
+    held = spark.read.parquet(f"{path}/patches")
+    return held.select("patch_id", "page_index", "width_px", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(ORACLE_SQL["answer_measures"].rpartition("\n    SELECT s.query_id")[0] + """,
+    m AS (SELECT s.query_id, faithfulness, answer_relevancy, context_precision, context_recall, CASE WHEN s.query_id % 3 = 0 THEN 'table' ELSE 'text' END AS kind FROM s LEFT JOIN h ON h.query_id = s.query_id LEFT JOIN c ON c.query_id = s.query_id),
+    parts AS (SELECT 'row' AS part, query_id::VARCHAR AS name, faithfulness, answer_relevancy, context_precision, context_recall FROM m UNION ALL SELECT 'type', kind, avg(faithfulness), avg(answer_relevancy), avg(context_precision), avg(context_recall) FROM m GROUP BY kind UNION ALL SELECT 'mean', '', avg(faithfulness), avg(answer_relevancy), avg(context_precision), avg(context_recall) FROM m)
+    SELECT part, name, round(faithfulness, 6) AS lexical_faithfulness, round(answer_relevancy, 6) AS lexical_answer_relevancy, round(context_precision, 6) AS lexical_context_precision, round(context_recall, 6) AS lexical_context_recall FROM parts""")
+def evaluation_report(spark, sf_dir):
+    """Samples to measures, the report as JSON and Markdown, and the JSON read back: rows, means by type, and the mean."""
+    rows = samples_of(spark, sf_dir).withColumns({"page_number": F.lit("1"), "context_content_type": F.when(F.col("query_id") % 3 == 0, "table").otherwise("text")})
+    path = f"{scratch(spark, 'report')}/report.json"
+    evaluation.write_report(spark, path, corpus.report_of(rows, Settings()))
+    one = spark.read.json(path, multiLine=True, primitivesAsString=True)
+    cells = lambda at: [F.round(at[f"lexical_{m}"].try_cast("double"), 6).alias(f"lexical_{m}") for m in metrics.NAMES]
+    each = lambda part, key: one.select(F.explode(key).alias("x"))
+    rows_of, types = each("row", "per_row_ragas"), each("type", "ragas_by_context_content_type")
+    out = rows_of.select(F.lit("row").alias("part"), F.col("x.query_id").alias("name"), *cells(F.col("x")))
+    out = out.unionByName(types.select(F.lit("type").alias("part"), F.col("x.context_content_type").alias("name"), *cells(F.col("x"))))
+    return out.unionByName(one.select(F.lit("mean").alias("part"), F.lit("").alias("name"), *cells(F.col("ragas_summary_mean"))))
