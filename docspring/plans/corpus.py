@@ -19,22 +19,24 @@ from docspring.sources import documents, index, points
 from docspring.staging import Staging
 
 
-def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption: Callable | None = None, summary: Callable | None = None, text_tables: bool = False) -> dict[str, DataFrame]:
+def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption: Callable | None = None, summary: Callable | None = None, text_tables: bool = False, staging: Staging | None = None) -> dict[str, DataFrame]:
     """spans, pages, tables, images and notes of all files. parsers: pages, and any of spans, markdown, tables, images. With
-    text_tables and no parser of tables, they are found in the spans' layout."""
-    spark = files.sparkSession
-    pages, notes = documents.page_texts(files, parsers["pages"])
+    text_tables and no parser of tables, they are found in the spans' layout. caption and summary make transports (functions.calls)
+    that take pictures' bytes and tables' texts. Every parser and model runs once for each file: outputs are staged, in a folder
+    that the caller may give and drop."""
+    spark, staging = files.sparkSession, staging or Staging(files.sparkSession, "parse")
+    pages, notes = documents.page_texts(files, parsers["pages"], staging)
     out = {"pages": pages, "notes": notes}
     spans = layout.page_spans(pages).withColumn("metadata", F.lit(None).cast("map<string,string>"))
     for name, read in (("spans", documents.layout_spans), ("markdown", documents.markdown_span)):
         if name in parsers:
-            more, problems = read(files, parsers[name])
+            more, problems = read(files, parsers[name], staging)
             spans, out["notes"] = spans.unionByName(more), out["notes"].unionByName(problems)
     boxed = spans.where("y0 is not null").withColumn("span_pos", F.xxhash64("span_id"))
     out["spans"] = spans
     for name, read, key in (("tables", documents.table_blocks, "table_id"), ("images", documents.image_blocks, "xref")):
         if name in parsers:
-            blocks, problems = read(files, parsers[name])
+            blocks, problems = read(files, parsers[name], staging)
             out["notes"] = out["notes"].unionByName(problems)
         elif name == "tables" and text_tables:
             found = tables.stream_tables(boxed)
@@ -50,15 +52,20 @@ def parse_documents(files: DataFrame, parsers: Mapping[str, Callable], caption:
         out["images"], dropped = layout.labelled_images(out["images"])
         out["notes"] = out["notes"].unionByName(dropped)
         if caption is not None:
-            tried = out["images"].withColumn("__c", calls.attempted(caption, "caption")(F.col("content")))
-            out["images"] = tried.withColumn("caption", F.col("__c.value")).drop("__c")
+            tried = staging.stored(out["images"].withColumn("__c", calls.attempted(caption, "caption")(F.col("content"))), "captions")
+            out["images"], out["notes"] = tried.withColumn("caption", F.col("__c.value")).drop("__c"), out["notes"].unionByName(failed(tried, "__c", "images"))
     if "tables" in out and summary is not None:
         body = F.coalesce("as_markdown", "as_csv")
-        tried = out["tables"].withColumn("__s", F.when(body.isNotNull(), calls.attempted(summary, "summary")(body)))
-        out["tables"] = tried.withColumn("summary", F.coalesce("__s.value", "summary")).drop("__s")
+        tried = staging.stored(out["tables"].withColumn("__s", calls.attempted(summary, "summary")(body)), "summaries")
+        out["tables"], out["notes"] = tried.withColumn("summary", F.coalesce("__s.value", "summary")).drop("__s"), out["notes"].unionByName(failed(tried, "__s", "tables"))
     return {"notes": documents.empty_notes(spark), **out}
 
 
+def failed(tried: DataFrame, reply: str, stage: str) -> DataFrame:
+    """Notes on the rows whose model call failed."""
+    return tried.where(F.col(f"{reply}.error").isNotNull()).select("doc_id", F.lit(stage).alias("stage"), F.col(f"{reply}.error").alias("note"))
+
+
 def build_chunks(parts: Mapping[str, DataFrame], settings: Settings, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
     """Narrative, table and image chunks in corpus order, and notes. The order stands in a staged table, which the caller drops
     if it gives the folder."""

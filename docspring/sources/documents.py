@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docspring.schemas import IMAGES, NOTES, PAGES, SPANS, TABLES
+from docspring.staging import Staging
 
 GOLD = {"Question": "question", "Ground_Truth_Context": "ground_truth_context", "Ground_Truth_Answer": "ground_truth_answer", "Page_Number": "page_number", "Context_Content_Type": "context_content_type"}
 
@@ -33,8 +34,10 @@ def clean_metadata(raw: dict) -> dict[str, str]:
     return {str(k).lstrip("/"): safe_primitive(v) for k, v in raw.items()}
 
 
-def parsed(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], schema: str, stage: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that a parser makes of each file, and notes on files that it failed on. A parser takes doc_id and bytes."""
+def parsed(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], schema: str, stage: str, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that a parser makes of each file, and notes on files that it failed on. A parser takes doc_id and bytes; Arrow batches
+    hold some 64 MB of files (spark.sql.execution.arrow.maxBytesPerBatch). With a staging folder its output is written once, and
+    rows and notes are read from there; without one each of their readers runs the parser."""
     full = T.StructType.fromDDL(f"{schema}, __note string")
     arrow = to_arrow_schema(full)
 
@@ -48,33 +51,35 @@ def parsed(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], sch
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     rows = files.select("doc_id", "content").mapInArrow(run, full)
+    if staging is not None:
+        rows = staging.stored(rows, stage)
     return rows.where("__note is null").drop("__note"), rows.where("__note is not null").select("doc_id", F.lit(stage).alias("stage"), F.col("__note").alias("note"))
 
 
-def page_texts(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]]) -> tuple[DataFrame, DataFrame]:
-    return parsed(files, parser, PAGES, "pages")
+def page_texts(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    return parsed(files, parser, PAGES, "pages", staging)
 
 
-def layout_spans(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], page_heights: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def layout_spans(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], staging: Staging | None = None, page_heights: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Boxes with their origin at the bottom left are turned over if the pages' heights are given."""
-    spans, notes = parsed(files, parser, SPANS, "spans")
+    spans, notes = parsed(files, parser, SPANS, "spans", staging)
     if page_heights is not None:
         spans = spans.withColumns({"y0": page_heights - F.col("y1"), "y1": page_heights - F.col("y0")})
     return spans, notes
 
 
-def markdown_span(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]]) -> tuple[DataFrame, DataFrame]:
+def markdown_span(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
     """A document's Markdown as one span without a box on page 0; it takes no part in the layout."""
-    return parsed(files, parser, SPANS, "markdown")
+    return parsed(files, parser, SPANS, "markdown", staging)
 
 
-def table_blocks(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]]) -> tuple[DataFrame, DataFrame]:
+def table_blocks(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
     """Table ids are counted within a page, so a repeated task gives the same ones."""
-    return parsed(files, parser, TABLES, "tables")
+    return parsed(files, parser, TABLES, "tables", staging)
 
 
-def image_blocks(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]]) -> tuple[DataFrame, DataFrame]:
-    return parsed(files, parser, IMAGES, "images")
+def image_blocks(files: DataFrame, parser: Callable[[str, bytes], Iterator[dict]], staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
+    return parsed(files, parser, IMAGES, "images", staging)
 
 
 def empty_notes(spark: SparkSession) -> DataFrame:

@@ -50,6 +50,45 @@ def test_ingest_and_answer(spark, files, tmp_path):
         corpus.ingest({**parts, "pages": parts["pages"].limit(0), "spans": parts["spans"].limit(0)}, corpus.hashed_embedder, settings)
 
 
+def test_parsers_and_models_run_once(spark, tmp_path):
+    """Each parser sees each file once however often its rows are read; captions and summaries that fail are notes on their rows."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def logged(name):
+        with open(log / name, "a") as f:
+            f.write("x")
+
+    def pages(doc_id, content):
+        logged("pages")
+        yield {"page_index": 0, "text": content.decode()}
+
+    def images(doc_id, content):
+        logged("images")
+        for i in range(3):
+            yield {"xref": i, "page_index": 0, "y0": 30.0, "y1": 40.0, "content": b"picture %d" % i, "width_px": 500, "height_px": 500}
+
+    def spans(doc_id, content):
+        yield {"span_id": "s", "page_index": 0, "x0": 0.0, "y0": 10.0, "x1": 9.0, "y1": 20.0, "text": "Figure 1: here", "extractor": "lines"}
+        for r in range(2):
+            for c in range(2):
+                yield {"span_id": f"c{r}{c}", "page_index": 1, "x0": 50.0 * c, "y0": 20.0 * r, "x1": 50.0 * c + 30, "y1": 20.0 * r + 12, "text": f"cell {r} {c}", "extractor": "lines"}
+
+    def caption():
+        return lambda blobs: [ValueError("dark") if bytes(b).endswith(b"1") else f"shows {bytes(b).decode()}" for b in blobs]
+
+    files = spark.createDataFrame([(d, f"text of {d}".encode()) for d in "abc"], "doc_id string, content binary")
+    parts = corpus.parse_documents(files, {"pages": pages, "images": images, "spans": spans}, caption=caption, text_tables=True)
+    got = {(r.doc_id, r.xref): r.caption for r in parts["images"].collect()}
+    assert got == {(d, i): None if i == 1 else f"shows picture {i}" for d in "abc" for i in range(3)}
+    notes = parts["notes"].where("stage = 'images'").collect()
+    assert {(r.doc_id, r.note) for r in notes} == {(d, "caption: ValueError: dark") for d in "abc"} and parts["pages"].count() == 3
+    assert [r.rows for r in parts["tables"].collect()] == [[["cell 0 0", "cell 0 1"], ["cell 1 0", "cell 1 1"]]] * 3
+    chunks, _ = corpus.build_chunks(parts, Settings())
+    assert chunks.where("chunk_kind = 'pdf_image'").count() == 9 and chunks.where("chunk_kind = 'pdf_table'").count() == 3
+    assert (log / "pages").read_text() == (log / "images").read_text() == "xxx"
+
+
 def test_index_manifest(spark, tmp_path):
     path = str(tmp_path / "i")
     with pytest.raises(FileNotFoundError):
