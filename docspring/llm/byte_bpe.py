@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docspring.llm.common import as_bytes
+from docspring.llm.common import as_bytes, slices
 
 #: Fixed value: the White_Space characters of Unicode, as the rank files' own library reads \s.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -229,13 +229,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             table[i] = b
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo in range(0, len(doc_ids), 512):
-                joined = [c.encode_joined((x or b"").decode()) for x in texts[lo : lo + 512]]
+            for lo, hi in slices(texts):
+                joined = [c.encode_joined((x or b"").decode()) for x in texts[lo:hi]]
                 ids = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x in joined]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc_ids[lo : lo + 512], pa.int64()),
+                        pa.array(doc_ids[lo:hi], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
                         pa.array([b"".join(map(table.__getitem__, x.tolist())) for x in ids], pa.binary()),

@@ -11,9 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docspring.llm.common import partitions
+from docspring.llm.common import as_bytes, partitions, slices
 
 #: The template's control strings, in the order of their reserved ids. A turn is [TURN], its role, [SAYS], its text, [END];
 #: the three common roles have an opening of their own. Those that follow belong to other templates, and are escaped too.
@@ -100,13 +99,13 @@ def format_turns(turns: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """One row for each row of turns (conv_id, turn, role, text): conv_id, turn, role, ids, loss_mask and formatted (their text).
 
     A conversation's rows in the order of turn (null first), then role and text, put together are its sequence. Null roles
-    and texts count as empty. Each row is encoded by itself, however long a conversation is. Repeated rows are turns of their own; an empty table gives no rows;
-    other columns are ignored.
+    and texts count as empty. Each row is encoded by itself, however long a conversation is, and some megabytes of rows at a time.
+    Repeated rows are turns of their own; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = template(vocabulary, pattern)
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(as_bytes(whole.column(3)))):
             ids = [np.array(t.turn(role or "", text or ""), np.int32) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             made = [[x.tobytes() for x in ids], [t.mask(x).astype(np.uint8).tobytes() for x in ids], [t.text(x.tolist()) for x in ids]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.string())], names=["conv_id", "turn", "role", "text", "ids", "loss_mask", "formatted"])
@@ -153,13 +152,3 @@ def read_back(formatted: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     ordered = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "ids", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-
-
-def format_conversations(turns: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Whole conversations: conv_id, ids, loss_mask and formatted, joined in order. For tables whose conversations each fit
-    into a task."""
-    made = format_turns(turns, vocabulary, pattern)
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "ids", "loss_mask", "formatted")))
-    joined = made.groupBy("conv_id").agg(parts.alias("p"))
-    whole = lambda k, empty: F.aggregate(f"p.{k}", F.lit(empty), lambda a, b: F.concat(a, b))
-    return joined.select("conv_id", whole("ids", b"").alias("ids"), whole("loss_mask", b"").alias("loss_mask"), whole("formatted", "").alias("formatted"))

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import wraps
 
@@ -132,12 +133,28 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """All scratches that are made inside, so that their tables can go when what reads them has been written."""
+    held: list[Scratch] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+
+
 class Scratch:
     """Tables that one call of an operator writes to the shared folder and reads back: that cuts the lineage, and outlives
     executors. What the call's result doesn't read is deleted at the call's end."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
+        for held in _open:
+            held.append(self)
 
     def stored(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/docspring/{label}-{uuid.uuid4().hex}"

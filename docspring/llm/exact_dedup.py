@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -17,8 +18,8 @@ from docspring.llm.common import Scratch, as_bytes, lower_ascii, partitions, tri
 
 #: Digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
-#: Digest ranges, each with its own tree of runs: a power of two to 65,536; raise it with the table (about 1e6 digests a range).
-RANGES = 256
+#: Digest ranges, each with its own tree of runs, at least and at most (powers of two), and the rows of a range between them.
+RANGES, MOST_RANGES, ROWS_A_RANGE = 256, 1 << 16, 1_000_000
 #: Bits of the filters over the compacted runs of all ranges together, which are sent to every task: a longer index's filters
 #: let more pass, and rows are only moved in vain.
 FILTER_BITS = 1 << 26
@@ -26,10 +27,14 @@ FILTER_BITS = 1 << 26
 COPIES_A_TASK = 64
 
 
-def range_of(digests: np.ndarray) -> np.ndarray:
+def ranges_for(rows: int) -> int:
+    return min(MOST_RANGES, max(RANGES, 1 << (-(-rows // ROWS_A_RANGE) - 1).bit_length()))
+
+
+def range_of(digests: np.ndarray, ranges: int = RANGES) -> np.ndarray:
     """The range of each digest of 16 bytes, by its first two."""
     first = np.frombuffer(digests.tobytes(), ">u2")[::8].astype(np.int64)
-    return first * RANGES >> 16
+    return first * ranges >> 16
 
 
 class Filter:
@@ -62,7 +67,11 @@ class Run:
 
     def __init__(self, digests: np.ndarray, ids: np.ndarray, counts: np.ndarray):
         self.digests, self.ids, self.counts = digests, ids, counts
-        self.filter = Filter(digests)
+
+    @cached_property
+    def filter(self) -> Filter:
+        """Made when the run is probed: a run that is only merged needs none."""
+        return Filter(self.digests)
 
     def find(self, digests: np.ndarray) -> np.ndarray:
         """Where each digest stands in this run, -1 if nowhere; only what passes the filter is searched."""
@@ -150,7 +159,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
             for i, x in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 index.add(digest((x or b"").lower())[:16], none if i is None else i)
         for run in index.runs():
-            part = range_of(run.digests)
+            part = range_of(run.digests, ranges)
             edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
             cuts = list(zip(edges[:-1], edges[1:], strict=True))
             yield pa.RecordBatch.from_pydict({"part": pa.array([int(part[lo]) for lo, _ in cuts], pa.int32())} | {k: pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for k, x in (("digests", run.digests), ("ids", run.ids), ("counts", run.counts))})
@@ -168,7 +177,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
             ids, raw = run.ids[more], run.digests[more].tobytes()
             columns = [pa.array([raw[k : k + 16] for k in range(0, len(raw), 16)], pa.binary()), pa.array(ids, pa.int64(), mask=ids == none), pa.array(run.counts[more], pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(more), pa.int32()), pa.nulls(len(more), pa.binary()), *columns], names=names)
-            packed = Filter(run.digests[more], FILTER_BITS // RANGES).packed.tobytes()
+            packed = Filter(run.digests[more], FILTER_BITS // ranges).packed.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary()), *(pa.nulls(1, c.type) for c in columns)], names=names)
 
     def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +189,7 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
             full = [digest(x) for x in lowered]
             sha = full if digest is sha256 else map(sha256, lowered)
             digests = np.frombuffer(b"".join(x[:16] for x in full), "S16")
-            part, maybe = range_of(digests), np.zeros(len(full), bool)
+            part, maybe = range_of(digests, ranges), np.zeros(len(full), bool)
             for p in np.unique(part).tolist():
                 if p in probes:
                     (at,) = np.nonzero(part == p)
@@ -194,9 +203,10 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: Callable[[bytes], by
 
     names = ["part", "filter", "address", "keep_id", "group_size"]
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    ranges = ranges_for(docs.count())
     runs = plain.mapInArrow(trimmed(flush_runs), "part int, digests binary, ids binary, counts binary")
     index = scratch.stored(runs.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(trimmed(merge_runs), "part int, filter binary, address binary, keep_id long, group_size long"), "index")
-    filters = {r.part: bytes(r.filter) for r in index.where("filter is not null").select("part", "filter").collect()}  # FILTER_BITS / 8 bytes at most
+    filters = {r.part: bytes(r.filter) for r in index.where("filter is not null").select("part", "filter").collect()}  # FILTER_BITS / 8 bytes at most, in as many parts as there are ranges
     groups = index.where("address is not null").select("address", "keep_id", "group_size")
     rows = plain.mapInArrow(trimmed(addressed), "doc_id long, text string, address binary, text_sha256 string, maybe boolean")
     # the same join at every size; only rows that pass a filter are moved

@@ -22,6 +22,8 @@ from docspring.llm.common import as_bytes, slices
 SAMPLE_ROWS = 3000
 SAMPLE_ROWS_A_LANGUAGE = 500
 BUCKETS = 8192
+#: Texts whose trigrams are counted at a time.
+TEXTS = 128
 SCALE = 12.0
 UNKNOWN = "und"
 
@@ -120,9 +122,15 @@ class Model:
                 columns.append(fit_machine(x, rows, np.where(labels[rows] == a, 1.0, -1.0), norms))
         return Model(names, machines, np.array(columns, np.float32).T if columns else np.zeros((BUCKETS + 1, 0), np.float32))
 
-    def table(self) -> np.ndarray:
-        """Weights by trigram."""
-        return np.ascontiguousarray(self.weights[:-1][bucket_of_gram()])
+    def margins(self, texts: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Ranges of texts and their margins: trigrams are counted into the buckets of TEXTS texts at a time, and the counts
+        multiplied by the weights, so memory grows with texts and buckets, not with machines."""
+        for lo in range(0, len(texts), TEXTS):
+            grams, begins = grams_of(texts[lo : lo + TEXTS])
+            n, sizes = len(begins) - 1, np.diff(begins)
+            at = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, sizes) + bucket[grams]
+            counts = np.bincount(at, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+            yield lo, lo + n, (counts @ self.weights[:-1]) * (SCALE / np.maximum(1, sizes))[:, None] + self.weights[-1]
 
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages and scores of rows of margins. Votes decide within a family, then the margins' sum, then the name."""
@@ -174,7 +182,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, rows_a_language: int = SAMP
 
 
 def features(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Trigram frequencies in buckets of the sampled rows' whole texts (columns lang, text). Some rows of bounded number."""
+    """Trigram frequencies in buckets of the sampled rows' whole texts (columns lang, text). The driver holds SAMPLE_ROWS of them,
+    and one more for each language beyond that number: every value of lang is a language, stray ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = bucket_of_gram()
@@ -205,8 +214,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each machine, whatever the number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        table = model.table() if model else None
+        model, bucket = held.value, bucket_of_gram().astype(np.int32)
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in slices(texts):
@@ -214,14 +222,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 known = [bool(model) and x is not None and has_letter(x) for x in part]
                 names, scores = [UNKNOWN] * len(part), np.zeros(len(part))
                 at = [i for i, k in enumerate(known) if k]
-                if at:
-                    grams, begins = grams_of([part[i] for i in at])
-                    sums = np.add.reduceat(table[grams], begins[:-1], axis=0) if table.shape[1] else np.zeros((len(at), 0))
-                    margins = sums * (SCALE / np.maximum(1, np.diff(begins)))[:, None] + model.weights[-1]
+                for first, last, margins in model.margins([part[i] for i in at], bucket) if at else ():
                     got, sure = model.decide(margins)
-                    for i, name in zip(at, got, strict=True):
+                    for i, name in zip(at[first:last], got, strict=True):
                         names[i] = name
-                    scores[at] = sure
+                    scores[at[first:last]] = sure
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -246,3 +246,33 @@ def test_rule_file_survives_collisions(tmp_path):
 def test_packing_crc(spark):
     got = packing.pack_documents(documents(spark, [None]), P.path("byte_bpe_50k.json")).collect()
     assert [(r.start, r.length, zlib.crc32(bytes(r.ids)), r.padded_length) for r in got] == [(0, 1, zlib.crc32(b"\1\0\0\0"), 1)]
+
+
+def test_long_texts_and_empty_tables(spark):
+    """Texts of megabytes beside short ones through operators 2, 4, 6, 8, 9 and 10, and tables without rows."""
+    from docspring.llm import chat, language_id
+
+    rnd = random.Random(2)
+    long = " ".join(f"word{rnd.randrange(10**5)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(0, long), (1, "short"), (2, long), (3, None)], "doc_id long, text string").repartition(1)
+    enc = tiktoken_codec()
+    v = P.path("byte_bpe_multi_50k.tiktoken")
+    got = {r.doc_id: r.ids_sha256 for r in byte_bpe.encode_documents(docs, v, P.PATTERN).select("doc_id", "ids_sha256").collect()}
+    assert got[0] == got[2] == hashlib.sha256(",".join(map(str, enc.encode_ordinary(long))).encode()).hexdigest() and got[1] != got[3]
+    assert byte_bpe.encode_documents(docs.limit(0), v, P.PATTERN).count() == 0
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    pieces = packing.pack_documents(docs, P.path("byte_bpe_50k.json"))
+    assert pieces.agg({"doc_tokens": "max"}).head()[0] > 300_000 and packing.pack_documents(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    codec = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    row = chat.read_back(chat.format_turns(turns, *codec), *codec).head()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (3, len(long), hashlib.sha256(long.encode()).hexdigest())
+    model = language_id.train(spark.createDataFrame([(i, f"some text {i}", "ab"[i % 2]) for i in range(8)], "doc_id long, text string, lang string"))
+    assert language_id.predict(docs, model).where("lang_pred <> 'und'").count() == 3
+    pages = spark.createDataFrame([(0, "http://a.example.net/en/" + "x" * 3_000_000)], "page_id long, url string")
+    row = url_filters.judge_urls(pages, queries.URL_RULES).head()
+    assert (row.rule, row.verdict, len(row.path)) == ("example.net/en/", "allow", 3_000_004) and url_filters.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_ranges_grow_with_the_table():
+    assert [exact_dedup.ranges_for(n) for n in (0, 1, 256_000_000, 300_000_000, 10**10, 10**12)] == [256, 256, 256, 512, 16384, 65536]
