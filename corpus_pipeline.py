@@ -74,11 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of what the stages before the packing leave of documents; each stage's table goes when the next is written."""
+    """The pieces of what the stages before the packing leave of documents; each stage's table goes when the next is written, and
+    the tables of its operator when its own is."""
     docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         scratch = common.Scratch(spark)
-        docs = scratch.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.collected() as used:
+            docs = scratch.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        for held in used:
+            held.drop()
         if before is not None:
             before.drop()
         before = scratch
