@@ -5,7 +5,9 @@ most k elements, so if the feature domain is cut into n1 parts, most of them dif
 into n2 subparts, and for every choice of n2 - k2 subparts their content is a signature. Sufficiently similar sets share
 one. Sets that share a signature stand in one bucket. Within a bucket the pairs that exact bounds (sizes, odd sketches)
 leave possible are spanned by a forest, its edges are compared element by element, and components are contracted; only where
-an edge fails are the other possible pairs between components compared, so no group gives all its pairs.
+an edge fails are the other possible pairs between components compared. Where sketches leave many of those (sets that are all
+just under the threshold, as pages of one template are), the bucket's sets are joined by their elements instead, with a prefix
+filter over what is rare in the bucket. So no group gives all its pairs.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ SPARE = 0.1
 SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 16, 256, 1 << 16
 #: Up to so many sets of a bucket are compared in one step.
 MATRIX = 96
+#: A bucket in which sketches leave more than CLOSE pairs for each set is joined by its elements, up to so many in one worker.
+CLOSE, ELEMENTS = 8, 16_000_000
 FILTER_BITS = 23
 #: Parts that signatures are dealt out to, at least; how many a worker holds before it sends them, and before it lets go of
 #: what stands in crowded buckets.
@@ -161,7 +166,7 @@ class Bucket:
         return good & (self.comps[rows][:, None] != self.comps[others][None, :])
 
     def pairs(self, every: bool) -> Iterator[tuple[int, int]]:
-        """A forest that spans what is possible, or every possible pair."""
+        """A forest that spans what is possible, or every possible pair, given out one by one."""
         n = len(self.ids)
         if (self.comps == self.comps[0]).all():
             return
@@ -384,20 +389,112 @@ def outgoing(keys: list[np.ndarray], owners: list[np.ndarray], parts: int) -> pa
     return pa.RecordBatch.from_pydict({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()), "ids": pa.array([x.tobytes() for x, _ in named], pa.binary()), "which": pa.array([x.astype(np.uint16).tobytes() for _, x in named], pa.binary())})
 
 
+class Group:
+    """Sets of one bucket with their elements: the links between its components, exactly.
+
+    A prefix filter: elements are ordered by how many of the bucket's sets have them, the rare ones first, so sets that are
+    alike but for what is their own meet in no posting. Sets come by size; the postings hold the first elements of each, those
+    that a set as large or larger can't miss all of, and a set probes with the longer prefix that smaller ones need. Sets that
+    are in one component already, given or found, aren't compared."""
+
+    def __init__(self, ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int):
+        self.ids, self.percent = ids, percent
+        self.top = {c: c for c in comps}
+        self.comps = comps
+        values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.lexsort((values, counts))] = np.arange(len(values))
+        edges = np.cumsum([0, *map(len, sets)])
+        self.sets = [np.sort(rank[at[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def find(self, c: int) -> int:
+        while self.top[c] != c:
+            self.top[c] = c = self.top[self.top[c]]
+        return c
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """As many as join the components, at most one less than there are."""
+        p, postings = self.percent, defaultdict(list)
+        for i in sorted(range(len(self.sets)), key=lambda k: (len(self.sets[k]), self.ids[k])):
+            x = self.sets[i]
+            n = len(x)
+            probe = x[: n - -(-p * n // 100) + 1].tolist()
+            for j in sorted({j for e in probe for j in postings.get(e, ())}):
+                y = self.sets[j]
+                a, b = self.find(self.comps[i]), self.find(self.comps[j])
+                if a == b or 100 * len(y) < p * n:
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= p * (n + len(y) - common):
+                    self.top[max(a, b)] = min(a, b)
+                    yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
+            for e in x[: n - -(-2 * p * n // (100 + p)) + 1].tolist():
+                postings[e].append(i)
+
+
+def close_links(members: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """a, b: links that join the components of each unit, by the elements of its sets. members: unit, set_id, comp."""
+    texts = texts_of(members.select("set_id").distinct(), docs, sets, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, comps, held = None, [], [], []
+
+        def joined() -> pa.RecordBatch:
+            found = list(Group(ids, comps, held, percent).links()) if len(ids) > 1 else []
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            texts = as_bytes(batch["text"])
+            columns = [batch[k].to_pylist() for k in ("unit", "set_id", "comp")]
+            for lo, hi in slices(texts, 1_000_000):
+                for u, i, c, x in zip(*(col[lo:hi] for col in columns), shingle_sets(texts[lo:hi], size), strict=True):
+                    if u != unit:
+                        if ids:
+                            yield joined()
+                        unit, ids, comps, held = u, [], [], []
+                    ids.append(i)
+                    comps.append(c)
+                    held.append(x)
+        if ids:
+            yield joined()
+
+    rows = members.join(texts.hint("merge"), "set_id").select("unit", "set_id", "comp", "text")
+    ordered = rows.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit", "set_id")
+    return ordered.mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
 def proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
     """From unit, set_id, comp, n, sketch: pairs (a < b) of sets of different components that share a unit and may be linked;
-    for each unit a forest that spans them, or all."""
+    for each unit a forest that spans them, or all. A unit of more than CLOSE pairs a set gives its number instead (unit), unless
+    it has more ELEMENTS than a worker holds: then its pairs are given out as they are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        unit, pairs = None, set()
+        unit, pairs, close = None, set(), []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
-
-        def flush() -> None:
-            if len(held[0]) > 1:
-                pairs.update(Bucket(np.array(held[0], np.int64), np.array(held[1], np.int64), np.array(held[2], np.int64), held[3], percent).pairs(every))
+            rows = [(a, b, None) for a, b in pairs] + [(None, None, u) for u in close]
+            pairs.clear()
+            close.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "unit"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n = len(held[0])
+            if n < 2:
+                return
+            found = Bucket(np.array(held[0], np.int64), np.array(held[1], np.int64), np.array(held[2], np.int64), held[3], percent).pairs(every)
+            if every and sum(held[2]) <= ELEMENTS:
+                some = list(islice(found, CLOSE * n + 1))
+                if len(some) > CLOSE * n:
+                    close.append(int(unit))
+                else:
+                    pairs.update(some)
+                return
+            for pair in found:
+                pairs.add(pair)
+                if len(pairs) > 200_000:
+                    yield out()
 
         for batch in batches:
             units = batch["unit"].to_numpy()
@@ -405,25 +502,23 @@ def proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
             columns = [batch[k].to_pylist() for k in ("set_id", "comp", "n", "sketch")]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if units[lo] != unit:
-                    flush()
+                    yield from flush()
                     held, unit = [[], [], [], []], units[lo]
                 for h, c in zip(held, columns, strict=True):
                     h += c[lo:hi]
-            if len(pairs) > 200_000:
-                yield out()
-                pairs.clear()
-        flush()
-        if pairs:
+                if len(pairs) > 200_000:
+                    yield out()
+        yield from flush()
+        if pairs or close:
             yield out()
 
     ordered = members.select("unit", "set_id", "comp", "n", "sketch").repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
-    return ordered.mapInArrow(trimmed(run), "a long, b long").distinct()
+    return ordered.mapInArrow(trimmed(run), "a long, b long, unit long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
-    """a, b and whether they are linked, by the sets of one text of each. Texts are smaller than sets, so they are what moves,
-    and only those that a filter of fixed size lets through."""
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+def texts_of(ids: DataFrame, docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """set_id and one text of each of these sets (set_id). Texts are smaller than sets, so they are what moves, and only those
+    that a filter of fixed size lets through."""
     wanted = scratch.stored(sets.select("set_id", "doc_id", "text_key").join(ids.hint("merge"), "set_id", "left_semi"), "wanted")
     only = few(wanted.select("text_key"))
 
@@ -431,6 +526,15 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, s
         for batch in batches:
             yield batch.filter(pa.array(lets_through(only, batch["text_key"].fill_null(0).to_numpy(zero_copy_only=False))))
 
+    found = docs.mapInArrow(trimmed(pick), docs.schema).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).hint("merge"), ["doc_id", "text_key"])
+    return scratch.stored(found.select("set_id", "text").dropDuplicates(["set_id"]), "texts")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """a, b and whether they are linked, by the sets of one text of each."""
+    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    texts = texts_of(ids, docs, sets, scratch)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = as_bytes(batch["x"]), as_bytes(batch["y"])
@@ -442,8 +546,6 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, s
                     same.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_())], names=["a", "b", "linked"])
 
-    found = docs.mapInArrow(trimmed(pick), docs.schema).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).hint("merge"), ["doc_id", "text_key"])
-    texts = scratch.stored(found.select("set_id", "text").dropDuplicates(["set_id"]), "texts")
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long, linked boolean")
@@ -483,7 +585,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scrat
 
     def settle(units: DataFrame) -> None:
         """Joins all linked sets that share a unit (unit, members): by forests, at first with each set in its largest unit
-        alone, then by all pairs of units with a failed edge."""
+        alone, then by all pairs of units with a failed edge, or by their elements where those pairs are many."""
         nonlocal comps, tested
         for step in ("largest", "all", "every pair"):
             members = units.select("unit", F.explode("members").alias("set_id"))
@@ -503,7 +605,15 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, size: int, scrat
                 labelled = scratch.stored(members.join(comps.hint("merge"), "set_id", "left").select("unit", "set_id", F.coalesce("comp", "set_id").alias("comp")), "labelled")
                 mixed = labelled.groupBy("unit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("unit")
                 members = labelled.join(mixed.hint("merge"), "unit", "left_semi")
-            pairs = proposals(members.join(sets.select("set_id", "n", "sketch").hint("merge"), "set_id"), percent, step == "every pair")
+            found = proposals(members.join(sets.select("set_id", "n", "sketch").hint("merge"), "set_id"), percent, step == "every pair")
+            if step == "every pair":
+                found = scratch.stored(found, "proposals")
+                close = found.where("unit is not null").select("unit")
+                if not close.isEmpty():
+                    new = scratch.stored(close_links(members.select("unit", "set_id", "comp").join(close.hint("merge"), "unit", "left_semi"), docs, sets, percent, size, scratch), "links")
+                    if not new.isEmpty():
+                        comps = contracted(comps, new, scratch)
+            pairs = found.where("unit is null").select("a", "b")
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
             pairs = scratch.stored(pairs, "pairs")

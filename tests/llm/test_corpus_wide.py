@@ -159,6 +159,56 @@ def test_jaccard_pairs_of_a_group_are_linear(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(counts) < 5 * len(texts)
 
 
+@pytest.mark.parametrize(("common", "own"), [(25, 3), (100, 9)])
+def test_jaccard_groups_just_under_the_limit(spark, monkeypatch, common, own):
+    """Pages of one template with a little text of their own, no two of which are linked, and some copies with a link each: pairs
+    and texts that move are in proportion to the pages."""
+    counts, stored = {}, jaccard_join.Scratch.stored
+
+    def counted(self, df, label):
+        out = stored(self, df, label)
+        counts[label] = counts.get(label, 0) + (out.count() if label in ("pairs", "proposals", "links", "texts") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "stored", counted)
+    n = 3000 if common == 25 else 1200
+    page = [f"t{i}" for i in range(common + 3)]
+    texts = [" ".join([*page, *(f"o{i}x{k}" for k in range(own))]) for i in range(n)]
+    texts += [" ".join([*page, *(f"o{i}x{k}" for k in range(own - 1)), "new"]) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows_of(spark, texts), 85, 4).collect()}
+    linked = 100 * (common + own - 1) >= 85 * (common + own + 1)
+    assert linked and got == {i: (common + own, i if i < n else i - n) for i in range(n + 20)}
+    assert counts["pairs"] < 8 * n and counts["proposals"] < 8 * n and counts["texts"] < 8 * n, counts
+
+
+def test_group_joins_its_components():
+    """Links by elements give the components of all pairs, one for each join, with components given before."""
+    rnd = np.random.default_rng(7)
+    for percent in (80, 85):
+        for _ in range(60):
+            base = rnd.integers(1, 2**63, 40, np.uint64)
+            n = int(rnd.integers(2, 30))
+            sets = [np.unique(np.concatenate([rnd.choice(base, 40 - int(rnd.integers(0, 8)), replace=False), rnd.integers(1, 2**63, int(rnd.integers(0, 5)), np.uint64)])) for _ in range(n)]
+            ids = rnd.permutation(1000)[:n].tolist()
+            comps = [ids[int(rnd.integers(0, n))] if rnd.random() < 0.3 else i for i in ids]
+            top = {c: c for c in {*comps, *ids}}
+
+            def find(c):
+                while top[c] != c:
+                    c = top[c]
+                return c
+
+            good = [(i, j) for i in range(n) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - k)]
+            for i, j in good:
+                a, b = find(comps[i]), find(comps[j])
+                top[max(a, b)] = min(a, b)
+            want = {c: find(c) for c in comps}
+            before = len(set(comps))
+            links = list(jaccard_join.Group(ids, comps, sets, percent).links())
+            assert len(links) == before - len(set(want.values()))
+            assert all((ids.index(a), ids.index(b)) in good or (ids.index(b), ids.index(a)) in good for a, b in links)
+
+
 def test_bucket_spans_what_is_possible():
     rnd, bands = np.random.default_rng(2), jaccard_join.Bands(80)
     base = rnd.integers(1, 2**63, 130, np.uint64)
