@@ -140,8 +140,7 @@ def near_rests(short: list[str], long: list[str]) -> Iterator[tuple[int, int, bo
 def first_shared(shard: str, a: str, b: str) -> bool:
     """Whether this shard is the first by which the pair meets: at no step it goes by the last halves where the first are equal."""
     short, long = sorted((a, b), key=len)
-    low, high = 0, len(short)  # of the shorter word's rest; the longer one's ends as much before its end
-    extra = len(long) - len(short)
+    low, high = 0, len(short)  # of the shorter word's rest; the longer one's begins at the same letter
     for step in shard.partition(":")[2].split("/"):
         half = (high - low) // 2
         if step[0] == "<":
@@ -149,8 +148,8 @@ def first_shared(shard: str, a: str, b: str) -> bool:
         else:
             if short[low : low + half] == long[low : low + half]:
                 return False
-            high -= high - low - half
-    return extra >= 0
+            high = low + half
+    return True
 
 
 def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
