@@ -19,8 +19,8 @@ class SegmentedTerms:
     chunks); for each change a folder of what died: slots, docs (doc_id, the segment) and terms (with how often they died). A slot
     is a chunk's place for good, no its number within its document. Only changed documents are tokenised.
 
-    A document's df counts once for each of its chunks. Frequencies are sums over segments less what died, so no change reads
-    the postings of documents that stay (but for those of a changed document's blocks)."""
+    Frequencies are sums over segments less what died. What a change counts is the changed documents' words; to take off the words
+    that died, the postings are scanned for the dead's blocks, and nothing is tokenised for it."""
 
     def __init__(self, spark: SparkSession, path: str, span: int = sparse.SPAN):
         self.spark, self.path, self.span = spark, path.rstrip("/"), span
@@ -95,13 +95,19 @@ class SegmentedTerms:
             self.committed(self.buried(dict(held), gone))
 
     def committed(self, state: dict) -> dict:
-        made = manifests.commit(self.spark, self.path, state | {"parts": [*state["segments"], *state["deaths"]]})
+        """The state as the next version, with its terms' frequencies summed once for all readers."""
+        name = f"v{uuid.uuid4().hex}"
+        grown, died = self.table(state, "segments", "terms", "term string, df long"), self.table(state, "deaths", "terms", "term string, df long")
+        terms = grown.unionByName(died.withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        sparse.vocabulary_of(terms, state["n"]).sortWithinPartitions("term").write.parquet(f"{self.path}/parts/{name}")
+        mean = self.spark.read.parquet(f"{self.path}/parts/{name}").agg(F.avg("raw").alias("mean")).head().mean
+        made = manifests.commit(self.spark, self.path, state | {"vocabulary": name, "mean": mean or 0.0, "parts": [*state["segments"], *state["deaths"], name]})
         manifests.swept(self.spark, self.path, "parts", set(made["parts"]))
         return made
 
     def buried(self, state: dict, gone: DataFrame) -> dict:
-        """The state with the slots of these documents (doc_id, segment) dead, and their terms' counts. Blocks without such a slot
-        aren't opened."""
+        """The state with the slots of these documents (doc_id, segment) dead, and their terms' counts, from the postings of their
+        blocks."""
         name = f"d{uuid.uuid4().hex}"
         out = f"{self.path}/parts/{name}"
         gone.select("doc_id", "segment").write.parquet(f"{out}/docs")
@@ -152,14 +158,13 @@ class SegmentedTerms:
     def index(self, chunks: DataFrame | None = None) -> sparse.TermIndex:
         """The index as it is now. With the corpus' chunks its rows carry their chunk_pos, without it the slots."""
         held = self.state()
-        grown, died = self.table(held, "segments", "terms", "term string, df long"), self.table(held, "deaths", "terms", "term string, df long")
-        terms = grown.unionByName(died.withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        vocabulary = sparse.vocabulary_of(terms, held["n"])
+        schema = "term string, df long, raw double"
+        name = held.get("vocabulary")
+        vocabulary = self.spark.read.schema(schema).parquet(f"{self.path}/parts/{name}") if name else self.spark.createDataFrame([], schema)
         slots = self.live_slots(held)
         numbers = None
         if chunks is not None:
             now = self.with_no(chunks).select("doc_id", "no", F.col("chunk_pos").cast("long").alias("chunk_pos"))
             numbers = slots.join(now, ["doc_id", "no"]).select("slot", "chunk_pos")
         positions = numbers.select("chunk_pos") if numbers is not None else slots.select(F.col("slot").alias("chunk_pos"))
-        mean = vocabulary.agg(F.avg("raw").alias("mean")).head().mean
-        return sparse.TermIndex(self.blocks(held), vocabulary, positions, held["n"], held["tokens"] / max(held["n"], 1), mean or 0.0, held["span"], self.dead(held) if held["deaths"] else None, numbers)
+        return sparse.TermIndex(self.blocks(held), vocabulary, positions, held["n"], held["tokens"] / max(held["n"], 1), held.get("mean", 0.0), held["span"], self.dead(held) if held["deaths"] else None, numbers)
