@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,14 +69,43 @@ def renumbered(rows: DataFrame, index: TermIndex) -> DataFrame:
 
 
 def posting_blocks(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """The blocks of rows (chunk_pos, text). Texts move once, to the task of their block, where they are tokenised and counted;
-    a term of all chunks is spread over all blocks."""
+    """The blocks of rows (chunk_pos, text). Texts move once, to the task of their block, where they are tokenised, counted and
+    sorted, and runs of one term and block are packed; a term of all chunks is spread over all blocks."""
     placed = rows.select(F.floor(F.col("chunk_pos") / span).cast("long").alias("block"), F.pmod("chunk_pos", F.lit(span)).cast("int").alias("at"), "text").repartition("block")
     words = placed.select("block", "at", tokens("text").alias("words")).select("block", "at", F.size("words").alias("dl"), F.explode("words").alias("term"))
     counted = words.groupBy("block", "at", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    entries = F.array_sort(F.collect_list(F.struct("at", "tf", "dl")))  # span of them at most
-    made = counted.groupBy("block", "term").agg(entries.alias("e"), F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    return made.select("term", "block", "n", "tokens", "max_tf", "min_dl", F.col("e.at").alias("ats"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls")).sortWithinPartitions("term", "block")
+    ordered = counted.select("term", "block", "at", "tf", "dl").sortWithinPartitions("term", "block", "at")
+    return ordered.mapInArrow(packed_runs, BLOCKS)
+
+
+BLOCKS = "term string, block long, n long, tokens long, max_tf int, min_dl int, ats array<int>, tfs array<int>, dls array<int>"
+
+
+def packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (term, block, at, tf, dl) as one row for each term and block. The last run of a batch waits for the next."""
+    left = None
+
+    def made(rows: pa.Table, begins: np.ndarray, end: int) -> pa.RecordBatch:
+        ends = np.append(begins[1:], end)
+        at, tf, dl = (rows.column(k).to_numpy()[:end] for k in ("at", "tf", "dl"))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(begins, end), pa.int32()), pa.array(x, pa.int32())) for x in (at, tf, dl)]
+        heads = rows.select(["term", "block"]).take(pa.array(begins)).combine_chunks()
+        columns = [heads.column(0).combine_chunks(), heads.column(1).combine_chunks(), pa.array(ends - begins), pa.array(np.add.reduceat(tf.astype(np.int64), begins)), pa.array(np.maximum.reduceat(tf, begins), pa.int32()), pa.array(np.minimum.reduceat(dl, begins), pa.int32()), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if left is None else pa.concat_tables([left, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        block, term = rows.column("block").to_numpy(), rows.column("term")
+        new = (block[1:] != block[:-1]) | pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(begins) > 1:
+            yield made(rows, begins[:-1], int(begins[-1]))
+        left = rows.slice(int(begins[-1])).combine_chunks()
+    if left is not None and left.num_rows:
+        yield made(left, np.array([0]), left.num_rows)
 
 
 def vocabulary_of(terms: DataFrame, n: int) -> DataFrame:

@@ -35,7 +35,7 @@ class SegmentedTerms:
         return self.spark.read.schema(schema).parquet(*some) if some else self.spark.createDataFrame([], schema)
 
     def blocks(self, held: dict) -> DataFrame:
-        return self.table(held, "segments", "blocks", "term string, block long, n long, tokens long, max_tf int, min_dl int, ats array<int>, tfs array<int>, dls array<int>")
+        return self.table(held, "segments", "blocks", sparse.BLOCKS)
 
     def live_slots(self, held: dict) -> DataFrame:
         """slot, doc_id, no."""
