@@ -257,7 +257,7 @@ def block_plan(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS,
     return found.drop("rank"), staging.stored(bounds.join(rest.select("query_id", "block", "floor"), ["query_id", "block"]), "rest")
 
 
-def scores(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS) -> DataFrame:
+def scores(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS, staging: Staging | None = None) -> DataFrame:
     """query_id, chunk_pos, score: the k best chunks (at least) of each query that have a word of it. With a negative mean idf
     bounds say nothing: then all blocks are read, and chunks without a word of the query take part with 0."""
     groups = max(1, -(-queries.count() // GROUP))
@@ -267,18 +267,19 @@ def scores(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS) ->
         places = held.groupBy(F.floor(at / index.span).cast("long").alias("block")).agg(F.collect_list(F.pmod(at, F.lit(index.span)).cast("int")).alias("ats"))
         every = queries.select("query_id").crossJoin(places)  # a stated set of queries by blocks
         return scored_blocks(block_bounds(queries, index).withColumn("floor", F.lit(None).cast("double")), index, k, groups, every)
-    found, rest = block_plan(queries, index, k, seeds)
+    found, rest = block_plan(queries, index, k, seeds, staging)
     return found.unionByName(scored_blocks(rest, index, k, groups))
 
 
-def sparse_topk(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS) -> DataFrame:
-    """query_id, chunk_pos, score, rank. Chunks without a word of the query stay with score 0, in corpus order.
+def sparse_topk(queries: DataFrame, index: TermIndex, k: int, seeds: int = SEEDS, staging: Staging | None = None) -> DataFrame:
+    """query_id, chunk_pos, score, rank. Chunks without a word of the query stay with score 0, in corpus order. The bounds and the
+    first blocks' scores are staged, in a folder that the caller may give and drop.
 
     While no score can be negative, no more than k chunks of score 0 can be in a pool, and they are among the first 2k of the
     corpus: only those meet the queries. The k best are exact: blocks are left unread only if they can't hold one of them.
     Where places aren't numbers (an index that grew), equal scores at a block's end are kept by place.
     """
-    found = renumbered(scores(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), index, k, seeds), index)
+    found = renumbered(scores(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), index, k, seeds, staging), index)
     if index.mean >= 0:
         first = [r.chunk_pos for r in index.positions.orderBy("chunk_pos").limit(2 * k).collect()]
         none = queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<long>")).alias("chunk_pos"))

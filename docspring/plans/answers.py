@@ -60,7 +60,7 @@ def answered(asked: DataFrame, chunks: DataFrame, embed: Embedder, terms: sparse
         vectored = questions if "embedding" in questions.columns else questions.withColumn("embedding", models.batch_udf(embed, "array<double>")("query"))
         pool = settings.dense_pool if settings.hybrid else retrieval.dense_pool(settings, True)
         legs = dense.blocks_topk(chunks.select("chunk_pos", "embedding") if vectors is None else vectors, vectored, pool, metric)
-        local, _ = retrieval.dual(questions, chunks, legs, legs, terms, settings)
+        local, _ = retrieval.dual(questions, chunks, legs, legs, terms, settings, staging=held)
         return local
 
     first = rest.drop("embedding")

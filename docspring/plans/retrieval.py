@@ -33,7 +33,7 @@ def ranked(scored: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None) -> DataFrame:
+def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None, staging: Staging | None = None) -> DataFrame:
     """query_id, rank, chunk_pos, chunk_id, score, bonus and the chunk's columns.
 
     asked: query_id, query, lo, hi. dense: query_id, chunk_pos, rank of the vector leg. The pools are cut first, then fused,
@@ -43,7 +43,7 @@ def hybrid(asked: DataFrame, chunks: DataFrame, dense: DataFrame, index: sparse.
     dense_ids = dense.join(ids, "chunk_pos").select("query_id", "chunk_pos", "chunk_id", "rank")
     legs, weights = [dense_ids], [settings.rrf_dense_weight]
     if settings.hybrid:
-        found = sparse.sparse_topk(asked.select("query_id", "query"), index, settings.sparse_pool)
+        found = sparse.sparse_topk(asked.select("query_id", "query"), index, settings.sparse_pool, staging=staging)
         legs.append(found.join(ids, "chunk_pos").select("query_id", "chunk_pos", "chunk_id", "rank"))
         weights.append(settings.rrf_sparse_weight)
     fused = fusion.fuse(legs, settings.rrf_k, weights)
@@ -66,10 +66,10 @@ def dense_only(asked: DataFrame, chunks: DataFrame, dense: DataFrame, settings:
     return ranked(kept.withColumnRenamed("rank", "__r"), ["__r"], settings.top_k).drop("__r")
 
 
-def dual(asked: DataFrame, chunks: DataFrame, local_dense: DataFrame, remote_dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer=None) -> tuple[DataFrame, DataFrame]:
+def dual(asked: DataFrame, chunks: DataFrame, local_dense: DataFrame, remote_dense: DataFrame, index: sparse.TermIndex | None, settings: Settings, scorer=None, staging: Staging | None = None) -> tuple[DataFrame, DataFrame]:
     """The local leg (hybrid, or dense where there is no index of terms) and the remote leg (dense, never filtered), side by side."""
     if settings.hybrid and index is not None:
-        local = hybrid(asked, chunks, local_dense, index, settings, scorer)
+        local = hybrid(asked, chunks, local_dense, index, settings, scorer, staging)
     else:
         local = dense_only(asked, chunks, local_dense, settings)
     remote = ranked(remote_dense.withColumnRenamed("rank", "__r"), ["__r"], settings.top_k).drop("__r").join(chunks, "chunk_pos")

@@ -60,8 +60,9 @@ class Staging:
         self.spark, self.path = spark, scratch(spark, label)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         deleted(self.spark, self.path)
