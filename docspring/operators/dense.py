@@ -16,6 +16,8 @@ from docspring.functions.text import tokens
 
 #: Queries whose matrix is sent to the tasks at a time.
 BLOCK = 2048
+#: Pairs of a query and a vector that a task compares by late interaction, and those that it holds at a time (queries, vectors).
+PAIRS, TILE = 8_000_000, (64, 256)
 
 
 def l2_topk(vecs: DataFrame, query: Column, k: int, id_col: str = "chunk_pos", vector: str = "embedding") -> DataFrame:
@@ -76,6 +78,64 @@ def batch_topk(vecs: DataFrame, queries: list[tuple[str, list[float]]], k: int,
     return ranked.withColumn("score", F.when(F.lit(metric == "l2"), -F.col("score")).otherwise(F.col("score")))
 
 
+def slot_rows(x: np.ndarray, n: int) -> np.ndarray:
+    """Vectors as arrays of n rows of equal width, each a unit long."""
+    if not x.shape[1] or x.shape[1] % n:
+        raise ValueError(f"vectors of {x.shape[1]} dimensions can't be cut into {n} slots")
+    cut = x.reshape(len(x), n, -1)
+    return cut / np.maximum(np.linalg.norm(cut, axis=2, keepdims=True), vectors.FLOOR)
+
+
+def maxsim_pairs(vecs: DataFrame, queries: DataFrame, n_slots: int, id_col: str = "chunk_pos", vector: str = "embedding") -> DataFrame:
+    """query_id, id, maxsim of every query (query_id, embedding) with every vector, by matrix products in tiles; null where one of
+    both is null. Queries go in blocks of BLOCK, and vectors are dealt out so that a task makes some PAIRS at most."""
+    kind = dict(vecs.dtypes)[id_col]
+    out, total = vecs.sparkSession.createDataFrame([], f"query_id string, {id_col} {kind}, maxsim double"), vecs.count()
+    rows = vecs.select(id_col, F.col(vector).cast("array<double>").alias(vector))
+    for block in in_blocks(queries):
+        dealt = rows.repartition(max(1, -(-total * len(block) // PAIRS)))
+        out = out.unionByName(dealt.mapInArrow(interactions(block, n_slots, id_col), out.schema))
+    return out
+
+
+def interactions(queries: list[tuple[str, list[float] | None]], n_slots: int, id_col: str):
+    """The function of a task of maxsim_pairs."""
+    width = max((len(v) for _, v in queries if v is not None), default=0)
+    names, missing = [q for q, _ in queries], np.array([v is None for _, v in queries])
+    matrix = np.array([[0.0] * width if v is None else v for _, v in queries], np.float64)
+
+    def tiles(ids: pa.Array, column: pa.Array, asked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(ids), TILE[1]):
+            some, valid = column.slice(lo, TILE[1]), column.slice(lo, TILE[1]).is_valid().to_numpy(zero_copy_only=False)
+            held = None
+            if valid.any() and asked is not None:
+                flat = np.asarray(some.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(int(valid.sum()), -1)
+                if flat.shape[1] != width:
+                    raise ValueError(f"vectors of {flat.shape[1]} dimensions, queries of {width}")
+                held = np.zeros((len(some), n_slots, width // n_slots))
+                held[valid] = slot_rows(flat, n_slots)
+            for q in range(0, len(names), TILE[0]):
+                n = len(names[q : q + TILE[0]])
+                score = np.zeros((n, len(some)))
+                if held is not None:
+                    left, best = asked[q : q + n].reshape(n * n_slots, -1), None
+                    for j in range(n_slots):
+                        cosines = left @ held[:, j].T
+                        best = cosines if best is None else np.maximum(best, cosines, out=best)
+                    score = best.reshape(n, n_slots, -1).sum(axis=1)
+                none = missing[q : q + n, None] | ~valid[None, :]
+                named = pa.array(names[q : q + n], pa.string()).take(pa.array(np.repeat(np.arange(n), len(some))))
+                which = ids.slice(lo, len(some)).take(pa.array(np.tile(np.arange(len(some)), n)))
+                yield pa.RecordBatch.from_arrays([named, which, pa.array(score.ravel(), pa.float64(), mask=none.ravel())], names=["query_id", id_col, "maxsim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = slot_rows(matrix, n_slots) if width else None
+        for batch in batches:
+            yield from tiles(batch.column(0), batch.column(1), asked)
+
+    return run
+
+
 def bucket_of(term: Column | str, size: int = 64) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % size).cast("int")
 
@@ -93,11 +153,11 @@ def question_vectors(queries: DataFrame, size: int = 64) -> DataFrame:
     return hashed_vectors(words.select("query_id", bucket_of("term", size).alias("bucket"), F.lit(1).alias("tf")), "query_id", size)
 
 
-def in_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[str, list[float]]]]:
+def in_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[str, list[float] | None]]]:
     """Queries (query_id, embedding) as lists of at most so many: the driver holds one partition's and one block's at a time."""
-    held: list[tuple[str, list[float]]] = []
+    held: list[tuple[str, list[float] | None]] = []
     for r in queries.select(F.col("query_id").cast("string"), "embedding").toLocalIterator():
-        held.append((r[0], list(r[1])))
+        held.append((r[0], None if r[1] is None else list(r[1])))
         if len(held) == block:
             yield held
             held = []

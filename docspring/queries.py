@@ -405,14 +405,11 @@ def slots_sql(candidates: str) -> str:
 
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, q.v AS qv, e.v AS ev FROM e, e q WHERE q.vec_id % 100 = 0), {slots_sql('p')} SELECT query_id::VARCHAR AS query_id, vec_id, round(maxsim, 6) AS maxsim FROM ms")
 def maxsim(spark, sf_dir):
-    """The stated queries against all vectors, in blocks of queries."""
-    vecs, out = unscaled(spark, sf_dir), None
-    asked_for = questions_of(vecs)
-    for lo in range(0, len(asked_for), dense.BLOCK):
-        block = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.array(*map(F.lit, v)).alias("v")) for q, v in asked_for[lo : lo + dense.BLOCK])))
-        scored = vecs.select("chunk_pos", "embedding", block.alias("q")).select("q.query_id", F.col("chunk_pos").alias("vec_id"), F.round(vectors.maxsim(vectors.slots("q.v", 8), vectors.slots("embedding", 8)), 6).alias("maxsim"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """The stated queries against all vectors, in tiles of both."""
+    vecs = unscaled(spark, sf_dir)
+    queries = vecs.where("chunk_pos % 100 = 0").select(F.col("chunk_pos").alias("query_id"), "embedding")
+    got = dense.maxsim_pairs(vecs.select("chunk_pos", "embedding"), queries, 8)
+    return got.select("query_id", F.col("chunk_pos").alias("vec_id"), F.round("maxsim", 6).alias("maxsim"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, q.v AS qv, e.v AS ev, round(list_cosine_similarity(e.v, q.v), 9) AS score FROM e, e q WHERE q.vec_id % 100 = 0 AND e.label = 3),

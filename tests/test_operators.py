@@ -272,6 +272,23 @@ def test_queries_go_in_blocks(spark, monkeypatch):
     assert {(r.query_id, r.chunk_pos) for r in got} == {(str(i), i) for i in range(5)}
 
 
+def test_maxsim_of_all_pairs(spark, monkeypatch):
+    """Over the edges of blocks and tiles, with nulls on both sides, as the columns' function gives it; queries stand in no plan."""
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    monkeypatch.setattr(dense, "TILE", (3, 16))
+    x = np.random.default_rng(5).normal(size=(150, 12))
+    x[:3] = 0.0
+    vecs = spark.createDataFrame([(i, None if i in (20, 77) else v.tolist()) for i, v in enumerate(x)], "chunk_pos long, embedding array<double>")
+    asked = vecs.where("chunk_pos % 10 = 0").select(F.col("chunk_pos").cast("string").alias("query_id"), F.col("embedding"))
+    got = dense.maxsim_pairs(vecs, asked, 4)
+    want = vecs.crossJoin(asked.withColumnRenamed("embedding", "q")).select("query_id", "chunk_pos", F.round(vectors.maxsim(vectors.slots("q", 4), vectors.slots("embedding", 4)), 9).alias("maxsim"))
+    key = lambda df: sorted(df.collect(), key=lambda r: (r[0], r[1]))
+    assert key(got.withColumn("maxsim", F.round("maxsim", 9))) == key(want) and got.count() == 15 * 150
+    assert dense.maxsim_pairs(vecs, asked.limit(0), 4).count() == 0
+    with pytest.raises(Exception, match="slots"):
+        dense.maxsim_pairs(vecs, asked, 5).count()
+
+
 def test_newest_bears_the_whole_table(spark, sf_dir):
     """The newest of all events, without one window over the table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.pmod("event_id", F.lit(97)).cast("double").alias("created_ts"), F.col("event_id").alias("pos"))
