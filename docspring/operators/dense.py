@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docspring.functions import vectors
 from docspring.functions.text import tokens
+from docspring.operators import sparse
 
 
 #: Queries whose matrix is sent to the tasks at a time.
@@ -148,6 +149,39 @@ def hashed_vectors(words: DataFrame, key: str, size: int = 64) -> DataFrame:
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
 
 
+def block_vectors(index: sparse.TermIndex, size: int = 64) -> DataFrame:
+    """chunk_pos and embedding of the chunks of an index made anew, as hashed_vectors() gives them from its postings. Posting lists
+    move once, to the task of their block, which holds one block's counts by place and bucket."""
+    span = index.span
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, np.zeros((span, size))
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(held.any(axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(held[at].ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(key * span + at), lists], names=["chunk_pos", "embedding"])
+
+        for batch in batches:
+            block, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if key is not None and block[lo] != key:
+                    yield done()
+                    held[:] = 0.0
+                key = int(block[lo])
+                ats, tfs = batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo)
+                where = ats.flatten().to_numpy().astype(np.int64) * size + np.repeat(bucket[lo:hi], ats.value_lengths().to_numpy())
+                held += np.bincount(where, tfs.flatten().to_numpy(), span * size).reshape(span, size)
+        if key is not None:
+            yield done()
+
+    rows = index.blocks.select("block", bucket_of("term", size).alias("bucket"), "ats", "tfs")
+    return rows.repartition(sparse.parts_of(index.n), "block").sortWithinPartitions("block").mapInArrow(run, "chunk_pos long, embedding array<double>")
+
+
 def question_vectors(queries: DataFrame, size: int = 64) -> DataFrame:
     words = queries.select("query_id", F.explode(tokens("query")).alias("term"))
     return hashed_vectors(words.select("query_id", bucket_of("term", size).alias("bucket"), F.lit(1).alias("tf")), "query_id", size)

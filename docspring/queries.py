@@ -322,7 +322,7 @@ def indexed(spark, sf_dir) -> Corpus:
         return held[1]
     chunks, path = chunk_rows(documents(spark, sf_dir)), scratch(spark, "terms")
     terms = sparse.term_index(chunks, path)
-    dense.hashed_vectors(terms.postings(dense.bucket_of("term").alias("bucket")), "chunk_pos").write.parquet(f"{path}/vectors")
+    dense.block_vectors(terms).write.parquet(f"{path}/vectors")
     made = Corpus(chunks, terms, spark.read.parquet(f"{path}/vectors"))
     _corpora.clear()
     _corpora[session] = (key, made)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,30 @@ from docspring.sources import manifests
 from docspring.staging import Staging
 
 
+def deaths_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """term, df, tokens of the postings that died, from rows (term, block, ats, tfs) in order of blocks: of each block first its
+    dead places, in a row without a term. A task holds one block's places."""
+    key, gone = None, np.zeros(span, bool)
+    for batch in batches:
+        block, sizes = batch.column(1).to_numpy(), batch.column(2).value_lengths().to_numpy()
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo == hi:
+                continue
+            if block[lo] != key:
+                key, gone[:] = block[lo], False
+                if not batch.column(0)[int(lo)].is_valid:
+                    gone[batch.column(2)[int(lo)].values.to_numpy()] = True
+                    lo += 1
+            if lo == hi or not gone.any():
+                continue
+            ats, tfs = (batch.column(c).slice(lo, hi - lo).flatten().to_numpy() for c in (2, 3))
+            row, hit = np.repeat(np.arange(hi - lo), sizes[lo:hi]), gone[ats]
+            df, tokens = np.bincount(row, hit, hi - lo).astype(np.int64), np.bincount(row, hit * tfs, hi - lo).astype(np.int64)
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(df[some]), pa.array(tokens[some])], names=["term", "df", "tokens"])
+
+
 class SegmentedTerms:
     """Under path: a folder for each segment with blocks (postings), slots (slot, doc_id, no) and docs (doc_id, a digest of its
     chunks); for each change a folder of what died: slots, docs (doc_id, the segment) and terms (with how often they died). A slot
@@ -113,9 +140,12 @@ class SegmentedTerms:
         gone.select("doc_id", "segment").write.parquet(f"{out}/docs")
         self.live_slots(state).join(self.spark.read.parquet(f"{out}/docs"), "doc_id", "left_semi").select("slot").write.parquet(f"{out}/slots")
         dead = self.spark.read.parquet(f"{out}/slots").select(F.floor(F.col("slot") / state["span"]).cast("long").alias("block"), F.pmod("slot", F.lit(state["span"])).cast("int").alias("at"))
-        touched = self.blocks(state).join(dead.select("block").distinct(), "block", "left_semi")
-        entries = touched.select("term", "block", F.explode(F.arrays_zip("ats", "tfs")).alias("e")).select("term", "block", F.col("e.ats").alias("at"), F.col("e.tfs").alias("tf"))
-        entries.join(dead, ["block", "at"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens")).write.parquet(f"{out}/terms")
+        died = dead.groupBy("block").agg(F.collect_list("at").alias("ats"))  # a span at most
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("tfs", "array<int>"))]
+        rows = self.blocks(state).select("term", "block", "ats", "tfs").unionByName(died.select("block", "ats", *none))
+        dealt = rows.repartition(sparse.parts_of(state["next_block"] * state["span"]), "block").sortWithinPartitions("block", F.col("term").isNotNull())
+        counted = dealt.select("term", "block", "ats", "tfs").mapInArrow(lambda batches: deaths_of(batches, state["span"]), "term string, df long, tokens long")
+        counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).write.parquet(f"{out}/terms")
         sums = self.spark.read.parquet(f"{out}/terms").agg(F.sum("tokens").alias("t")).head()
         return state | {"deaths": [*state["deaths"], name], "n": state["n"] - dead.count(), "tokens": state["tokens"] - (sums.t or 0)}
 
@@ -125,11 +155,12 @@ class SegmentedTerms:
         out, start = f"{self.path}/parts/{name}", state["next_block"] * span
         placed = positioned(rows, ["doc_id", "no"], "slot", staging).withColumn("slot", F.col("slot") + start)
         placed.select("slot", "doc_id", "no").write.parquet(f"{out}/slots")
-        sparse.posting_blocks(placed.withColumnRenamed("slot", "chunk_pos"), span).write.parquet(f"{out}/blocks")
+        n = self.spark.read.parquet(f"{out}/slots").count()
+        sparse.posting_blocks(placed.withColumnRenamed("slot", "chunk_pos"), n, span).write.parquet(f"{out}/blocks")
         docs.select("doc_id", F.lit(name).alias("segment"), "digest").write.parquet(f"{out}/docs")
         blocks = self.spark.read.parquet(f"{out}/blocks")
         blocks.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{out}/terms")
-        n, tokens = self.spark.read.parquet(f"{out}/slots").count(), blocks.agg(F.sum("tokens").alias("t")).head().t or 0
+        tokens = blocks.agg(F.sum("tokens").alias("t")).head().t or 0
         return state | {"segments": [*state["segments"], name], "next_block": state["next_block"] - (-n // span), "n": state["n"] + n, "tokens": state["tokens"] + tokens}
 
     def compact(self) -> None:

@@ -212,6 +212,32 @@ def test_bm25_reads_a_part_of_the_blocks(spark, tmp_path, zipf):
     assert read < 0.6 * every, (read, every)
 
 
+def test_blocks_of_terms_take_no_more_tasks_memory(spark, tmp_path, zipf, monkeypatch):
+    """Postings and vectors are made in tasks whose share doesn't grow with the corpus, and without a row for each word that Spark
+    would have to aggregate or sort; ranges of words, tasks and batches may end anywhere."""
+    texts, _ = zipf
+    monkeypatch.setattr(sparse, "CHUNKS_OF_TASK", 64)
+    monkeypatch.setattr(sparse, "WORDS", 50)
+    some = texts | {900: "", 901: None, 902: "end Été", 5000: "far end end"}
+    rows = spark.createDataFrame([(i, f"c{i}", t) for i, t in some.items()], "chunk_pos long, chunk_id string, text string")
+    made = sparse.posting_blocks(rows, len(some), span=16)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and "explode" not in plan
+    assert made.rdd.getNumPartitions() == sparse.parts_of(len(some)) == 15
+    index = sparse.term_index(rows, str(tmp_path / "t"), span=16)
+    want = sorted((w, i, n, len(words)) for i, t in some.items() for words in [(t or "").lower().split()] for w, n in Counter(words).items())
+    assert sorted(map(tuple, index.postings().collect())) == want
+    heads = {(r.term, r.block): (r.n, r.tokens, r.max_tf, r.min_dl) for r in index.blocks.collect()}
+    every = {}
+    for w, i, tf, dl in want:
+        every.setdefault((w, i // 16), []).append((tf, dl))
+    assert heads == {k: (len(v), sum(x[0] for x in v), max(x[0] for x in v), min(x[1] for x in v)) for k, v in every.items()}
+    by_blocks = sorted(map(tuple, dense.block_vectors(index).collect()))
+    assert by_blocks == sorted(map(tuple, dense.hashed_vectors(index.postings(dense.bucket_of("term").alias("bucket")), "chunk_pos").collect())) and len(by_blocks) == 902
+    none = sparse.term_index(rows.limit(0), str(tmp_path / "n"), span=16)
+    assert none.blocks.count() == 0 and dense.block_vectors(none).count() == 0
+
+
 def test_bm25_negative_scores_lose_to_zeros(spark, tmp_path):
     chunks = spark.createDataFrame([(i, f"c{i}", "same" if i < 3 else "") for i in range(4)], "chunk_pos long, chunk_id string, text string")
     asked = spark.createDataFrame([("q", "same")], "query_id string, query string")
