@@ -1034,11 +1034,12 @@ def evaluation_report(spark, sf_dir):
     """Samples to measures, the report as JSON and Markdown, and the JSON read back: rows, means by type, and the mean."""
     rows = samples_of(spark, sf_dir).withColumns({"page_number": F.lit("1"), "context_content_type": F.when(F.col("query_id") % 3 == 0, "table").otherwise("text")})
     path = f"{scratch(spark, 'report')}/report.json"
-    evaluation.write_report(spark, path, corpus.report_of(rows, Settings()))
+    folder = corpus.write_report(rows, path, Settings())
     one = spark.read.json(path, multiLine=True, primitivesAsString=True)
     cells = lambda at: [F.round(at[f"lexical_{m}"].try_cast("double"), 6).alias(f"lexical_{m}") for m in metrics.NAMES]
     each = lambda part, key: one.select(F.explode(key).alias("x"))
-    rows_of, types = each("row", "per_row_ragas"), each("type", "ragas_by_context_content_type")
-    out = rows_of.select(F.lit("row").alias("part"), F.col("x.query_id").alias("name"), *cells(F.col("x")))
+    lines = spark.read.schema(", ".join(["query_id string", *(f"lexical_{m} string" for m in metrics.NAMES)])).json(folder)
+    types = each("type", "ragas_by_context_content_type")
+    out = lines.select(F.lit("row").alias("part"), F.col("query_id").alias("name"), *cells(F.struct(*lines.columns)))
     out = out.unionByName(types.select(F.lit("type").alias("part"), F.col("x.context_content_type").alias("name"), *cells(F.col("x"))))
     return out.unionByName(one.select(F.lit("mean").alias("part"), F.lit("").alias("name"), *cells(F.col("ragas_summary_mean"))))

@@ -304,3 +304,16 @@ def test_library_stands_without_the_training_operators(tmp_path):
         shutil.copytree(os.path.join(root, "docspring", "llm"), tmp_path / "docspring" / "llm")
         found = said(tmp_path)
         assert int(found[2]) >= 10 and int(found[0]) == n + int(found[2]) and found[3] == "False"
+
+
+def test_report_of_any_size_keeps_its_rows_out_of_the_driver(spark, tmp_path):
+    """Rows stand as lines beside the report, written by tasks; the JSON and the Markdown have what is bounded."""
+    rows = [(i, "What is it?", "1", "table" if i % 3 else "text", "It is red. It is old.", "It is red.", ["It is red."] if i % 2 else []) for i in range(40)]
+    samples = spark.createDataFrame(rows, "query_id long, question string, page_number string, context_content_type string, generated_answer string, ground_truth_answer string, retrieved_contexts array<string>").repartition(4)
+    folder = corpus.write_report(samples, str(tmp_path / "report.json"), Settings())
+    whole, held = corpus.report_of(samples, Settings()), json.loads((tmp_path / "report.json").read_text())
+    lines = [json.loads(x) for f in (tmp_path / "report_rows").glob("part-*.json") for x in f.read_text().splitlines()]
+    assert folder == str(tmp_path / "report_rows") and held["per_row_ragas_folder"] == "report_rows" and "per_row_ragas" not in held
+    assert sorted(lines, key=lambda r: r["query_id"]) == [{k: v for k, v in r.items() if v is not None} for r in whole["per_row_ragas"]] and len(lines) == 40
+    assert held["ragas_summary_mean"] == whole["ragas_summary_mean"] and held["ragas_by_context_content_type"] == whole["ragas_by_context_content_type"]
+    assert (tmp_path / "report.md").read_text().startswith("# Evaluation report")
